@@ -74,7 +74,7 @@ def annotate(
     )
     # C1 trim (count padded cells first), C2 upper, C3 title.
     padded = sum((is_padded(c).cast("int") for c in K.TEXT_COLUMNS), F.lit(0))
-    df = df.withColumn("_padded", padded)
+    df = df.withColumns({"_padded": padded, "carrier_raw": F.col("carrier")})
     df = df.withColumns({c: strip_ws(c) for c in K.TEXT_COLUMNS})
     df = df.withColumns({c: F.upper(c) for c in ("origin_country", "destination_country", "currency")})
     df = df.withColumns({c: title_case(c) for c in ("status", "service_level")})
@@ -244,7 +244,8 @@ def finish(kept: DataFrame, stats: DataFrame, min_values: int = K.OUTLIER_MIN_VA
             "ship_month": month_start("ship_date"),
             "is_central_europe": F.coalesce(F.col("destination_country").isin(K.CENTRAL_EUROPE), F.lit(False)),
             "cost_per_kg": F.round(
-                F.col("freight_cost_eur").cast("double") / F.when(F.col("weight_kg") != 0, F.col("weight_kg")), 2
+                (F.col("freight_cost_eur").cast("double") / F.when(F.col("weight_kg") != 0, F.col("weight_kg")))
+                .cast("decimal(38,10)"), 2
             ).cast(MONEY),
             "is_billable": ~F.col("is_cancelled") & ~F.col("cost_is_outlier"),
         }

@@ -96,7 +96,8 @@ raw AS (
     CASE WHEN o % 71 = 0 THEN 'CANCELLED' WHEN o % 50 = 1 AND k % 2 = 0 THEN 'IN TRANSIT'
          WHEN o % 50 = 1 THEN 'In Transit' ELSE 'Delivered' END AS status,
     {q(TB.SOURCE_NAME)} AS source_file,
-    row_number() OVER (ORDER BY k, s, l_extendedprice, o, ln) AS file_pos
+    row_number() OVER (ORDER BY k, s, l_extendedprice, o, ln) AS file_pos,
+    k AS _part
   FROM _li
 )"""
 
@@ -125,7 +126,7 @@ _tok AS (
 _txt AS (
   SELECT {padded} AS _padded,
     {", ".join(f"{trimmed[c]} AS {c}" for c in K.TEXT_COLUMNS)},
-    ship_date, weight_kg, freight_cost, transit_days, promised_days, source_file, file_pos
+    ship_date, weight_kg, freight_cost, transit_days, promised_days, source_file, file_pos, carrier AS carrier_raw
   FROM _tok
 ),
 _car AS (
@@ -217,8 +218,8 @@ full_ AS (
     CAST(date_trunc('week', ship_date) AS DATE) AS ship_week,
     CAST(date_trunc('month', ship_date) AS DATE) AS ship_month,
     coalesce(destination_country IN ({ce}), false) AS is_central_europe,
-    CAST(round(CAST(freight_cost_eur AS DOUBLE) / CASE WHEN weight_kg <> 0 THEN weight_kg END, 2) AS DECIMAL(18,2))
-      AS cost_per_kg,
+    CAST(round(CAST(CAST(freight_cost_eur AS DOUBLE) / CASE WHEN weight_kg <> 0 THEN weight_kg END
+                    AS DECIMAL(38,10)), 2) AS DECIMAL(18,2)) AS cost_per_kg,
     NOT is_cancelled AND NOT cost_is_outlier AS is_billable
   FROM _del
 ),
