@@ -9,12 +9,35 @@ from shipledger.constants import DATE_FORMATS
 from shipledger.functions.text import col_
 
 
+# Loose shapes: a layout can only parse a value of its shape, so the (costly)
+# parse is attempted only there. Each shape is a superset of its layout.
+SHAPES = {
+    "yyyy-MM-dd": r"^\d+-\d+-\d+$",
+    "yyyy-MM-dd HH:mm:ss": r"^\d+-\d+-\d+ \d+:\d+:\d+$",
+    "yyyy-MM-dd'T'HH:mm:ss": r"^\d+-\d+-\d+T\d+:\d+:\d+$",
+    "d/M/yyyy": r"^\d+/\d+/\d+$",
+    "d.M.yyyy": r"^\d+\.\d+\.\d+$",
+    "yyyy/M/d": r"^\d+/\d+/\d+$",
+    "yyyyMMdd": r"^\d+$",
+    "MMM d, yyyy": r"^\p{L}+ \d+, \d+$",
+    "d-MMM-yyyy": r"^\d+-\p{L}+-\d+$",
+    "M/d/yyyy": r"^\d+/\d+/\d+$",
+}
+
+
 def parse_ship_date(c: str | Column, formats: list[str] | None = None) -> Column:
     """Mixed-layout, day-first date parse: the first layout that matches wins,
-    anything unparseable is null, the time of day is dropped."""
-    v = col_(c)
+    anything unparseable is null, the time of day is dropped. Surrounding
+    white space is ignored."""
+    from shipledger.functions.text import strip_ws
+
+    v = strip_ws(col_(c))
     fmts = DATE_FORMATS if formats is None else formats
-    tries = [F.try_to_timestamp(v, F.lit(f)) for f in fmts]
+    tries = []
+    for f in fmts:
+        parse = F.try_to_timestamp(v, F.lit(f))
+        shape = SHAPES.get(f)
+        tries.append(F.when(v.rlike(shape), parse) if shape else parse)
     return F.coalesce(*tries).cast("date")
 
 

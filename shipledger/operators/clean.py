@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from shipledger import constants as K
 from shipledger.functions.dates import month_start, parse_ship_date, week_start, weekday_name
-from shipledger.functions.text import carrier_key, is_padded, lookup, null_tokens, strip_ws, title_case
+from shipledger.functions.text import carrier_key, lookup, null_tokens, strip_ws, title_case
 from shipledger.schema import FLAG_COLUMNS, SHIPMENT_COLUMNS, ORDER_PREFIX
 from shipledger.session import bounded_broadcast, materialize
 
@@ -73,9 +73,14 @@ def annotate(
         *[null_tokens(c, tokens).alias(c) if c in K.REQUIRED_COLUMNS else F.col(c) for c in raw.columns]
     )
     # C1 trim (count padded cells first), C2 upper, C3 title.
-    padded = sum((is_padded(c).cast("int") for c in K.TEXT_COLUMNS), F.lit(0))
-    df = df.withColumns({"_padded": padded, "carrier_raw": F.col("carrier")})
-    df = df.withColumns({c: strip_ws(c) for c in K.TEXT_COLUMNS})
+    df = df.withColumns({"carrier_raw": F.col("carrier"), **{f"_t_{c}": strip_ws(c) for c in K.TEXT_COLUMNS}})
+    padded = sum(
+        ((F.length(F.coalesce(F.col(c), F.lit(""))) != F.length(F.coalesce(F.col(f"_t_{c}"), F.lit("")))).cast("int")
+         for c in K.TEXT_COLUMNS),
+        F.lit(0),
+    )
+    df = df.withColumn("_padded", padded).withColumns({c: F.col(f"_t_{c}") for c in K.TEXT_COLUMNS})
+    df = df.drop(*[f"_t_{c}" for c in K.TEXT_COLUMNS])
     df = df.withColumns({c: F.upper(c) for c in ("origin_country", "destination_country", "currency")})
     df = df.withColumns({c: title_case(c) for c in ("status", "service_level")})
 
@@ -134,9 +139,11 @@ def _disposition(df: DataFrame) -> DataFrame:
         df.filter(F.col("ship_date").isNotNull())
         .groupBy("order_id")
         .agg(F.min("_ord").alias("_ord"))
-        .select("_ord", F.lit(True).alias("_first"))
+        .select(F.xxhash64("_ord").alias("_ord_h"), "_ord", F.lit(True).alias("_first"))
     )
-    out = df.join(firsts, on="_ord", how="left")
+    # The 64-bit hash leads the join key so partitioning and sorting compare
+    # longs; the struct itself stays a key, so the match is exact.
+    out = df.withColumn("_ord_h", F.xxhash64("_ord")).join(firsts, on=["_ord_h", "_ord"], how="left").drop("_ord_h")
     removed = (
         F.when(F.col("ship_date").isNull(), F.lit(K.REMOVED_UNDATED))
         .when(F.col("_first").isNull(), F.lit(K.REMOVED_DUPLICATE))

@@ -18,7 +18,9 @@ def arr(values) -> str:
 
 
 def trim_ws(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    from shipledger.functions.text import WHITESPACE
+
+    return f"trim({x}, {q(WHITESPACE)})"
 
 
 def title(x: str) -> str:
@@ -53,6 +55,7 @@ _DUCK_FORMATS = {
 
 
 def parse_date(x: str) -> str:
+    x = trim_ws(x)
     tries = ", ".join(f"try_strptime({x}, {q(_DUCK_FORMATS[f])})" for f in K.DATE_FORMATS)
     return f"CAST(coalesce({tries}) AS DATE)"
 

@@ -73,6 +73,17 @@ def materialize(df: DataFrame, name: str, mode: str = "write") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def ensure_parallel(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer partitions than the cluster has cores
+    (a few large files, one row group each, a gzip CSV) over the default
+    parallelism. A no-op for any input split wider than that, which is every
+    large input, so no shuffle is added at scale."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast ``df`` only after checking its size; beyond the bound it is
     returned unchanged and the join shuffles. ``df`` must be cheap to count
