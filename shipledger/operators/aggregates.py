@@ -224,20 +224,22 @@ def regions_frame(spark, regions: dict | None = None) -> DataFrame:
 
 
 def weekday_effects(df: DataFrame, regions: dict | None = None,
-                    min_shipments: int = K.MIN_LANE_SHIPMENTS) -> DataFrame:
+                    min_shipments: int = K.MIN_LANE_SHIPMENTS, by=None) -> DataFrame:
     """Per carrier and region, each tested weekday's mean transit and late
     rate against the other days of the same scope (scope total minus the
-    cell), keeping the strongest uplift (earliest day on ties)."""
+    cell), keeping the strongest uplift (earliest day on ties). The scope
+    totals are a window over the small cell aggregate, never over rows."""
+    keys = _keys(by)
     reg = F.broadcast(regions_frame(df.sparkSession, regions))  # size = listed countries
     active = df.filter(_active() & F.col("carrier").isNotNull()).join(reg, "destination_country")
-    cells = active.groupBy("carrier", "region", "region_order", "destinations", "ship_weekday").agg(
+    cells = active.groupBy(*keys, "carrier", "region", "region_order", "destinations", "ship_weekday").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("transit_days").alias("t_sum"),
         F.count("transit_days").alias("t_n"),
         F.count_if(F.col("is_late")).alias("late_n"),
         money_sum(F.col("late_penalty_eur")).cast("double").alias("penalties"),
     )
-    scope = Window.partitionBy("carrier", "region")
+    scope = Window.partitionBy(*keys, "carrier", "region")
     for c in ("n", "t_sum", "t_n", "late_n"):
         cells = cells.withColumn(f"s_{c}", F.sum(c).over(scope))
     day_idx = F.array_position(F.array(*[F.lit(d) for d in K.WEEKDAYS_TESTED]), F.col("ship_weekday"))
@@ -256,7 +258,7 @@ def weekday_effects(df: DataFrame, regions: dict | None = None,
         .withColumn("_base", base)
         .filter(F.col("_base").isNull() | (F.col("_base") != 0))
         .select(
-            "carrier", "region", "region_order", "destinations",
+            *keys, "carrier", "region", "region_order", "destinations",
             F.col("ship_weekday").alias("weekday"),
             F.col("n").alias("shipments"),
             rest_n.alias("baseline_shipments"),
@@ -268,7 +270,7 @@ def weekday_effects(df: DataFrame, regions: dict | None = None,
         )
         .filter(F.col("transit_uplift_pct").isNotNull())
     )
-    best = Window.partitionBy("carrier", "region").orderBy(F.col("transit_uplift_pct").desc(), F.col("_day"))
+    best = Window.partitionBy(*keys, "carrier", "region").orderBy(F.col("transit_uplift_pct").desc(), F.col("_day"))
     return (
         cand.withColumn("_rn", F.row_number().over(best))
         .filter(F.col("_rn") == 1)
@@ -278,25 +280,28 @@ def weekday_effects(df: DataFrame, regions: dict | None = None,
 
 
 def weekday_signal(df: DataFrame, regions: dict | None = None, min_uplift: float = K.MIN_UPLIFT_PCT,
-                   min_gap: float = K.MIN_LATE_GAP_PCT) -> DataFrame:
+                   min_gap: float = K.MIN_LATE_GAP_PCT, by=None) -> DataFrame:
     """F2 detection: effects with uplift >= 12 % and a late gap >= 8 points;
     the one with the most penalties (carrier A-Z, then region order, on ties).
-    At most one row."""
-    eff = weekday_effects(df, regions).withColumn("late_gap_pct", F.col("late_pct") - F.col("baseline_late_pct"))
+    At most one row (per slice)."""
+    keys = _keys(by)
+    eff = weekday_effects(df, regions, by=keys).withColumn(
+        "late_gap_pct", F.col("late_pct") - F.col("baseline_late_pct"))
     cand = eff.filter((F.col("transit_uplift_pct") >= min_uplift) & (F.col("late_gap_pct") >= min_gap))
-    w = Window.orderBy(F.col("penalties_eur").desc(), F.col("carrier"), F.col("region_order"))
+    w = Window.partitionBy(*keys).orderBy(F.col("penalties_eur").desc(), F.col("carrier"), F.col("region_order"))
     return cand.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
-def weekday_evidence(df: DataFrame, scope: DataFrame, regions: dict | None = None) -> DataFrame:
+def weekday_evidence(df: DataFrame, scope: DataFrame, regions: dict | None = None, by=None) -> DataFrame:
     """For each (carrier, region) in ``scope`` (e.g. the detected signal),
     shipments, late %, mean transit and penalties per weekday, Mon-Sun."""
+    keys = _keys(by)
     reg = F.broadcast(regions_frame(df.sparkSession, regions))
-    keys = F.broadcast(scope.select("carrier", "region").distinct())
-    rows = df.filter(_active()).join(reg, "destination_country").join(keys, ["carrier", "region"])
+    sel = F.broadcast(scope.select(*keys, "carrier", "region").distinct())  # one row per slice
+    rows = df.filter(_active()).join(reg, "destination_country").join(sel, keys + ["carrier", "region"])
     order = F.array_position(F.array(*[F.lit(d) for d in K.WEEKDAYS]), F.col("weekday"))
     return (
-        rows.groupBy("carrier", "region", F.col("ship_weekday").alias("weekday"))
+        rows.groupBy(*keys, "carrier", "region", F.col("ship_weekday").alias("weekday"))
         .agg(
             F.count(F.lit(1)).alias("shipments"),
             ratio_pct(F.count_if(F.col("is_late")), F.count(F.lit(1))).alias("late_pct"),
@@ -339,22 +344,24 @@ def worst_lanes(df: DataFrame, limit: int = 3, min_shipments: int = K.MIN_LANE_S
     return joined.withColumn("late_pct_above_book", F.col("late_pct") - F.col("book_late_pct"))
 
 
-def composition(df: DataFrame, top: int = 3) -> DataFrame:
+def composition(df: DataFrame, top: int = 3, by=None) -> DataFrame:
     """Penalties of the top three carriers (when > 0) and the rest as
-    ``Other`` (when > 0)."""
-    pen = df.filter(_active() & F.col("carrier").isNotNull()).groupBy("carrier").agg(
+    ``Other`` (when > 0), per slice of ``by``."""
+    keys = _keys(by)
+    pen = df.filter(_active() & F.col("carrier").isNotNull()).groupBy(*keys, "carrier").agg(
         money_sum(F.col("late_penalty_eur")).alias("penalties")
     )
-    w = Window.orderBy(F.col("penalties").desc(), F.col("carrier"))
+    w = Window.partitionBy(*keys).orderBy(F.col("penalties").desc(), F.col("carrier"))
     ranked = pen.withColumn("_rn", F.row_number().over(w))
     named = ranked.filter((F.col("_rn") <= top) & (F.col("penalties") > 0)).select(
-        "carrier", F.col("penalties").cast("double").alias("penalties"), F.col("_rn").alias("position")
+        *keys, "carrier", F.col("penalties").cast("double").alias("penalties"), F.col("_rn").alias("position")
     )
     other = (
         ranked.filter(F.col("_rn") > top)
+        .groupBy(*keys)
         .agg(F.sum("penalties").alias("penalties"))
         .filter(F.col("penalties") > 0)
-        .select(F.lit("Other").alias("carrier"), F.col("penalties").cast("double").alias("penalties"),
+        .select(*keys, F.lit("Other").alias("carrier"), F.col("penalties").cast("double").alias("penalties"),
                 F.lit(top + 1).alias("position"))
     )
     return named.unionByName(other)
