@@ -218,9 +218,16 @@ def lane_matrix_wide(df: DataFrame, value: str = "late_pct", min_shipments: int
 # ---------------------------------------------------------------------------
 
 def regions_frame(spark, regions: dict | None = None) -> DataFrame:
+    """(region, region_order, destination_country, destinations): one row per
+    listed country (a country may sit in several regions). Built from a
+    literal on the JVM side, so no rows travel from Python."""
     regions = K.REGIONS if regions is None else regions
-    rows = [(name, i, c, ", ".join(sorted(cs))) for i, (name, cs) in enumerate(regions.items()) for c in cs]
-    return spark.createDataFrame(rows, "region string, region_order int, destination_country string, destinations string")
+    rows = [
+        F.struct(F.lit(name).alias("region"), F.lit(i).alias("region_order"), F.lit(c).alias("destination_country"),
+                 F.lit(", ".join(sorted(cs))).alias("destinations"))
+        for i, (name, cs) in enumerate(regions.items()) for c in cs
+    ]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def weekday_effects(df: DataFrame, regions: dict | None = None,

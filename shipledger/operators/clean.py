@@ -292,8 +292,13 @@ def clean(raw: DataFrame, *, accuracy: int | None = None, stage_mode: str = "wri
         "annotated", stage_mode,
     )
     kept = annotated.filter(F.col("_removed").isNull())
-    stats = group_stats(kept, accuracy).persist()
+    stats = materialize(group_stats(kept, accuracy), "stats", "persist")
     full = finish(kept, stats)
+    if stage_mode == "write":
+        # The finished table is the unit every view reads: write it once, so
+        # queries plan against a Parquet scan (pushdown, pruning) rather than
+        # re-deriving it, and the gate below is a cheap scan.
+        full = materialize(full, "shipments", stage_mode)
     out = Cleaned(annotated=annotated, stats=stats, full=full, sources=sources or [], file_entries=file_entries)
     if check_flags:
         flag_gate(out.full)

@@ -33,42 +33,61 @@ def _keys(by) -> list[str]:
     return A._keys(by)
 
 
+class E(str):
+    """A fragment of SQL text (plain ``str`` parts are literal text)."""
+
+
 def txt(*parts) -> Column:
-    """Concatenate literal strings and columns."""
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    """One SQL ``concat`` of literal texts and SQL fragments: one ``expr``
+    call per report column keeps plan construction cheap."""
+    return F.expr("concat(" + ", ".join(p if isinstance(p, E) else X.sq(p) for p in parts) + ")")
 
 
-def f0(c: Column) -> Column:
+def f0(x: str) -> E:
     """Python's ``{:.0f}``: round half to even, no decimals."""
-    return F.format_string("%.0f", F.bround(c.cast("double"), 0))
+    return E(f"format_string('%.0f', bround(CAST(({x}) AS DOUBLE), 0))")
 
 
-def f1(c: Column) -> Column:
-    return F.format_string("%.1f", F.bround(c.cast("double"), 1))
+def f1(x: str) -> E:
+    return E(f"format_string('%.1f', bround(CAST(({x}) AS DOUBLE), 1))")
 
 
-def comma(c: Column) -> Column:
+def comma(x: str) -> E:
     """Python's ``{:,}`` for an integer."""
-    return F.format_number(c.cast("long"), 0)
+    return E(f"format_number(CAST(({x}) AS BIGINT), 0)")
+
+
+def pct(x: str) -> E:
+    return E(X.pct_sql(x))
+
+
+def count(x: str) -> E:
+    return E(X.group_sql(x, 0))
+
+
+def money(x: str, exact: bool = True) -> E:
+    return E(X.money_sql(x, exact=exact))
+
+
+def share_sql(part: str, whole: str) -> str:
+    return f"(CASE WHEN ({whole}) <> 0 THEN 100.0D * ({part}) / ({whole}) ELSE 0.0D END)"
 
 
 def share(part: Column, whole: Column) -> Column:
     return F.when(whole != 0, F.lit(100.0) * part / whole).otherwise(F.lit(0.0))
 
 
+def prev_day(x: str) -> E:
+    whens = " ".join(f"WHEN {X.sq(k)} THEN {X.sq(v)}" for k, v in K.PREVIOUS_DAY.items())
+    return E(f"CASE {x} {whens} ELSE 'the previous day' END")
+
+
 def _join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     if keys:
         return a.join(b, keys, how)
     return a.join(b, on=F.lit(True), how=how)
 
 
-def _lookup_day(mapping: dict, c: Column, default: str) -> Column:
-    pairs = []
-    for k, v in mapping.items():
-        pairs += [F.lit(k), F.lit(v)]
-    return F.coalesce(F.element_at(F.create_map(*pairs), c), F.lit(default))
-
-
 # ---------------------------------------------------------------------------
 # Evidence (the facts every finding is built from)
 # ---------------------------------------------------------------------------
@@ -135,31 +154,30 @@ def findings(df: DataFrame, by=None) -> DataFrame:
         .join(weak_lane, keys + ["carrier"], "left")
         .filter(F.col("on_time_pct") < F.col("book_on_time") - K.WEAK_CARRIER_GAP_PTS)
     )
-    gap = F.col("book_on_time") - F.col("on_time_pct")
-    money = lambda c: X.fmt_money(c, exact=True)
+    gap = "book_on_time - on_time_pct"
+    c = E("carrier")
     f_weak = w.select(
         *keys,
         F.lit("weakest_carrier").alias("key"), F.lit(1).alias("_order"),
         F.col("penalties").alias("leak_eur"),
-        txt(F.col("carrier"), " runs ", f0(gap), " points below the book at ", X.fmt_pct("on_time_pct"),
-            " on time, with ", money(F.col("penalties")), " in late penalties across ", X.fmt_count("orders"),
-            " shipments.").alias("claim"),
-        txt("The book runs at ", X.fmt_pct("book_on_time"), " on time across ", X.fmt_count("book_orders"),
-            " shipments; ", F.col("carrier"), " carries ",
-            X.fmt_pct(F.lit(100.0) * F.col("orders") / F.col("book_orders")), " of them and ",
-            X.fmt_pct(share(F.col("penalties"), F.col("book_penalties"))), " of all penalties.").alias("support_1"),
+        txt(c, " runs ", f0(gap), " points below the book at ", pct("on_time_pct"), " on time, with ",
+            money("penalties"), " in late penalties across ", count("orders"), " shipments.").alias("claim"),
+        txt("The book runs at ", pct("book_on_time"), " on time across ", count("book_orders"), " shipments; ", c,
+            " carries ", pct("100.0D * orders / book_orders"), " of them and ",
+            pct(share_sql("penalties", "book_penalties")), " of all penalties.").alias("support_1"),
         F.when(F.col("wl_dest").isNotNull(),
-               txt("Its worst lane is ", F.col("wl_dest"), " at ", X.fmt_pct("wl_late"), " late across ",
-                   X.fmt_count("wl_orders"), " shipments.")).otherwise(F.lit(NO_LANE)).alias("support_2"),
-        txt(X.fmt_count("late_orders"), " of its shipments arrived late. Penalties are ",
-            money(F.lit(K.LATE_PENALTY_EUR_PER_DAY)), " per day late; cancelled shipments are excluded.").alias("support_3"),
-        txt("Cap ", F.col("carrier"), "'s share of time-critical freight and put the contract on the next review "
-            "agenda, with the ", money(F.col("penalties")), " in penalties as the opening figure.").alias("action"),
+               txt("Its worst lane is ", E("wl_dest"), " at ", pct("wl_late"), " late across ", count("wl_orders"),
+                   " shipments.")).otherwise(F.lit(NO_LANE)).alias("support_2"),
+        txt(count("late_orders"), " of its shipments arrived late. Penalties are ",
+            money(repr(K.LATE_PENALTY_EUR_PER_DAY) + "D"), " per day late; cancelled shipments are excluded.").alias(
+            "support_3"),
+        txt("Cap ", c, "'s share of time-critical freight and put the contract on the next review agenda, with the ",
+            money("penalties"), " in penalties as the opening figure.").alias("action"),
         F.col("penalties").alias("figure_eur"),
-        txt("Late penalties on ", F.col("carrier")).alias("figure_label"),
-        txt(F.col("period"), ", ", X.fmt_count("orders"), " shipments").alias("figure_basis"),
+        txt("Late penalties on ", c).alias("figure_label"),
+        txt(E("period"), ", ", count("orders"), " shipments").alias("figure_basis"),
         F.lit(METHOD_WEAK).alias("method"),
-        txt(X.fmt_count("cancelled_orders"), " cancelled and ", X.fmt_count("outlier_orders"),
+        txt(count("cancelled_orders"), " cancelled and ", count("outlier_orders"),
             " cost-outlier shipments excluded from spend.").alias("exclusions"),
         F.col("row_pos").alias("cite_row"),
         F.lit("on_time_pct, penalties").alias("cite_columns"),
@@ -177,26 +195,25 @@ def findings(df: DataFrame, by=None) -> DataFrame:
         .drop("_sday")
     )
     s = _join(sig, ctx.select(*keys, "period"), keys).join(day_pos, keys + ["carrier", "region"], "left")
-    day = F.col("weekday")
+    day, c = E("weekday"), E("carrier")
     f_sig = s.select(
         *keys,
         F.lit("weekday").alias("key"), F.lit(2).alias("_order"),
         F.col("penalties_eur").alias("leak_eur"),
-        txt(F.col("carrier"), " ", day, " dispatches to ", F.col("region"), " arrive late ", X.fmt_pct("late_pct"),
-            " of the time, against ", X.fmt_pct("baseline_late_pct"), " on other weekdays.").alias("claim"),
-        txt("Transit runs ", X.fmt_pct("transit_uplift_pct"), " longer on ", day, " across ",
-            X.fmt_count("shipments"), " shipments; the other weekdays hold ", X.fmt_count("baseline_shipments"),
-            ".").alias("support_1"),
-        txt("Penalties on those ", day, " dispatches come to ", money(F.col("penalties_eur")), " in the period.").alias(
+        txt(c, " ", day, " dispatches to ", E("region"), " arrive late ", pct("late_pct"), " of the time, against ",
+            pct("baseline_late_pct"), " on other weekdays.").alias("claim"),
+        txt("Transit runs ", pct("transit_uplift_pct"), " longer on ", day, " across ", count("shipments"),
+            " shipments; the other weekdays hold ", count("baseline_shipments"), ".").alias("support_1"),
+        txt("Penalties on those ", day, " dispatches come to ", money("penalties_eur"), " in the period.").alias(
             "support_2"),
         txt(f"A weekday under {K.MIN_LANE_SHIPMENTS} shipments is not tested, so the comparison covers ",
-            X.fmt_count(F.col("shipments") + F.col("baseline_shipments")), " shipments.").alias("support_3"),
-        txt("Shift ", day, " volume to ", _lookup_day(K.PREVIOUS_DAY, day, "the previous day"),
-            " and get a written cut-off time from ", F.col("carrier"), " for ", F.col("region"), ".").alias("action"),
+            count("shipments + baseline_shipments"), " shipments.").alias("support_3"),
+        txt("Shift ", day, " volume to ", prev_day("weekday"), " and get a written cut-off time from ", c, " for ",
+            E("region"), ".").alias("action"),
         F.col("penalties_eur").alias("figure_eur"),
         txt("Late penalties on ", day, " dispatches").alias("figure_label"),
-        txt(F.col("period"), ", ", X.fmt_count("shipments"), " shipments").alias("figure_basis"),
-        txt("Scope is ", F.col("carrier"), " shipments into ", F.col("region"),
+        txt(E("period"), ", ", count("shipments"), " shipments").alias("figure_basis"),
+        txt("Scope is ", c, " shipments into ", E("region"),
             ", cancelled shipments excluded. Late is delivery after the promised date.").alias("method"),
         F.lit(EXCL_WEEKDAY).alias("exclusions"),
         F.coalesce(F.col("cite_row"), F.lit(0)).alias("cite_row"),
@@ -212,24 +229,23 @@ def findings(df: DataFrame, by=None) -> DataFrame:
         .transform(lambda d: _join(d, weak_claim, keys, "left"))
     )
     same = F.coalesce(F.col("_weak_claim").contains(F.col("carrier")), F.lit(False))
+    c, dest = E("carrier"), E("destination_country")
     f_lane = t.select(
         *keys,
         F.lit("worst_lane").alias("key"), F.lit(3).alias("_order"),
         F.col("penalties").alias("leak_eur"),
-        txt(F.col("carrier"), " into ", F.col("destination_country"), " is the lane losing most to late delivery: ",
-            X.fmt_pct("late_pct"), " late across ", X.fmt_count("orders"), " shipments.").alias("claim"),
-        txt("Penalties on the lane are ", money(F.col("penalties")), ", ",
-            X.fmt_pct(share(F.col("penalties"), F.col("book_penalties"))), " of all penalties in the period.").alias(
-            "support_1"),
-        txt("The network late rate is ", X.fmt_pct("book_late_pct"), ", so the lane runs ",
-            X.fmt_pct(F.col("late_pct") - F.col("book_late_pct")), " points above it.").alias("support_2"),
+        txt(c, " into ", dest, " is the lane losing most to late delivery: ", pct("late_pct"), " late across ",
+            count("orders"), " shipments.").alias("claim"),
+        txt("Penalties on the lane are ", money("penalties"), ", ", pct(share_sql("penalties", "book_penalties")),
+            " of all penalties in the period.").alias("support_1"),
+        txt("The network late rate is ", pct("book_late_pct"), ", so the lane runs ", pct("late_pct - book_late_pct"),
+            " points above it.").alias("support_2"),
         F.lit(f"Lanes under {K.MIN_LANE_SHIPMENTS} shipments are excluded from the ranking.").alias("support_3"),
         F.when(same, F.lit(SAME_LANE_ACTION)).otherwise(
-            txt("Re-tender the ", F.col("destination_country"), " lane, or price the penalty into what you pay ",
-                F.col("carrier"), ".")).alias("action"),
+            txt("Re-tender the ", dest, " lane, or price the penalty into what you pay ", c, ".")).alias("action"),
         F.col("penalties").alias("figure_eur"),
         F.lit("Late penalties on the lane").alias("figure_label"),
-        txt(F.col("period"), ", ", X.fmt_count("orders"), " shipments").alias("figure_basis"),
+        txt(E("period"), ", ", count("orders"), " shipments").alias("figure_basis"),
         F.lit(METHOD_LANE).alias("method"),
         F.lit(f"Lanes under {K.MIN_LANE_SHIPMENTS} shipments are not ranked.").alias("exclusions"),
         F.lit(0).alias("cite_row"),
@@ -287,11 +303,9 @@ def evidence(df: DataFrame, by=None) -> DataFrame:
 # F6 executive summary
 # ---------------------------------------------------------------------------
 
-def _n_words(c: Column) -> Column:
-    out = c.cast("string")
-    for n, w in sorted(N_WORDS.items(), reverse=True):
-        out = F.when(c == n, F.lit(w)).otherwise(out)
-    return out
+def n_words(x: str) -> E:
+    whens = " ".join(f"WHEN {n} THEN {X.sq(w)}" for n, w in N_WORDS.items())
+    return E(f"CASE {x} {whens} ELSE CAST({x} AS STRING) END")
 
 
 def executive_summary(df: DataFrame, by=None) -> DataFrame:
@@ -308,56 +322,54 @@ def executive_summary(df: DataFrame, by=None) -> DataFrame:
         F.count_if(F.col("severity") == "warning").alias("n_warning"),
         F.min_by("claim", "position").alias("first_claim"),
     )
-    comp = A.composition(df, by=keys).groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "carrier", "penalties"))),
-                                 lambda s: F.concat(s["carrier"], F.lit(" "), X.fmt_money(s["penalties"]))), "; ")
+    comp = A.composition(df, by=keys).withColumn(
+        "_item", txt(E("carrier"), " ", money("penalties", exact=False))
+    ).groupBy(*keys).agg(
+        F.expr("array_join(transform(array_sort(collect_list(struct(position, _item))), x -> x._item), '; ')")
         .alias("composition")
     )
     r = _join(_join(k, per, keys), fsum, keys, "left")
     r = _join(r, comp, keys, "left").fillna({"n_findings": 0, "addressed_eur": 0.0, "n_critical": 0, "n_serious": 0,
                                               "n_warning": 0})
 
-    def part(n: str, word: Column) -> Column:
-        cnt = F.col(n)
-        return F.when(cnt > 0, F.concat(F.lower(_n_words(cnt)), F.lit(" "),
-                                        F.when(cnt == 1, F.lit("is")).otherwise(F.lit("are")), F.lit(" "), word))
-
-    parts = F.filter(F.array(
-        part("n_critical", F.lit("critical")),
-        part("n_serious", F.lit("serious")),
-        part("n_warning", F.when(F.col("n_warning") == 1, F.lit("a warning")).otherwise(F.lit("warnings"))),
-    ), lambda x: x.isNotNull())
-    n = F.size(parts)
-    joined = F.when(n == 1, parts[0]).when(n == 2, F.concat(parts[0], F.lit(" and "), parts[1])).otherwise(
-        F.concat(parts[0], F.lit(", "), parts[1], F.lit(" and "), parts[2]))
-    sev = F.when(n > 0, F.concat(F.upper(F.substring(joined, 1, 1)), F.substring(joined, 2, 10_000), F.lit("."))).otherwise(
-        F.lit(""))
+    def part(n: str, word: str) -> str:
+        return (f"CASE WHEN {n} > 0 THEN concat(lower({n_words(n)}), ' ', CASE WHEN {n} = 1 THEN 'is' ELSE 'are' END, "
+                f"' ', {word}) END")
+
+    parts = (f"filter(array({part('n_critical', X.sq('critical'))}, {part('n_serious', X.sq('serious'))}, "
+             f"{part('n_warning', 'CASE WHEN n_warning = 1 THEN ' + X.sq('a warning') + ' ELSE ' + X.sq('warnings') + ' END')}"
+             "), x -> x IS NOT NULL)")
+    r = r.withColumn("_parts", F.expr(parts))
+    joined = ("CASE size(_parts) WHEN 1 THEN _parts[0] WHEN 2 THEN concat(_parts[0], ' and ', _parts[1]) "
+              "ELSE concat(_parts[0], ', ', _parts[1], ' and ', _parts[2]) END")
+    sev = E(f"CASE WHEN size(_parts) > 0 THEN concat(upper(substring({joined}, 1, 1)), substring({joined}, 2), '.') "
+            "ELSE '' END")
     has = F.col("n_findings") > 0
+    plural = E("CASE WHEN n_findings <> 1 THEN 's' ELSE '' END")
+    singular = E("CASE WHEN n_findings = 1 THEN 's' ELSE '' END")
     s1 = F.when(has, txt(
-        _n_words(F.col("n_findings")), " finding", F.when(F.col("n_findings") != 1, F.lit("s")).otherwise(F.lit("")),
-        " account", F.when(F.col("n_findings") == 1, F.lit("s")).otherwise(F.lit("")), " for <b>",
-        X.fmt_money("addressed_eur"), "</b> of late-delivery penalties in ", F.col("period"), ", ",
-        X.fmt_pct(share(F.col("addressed_eur"), F.col("total_spend"))), " of freight spend. ", sev,
-    )).otherwise(txt("No leakage above the ", X.fmt_pct(F.lit(K.SEVERITY_THRESHOLDS["warning"])),
-                     " reporting threshold was found in ", F.col("period"), "."))
+        n_words("n_findings"), " finding", plural, " account", singular, " for <b>", money("addressed_eur", False),
+        "</b> of late-delivery penalties in ", E("period"), ", ", pct(share_sql("addressed_eur", "total_spend")),
+        " of freight spend. ", sev,
+    )).otherwise(txt("No leakage above the ", pct(repr(K.SEVERITY_THRESHOLDS["warning"]) + "D"),
+                     " reporting threshold was found in ", E("period"), "."))
     s2 = F.when(has, F.col("first_claim")).otherwise(txt(
-        "Late-delivery penalties total <b>", X.fmt_money("penalties"), "</b> across ", X.fmt_count("late_orders"),
+        "Late-delivery penalties total <b>", money("penalties", False), "</b> across ", count("late_orders"),
         " late shipments."))
-    s3 = txt("On-time delivery is <b>", X.fmt_pct("on_time_pct"), "</b> across ", X.fmt_count("active_orders"),
-             " non-cancelled shipments; ", X.fmt_count("late_orders"), " arrived late by ", X.fmt_days("avg_delay"),
+    s3 = txt("On-time delivery is <b>", pct("on_time_pct"), "</b> across ", count("active_orders"),
+             " non-cancelled shipments; ", count("late_orders"), " arrived late by ", E(X.days_sql("avg_delay")),
              " on average.")
-    footer = F.when(has, txt("Recommended actions address <b>", X.fmt_money("addressed_eur"), "</b> of the ",
-                             X.fmt_money("penalties"), " in penalties.")).otherwise(
-        txt("Penalties total ", X.fmt_money("penalties"),
+    footer = F.when(has, txt("Recommended actions address <b>", money("addressed_eur", False), "</b> of the ",
+                             money("penalties", False), " in penalties.")).otherwise(
+        txt("Penalties total ", money("penalties", False),
             "; none concentrates enough in one carrier, lane or weekday to act on."))
     return r.select(
         *keys,
         F.col("penalties").alias("hero_eur"),
-        txt(X.fmt_pct(share(F.col("penalties"), F.col("total_spend"))), " of ", F.col("period"), " freight spend").alias(
-            "hero_label"),
-        txt(X.fmt_count("late_orders"), " late shipments of ", X.fmt_count("active_orders"), ". Penalties at ",
-            X.fmt_money(F.lit(K.LATE_PENALTY_EUR_PER_DAY), exact=True),
-            " per day late; cancelled shipments excluded.").alias("hero_basis"),
+        txt(pct(share_sql("penalties", "total_spend")), " of ", E("period"), " freight spend").alias("hero_label"),
+        txt(count("late_orders"), " late shipments of ", count("active_orders"), ". Penalties at ",
+            money(repr(K.LATE_PENALTY_EUR_PER_DAY) + "D"), " per day late; cancelled shipments excluded.").alias(
+            "hero_basis"),
         F.coalesce(F.col("composition"), F.lit("")).alias("composition"),
         s1.alias("sentence_1"), s2.alias("sentence_2"), s3.alias("sentence_3"), footer.alias("footer"),
         F.col("addressed_eur").cast("double").alias("addressed_eur"),
@@ -380,51 +392,49 @@ def brief(df: DataFrame) -> DataFrame:
     lanes = A.worst_lanes(df, limit=3)
     top = lanes.filter(F.col("lane_rank") == 1)
     weak = weakest_carrier(carrier_table(df))
-    eur_exact = lambda c: X.fmt_money(c, exact=True)
+    day, c = E("weekday"), E("carrier")
 
     b1 = sig.select(
         F.lit(1).alias("_slot"),
-        txt("**", F.col("weekday"), " is where ", F.col("region"), " is losing you money.** ", f0(F.col("late_pct")),
-            "% of ", F.col("carrier"), "'s ", F.col("weekday"), " dispatches land late. Any other weekday it is ",
-            f0(F.col("baseline_late_pct")), "%. Transit runs ", f0(F.col("transit_uplift_pct")), "% longer across ",
-            comma(F.col("shipments")), " shipments and the penalties come to ", eur_exact(F.col("penalties_eur")),
-            ". Shift ", F.col("weekday"), " volume to ", _lookup_day(K.PREVIOUS_DAY, F.col("weekday"), "the previous day"),
-            " and get a written cut-off time out of ", F.col("carrier"), ".").alias("text"),
+        txt("**", day, " is where ", E("region"), " is losing you money.** ", f0("late_pct"), "% of ", c, "'s ", day,
+            " dispatches land late. Any other weekday it is ", f0("baseline_late_pct"), "%. Transit runs ",
+            f0("transit_uplift_pct"), "% longer across ", comma("shipments"), " shipments and the penalties come to ",
+            money("penalties_eur"), ". Shift ", day, " volume to ", prev_day("weekday"),
+            " and get a written cut-off time out of ", c, ".").alias("text"),
     )
-    sig_c = sig.select(F.col("carrier").alias("_sig_carrier"))
-    t = top.join(sig_c, on=F.lit(True), how="left")
-    already = F.coalesce(F.col("carrier") == F.col("_sig_carrier"), F.lit(False))
+    t = top.join(sig.select(F.col("carrier").alias("_sig_carrier")), on=F.lit(True), how="left")
     b2 = t.select(
         F.lit(2).alias("_slot"),
-        txt("**Your worst single lane is ", F.col("carrier"), " into ", F.col("destination_country"), ".** ",
-            f0(F.col("late_pct")), "% late across ", comma(F.col("orders")), " shipments, ",
-            eur_exact(F.col("penalties")), " in penalties. ",
-            F.when(already, F.lit("Same carrier as the point above, so make it one commercial conversation rather "
-                                  "than two.")).otherwise(
-                txt("Re-tender it, or price the penalty into what you pay ", F.col("carrier"), "."))).alias("text"),
+        txt("**Your worst single lane is ", c, " into ", E("destination_country"), ".** ", f0("late_pct"),
+            "% late across ", comma("orders"), " shipments, ", money("penalties"), " in penalties. ",
+            E("CASE WHEN coalesce(carrier = _sig_carrier, false) THEN "
+              + X.sq("Same carrier as the point above, so make it one commercial conversation rather than two.")
+              + " ELSE concat('Re-tender it, or price the penalty into what you pay ', carrier, '.') END")).alias("text"),
     )
     wk = (
         weak.crossJoin(k.select(F.col("on_time_pct").alias("_book")))
         .join(top.select(F.col("carrier").alias("_lane_carrier")), on=F.lit(True), how="left")
         .filter(F.col("on_time_pct") < F.col("_book") - K.WEAK_CARRIER_GAP_PTS)
     )
-    gap = F.col("_book") - F.col("on_time_pct")
-    shared = F.coalesce(F.col("_lane_carrier") == F.col("carrier"), F.lit(False))
-    lead = F.when(shared, txt("**", F.col("carrier"), " is not one bad lane.** It runs ", f0(gap),
-                              " points below the book at ", f0(F.col("on_time_pct")), "% on time.")).otherwise(
-        txt("**", F.col("carrier"), " runs ", f0(gap), " points below the book, at ", f0(F.col("on_time_pct")),
-            "% on time.**"))
+    gap = "_book - on_time_pct"
+    shared = "coalesce(_lane_carrier = carrier, false)"
+    lead_shared = txt("**", c, " is not one bad lane.** It runs ", f0(gap), " points below the book at ",
+                      f0("on_time_pct"), "% on time.")
+    lead_other = txt("**", c, " runs ", f0(gap), " points below the book, at ", f0("on_time_pct"), "% on time.**")
     b3 = wk.select(
         F.lit(3).alias("_slot"),
-        txt(lead, " That is ", comma(F.col("orders")), " shipments and ", X.fmt_money(F.col("spend")),
-            " of spend riding on the weakest service in the book. Cap its share of time-critical freight and put "
-            "the contract on the next review agenda.").alias("text"),
+        F.concat(
+            F.when(F.expr(shared), lead_shared).otherwise(lead_other),
+            txt(" That is ", comma("orders"), " shipments and ", money("spend", False),
+                " of spend riding on the weakest service in the book. Cap its share of time-critical freight and put "
+                "the contract on the next review agenda."),
+        ).alias("text"),
     )
     bullets = b1.unionByName(b2).unionByName(b3)
     fallback = k.select(
         F.lit(0).alias("_slot"),
-        txt("**Nothing in this view is worth escalating.** ", f1(F.col("on_time_pct")), "% on time across ",
-            comma(F.col("orders")), " shipments, with ", eur_exact(F.col("penalties")),
+        txt("**Nothing in this view is worth escalating.** ", f1("on_time_pct"), "% on time across ", comma("orders"),
+            " shipments, with ", money("penalties"),
             " of penalties. Widen the date range or clear the carrier filter to go looking.").alias("text"),
     ).join(bullets.agg(F.count(F.lit(1)).alias("_n")), on=F.lit(True)).filter(F.col("_n") == 0).drop("_n")
     out = bullets.unionByName(fallback)

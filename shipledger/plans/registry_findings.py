@@ -65,7 +65,7 @@ def q_formatted_carriers(spark, sf_dir):
         X.fmt_money("penalties", exact=True).alias("penalties"),
         X.fmt_group("on_time_pct", 1).alias("on_time"),
         X.fmt_pct("on_time_pct").alias("on_time_pct"),
-        X.fmt_ratio(F.col("spend") / F.col("orders")).alias("spend_per_shipment"),
+        X.fmt_ratio("spend / orders").alias("spend_per_shipment"),
         X.fmt_iso_range("_a", "_b").alias("period_iso"),
         X.fmt_week_range("_a", "_b").alias("period_weeks"),
         X.fmt_prose_range("_a", "_b").alias("period_prose"),
