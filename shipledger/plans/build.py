@@ -32,6 +32,30 @@ def build_from_tables(spark: SparkSession, sf_dir: str, **kw) -> Cleaned:
     return clean(raw, sources=[testbook.SOURCE_NAME], file_entries=entries, **kw)
 
 
+def build_from_files(spark: SparkSession, source, **kw) -> Cleaned:
+    """E1 from CSV exports: a directory (every ``*.csv`` in name order) or an
+    explicit list of paths, any header vocabulary or delimiter."""
+    from shipledger.sources.ingest import read_exports
+
+    ing = read_exports(spark, source)
+    return clean(ing.raw, sources=ing.sources, file_entries=ing.file_entries, **kw)
+
+
+def build_from_frames(spark: SparkSession, frames: dict, **kw) -> Cleaned:
+    """Build from supplied frames (name -> DataFrame), writing nothing
+    but the session's own stage data."""
+    from shipledger.sources.ingest import map_header, reconcile_frames
+
+    raw = reconcile_frames(frames)
+    entries = spark.createDataFrame(
+        [(name, i, len([c for c in df.columns if not c.startswith("_ord")]),
+          map_header(name, [c for c in df.columns if not c.startswith("_ord")]).mapping_detail)
+         for i, (name, df) in enumerate(frames.items())],
+        "source_file string, file_index int, n_columns int, mapping string",
+    )
+    return clean(raw, sources=list(frames), file_entries=entries, **kw)
+
+
 def processed(spark: SparkSession, sf_dir: str, **kw) -> Cleaned:
     """Memoised ``build_from_tables``: one cleaning run per session and input."""
     key = (_session_key(spark), sf_dir.rstrip("/"), tuple(sorted(kw.items())))
