@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shipledger.functions import formats as X
 from shipledger.operators import findings as FD
 from shipledger.plans.build import processed
+from shipledger.plans import oracle_findings as OF
 from shipledger.plans.registry import register
 
 
@@ -20,17 +21,17 @@ FINDING_COLS = ["key", "position", "severity", "share_pct", "leak_eur", "figure_
                 "cite_row", "cite_columns"]
 
 
-@register("findings")
+@register("findings", lambda: OF.findings_sql())
 def q_findings(spark, sf_dir):
     return FD.findings(_table(spark, sf_dir)).select(*FINDING_COLS)
 
 
-@register("findings_by_segment")
+@register("findings_by_segment", lambda: OF.findings_sql(["customer_segment"]))
 def q_findings_by_segment(spark, sf_dir):
     return FD.findings(_table(spark, sf_dir), by="customer_segment").select("customer_segment", *FINDING_COLS)
 
 
-@register("evidence")
+@register("evidence", OF.evidence_sql)
 def q_evidence(spark, sf_dir):
     return FD.evidence(_table(spark, sf_dir))
 
@@ -50,7 +51,7 @@ def q_brief_audit(spark, sf_dir):
     return FD.brief_audit(_table(spark, sf_dir))
 
 
-@register("formatted_carriers")
+@register("formatted_carriers", OF.formatted_carriers_sql)
 def q_formatted_carriers(spark, sf_dir):
     """The carrier detail table as the report shows it: grouped counts, exact
     money, one-decimal rates, compact spend, period in ISO weeks."""
