@@ -285,3 +285,147 @@ def formatted_carriers_sql() -> str:
   {prose('_a', '_b')} AS period_prose, strftime(_b, '%B %Y') AS last_month
 FROM _fbc CROSS JOIN _fb"""
     return O.with_ctes(*ctes) + "\n" + body
+
+
+# ---------------------------------------------------------------------------
+# executive summary, brief and its audit
+# ---------------------------------------------------------------------------
+
+def _n_words(x: str) -> str:
+    whens = " ".join(f"WHEN {n} THEN {Q(w)}" for n, w in FD.N_WORDS.items())
+    return f"(CASE {x} {whens} ELSE CAST({x} AS VARCHAR) END)"
+
+
+def _comma(x: str) -> str:
+    return f"format('{{:,}}', CAST({x} AS BIGINT))"
+
+
+def _days(x: str) -> str:
+    return none(x, f"(printf('%.1f', {rhu(x, 1)}) || ' days')")
+
+
+def summary_sql() -> str:
+    ctes = findings_ctes([]) + [
+        """_fcomp AS (
+  SELECT carrier, penalties, _rn AS position FROM (
+    SELECT carrier, CAST(coalesce(sum(late_penalty_eur), 0) AS DOUBLE) AS penalties,
+      row_number() OVER (ORDER BY coalesce(sum(late_penalty_eur), 0) DESC, carrier) AS _rn
+    FROM shipments WHERE NOT is_cancelled AND carrier IS NOT NULL GROUP BY carrier) WHERE _rn <= 3 AND penalties > 0
+  UNION ALL
+  SELECT 'Other', sum(penalties), 4 FROM (
+    SELECT CAST(coalesce(sum(late_penalty_eur), 0) AS DOUBLE) AS penalties,
+      row_number() OVER (ORDER BY coalesce(sum(late_penalty_eur), 0) DESC, carrier) AS _rn
+    FROM shipments WHERE NOT is_cancelled AND carrier IS NOT NULL GROUP BY carrier) WHERE _rn > 3
+  HAVING sum(penalties) > 0)""",
+        f"""_fcs AS (SELECT coalesce(string_agg(carrier || ' ' || {d_money('penalties', False)}, '; ' ORDER BY position), '')
+  AS composition FROM _fcomp)""",
+        """_fsum AS (SELECT CAST(count(*) AS BIGINT) AS n_findings, CAST(coalesce(sum(leak_eur), 0) AS DOUBLE) AS addressed_eur,
+  CAST(count_if(severity = 'critical') AS BIGINT) AS n_critical, CAST(count_if(severity = 'serious') AS BIGINT) AS n_serious,
+  CAST(count_if(severity = 'warning') AS BIGINT) AS n_warning, arg_min(claim, position) AS first_claim FROM findings)""",
+    ]
+
+    def part(n: str, word: str) -> str:
+        return f"CASE WHEN {n} > 0 THEN lower({_n_words(n)}) || ' ' || CASE WHEN {n} = 1 THEN 'is' ELSE 'are' END || ' ' || {word} END"
+
+    parts = (f"list_filter([{part('n_critical', Q('critical'))}, {part('n_serious', Q('serious'))}, "
+             f"{part('n_warning', 'CASE WHEN n_warning = 1 THEN ' + Q('a warning') + ' ELSE ' + Q('warnings') + ' END')}], "
+             "lambda x: x IS NOT NULL)")
+    joined = ("CASE len(_parts) WHEN 1 THEN _parts[1] WHEN 2 THEN _parts[1] || ' and ' || _parts[2] "
+              "ELSE _parts[1] || ', ' || _parts[2] || ' and ' || _parts[3] END")
+    sev = f"CASE WHEN len(_parts) > 0 THEN upper(substring({joined}, 1, 1)) || substring({joined}, 2) || '.' ELSE '' END"
+    body = f"""SELECT penalties AS hero_eur,
+  {d_pct(share('penalties', 'total_spend'))} || ' of ' || period || ' freight spend' AS hero_label,
+  {d_group('late_orders')} || ' late shipments of ' || {d_group('active_orders')} || '. Penalties at '
+    || {d_money(repr(K.LATE_PENALTY_EUR_PER_DAY))} || ' per day late; cancelled shipments excluded.' AS hero_basis,
+  composition,
+  CASE WHEN n_findings > 0 THEN {_n_words('n_findings')} || ' finding' || CASE WHEN n_findings <> 1 THEN 's' ELSE '' END
+    || ' account' || CASE WHEN n_findings = 1 THEN 's' ELSE '' END || ' for <b>' || {d_money('addressed_eur', False)}
+    || '</b> of late-delivery penalties in ' || period || ', ' || {d_pct(share('addressed_eur', 'total_spend'))}
+    || ' of freight spend. ' || ({sev})
+  ELSE 'No leakage above the ' || {d_pct(repr(K.SEVERITY_THRESHOLDS['warning']))} || ' reporting threshold was found in '
+    || period || '.' END AS sentence_1,
+  CASE WHEN n_findings > 0 THEN first_claim ELSE 'Late-delivery penalties total <b>' || {d_money('penalties', False)}
+    || '</b> across ' || {d_group('late_orders')} || ' late shipments.' END AS sentence_2,
+  'On-time delivery is <b>' || {d_pct('on_time_pct')} || '</b> across ' || {d_group('active_orders')}
+    || ' non-cancelled shipments; ' || {d_group('late_orders')} || ' arrived late by ' || {_days('avg_delay')}
+    || ' on average.' AS sentence_3,
+  CASE WHEN n_findings > 0 THEN 'Recommended actions address <b>' || {d_money('addressed_eur', False)} || '</b> of the '
+    || {d_money('penalties', False)} || ' in penalties.'
+  ELSE 'Penalties total ' || {d_money('penalties', False)}
+    || '; none concentrates enough in one carrier, lane or weekday to act on.' END AS footer,
+  addressed_eur, n_findings, n_critical, n_serious, n_warning
+FROM (SELECT *, {parts} AS _parts FROM _fk, _fper, _fsum, _fcs)"""
+    return O.with_ctes(*ctes) + "\n" + body
+
+
+def _brief_ctes() -> list[str]:
+    prev = " ".join(f"WHEN {Q(k)} THEN {Q(v)}" for k, v in K.PREVIOUS_DAY.items())
+    gap = "k.on_time_pct - w.on_time_pct"
+    return findings_ctes([]) + [
+        f"""_fbul AS (
+  SELECT 1 AS _slot, '**' || weekday || ' is where ' || region || ' is losing you money.** ' || {d_f0('late_pct')}
+    || '% of ' || carrier || '''s ' || weekday || ' dispatches land late. Any other weekday it is '
+    || {d_f0('baseline_late_pct')} || '%. Transit runs ' || {d_f0('transit_uplift_pct')} || '% longer across '
+    || {_comma('shipments')} || ' shipments and the penalties come to ' || {d_money('penalties_eur')} || '. Shift '
+    || weekday || ' volume to ' || (CASE weekday {prev} ELSE 'the previous day' END)
+    || ' and get a written cut-off time out of ' || carrier || '.' AS text FROM _fsig
+  UNION ALL
+  SELECT 2, '**Your worst single lane is ' || t.carrier || ' into ' || t.destination_country || '.** '
+    || {d_f0('t.late_pct')} || '% late across ' || {_comma('t.orders')} || ' shipments, ' || {d_money('t.penalties')}
+    || ' in penalties. ' || CASE WHEN coalesce(t.carrier = s.carrier, false)
+      THEN 'Same carrier as the point above, so make it one commercial conversation rather than two.'
+      ELSE 'Re-tender it, or price the penalty into what you pay ' || t.carrier || '.' END
+  FROM _ftop t LEFT JOIN _fsig s ON true
+  UNION ALL
+  SELECT 3, CASE WHEN coalesce(t.carrier = w.carrier, false)
+      THEN '**' || w.carrier || ' is not one bad lane.** It runs ' || {d_f0(gap)} || ' points below the book at '
+        || {d_f0('w.on_time_pct')} || '% on time.'
+      ELSE '**' || w.carrier || ' runs ' || {d_f0(gap)} || ' points below the book, at ' || {d_f0('w.on_time_pct')}
+        || '% on time.**' END
+    || ' That is ' || {_comma('w.orders')} || ' shipments and ' || {d_money('w.spend', False)}
+    || ' of spend riding on the weakest service in the book. Cap its share of time-critical freight and put the '
+    || 'contract on the next review agenda.'
+  FROM _fweak w CROSS JOIN _fk k LEFT JOIN _ftop t ON true
+  WHERE w.on_time_pct < k.on_time_pct - {K.WEAK_CARRIER_GAP_PTS})""",
+        f"""brief AS (
+  SELECT CAST(row_number() OVER (ORDER BY _slot) AS INTEGER) AS bullet_no, text FROM (
+    SELECT * FROM _fbul
+    UNION ALL
+    SELECT 0, '**Nothing in this view is worth escalating.** ' || printf('%.1f', {rhe('on_time_pct', 1)})
+      || '% on time across ' || {_comma('orders')} || ' shipments, with ' || {d_money('penalties')}
+      || ' of penalties. Widen the date range or clear the carrier filter to go looking.'
+    FROM _fk WHERE (SELECT count(*) FROM _fbul) = 0))""",
+    ]
+
+
+def brief_sql() -> str:
+    return O.with_ctes(*_brief_ctes()) + "\nSELECT * FROM brief"
+
+
+def brief_audit_sql() -> str:
+    sig_cols = ["shipments", "baseline_shipments", "transit_uplift_pct", "late_pct", "baseline_late_pct",
+                "penalties_eur", "late_pct - baseline_late_pct"]
+    kpi_cols = ["total_spend", "orders", "billable_orders", "active_orders", "cancelled_orders", "outlier_orders",
+                "excluded_from_spend", "on_time_pct", "avg_delay", "late_orders", "penalties"]
+    ev = " UNION ALL ".join(
+        [f"SELECT CAST({c} AS DOUBLE) AS v FROM _fk" for c in kpi_cols]
+        + [f"SELECT CAST({c} AS DOUBLE) FROM _fsig" for c in sig_cols]
+        + [f"SELECT CAST(w.{c} AS DOUBLE) FROM _fweak w" for c in ("on_time_pct", "orders", "spend")]
+        + ["SELECT k.on_time_pct - w.on_time_pct FROM _fweak w, _fk k"]
+        + [f"SELECT CAST({c} AS DOUBLE) FROM (SELECT * FROM _flanes ORDER BY penalties DESC, carrier, destination_country "
+           f"LIMIT 3)" for c in ("orders", "late_pct", "penalties")]
+    )
+    ctes = _brief_ctes() + [
+        f"_fev AS (SELECT v FROM ({ev}) WHERE v IS NOT NULL)",
+        f"""_fallow AS (SELECT DISTINCT n FROM (
+  SELECT CAST({rhe('v', 0)} AS BIGINT) AS n FROM _fev UNION ALL SELECT CAST(trunc(v) AS BIGINT) FROM _fev
+  UNION ALL SELECT CAST({rhe('v / 1000', 0)} AS BIGINT) FROM _fev
+  UNION ALL SELECT CAST(trunc({rhe('v', 1)} * 10) AS BIGINT) FROM _fev))""",
+        """_ftok AS (SELECT CAST(round_even(CAST(regexp_replace(tok, '[,\\x{202F}]', '', 'g') AS DOUBLE), 0) AS BIGINT) AS n
+  FROM (SELECT unnest(regexp_extract_all(text, '(\\d[\\d,\\x{202F}]*(?:\\.\\d+)?)', 1)) AS tok FROM brief))""",
+    ]
+    body = """SELECT CAST(count(*) AS BIGINT) AS figures,
+  CAST((SELECT count(*) FROM _ftok WHERE n NOT IN (SELECT n FROM _fallow)) AS BIGINT) AS untraceable,
+  (SELECT count(*) FROM _ftok WHERE n NOT IN (SELECT n FROM _fallow)) = 0 AS traceable
+FROM _ftok"""
+    return O.with_ctes(*ctes) + "\n" + body

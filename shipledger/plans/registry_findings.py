@@ -36,17 +36,17 @@ def q_evidence(spark, sf_dir):
     return FD.evidence(_table(spark, sf_dir))
 
 
-@register("executive_summary")
+@register("executive_summary", OF.summary_sql)
 def q_executive_summary(spark, sf_dir):
     return FD.executive_summary(_table(spark, sf_dir))
 
 
-@register("brief")
+@register("brief", OF.brief_sql)
 def q_brief(spark, sf_dir):
     return FD.brief(_table(spark, sf_dir))
 
 
-@register("brief_audit")
+@register("brief_audit", OF.brief_audit_sql)
 def q_brief_audit(spark, sf_dir):
     return FD.brief_audit(_table(spark, sf_dir))
 
