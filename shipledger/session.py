@@ -73,14 +73,16 @@ def materialize(df: DataFrame, name: str, mode: str = "write") -> DataFrame:
     return spark.read.parquet(path)
 
 
-def ensure_parallel(df: DataFrame) -> DataFrame:
+def ensure_parallel(df: DataFrame, key: str | None = None) -> DataFrame:
     """Spread a scan that yields fewer partitions than the cluster has cores
     (a few large files, one row group each, a gzip CSV) over the default
     parallelism. A no-op for any input split wider than that, which is every
-    large input, so no shuffle is added at scale."""
+    large input, so no shuffle is added at scale. ``key`` should be a unique
+    row column (e.g. the scan position): hashing it spreads evenly and is
+    deterministic on retry without the sort a round-robin spread needs."""
     want = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
+        return df.repartition(want, key) if key else df.repartition(want)
     return df
 
 

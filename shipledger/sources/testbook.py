@@ -75,7 +75,7 @@ def raw_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate",
         F.monotonically_increasing_id().alias("_scan_pos"),
     )
-    li = ensure_parallel(li)
+    li = ensure_parallel(li, "_scan_pos")
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     cust = load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
     supp = load(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
