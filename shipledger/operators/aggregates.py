@@ -230,22 +230,28 @@ def regions_frame(spark, regions: dict | None = None) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
-def weekday_effects(df: DataFrame, regions: dict | None = None,
-                    min_shipments: int = K.MIN_LANE_SHIPMENTS, by=None) -> DataFrame:
-    """Per carrier and region, each tested weekday's mean transit and late
-    rate against the other days of the same scope (scope total minus the
-    cell), keeping the strongest uplift (earliest day on ties). The scope
-    totals are a window over the small cell aggregate, never over rows."""
+def weekday_cells(df: DataFrame, regions: dict | None = None, by=None) -> DataFrame:
+    """Active shipments per (slice, carrier, region, weekday): n, transit sum
+    and count, late count, penalties. Rows are exploded onto every region
+    that lists their destination (a broadcast of the listed countries)."""
     keys = _keys(by)
     reg = F.broadcast(regions_frame(df.sparkSession, regions))  # size = listed countries
     active = df.filter(_active() & F.col("carrier").isNotNull()).join(reg, "destination_country")
-    cells = active.groupBy(*keys, "carrier", "region", "region_order", "destinations", "ship_weekday").agg(
+    return active.groupBy(*keys, "carrier", "region", "region_order", "destinations", "ship_weekday").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("transit_days").alias("t_sum"),
         F.count("transit_days").alias("t_n"),
         F.count_if(F.col("is_late")).alias("late_n"),
         money_sum(F.col("late_penalty_eur")).cast("double").alias("penalties"),
     )
+
+
+def effects_from_cells(cells: DataFrame, min_shipments: int = K.MIN_LANE_SHIPMENTS, by=None) -> DataFrame:
+    """The scope arithmetic of A9 over (carrier, region, weekday) cells: each
+    tested weekday against the scope total minus the cell; strongest uplift
+    per scope, earliest day on ties. The scope totals are a window over the
+    small cell aggregate, never over rows."""
+    keys = _keys(by)
     scope = Window.partitionBy(*keys, "carrier", "region")
     for c in ("n", "t_sum", "t_n", "late_n"):
         cells = cells.withColumn(f"s_{c}", F.sum(c).over(scope))
@@ -286,17 +292,29 @@ def weekday_effects(df: DataFrame, regions: dict | None = None,
     )
 
 
+def weekday_effects(df: DataFrame, regions: dict | None = None,
+                    min_shipments: int = K.MIN_LANE_SHIPMENTS, by=None) -> DataFrame:
+    """Per carrier and region, each tested weekday's mean transit and late
+    rate against the other days of the same scope (scope total minus the
+    cell), keeping the strongest uplift (earliest day on ties)."""
+    return effects_from_cells(weekday_cells(df, regions, by), min_shipments, by)
+
+
+def signal_from_effects(eff: DataFrame, min_uplift: float = K.MIN_UPLIFT_PCT, min_gap: float = K.MIN_LATE_GAP_PCT,
+                        by=None) -> DataFrame:
+    keys = _keys(by)
+    eff = eff.withColumn("late_gap_pct", F.col("late_pct") - F.col("baseline_late_pct"))
+    cand = eff.filter((F.col("transit_uplift_pct") >= min_uplift) & (F.col("late_gap_pct") >= min_gap))
+    w = Window.partitionBy(*keys).orderBy(F.col("penalties_eur").desc(), F.col("carrier"), F.col("region_order"))
+    return cand.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+
+
 def weekday_signal(df: DataFrame, regions: dict | None = None, min_uplift: float = K.MIN_UPLIFT_PCT,
                    min_gap: float = K.MIN_LATE_GAP_PCT, by=None) -> DataFrame:
     """F2 detection: effects with uplift >= 12 % and a late gap >= 8 points;
     the one with the most penalties (carrier A-Z, then region order, on ties).
     At most one row (per slice)."""
-    keys = _keys(by)
-    eff = weekday_effects(df, regions, by=keys).withColumn(
-        "late_gap_pct", F.col("late_pct") - F.col("baseline_late_pct"))
-    cand = eff.filter((F.col("transit_uplift_pct") >= min_uplift) & (F.col("late_gap_pct") >= min_gap))
-    w = Window.partitionBy(*keys).orderBy(F.col("penalties_eur").desc(), F.col("carrier"), F.col("region_order"))
-    return cand.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    return signal_from_effects(weekday_effects(df, regions, by=by), min_uplift, min_gap, by)
 
 
 def weekday_evidence(df: DataFrame, scope: DataFrame, regions: dict | None = None, by=None) -> DataFrame:

@@ -92,52 +92,208 @@ def _join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> Da
 # Evidence (the facts every finding is built from)
 # ---------------------------------------------------------------------------
 
+class Facts:
+    """Every fact the findings, summary and brief use, derived from ONE scan.
+
+    The cube holds, per slice x carrier x destination x weekday, the counts
+    and sums of all populations; it is a partial aggregate (hot keys are
+    combined map-side) whose size is bounded by the number of slices times
+    carriers x countries x 7, not by the rows. KPIs, the carrier table, lanes,
+    the weekday scope arithmetic, evidence tables and the composition are all
+    exact sums over it, so a set of findings costs one pass over the
+    shipments instead of one per aggregate. Derived frames are memoised so a
+    query that uses one twice reuses its shuffle."""
+
+    def __init__(self, df: DataFrame, by=None, regions: dict | None = None):
+        self.df, self.keys, self.regions = df, _keys(by), regions
+        self._memo: dict = {}
+
+    def _get(self, name, make):
+        if name not in self._memo:
+            self._memo[name] = make()
+        return self._memo[name]
+
+    @property
+    def cube(self) -> DataFrame:
+        def make():
+            act = ~F.col("is_cancelled")
+            return self.df.groupBy(*self.keys, "carrier", "destination_country", "ship_weekday").agg(
+                F.count(F.lit(1)).alias("n_all"),
+                F.count_if(F.col("is_billable")).alias("n_billable"),
+                F.sum(F.when(F.col("is_billable"), F.col("freight_cost_eur"))).alias("spend"),
+                F.count_if(act).alias("n_active"),
+                F.count_if(F.col("is_cancelled")).alias("n_cancelled"),
+                F.count_if(F.col("cost_is_outlier")).alias("n_outlier"),
+                F.count_if(F.col("is_cancelled") | F.col("cost_is_outlier")).alias("n_excluded"),
+                F.count_if(F.col("is_on_time") & act).alias("n_on_time"),
+                F.count_if(F.col("is_late") & act).alias("n_late"),
+                F.sum(F.when(F.col("is_late") & act, F.col("delay_days"))).alias("delay_sum"),
+                F.sum(F.when(act, F.col("late_penalty_eur"))).alias("penalties"),
+                F.sum(F.when(act, F.col("transit_days"))).alias("t_sum"),
+                F.count(F.when(act, F.col("transit_days"))).alias("t_n"),
+                F.min("ship_date").alias("first_date"),
+                F.max("ship_date").alias("last_date"),
+            )
+        return self._get("cube", make)
+
+    def kpis(self) -> DataFrame:
+        def make():
+            c = F.col
+            z = lambda e: F.coalesce(e, F.lit(0))
+            return self.cube.groupBy(*self.keys).agg(
+                A.money_sum(c("spend")).cast("double").alias("total_spend"),
+                z(F.sum("n_all")).alias("orders"),
+                z(F.sum("n_billable")).alias("billable_orders"),
+                z(F.sum("n_active")).alias("active_orders"),
+                z(F.sum("n_cancelled")).alias("cancelled_orders"),
+                z(F.sum("n_outlier")).alias("outlier_orders"),
+                z(F.sum("n_excluded")).alias("excluded_from_spend"),
+                F.coalesce(A.ratio_pct(F.sum("n_on_time"), F.sum("n_active")), F.lit(0.0)).alias("on_time_pct"),
+                F.coalesce(F.sum("delay_sum").cast("double") / F.when(F.sum("n_late") != 0, F.sum("n_late")),
+                           F.lit(0.0)).alias("avg_delay"),
+                z(F.sum("n_late")).alias("late_orders"),
+                A.money_sum(c("penalties")).cast("double").alias("penalties"),
+            )
+        return self._get("kpis", make)
+
+    def period(self) -> DataFrame:
+        def make():
+            b = self.cube.groupBy(*self.keys).agg(F.min("first_date").alias("first_date"),
+                                                  F.max("last_date").alias("last_date"))
+            return b.withColumn("period", X.fmt_week_range("first_date", "last_date"))
+        return self._get("period", make)
+
+    def carriers(self) -> DataFrame:
+        def make():
+            keys = self.keys
+            bc = (
+                self.cube.filter(F.col("carrier").isNotNull())
+                .groupBy(*keys, "carrier")
+                .agg(
+                    F.sum("n_all").alias("orders"),
+                    A.money_sum(F.col("spend")).cast("double").alias("spend"),
+                    A.ratio_pct(F.sum("n_on_time"), F.sum("n_active")).alias("on_time_pct"),
+                    A.money_sum(F.col("penalties")).cast("double").alias("penalties"),
+                    F.sum("n_late").alias("late_orders"),
+                )
+                .withColumn("carrier_rank", A.carrier_rank())
+            )
+            w = Window.partitionBy(*keys).orderBy("carrier_rank", "carrier")
+            return bc.withColumn("row_pos", (F.row_number().over(w) - 1).cast("int"))
+        return self._get("carriers", make)
+
+    def weakest(self) -> DataFrame:
+        """Lowest on-time rate (first in the fixed carrier order on ties)."""
+        def make():
+            w = Window.partitionBy(*self.keys).orderBy(F.col("on_time_pct"), "carrier_rank", "carrier")
+            return self.carriers().filter(F.col("on_time_pct").isNotNull()).withColumn(
+                "_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+        return self._get("weakest", make)
+
+    def lanes(self) -> DataFrame:
+        """A10 lanes: active shipments per carrier x destination, >= 8."""
+        def make():
+            return (
+                self.cube.filter(F.col("carrier").isNotNull() & F.col("destination_country").isNotNull())
+                .groupBy(*self.keys, "carrier", "destination_country")
+                .agg(
+                    F.sum("n_active").alias("orders"),
+                    A.ratio_pct(F.sum("n_late"), F.sum("n_active")).alias("late_pct"),
+                    A.money_sum(F.col("penalties")).cast("double").alias("penalties"),
+                )
+                .filter(F.col("orders") >= K.MIN_LANE_SHIPMENTS)
+            )
+        return self._get("lanes", make)
+
+    def top_lanes(self, limit: int) -> DataFrame:
+        """A10 + A17: the ``limit`` costliest lanes and the book late rate."""
+        def make():
+            keys = self.keys
+            book = self.cube.groupBy(*keys).agg(A.ratio_pct(F.sum("n_late"), F.sum("n_active")).alias("book_late_pct"))
+            w = Window.partitionBy(*keys).orderBy(F.col("penalties").desc(), F.col("carrier"),
+                                                  F.col("destination_country"))
+            ranked = self.lanes().withColumn("lane_rank", F.row_number().over(w)).filter(F.col("lane_rank") <= limit)
+            return _join(ranked, book, keys).withColumn("late_pct_above_book",
+                                                         F.col("late_pct") - F.col("book_late_pct"))
+        return self._get(("top_lanes", limit), make)
+
+    def cells(self) -> DataFrame:
+        """Weekday cells per carrier and region (A9 input), from the cube."""
+        def make():
+            reg = F.broadcast(A.regions_frame(self.df.sparkSession, self.regions))  # listed countries only
+            active = self.cube.filter(F.col("carrier").isNotNull() & (F.col("n_active") > 0))
+            return active.join(reg, "destination_country").groupBy(
+                *self.keys, "carrier", "region", "region_order", "destinations", "ship_weekday").agg(
+                F.sum("n_active").alias("n"),
+                F.sum("t_sum").alias("t_sum"),
+                F.sum("t_n").alias("t_n"),
+                F.sum("n_late").alias("late_n"),
+                A.money_sum(F.col("penalties")).cast("double").alias("penalties"),
+            )
+        return self._get("cells", make)
+
+    def signal(self) -> DataFrame:
+        return self._get("signal", lambda: A.signal_from_effects(
+            A.effects_from_cells(self.cells(), by=self.keys), by=self.keys))
+
+    def weekday_table(self) -> DataFrame:
+        """A16 for the signal's scope: per weekday, Mon-Sun."""
+        def make():
+            keys = self.keys
+            scope = self.signal().select(*keys, "carrier", "region")
+            order = F.array_position(F.array(*[F.lit(d) for d in K.WEEKDAYS]), F.col("weekday"))
+            return self.cells().join(scope, keys + ["carrier", "region"]).select(
+                *keys, "carrier", "region", F.col("ship_weekday").alias("weekday"), F.col("n").alias("shipments"),
+                A.ratio_pct(F.col("late_n"), F.col("n")).alias("late_pct"),
+                (F.col("t_sum").cast("double") / F.when(F.col("t_n") != 0, F.col("t_n"))).alias("transit_days"),
+                "penalties",
+            ).withColumn("weekday_order", order.cast("int"))
+        return self._get("weekday_table", make)
+
+    def composition(self, top: int = 3) -> DataFrame:
+        """A13 from the cube: top carriers by penalties (> 0) and Other."""
+        def make():
+            keys = self.keys
+            pen = self.cube.filter(F.col("carrier").isNotNull()).groupBy(*keys, "carrier").agg(
+                A.money_sum(F.col("penalties")).alias("penalties"), F.sum("n_active").alias("_act")
+            ).filter(F.col("_act") > 0)
+            w = Window.partitionBy(*keys).orderBy(F.col("penalties").desc(), F.col("carrier"))
+            ranked = pen.withColumn("_rn", F.row_number().over(w))
+            named = ranked.filter((F.col("_rn") <= top) & (F.col("penalties") > 0)).select(
+                *keys, "carrier", F.col("penalties").cast("double").alias("penalties"), F.col("_rn").alias("position"))
+            other = (ranked.filter(F.col("_rn") > top).groupBy(*keys).agg(F.sum("penalties").alias("penalties"))
+                     .filter(F.col("penalties") > 0)
+                     .select(*keys, F.lit("Other").alias("carrier"), F.col("penalties").cast("double").alias("penalties"),
+                             F.lit(top + 1).alias("position")))
+            return named.unionByName(other)
+        return self._get(("composition", top), make)
+
+
 def carrier_table(df: DataFrame, by=None) -> DataFrame:
     """F1/F8 evidence: A2 + penalties + late count + row position."""
-    keys = _keys(by)
-    act = ~F.col("is_cancelled")
-    bc = (
-        df.filter(F.col("carrier").isNotNull())
-        .groupBy(*keys, "carrier")
-        .agg(
-            F.count(F.lit(1)).alias("orders"),
-            A.money_sum(F.when(F.col("is_billable"), F.col("freight_cost_eur"))).cast("double").alias("spend"),
-            A.ratio_pct(F.count_if(F.col("is_on_time") & act), F.count_if(act)).alias("on_time_pct"),
-            A.money_sum(F.when(act, F.col("late_penalty_eur"))).cast("double").alias("penalties"),
-            F.count_if(F.col("is_late") & act).alias("late_orders"),
-        )
-        .withColumn("carrier_rank", A.carrier_rank())
-    )
-    w = Window.partitionBy(*keys).orderBy("carrier_rank", "carrier")
-    return bc.withColumn("row_pos", (F.row_number().over(w) - 1).cast("int"))
+    return Facts(df, by).carriers()
 
 
 def period_labels(df: DataFrame, by=None) -> DataFrame:
-    keys = _keys(by)
-    b = df.groupBy(*keys).agg(F.min("ship_date").alias("first_date"), F.max("ship_date").alias("last_date"))
-    return b.withColumn("period", X.fmt_week_range("first_date", "last_date"))
+    return Facts(df, by).period()
 
 
-def weakest_carrier(bc: DataFrame, by=None) -> DataFrame:
-    """Lowest on-time rate (first in the fixed carrier order on ties)."""
-    keys = _keys(by)
-    w = Window.partitionBy(*keys).orderBy(F.col("on_time_pct"), "carrier_rank", "carrier")
-    return bc.filter(F.col("on_time_pct").isNotNull()).withColumn("_rn", F.row_number().over(w)).filter(
-        F.col("_rn") == 1).drop("_rn")
+def weakest_carrier(df: DataFrame, by=None) -> DataFrame:
+    return Facts(df, by).weakest()
 
 
 # ---------------------------------------------------------------------------
 # F1-F5 findings
 # ---------------------------------------------------------------------------
 
-def findings(df: DataFrame, by=None) -> DataFrame:
+def findings(df: DataFrame, by=None, facts: Facts | None = None) -> DataFrame:
     """The findings a reader can open and check, ranked by money at stake."""
-    keys = _keys(by)
-    k = A.kpis(df, by=keys)
-    per = period_labels(df, keys)
-    bc = carrier_table(df, keys)
-    weak = weakest_carrier(bc, keys)
-    lanes_all = A.lane_stats(df, by=keys)
+    fx = facts or Facts(df, by)
+    keys = fx.keys
+    k = fx.kpis()
+    per = fx.period()
+    weak = fx.weakest()
+    lanes_all = fx.lanes()
     lane_w = Window.partitionBy(*keys, "carrier").orderBy(F.col("penalties").desc(), "destination_country")
     weak_lane = (
         lanes_all.withColumn("_rn", F.row_number().over(lane_w)).filter(F.col("_rn") == 1)
@@ -185,8 +341,8 @@ def findings(df: DataFrame, by=None) -> DataFrame:
     )
 
     # F2 weekday signal
-    sig = A.weekday_signal(df, by=keys)
-    ev = A.weekday_evidence(df, sig, by=keys)
+    sig = fx.signal()
+    ev = fx.weekday_table()
     day_pos = (
         ev.join(sig.select(*keys, "carrier", "region", F.col("weekday").alias("_sday")), keys + ["carrier", "region"])
         .groupBy(*keys, "carrier", "region", "_sday")
@@ -222,7 +378,7 @@ def findings(df: DataFrame, by=None) -> DataFrame:
     )
 
     # F3 worst lane
-    top = A.worst_lanes(df, limit=1, by=keys)
+    top = fx.top_lanes(1)
     weak_claim = f_weak.select(*keys, F.col("claim").alias("_weak_claim"))
     t = (
         _join(top, ctx.select(*keys, F.col("penalties").alias("book_penalties"), "period"), keys)
@@ -274,23 +430,23 @@ def findings(df: DataFrame, by=None) -> DataFrame:
 
 def evidence(df: DataFrame, by=None) -> DataFrame:
     """F8: the table behind each kept finding, in one long frame."""
-    keys = _keys(by)
-    kept = findings(df, keys).select(*keys, "key")
-    bc = carrier_table(df, keys).select(
+    fx = Facts(df, by)
+    keys = fx.keys
+    kept = findings(df, facts=fx).select(*keys, "key")
+    bc = fx.carriers().select(
         *keys, F.lit("weakest_carrier").alias("key"), F.col("row_pos").alias("row_no"), "carrier",
         F.lit(None).cast("string").alias("destination_country"), F.lit(None).cast("string").alias("weekday"),
         F.col("orders").alias("shipments"), "spend", "on_time_pct", F.lit(None).cast("double").alias("late_pct"),
         F.lit(None).cast("double").alias("transit_days"), "penalties",
     )
-    sig = A.weekday_signal(df, by=keys)
-    wk = A.weekday_evidence(df, sig, by=keys)
+    wk = fx.weekday_table()
     wk = wk.withColumn("row_no", (F.row_number().over(
         Window.partitionBy(*keys, "carrier", "region").orderBy("weekday_order")) - 1).cast("int")).select(
         *keys, F.lit("weekday").alias("key"), "row_no", "carrier", F.lit(None).cast("string").alias("destination_country"),
         "weekday", "shipments", F.lit(None).cast("double").alias("spend"), F.lit(None).cast("double").alias("on_time_pct"),
         "late_pct", "transit_days", "penalties",
     )
-    ln = A.worst_lanes(df, limit=5, by=keys).select(
+    ln = fx.top_lanes(5).select(
         *keys, F.lit("worst_lane").alias("key"), (F.col("lane_rank") - 1).cast("int").alias("row_no"), "carrier",
         "destination_country", F.lit(None).cast("string").alias("weekday"), F.col("orders").alias("shipments"),
         F.lit(None).cast("double").alias("spend"), F.lit(None).cast("double").alias("on_time_pct"), "late_pct",
@@ -310,10 +466,11 @@ def n_words(x: str) -> E:
 
 def executive_summary(df: DataFrame, by=None) -> DataFrame:
     """hero figure, composition, three sentences, footer, one row per slice."""
-    keys = _keys(by)
-    k = A.kpis(df, by=keys)
-    per = period_labels(df, keys)
-    f = findings(df, keys)
+    fx = Facts(df, by)
+    keys = fx.keys
+    k = fx.kpis()
+    per = fx.period()
+    f = findings(df, facts=fx)
     fsum = f.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_findings"),
         F.sum("leak_eur").alias("addressed_eur"),
@@ -322,7 +479,7 @@ def executive_summary(df: DataFrame, by=None) -> DataFrame:
         F.count_if(F.col("severity") == "warning").alias("n_warning"),
         F.min_by("claim", "position").alias("first_claim"),
     )
-    comp = A.composition(df, by=keys).withColumn(
+    comp = fx.composition().withColumn(
         "_item", txt(E("carrier"), " ", money("penalties", exact=False))
     ).groupBy(*keys).agg(
         F.expr("array_join(transform(array_sort(collect_list(struct(position, _item))), x -> x._item), '; ')")
@@ -384,14 +541,14 @@ def executive_summary(df: DataFrame, by=None) -> DataFrame:
 # F7 brief and its audit
 # ---------------------------------------------------------------------------
 
-def brief(df: DataFrame) -> DataFrame:
+def brief(df: DataFrame, facts: Facts | None = None) -> DataFrame:
     """one to three bullets (bullet_no, text), with the fallback line when
     nothing is worth escalating."""
-    k = A.kpis(df)
-    sig = A.weekday_signal(df)
-    lanes = A.worst_lanes(df, limit=3)
-    top = lanes.filter(F.col("lane_rank") == 1)
-    weak = weakest_carrier(carrier_table(df))
+    fx = facts or Facts(df)
+    k = fx.kpis()
+    sig = fx.signal()
+    top = fx.top_lanes(3).filter(F.col("lane_rank") == 1)
+    weak = fx.weakest()
     day, c = E("weekday"), E("carrier")
 
     b1 = sig.select(
@@ -441,20 +598,21 @@ def brief(df: DataFrame) -> DataFrame:
     return out.select(F.row_number().over(Window.orderBy("_slot")).cast("int").alias("bullet_no"), "text")
 
 
-def evidence_numbers(df: DataFrame) -> DataFrame:
+def evidence_numbers(df: DataFrame, facts: Facts | None = None) -> DataFrame:
     """Every numeric fact the brief may quote (one column ``value``)."""
-    k = A.kpis(df)
+    fx = facts or Facts(df)
+    k = fx.kpis()
     kv = k.select(F.explode(F.array(*[F.col(c).cast("double") for c in k.columns])).alias("value"))
-    sig = A.weekday_signal(df)
+    sig = fx.signal()
     sv = sig.select(F.explode(F.array(*[F.col(c).cast("double") for c in (
         "shipments", "baseline_shipments", "transit_uplift_pct", "late_pct", "baseline_late_pct", "penalties_eur",
         "late_gap_pct")])).alias("value"))
-    weak = weakest_carrier(carrier_table(df))
+    weak = fx.weakest()
     wv = weak.select(F.explode(F.array(*[F.col(c).cast("double") for c in ("on_time_pct", "orders", "spend")])).alias(
         "value"))
     gap = weak.crossJoin(k.select(F.col("on_time_pct").alias("_b"))).select(
         (F.col("_b") - F.col("on_time_pct")).alias("value"))
-    lanes = A.worst_lanes(df, limit=3)
+    lanes = fx.top_lanes(3)
     lv = lanes.select(F.explode(F.array(*[F.col(c).cast("double") for c in ("orders", "late_pct", "penalties")])).alias(
         "value"))
     return kv.unionByName(sv).unionByName(wv).unionByName(gap).unionByName(lv).filter(F.col("value").isNotNull())
@@ -464,13 +622,14 @@ def brief_audit(df: DataFrame) -> DataFrame:
     """F7 audit: every figure quoted in the brief must trace to the evidence
     (as itself, truncated, in thousands, or x10 at one decimal). One row:
     figures quoted, figures not traceable, traceable."""
-    ev = evidence_numbers(df)
+    fx = Facts(df)
+    ev = evidence_numbers(df, fx)
     v = F.col("value")
     allowed = ev.select(F.explode(F.array(
         F.bround(v, 0).cast("long"), v.cast("long"), F.bround(v / 1000, 0).cast("long"),
         (F.bround(v, 1) * 10).cast("long"),
     )).alias("n")).distinct()
-    tokens = brief(df).select(
+    tokens = brief(df, fx).select(
         F.explode(F.regexp_extract_all("text", F.lit("(\\d[\\d,\u202f]*(?:\\.\\d+)?)"), 1)).alias("tok"))
     nums = tokens.select(F.bround(F.regexp_replace("tok", "[,\u202f]", "").cast("double"), 0).cast("long").alias("n"))
     bad = nums.join(F.broadcast(allowed), "n", "left_anti")
