@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 # Rows above which a derived lookup is joined by shuffle rather than broadcast.
 BROADCAST_MAX_ROWS = 200_000
 
+# Settings the library recommends for a cluster session too (README).
+SESSION_CONF = {
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
 
 def get_spark(master: str | None = None, partitions: int = 8, app: str = "shipledger") -> SparkSession:
     """A session configured the way the library expects. Used by tests, the
@@ -30,6 +35,12 @@ def get_spark(master: str | None = None, partitions: int = 8, app: str = "shiple
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SHIPLEDGER_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # The JVM never JIT-compiles a method above 8,000 bytes of bytecode.
+        # The cleaning stage (adapter joins, ~30 row-level expressions) can
+        # generate a longer fused loop, which would then run interpreted;
+        # at this limit Spark falls back to per-operator generated code
+        # (compiled) for such a stage instead. See SESSION_CONF.
+        .config("spark.sql.codegen.hugeMethodLimit", SESSION_CONF["spark.sql.codegen.hugeMethodLimit"])
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
