@@ -11,8 +11,9 @@ Structure (see README, "Cleaning plan"):
    median sets, the final table and the log).
 3. ``group_stats`` — every median / quartile the imputation needs, from ONE
    scan: each kept row is expanded to its (set, key) cells and a single
-   ``groupBy`` computes exact percentiles with map-side partial aggregation,
-   so hot groups never land whole in one task.
+   ``groupBy`` counts each distinct value with map-side partial aggregation
+   (a hot group costs one row per distinct value); exact quantiles are then
+   read off cumulative counts (``exact_quantiles``).
 4. ``finish`` — size-checked broadcast joins of those small tables, then the
    derived business columns, typed to ``SHIPMENT_SCHEMA``.
 """
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shipledger import constants as K
@@ -156,8 +157,8 @@ def group_stats(kept: DataFrame, accuracy: int | None = None) -> DataFrame:
     """All quartiles and medians the cleaning needs, in one aggregation.
 
     Output columns: set, k1, k2, n (non-null values), q1, q2 (median), q3.
-    Exact by default (``percentile``); ``accuracy`` switches to
-    ``percentile_approx`` for value domains too wide for exact histograms."""
+    Exact by default (``exact_quantiles``); ``accuracy`` switches to
+    ``percentile_approx`` (one pass, bounded sketch per group)."""
     cost = F.col("freight_cost_eur").cast("double")
     null = F.lit(None).cast("string")
 
@@ -182,13 +183,59 @@ def group_stats(kept: DataFrame, accuracy: int | None = None) -> DataFrame:
     probs = [0.25, 0.5, 0.75]
     if accuracy:
         pct = F.percentile_approx("v", probs, accuracy)
-    else:
-        pct = F.percentile("v", F.array(*[F.lit(p) for p in probs]))
-    agg = exploded.groupBy("set", "k1", "k2").agg(F.count("v").alias("n"), pct.alias("_q"))
-    return agg.select(
-        "set", "k1", "k2", "n",
-        F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q2"), F.col("_q")[2].alias("q3"),
+        agg = exploded.groupBy("set", "k1", "k2").agg(F.count("v").alias("n"), pct.alias("_q"))
+        return agg.select(
+            "set", "k1", "k2", "n",
+            F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q2"), F.col("_q")[2].alias("q3"),
+        )
+    return exact_quantiles(exploded, ["set", "k1", "k2"], "v", probs, ["q1", "q2", "q3"])
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], v: str, probs: list[float], names: list[str]) -> DataFrame:
+    """Exact linear-interpolation quantiles per group, without holding any
+    group in memory.
+
+    1. Count each distinct (group, value): a hash aggregate with map-side
+       combining, so a hot group costs one row per distinct value, not per row.
+    2. A window sorted by value gives each distinct value its cumulative count,
+       i.e. the 0-based rank range it covers. The window sort spills, so even
+       the global group (every distinct value of the column) streams through
+       one task instead of being a hash map in memory, as ``percentile`` keeps.
+    3. Only the values at ranks floor/ceil of p*(n-1) are kept (a few rows per
+       group) and interpolated as Spark's ``percentile`` does. Groups whose
+       values are all null keep n = 0 and null quantiles.
+    Output: keys, n (non-null values), one column per probability."""
+    hist = df.groupBy(*keys, v).agg(F.count(F.lit(1)).alias("_c"))
+    nonnull = F.when(F.col(v).isNotNull(), F.col("_c")).otherwise(F.lit(0))
+    g = Window.partitionBy(*keys)
+    run = g.orderBy(F.col(v).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hist = hist.withColumns({"_cum": F.sum(nonnull).over(run), "_n": F.sum(nonnull).over(g)})
+    first_rank, last_rank = F.col("_cum") - F.col("_c"), F.col("_cum")
+
+    def covers(rank: Column) -> Column:
+        return F.col(v).isNotNull() & (first_rank <= rank) & (rank < last_rank)
+
+    pos = {p: F.lit(p) * (F.col("_n") - 1) for p in probs}
+    lo = {p: F.floor(pos[p]) for p in probs}
+    hi = {p: F.ceil(pos[p]) for p in probs}
+    wanted = F.col(v).isNull()
+    for p in probs:
+        wanted = wanted | covers(lo[p]) | covers(hi[p])
+    picked = hist.filter(wanted).groupBy(*keys).agg(
+        F.max("_n").alias("n"),
+        *[F.max(F.when(covers(lo[p]), F.col(v))).alias(f"_lo{i}") for i, p in enumerate(probs)],
+        *[F.max(F.when(covers(hi[p]), F.col(v))).alias(f"_hi{i}") for i, p in enumerate(probs)],
+        *[F.max(pos[p]).alias(f"_pos{i}") for i, p in enumerate(probs)],
     )
+    out = []
+    for i, name in enumerate(names):
+        p, l_, h_ = F.col(f"_pos{i}"), F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        out.append(
+            F.when(F.floor(p) == F.ceil(p), l_)
+            .otherwise((F.ceil(p) - p) * l_ + (p - F.floor(p)) * h_)
+            .alias(name)
+        )
+    return picked.select(*keys, F.col("n").cast("long").alias("n"), *out)
 
 
 def _money_median(c: Column) -> Column:

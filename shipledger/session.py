@@ -18,9 +18,6 @@ BROADCAST_MAX_ROWS = 200_000
 SESSION_CONF = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
-# JVM option for the executors (the driver in local mode): lets the JIT
-# compile generated projections above 8,000 bytes instead of interpreting them.
-JIT_OPTION = "-XX:-DontCompileHugeMethods"
 
 
 def get_spark(master: str | None = None, partitions: int = 8, app: str = "shipledger") -> SparkSession:
@@ -37,8 +34,6 @@ def get_spark(master: str | None = None, partitions: int = 8, app: str = "shiple
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SHIPLEDGER_DRIVER_MEMORY", "8g"))
-        .config("spark.driver.extraJavaOptions", JIT_OPTION)
-        .config("spark.executor.extraJavaOptions", JIT_OPTION)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # The JVM never JIT-compiles a method above 8,000 bytes of bytecode.
         # The cleaning stage (adapter joins, ~30 row-level expressions) can

@@ -129,3 +129,37 @@ def test_date_layouts(spark):
     got = {r.v: r.d for r in spark.createDataFrame([(k,) for k in cases], "v string")
            .select("v", parse_ship_date("v").alias("d")).collect()}
     assert got == cases
+
+
+def test_exact_quantiles_by_hand(spark):
+    """Linear interpolation, repeated values, a null-only group, a one-value group.
+    g=a: 1 2 2 4 10 (+null) -> n 5; q1 at rank 1 = 2; median rank 2 = 2; q3 rank 3 = 4.
+    g=b: 1 2 3 4 -> n 4; q1 pos 0.75 = 1.75; median pos 1.5 = 2.5; q3 pos 2.25 = 3.25.
+    g=c: only nulls -> n 0, quantiles null. g=d: 7 -> every quantile 7."""
+    from shipledger.operators.clean import exact_quantiles
+
+    data = [("a", v) for v in (1.0, 2.0, 2.0, 4.0, 10.0, None)] + [("b", v) for v in (4.0, 3.0, 2.0, 1.0)] \
+        + [("c", None), ("c", None), ("d", 7.0)]
+    df = spark.createDataFrame(data, "g string, v double")
+    got = {r.g: (r.n, r.q1, r.q2, r.q3)
+           for r in exact_quantiles(df, ["g"], "v", [0.25, 0.5, 0.75], ["q1", "q2", "q3"]).collect()}
+    assert got == {"a": (5, 2.0, 2.0, 4.0), "b": (4, 1.75, 2.5, 3.25), "c": (0, None, None, None),
+                   "d": (1, 7.0, 7.0, 7.0)}
+
+
+def test_exact_quantiles_match_percentile_on_a_hot_group(spark):
+    """A group holding most rows, many repeated values: same as Spark's percentile."""
+    from shipledger.operators.clean import exact_quantiles
+
+    df = spark.range(20000).select(
+        F.when(F.col("id") % 10 < 7, F.lit("hot")).otherwise((F.col("id") % 13).cast("string")).alias("g"),
+        ((F.col("id") * 7919) % 1009 / 4.0).alias("v"),
+    )
+    probs = [0.1, 0.25, 0.5, 0.75, 0.99]
+    names = [f"p{i}" for i in range(len(probs))]
+    ours = {r.g: [r[n] for n in names] + [r.n] for r in exact_quantiles(df, ["g"], "v", probs, names).collect()}
+    ref = {r.g: list(r.q) + [r.n] for r in df.groupBy("g").agg(
+        F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("q"), F.count("v").alias("n")).collect()}
+    assert ours.keys() == ref.keys()
+    for g in ref:
+        assert ours[g] == pytest.approx(ref[g], abs=1e-9), g
