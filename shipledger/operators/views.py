@@ -50,33 +50,38 @@ def preset_window(df: DataFrame, preset: str = "13w") -> DataFrame:
     )
 
 
+def resolve_window(window) -> tuple:
+    """The (start, end) dates of a one-row window frame (or a pair as is).
+    Bringing these two dates to the driver is what lets the view filters be
+    literals: they reach the Parquet scan as pushed filters and prune
+    ``ship_month`` partitions, where a join against the one-row frame would
+    read the whole table and filter afterwards."""
+    if isinstance(window, DataFrame):
+        r = window.select("start", "end").first()
+        return (r["start"], r["end"]) if r is not None else (None, None)
+    return tuple(window)
+
+
 def preset_view(df: DataFrame, preset: str = "13w", carriers=()) -> DataFrame:
-    """Rows of a preset window. The one-row window is broadcast (one row is a
-    proven bound) and joined as a range predicate."""
-    w = F.broadcast(preset_window(df, preset))
-    v = df.crossJoin(w).filter(F.col("ship_date").between(F.col("start"), F.col("end"))).drop("start", "end")
-    if carriers:
-        v = v.filter(F.col("carrier").isin(list(carriers)))
-    return v
+    """Rows of a preset window: the bounds are resolved first (one small
+    aggregate over ``ship_date``), then applied as literal range filters."""
+    start, end = resolve_window(preset_window(df, preset))
+    if start is None:
+        return df.filter(F.lit(False))
+    return filter_view(df, start, end, carriers)
 
 
-def with_prior(df: DataFrame, window: DataFrame, carriers=()) -> DataFrame:
+def with_prior(df: DataFrame, window, carriers=()) -> DataFrame:
     """Rows of the window labelled ``current`` and of the equal-length
-    window before it labelled ``prior``, from one scan. ``window`` is a one-row
-    (start, end) frame."""
-    w = F.broadcast(
-        window.select(
-            "start", "end",
-            F.date_sub(F.col("start"), F.datediff(F.col("end"), F.col("start")) + 1).alias("prior_start"),
-            F.date_sub(F.col("start"), 1).alias("prior_end"),
-            (F.datediff(F.col("end"), F.col("start")) + 1).alias("prior_days"),
-        )
-    )
-    label = (
-        F.when(F.col("ship_date").between(F.col("start"), F.col("end")), F.lit("current"))
-        .when(F.col("ship_date").between(F.col("prior_start"), F.col("prior_end")), F.lit("prior"))
-    )
-    v = df.crossJoin(w).withColumn("window", label).filter(F.col("window").isNotNull())
-    if carriers:
-        v = v.filter(F.col("carrier").isin(list(carriers)))
-    return v
+    window before it labelled ``prior``, from one scan. ``window`` is a
+    one-row (start, end) frame or a (start, end) pair. The two windows are
+    adjacent, so the scan reads one literal date range."""
+    start, end = resolve_window(window)
+    if start is None:
+        return df.filter(F.lit(False)).withColumns(
+            {"window": F.lit(None).cast("string"), "prior_days": F.lit(None).cast("int")})
+    days = (end - start).days + 1
+    prior_start = start - dt.timedelta(days=days)
+    label = F.when(F.col("ship_date") >= _date(start), F.lit("current")).otherwise(F.lit("prior"))
+    return filter_view(df, prior_start, end, carriers).withColumns(
+        {"window": label, "prior_days": F.lit(days)})
