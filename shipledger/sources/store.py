@@ -8,10 +8,23 @@ from pyspark.sql import functions as F
 from shipledger.schema import SHIPMENT_COLUMNS, SHIPMENT_SCHEMA
 
 
+def sorted_table(table: DataFrame, partition_by: str | None = "ship_month") -> DataFrame:
+    """The stable total order (ship_date, order_id). A global ``orderBy``
+    is a range-partitioned shuffle: its sampled boundaries split a hot date by
+    order id, so no task receives a whole hot key. The partition column leads
+    the order, so a month-partitioned write needs no sort of its own."""
+    lead = [partition_by] if partition_by and partition_by not in ("ship_date", "order_id") else []
+    return table.orderBy(*lead, "ship_date", "order_id")
+
+
 def write_processed(table: DataFrame, path: str, csv_path: str | None = None,
-                    partition_by: str | None = "ship_month", mode: str = "overwrite") -> None:
+                    partition_by: str | None = "ship_month", mode: str = "overwrite",
+                    sort: bool = False) -> None:
     """The processed table as Parquet, partitioned by month so date-range
-    views prune whole directories; optionally the same rows as gzip CSV."""
+    views prune whole directories; optionally the same rows as gzip CSV.
+    ``sort`` writes in the W1 order (one extra shuffle of the table)."""
+    if sort:
+        table = sorted_table(table, partition_by)
     w = table.select(*SHIPMENT_COLUMNS).write.mode(mode)
     (w.partitionBy(partition_by) if partition_by else w).parquet(path)
     if csv_path:
