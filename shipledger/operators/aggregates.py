@@ -145,34 +145,40 @@ _GRAIN = {"day": "ship_date", "week": "ship_week", "month": "ship_month"}
 
 def trend(df: DataFrame, grain: str = "week", trim: bool = True) -> DataFrame:
     """A4 + A5: one row per period with an active shipment; clipped edge
-    periods dropped (not for days, only with >= 4 periods)."""
+    periods dropped (not for days, only with >= 4 periods).
+
+    One pass over the shipments: each period also carries the first and last
+    ship date of all its rows, so the view's bounds, the period count and the
+    edge periods come from windows over the (small, one row per period)
+    aggregate instead of further scans of the table."""
     col = _GRAIN[grain]
     active_n = F.count_if(_active())
-    per = (
-        df.groupBy(F.col(col).alias("period"))
-        .agg(
-            money_sum(F.when(F.col("is_billable"), F.col("freight_cost_eur"))).cast("double").alias("spend"),
-            ratio_pct(F.count_if(F.col("is_on_time") & _active()), active_n).alias("on_time_pct"),
-            active_n.alias("orders"),
-            F.count_if(F.col("is_late") & _active()).alias("late_orders"),
-            money_sum(F.when(_active(), F.col("late_penalty_eur"))).cast("double").alias("penalties"),
-            F.avg(F.when(F.col("is_late") & _active(), F.col("delay_days"))).alias("avg_delay"),
-        )
-        .filter(F.col("orders") > 0)
+    measures = ["spend", "on_time_pct", "orders", "late_orders", "penalties", "avg_delay"]
+    all_periods = df.groupBy(F.col(col).alias("period")).agg(
+        money_sum(F.when(F.col("is_billable"), F.col("freight_cost_eur"))).cast("double").alias("spend"),
+        ratio_pct(F.count_if(F.col("is_on_time") & _active()), active_n).alias("on_time_pct"),
+        active_n.alias("orders"),
+        F.count_if(F.col("is_late") & _active()).alias("late_orders"),
+        money_sum(F.when(_active(), F.col("late_penalty_eur"))).cast("double").alias("penalties"),
+        F.avg(F.when(F.col("is_late") & _active(), F.col("delay_days"))).alias("avg_delay"),
+        F.min("ship_date").alias("_dmin"),
+        F.max("ship_date").alias("_dmax"),
     )
     if grain == "day" or not trim:
-        return per
-    view_bounds = df.agg(F.min("ship_date").alias("_lo"), F.max("ship_date").alias("_hi"))
-    per_bounds = per.agg(
-        F.count(F.lit(1)).alias("_n"), F.min("period").alias("_first"), F.max("period").alias("_last")
+        return all_periods.filter(F.col("orders") > 0).select("period", *measures)
+    every = Window.partitionBy()  # over the period aggregate only (bounded by the number of periods)
+    per = (
+        all_periods.withColumns({"_lo": F.min("_dmin").over(every), "_hi": F.max("_dmax").over(every)})
+        .filter(F.col("orders") > 0)
+        .withColumns({"_n": F.count(F.lit(1)).over(every), "_first": F.min("period").over(every),
+                      "_last": F.max("period").over(every)})
     )
-    b = F.broadcast(view_bounds.crossJoin(per_bounds))  # one row
     last_end = F.date_add(F.col("_last"), 6) if grain == "week" else F.last_day(F.col("_last"))
     drop_first = (F.col("_n") >= 4) & (F.col("_first") < F.col("_lo"))
     remaining = F.col("_n") - drop_first.cast("int")
     drop_last = (F.col("_n") >= 4) & (last_end > F.col("_hi")) & (remaining > 2)
     keep = ~((F.col("period") == F.col("_first")) & drop_first) & ~((F.col("period") == F.col("_last")) & drop_last)
-    return per.crossJoin(b).filter(keep).select(*per.columns)
+    return per.filter(keep).select("period", *measures)
 
 
 # ---------------------------------------------------------------------------
