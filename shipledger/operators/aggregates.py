@@ -363,16 +363,28 @@ def lane_stats(df: DataFrame, min_shipments: int = K.MIN_LANE_SHIPMENTS, by=None
 
 def worst_lanes(df: DataFrame, limit: int = 3, min_shipments: int = K.MIN_LANE_SHIPMENTS, by=None) -> DataFrame:
     """A10 (+A17): lanes of >= 8 active shipments ranked by penalties (top
-    ``limit``, per slice of ``by``), with the excess over the book late rate."""
+    ``limit``, per slice of ``by``), with the excess over the book late rate.
+
+    One pass: active rows are aggregated per carrier x destination with null
+    keys kept, so the book rate of a slice is the sum over its cells (a
+    window over the small lane aggregate, not a second scan of the rows)."""
     keys = _keys(by)
-    lanes = lane_stats(df, min_shipments, by)
-    book = df.filter(_active()).groupBy(*keys).agg(
-        ratio_pct(F.count_if(F.col("is_late")), F.count(F.lit(1))).alias("book_late_pct")
+    cells = df.filter(_active()).groupBy(*keys, "carrier", "destination_country").agg(
+        F.count(F.lit(1)).alias("orders"),
+        F.count_if(F.col("is_late")).alias("_late"),
+        money_sum(F.col("late_penalty_eur")).cast("double").alias("penalties"),
     )
+    slice_ = Window.partitionBy(*keys)  # over the lane aggregate only
+    cells = cells.withColumn("book_late_pct", ratio_pct(F.sum("_late").over(slice_), F.sum("orders").over(slice_)))
+    lanes = cells.filter(
+        F.col("carrier").isNotNull() & F.col("destination_country").isNotNull() & (F.col("orders") >= min_shipments)
+    ).withColumn("late_pct", ratio_pct(F.col("_late"), F.col("orders")))
     w = Window.partitionBy(*keys).orderBy(F.col("penalties").desc(), F.col("carrier"), F.col("destination_country"))
     ranked = lanes.withColumn("lane_rank", F.row_number().over(w)).filter(F.col("lane_rank") <= limit)
-    joined = ranked.join(F.broadcast(book), keys) if keys else ranked.crossJoin(F.broadcast(book))
-    return joined.withColumn("late_pct_above_book", F.col("late_pct") - F.col("book_late_pct"))
+    return ranked.select(
+        *keys, "carrier", "destination_country", "orders", "late_pct", "penalties", "lane_rank", "book_late_pct",
+        (F.col("late_pct") - F.col("book_late_pct")).alias("late_pct_above_book"),
+    )
 
 
 def composition(df: DataFrame, top: int = 3, by=None) -> DataFrame:

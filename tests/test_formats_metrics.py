@@ -111,3 +111,20 @@ def test_weekday_effects_scope_arithmetic(spark):
     assert e[0].late_pct == 100.0 and e[0].baseline_late_pct == 0.0
     s = A.weekday_signal(df).collect()
     assert len(s) == 1 and s[0].penalties_eur == pytest.approx(900.0)
+
+
+def test_worst_lanes_by_slice_equals_each_slice_alone(fixture_build):
+    """A10/A17 with by=: the same lanes, ranks and book rate as running the
+    query on each slice's rows alone (book rate over all active rows of it)."""
+    from shipledger.operators import aggregates as A
+
+    t = fixture_build.table
+    cols = ["carrier", "destination_country", "orders", "late_pct", "penalties", "lane_rank", "book_late_pct"]
+    sliced = {(r.customer_segment, r.lane_rank): tuple(r[c] for c in cols)
+              for r in A.worst_lanes(t, min_shipments=1, by="customer_segment").collect()}
+    alone = {}
+    for seg in [r.customer_segment for r in t.select("customer_segment").distinct().collect()]:
+        part = t.filter(F.col("customer_segment").eqNullSafe(seg))
+        for r in A.worst_lanes(part, min_shipments=1).collect():
+            alone[(seg, r.lane_rank)] = tuple(r[c] for c in cols)
+    assert sliced == alone and sliced
