@@ -6,7 +6,9 @@ right, takes the longest token that is compatible with the token before it,
 and steps back where none is; a position found to be a dead end is not entered
 again. Two tokens are compatible if merging by rank would leave them as they
 are, which is decided from the tokens' own merges and remembered per pair. The
-result is the encoding that merging by lowest rank gives, in linear time.
+result is the encoding that merging by lowest rank gives, in linear time, for
+a vocabulary made by such merges (each token is the merge of two tokens that
+the earlier merges leave side by side), as trained ones are.
 
 One narrow pass over whole texts. Each Python worker keeps the tables, and the
 encodings of at most ``REMEMBERED`` pieces (then it starts anew), so memory is
