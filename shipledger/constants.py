@@ -158,20 +158,10 @@ NULL_TOKENS = [
 ]
 
 # ---------------------------------------------------------------------------
-# Date layouts tried in this order (day-first before month-first)
+# English month names, in order
 # ---------------------------------------------------------------------------
-DATE_FORMATS = [
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "d/M/yyyy",
-    "d.M.yyyy",
-    "yyyy/M/d",
-    "yyyyMMdd",
-    "MMM d, yyyy",
-    "d-MMM-yyyy",
-    "M/d/yyyy",
-]
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november",
+          "december"]
 
 # ---------------------------------------------------------------------------
 # Analytics thresholds
@@ -201,5 +191,6 @@ SPARKLINE_MIN_POINTS = 3
 KPI_DEAD_BAND = 0.05
 
 # Log texts (fixed wording of the cleaning log).
+REMOVED_SURPLUS = "line has more fields than its header"
 REMOVED_UNDATED = "ship_date missing or unparseable"
 REMOVED_DUPLICATE = "duplicate order_id re-exported by source system"

@@ -5,40 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shipledger.constants import DATE_FORMATS
-from shipledger.functions.text import col_
-
-
-# Loose shapes: a layout can only parse a value of its shape, so the (costly)
-# parse is attempted only there. Each shape is a superset of its layout.
-SHAPES = {
-    "yyyy-MM-dd": r"^\d+-\d+-\d+$",
-    "yyyy-MM-dd HH:mm:ss": r"^\d+-\d+-\d+ \d+:\d+:\d+$",
-    "yyyy-MM-dd'T'HH:mm:ss": r"^\d+-\d+-\d+T\d+:\d+:\d+$",
-    "d/M/yyyy": r"^\d+/\d+/\d+$",
-    "d.M.yyyy": r"^\d+\.\d+\.\d+$",
-    "yyyy/M/d": r"^\d+/\d+/\d+$",
-    "yyyyMMdd": r"^\d+$",
-    "MMM d, yyyy": r"^\p{L}+ \d+, \d+$",
-    "d-MMM-yyyy": r"^\d+-\p{L}+-\d+$",
-    "M/d/yyyy": r"^\d+/\d+/\d+$",
-}
+from shipledger.constants import MONTHS
+from shipledger.functions.text import col_, strip_ws
+
+_TIME = r"(?:[T ]+(?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:[.,]\d+)?)?(?: ?[AaPp][Mm])?(?: ?(?:Z|UTC|[+-]\d{2}:?\d{2}))?)?"
+#: three numbers with one separator
+_NUMBERS = r"^(\d{1,4})([-/.])(\d{1,2})\2(\d{1,4})" + _TIME + "$"
+#: month and day with the year last, either way round
+_NAMED = r"^(?:(\p{L}+)\.? (\d{1,2}),? (\d{4})|(\d{1,2})[- ](\p{L}+)\.?[- ,]+(\d{2}|\d{4}))" + _TIME + "$"
 
 
 def parse_ship_date(c: str | Column, formats: list[str] | None = None) -> Column:
-    """Mixed-layout, day-first date parse: the first layout that matches wins,
-    anything unparseable is null, the time of day is dropped. Surrounding
-    white space is ignored."""
-    from shipledger.functions.text import strip_ws
+    """Mixed-layout, day-first date parse; anything unparseable is null, the
+    time of day and the zone are dropped. Surrounding white space is ignored.
 
+    A value has one of three shapes, told apart by one test each: three
+    numbers (year first, or day first; month first only where the second
+    number cannot be a month), a named month, or eight digits. Two-digit years
+    are 1970 to 2069. ``formats`` tries the given Spark patterns instead."""
     v = strip_ws(col_(c))
-    fmts = DATE_FORMATS if formats is None else formats
-    tries = []
-    for f in fmts:
-        parse = F.try_to_timestamp(v, F.lit(f))
-        shape = SHAPES.get(f)
-        tries.append(F.when(v.rlike(shape), parse) if shape else parse)
-    return F.coalesce(*tries).cast("date")
+    if formats is not None:
+        return F.coalesce(*[F.try_to_timestamp(v, F.lit(f)) for f in formats]).cast("date")
+    part = lambda pattern, k: F.regexp_extract(v, pattern, k)
+    number = lambda x: x.try_cast("int")
+
+    def full_year(y: Column) -> Column:
+        return F.when(F.length(y) == 4, number(y)).when(
+            F.length(y) == 2, F.when(number(y) < 70, number(y) + 2000).otherwise(number(y) + 1900))
+
+    def made(y: Column, m: Column, d: Column) -> Column:
+        return F.try_to_timestamp(F.concat_ws("-", F.format_string("%04d", y), m.cast("string"), d.cast("string")),
+                                  F.lit("yyyy-M-d"))
+
+    a, b, z = (part(_NUMBERS, k) for k in (1, 3, 4))
+    year_first = made(full_year(a), number(b), number(z))
+    swapped = (number(b) > 12) & (number(a) <= 12)
+    day_first = made(full_year(z), F.when(swapped, number(a)).otherwise(number(b)),
+                     F.when(swapped, number(b)).otherwise(number(a)))
+    numbers = F.when(F.length(a) == 4, year_first).when(F.length(a) <= 2, day_first)
+    first = part(_NAMED, 1) != ""
+    month = F.array_position(F.lit([m[:3] for m in MONTHS]), F.substring(F.lower(F.when(first, part(_NAMED, 1)).otherwise(
+        part(_NAMED, 5))), 1, 3))
+    known = F.lower(F.when(first, part(_NAMED, 1)).otherwise(part(_NAMED, 5))).isin(
+        [*MONTHS, *[m[:3] for m in MONTHS], "sept"])
+    named = F.when(known, made(full_year(F.when(first, part(_NAMED, 3)).otherwise(part(_NAMED, 6))), month,
+                               number(F.when(first, part(_NAMED, 2)).otherwise(part(_NAMED, 4)))))
+    return (F.when(v.rlike(_NUMBERS), numbers)
+            .when(v.rlike(_NAMED), named)
+            .when(v.rlike(r"^\d{8}$"), F.try_to_timestamp(v, F.lit("yyyyMMdd")))).cast("date")
 
 
 def weekday_name(c: str | Column) -> Column:

@@ -27,12 +27,6 @@ def strip_ws(c: str | Column) -> Column:
     return F.trim(col_(c), F.lit(WHITESPACE))
 
 
-def is_padded(c: str | Column) -> Column:
-    """True when stripping would change the value; null counts as unpadded."""
-    v = F.coalesce(col_(c), F.lit(""))
-    return F.length(v) != F.length(strip_ws(v))
-
-
 def title_case(c: str | Column) -> Column:
     """Word-initial capitals where a word restarts after any non-letter
     (``next-day am 2nd`` -> ``Next-Day Am 2Nd``). ``initcap`` restarts only
@@ -65,8 +59,3 @@ def lookup(mapping: dict, key: Column, value_type: str | None = None) -> Column:
     for k, v in mapping.items():
         pairs += [F.lit(k), F.lit(v) if value_type is None else F.lit(v).cast(value_type)]
     return F.element_at(F.create_map(*pairs), key) if key is not None else F.lit(None)
-
-
-def try_lookup(mapping: dict, key: Column, value_type: str | None = None) -> Column:
-    """``lookup`` that is null for a null key (``element_at`` rejects none)."""
-    return F.when(key.isNotNull(), lookup(mapping, key, value_type))

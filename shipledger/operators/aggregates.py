@@ -9,11 +9,14 @@ aggregates, never over shipment rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shipledger import constants as K
 
+
 def _active() -> Column:
     return ~F.col("is_cancelled")
 
@@ -42,6 +45,18 @@ def _keys(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
+def join_on(a: DataFrame, b: DataFrame, slices: list[str], also: list[str] | None = None, how: str = "inner") -> DataFrame:
+    """Join on slice keys, where null is a slice like any other, and on the
+    columns of ``also``, where null matches nothing. Keys come from ``a``; with
+    no key at all, ``b`` is a one-row frame."""
+    also = also or []
+    other = b.select(*[F.col(c).alias(f"_right_{c}") if c in (*slices, *also) else F.col(c) for c in b.columns])
+    match = [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in slices] + [
+        F.col(c) == F.col(f"_right_{c}") for c in also]
+    out = a.join(other, reduce(lambda x, y: x & y, match) if match else F.lit(True), how)
+    return out.drop(*[f"_right_{c}" for c in (*slices, *also)])
+
+
 # ---------------------------------------------------------------------------
 # A1 KPIs
 # ---------------------------------------------------------------------------
@@ -203,7 +218,7 @@ def lane_matrix(df: DataFrame, min_shipments: int = K.MIN_LANE_SHIPMENTS) -> Dat
         F.row_number().over(Window.orderBy(F.col("_mean").asc_nulls_last(), F.col("destination_country"))),
     ).drop("_mean")
     return (
-        cells.join(F.broadcast(dest), "destination_country")
+        cells.join(dest, "destination_country")  # destinations are free text: the optimiser sizes this
         .withColumn("late_pct", F.lit(100.0) - F.col("on_time_pct"))
         .withColumn("carrier_rank", carrier_rank())
     )
@@ -327,61 +342,44 @@ def weekday_evidence(df: DataFrame, scope: DataFrame, regions: dict | None = Non
     """For each (carrier, region) in ``scope`` (e.g. the detected signal),
     shipments, late %, mean transit and penalties per weekday, Mon-Sun."""
     keys = _keys(by)
-    reg = F.broadcast(regions_frame(df.sparkSession, regions))
-    sel = F.broadcast(scope.select(*keys, "carrier", "region").distinct())  # one row per slice
-    rows = df.filter(_active()).join(reg, "destination_country").join(sel, keys + ["carrier", "region"])
     order = F.array_position(F.array(*[F.lit(d) for d in K.WEEKDAYS]), F.col("weekday"))
-    return (
-        rows.groupBy(*keys, "carrier", "region", F.col("ship_weekday").alias("weekday"))
-        .agg(
-            F.count(F.lit(1)).alias("shipments"),
-            ratio_pct(F.count_if(F.col("is_late")), F.count(F.lit(1))).alias("late_pct"),
-            F.avg("transit_days").alias("transit_days"),
-            money_sum(F.col("late_penalty_eur")).cast("double").alias("penalties"),
-        )
-        .withColumn("weekday_order", order.cast("int"))
-    )
+    cells = weekday_cells(df, regions, by)  # small: the scope is joined to the aggregate, not to the rows
+    return join_on(cells, scope.select(*keys, "carrier", "region").distinct(), keys, ["carrier", "region"]).select(
+        *keys, "carrier", "region", F.col("ship_weekday").alias("weekday"), F.col("n").alias("shipments"),
+        ratio_pct(F.col("late_n"), F.col("n")).alias("late_pct"),
+        (F.col("t_sum").cast("double") / F.when(F.col("t_n") != 0, F.col("t_n"))).alias("transit_days"),
+        "penalties",
+    ).withColumn("weekday_order", order.cast("int"))
 
 
 # ---------------------------------------------------------------------------
 # A10, A17 lanes; A13 composition
 # ---------------------------------------------------------------------------
 
-def lane_stats(df: DataFrame, min_shipments: int = K.MIN_LANE_SHIPMENTS, by=None) -> DataFrame:
-    keys = _keys(by)
-    return (
-        df.filter(_active() & F.col("carrier").isNotNull() & F.col("destination_country").isNotNull())
-        .groupBy(*keys, "carrier", "destination_country")
-        .agg(
-            F.count(F.lit(1)).alias("orders"),
-            ratio_pct(F.count_if(F.col("is_late")), F.count(F.lit(1))).alias("late_pct"),
-            money_sum(F.col("late_penalty_eur")).cast("double").alias("penalties"),
-        )
-        .filter(F.col("orders") >= min_shipments)
-    )
-
-
 def worst_lanes(df: DataFrame, limit: int = 3, min_shipments: int = K.MIN_LANE_SHIPMENTS, by=None) -> DataFrame:
     """A10 (+A17): lanes of >= 8 active shipments ranked by penalties (top
     ``limit``, per slice of ``by``), with the excess over the book late rate.
 
-    One pass: active rows are aggregated per carrier x destination with null
-    keys kept, so the book rate of a slice is the sum over its cells (a
-    window over the small lane aggregate, not a second scan of the rows)."""
+    Active rows are aggregated per carrier x destination with null keys kept, so
+    the book rate of a slice is a sum over its cells. Ungrouped, the lanes are
+    taken by ``orderBy(...).limit`` (a top-k in each task); per slice, a window
+    runs over the lane aggregate."""
     keys = _keys(by)
     cells = df.filter(_active()).groupBy(*keys, "carrier", "destination_country").agg(
         F.count(F.lit(1)).alias("orders"),
         F.count_if(F.col("is_late")).alias("_late"),
         money_sum(F.col("late_penalty_eur")).cast("double").alias("penalties"),
     )
-    slice_ = Window.partitionBy(*keys)  # over the lane aggregate only
-    cells = cells.withColumn("book_late_pct", ratio_pct(F.sum("_late").over(slice_), F.sum("orders").over(slice_)))
+    book = cells.groupBy(*keys).agg(ratio_pct(F.sum("_late"), F.sum("orders")).alias("book_late_pct"))
     lanes = cells.filter(
         F.col("carrier").isNotNull() & F.col("destination_country").isNotNull() & (F.col("orders") >= min_shipments)
     ).withColumn("late_pct", ratio_pct(F.col("_late"), F.col("orders")))
-    w = Window.partitionBy(*keys).orderBy(F.col("penalties").desc(), F.col("carrier"), F.col("destination_country"))
-    ranked = lanes.withColumn("lane_rank", F.row_number().over(w)).filter(F.col("lane_rank") <= limit)
-    return ranked.select(
+    order = [F.col("penalties").desc(), F.col("carrier"), F.col("destination_country")]
+    if not keys:
+        lanes = lanes.orderBy(*order).limit(limit)
+    ranked = lanes.withColumn("lane_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(
+        F.col("lane_rank") <= limit)
+    return join_on(ranked, book, keys).select(
         *keys, "carrier", "destination_country", "orders", "late_pct", "penalties", "lane_rank", "book_late_pct",
         (F.col("late_pct") - F.col("book_late_pct")).alias("late_pct_above_book"),
     )

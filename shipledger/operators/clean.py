@@ -3,24 +3,24 @@
 Structure (see README, "Cleaning plan"):
 
 1. ``annotate`` — every row-level step (trim, case, carrier spelling, date
-   parse, numeric coercion, voiding, FX) in one narrow stage, then the
-   ``_removed`` disposition: undated rows and re-exported duplicates are
-   *marked*, never dropped, so the log is one aggregation and reconciles by
-   construction.
-2. The annotated stage is materialised once (it feeds the outlier limits, three
-   median sets, the final table and the log).
-3. ``group_stats`` — every median / quartile the imputation needs, from ONE
-   scan: each kept row is expanded to its (set, key) cells and a single
-   ``groupBy`` counts each distinct value with map-side partial aggregation
-   (a hot group costs one row per distinct value); exact quantiles are then
-   read off cumulative counts (``exact_quantiles``).
+   parse, numeric coercion, voiding, FX) in one narrow stage, written ONCE, so
+   that a row's file position is fixed before anything refers to it.
+2. ``disposition`` — rows are *marked* as removed, never dropped, so the log is
+   one aggregation and reconciles by construction. Only the ids that occur
+   twice are joined back, so clean rows shuffle no wide row.
+3. ``group_stats`` — every median / quartile the imputation needs, rolled up
+   from two counts of distinct values (map-side combining; a hot group costs
+   one row per distinct value); exact quantiles are then read off cumulative
+   counts, bucket by bucket (``exact_quantiles``).
 4. ``finish`` — size-checked broadcast joins of those small tables, then the
-   derived business columns, typed to ``SHIPMENT_SCHEMA``.
+   derived business columns, typed to ``SHIPMENT_SCHEMA``; extra columns of the
+   sources stay.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +29,7 @@ from shipledger import constants as K
 from shipledger.functions.dates import month_start, parse_ship_date, week_start, weekday_name
 from shipledger.functions.text import carrier_key, lookup, null_tokens, strip_ws, title_case
 from shipledger.schema import FLAG_COLUMNS, SHIPMENT_COLUMNS, ORDER_PREFIX
-from shipledger.session import bounded_broadcast, materialize
+from shipledger.session import BROADCAST_MAX_BYTES, bounded_broadcast, materialize, text_bytes
 
 MONEY = "decimal(18,2)"
 RATE = "decimal(6,3)"
@@ -58,9 +58,10 @@ def annotate(
     tokens: list[str] | None = None,
     date_formats: list[str] | None = None,
 ) -> DataFrame:
-    """Row-level cleaning plus the removal disposition. ``raw`` holds the 15
-    required string columns, ``source_file`` and one or more ``_ord*`` columns
-    giving file order (compared left to right). Extra columns are kept."""
+    """Row-level cleaning. ``raw`` holds the 15 required string columns,
+    ``source_file`` and one or more ``_ord*`` columns giving file order
+    (compared left to right; kept as the struct ``_ord``). Extra columns are
+    kept; ``_surplus`` marks lines with more fields than their header."""
     carriers = K.CANONICAL_CARRIERS if carriers is None else carriers
     fx = K.FX_TO_EUR if fx is None else fx
     ord_cols = [c for c in raw.columns if c.startswith(ORDER_PREFIX)]
@@ -128,114 +129,148 @@ def annotate(
             "_ord": F.struct(*ord_cols),
         }
     )
-    return _disposition(df)
-
-
-def _disposition(df: DataFrame) -> DataFrame:
-    """C7 + D1. The first dated row of each order_id in file order survives;
-    null ids count as one id. The survivor is found with a partial aggregate
-    (``min`` of the file-order struct), which a hot id cannot skew, and joined
-    back on that row key, which is unique, so the join cannot skew either."""
-    firsts = (
-        df.filter(F.col("ship_date").isNotNull())
-        .groupBy("order_id")
-        .agg(F.min("_ord").alias("_ord"))
-        .select(F.xxhash64("_ord").alias("_ord_h"), "_ord", F.lit(True).alias("_first"))
-    )
-    # The 64-bit hash leads the join key so partitioning and sorting compare
-    # longs; the struct itself stays a key, so the match is exact.
-    out = df.withColumn("_ord_h", F.xxhash64("_ord")).join(firsts, on=["_ord_h", "_ord"], how="left").drop("_ord_h")
+    if "_surplus" not in df.columns:
+        df = df.withColumn("_surplus", F.lit(False))
+    if "_file" not in df.columns:
+        df = df.withColumn("_file", F.lit(0))
+    return df.drop(*ord_cols)
+
+
+def disposition(rows: DataFrame, stages: list[str] | None = None) -> tuple[DataFrame, int]:
+    """C7 + D1 over the written row-level stage: ``_removed`` holds the reason,
+    or null; and the number of kept rows without a status. The first dated row of each order_id in file order survives; null
+    ids count as one id.
+
+    One partial aggregate (``min`` of the file-order struct; a hot id cannot
+    skew it) finds the ids with more than one dated row. Only those are joined
+    back: broadcast if small, else a shuffle join that AQE may split. Raises
+    if the survivors are not exactly one a distinct dated id."""
+    dated = F.col("ship_date").isNotNull() & ~F.col("_surplus")
+    ids = materialize(
+        rows.filter(dated).groupBy("order_id").agg(F.min("_ord").alias("_first"), F.count(F.lit(1)).alias("_copies"))
+        .filter(F.col("_copies") > 1).select(F.col("order_id").alias("_id"), "_first", "_copies"), "repeated-ids", stages=stages)
+    out = rows.join(bounded_broadcast(ids), F.col("order_id").eqNullSafe(F.col("_id")), "left")
     removed = (
-        F.when(F.col("ship_date").isNull(), F.lit(K.REMOVED_UNDATED))
-        .when(F.col("_first").isNull(), F.lit(K.REMOVED_DUPLICATE))
-        .otherwise(F.lit(None).cast("string"))
+        F.when(F.col("_surplus"), F.lit(K.REMOVED_SURPLUS))
+        .when(F.col("ship_date").isNull(), F.lit(K.REMOVED_UNDATED))
+        .when(F.col("_copies").isNotNull() & (F.col("_ord") != F.col("_first")), F.lit(K.REMOVED_DUPLICATE))
     )
-    return out.withColumn("_removed", removed).drop("_first")
+    out = out.withColumn("_removed", removed).drop("_id", "_first", "_copies")
+    spare = ids.agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("n")).first()["n"]
+    seen = out.agg(F.count_if(dated).alias("dated"), F.count_if(F.col("_removed").isNull()).alias("kept"),
+                   F.count_if(F.col("_removed").isNull() & F.col("status").isNull()).alias("no_status")).first()
+    if seen["kept"] != seen["dated"] - spare:
+        raise ValueError(f"file order does not tell rows apart: {seen['kept']} survivors for "
+                         f"{seen['dated'] - spare} distinct ids; give frames unique _ord* columns")
+    return out, seen["no_status"]
 
 
-def group_stats(kept: DataFrame, accuracy: int | None = None) -> DataFrame:
-    """All quartiles and medians the cleaning needs, in one aggregation.
+def group_stats(kept: DataFrame, accuracy: int | None = None, stages: list[str] | None = None) -> DataFrame:
+    """All quartiles and medians the cleaning needs.
 
     Output columns: set, k1, k2, n (non-null values), q1, q2 (median), q3.
-    Exact by default (``exact_quantiles``); ``accuracy`` switches to
-    ``percentile_approx`` (one pass, bounded sketch per group)."""
+    Exact by default; ``accuracy`` switches to ``percentile_approx`` over the
+    counted values (a bounded sketch per group).
+
+    The rows are counted once by (service, carrier, cost) and once by (lane,
+    service, transit); all five cost and transit sets are sums over those."""
     cost = F.col("freight_cost_eur").cast("double")
-    null = F.lit(None).cast("string")
-
-    def cell(set_id: int, k1: Column, k2: Column, v: Column) -> Column:
-        return F.struct(F.lit(set_id).alias("set"), k1.alias("k1"), k2.alias("k2"), v.cast("double").alias("v"))
-
-    cells = F.array(
-        cell(SET_OUTLIER, F.col("service_level"), null, cost),
-        cell(SET_LANE, F.col("lane"), F.col("service_level"), F.col("transit_days")),
-        cell(SET_COST, F.col("carrier"), F.col("service_level"), cost),
-        cell(SET_G_TRANSIT, null, null, F.col("transit_days")),
-        cell(SET_G_COST, null, null, cost),
-        cell(SET_G_PROMISED, null, null, F.col("promised_days")),
-    )
-    exploded = kept.select(F.inline(cells))
-    # Grouped sets drop null keys (an equi-join never matches them either).
-    exploded = exploded.filter(
-        ((F.col("set") == SET_OUTLIER) & F.col("k1").isNotNull())
-        | ((F.col("set").isin(SET_LANE, SET_COST)) & F.col("k1").isNotNull() & F.col("k2").isNotNull())
-        | (F.col("set") >= SET_G_TRANSIT)
-    )
-    probs = [0.25, 0.5, 0.75]
     if accuracy:
-        pct = F.percentile_approx("v", probs, accuracy)
-        agg = exploded.groupBy("set", "k1", "k2").agg(F.count("v").alias("n"), pct.alias("_q"))
-        return agg.select(
-            "set", "k1", "k2", "n",
-            F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q2"), F.col("_q")[2].alias("q3"),
-        )
-    return exact_quantiles(exploded, ["set", "k1", "k2"], "v", probs, ["q1", "q2", "q3"])
+        return _approximate_stats(kept, cost, accuracy)
+    count = F.count(F.lit(1)).alias("_c")
+    costs = materialize(kept.groupBy("service_level", "carrier", cost.alias("v")).agg(count), "cost-counts", stages=stages)
+    times = materialize(kept.groupBy("lane", "service_level", F.col("transit_days").alias("v")).agg(count),
+                        "transit-counts", stages=stages)
+    promised = kept.groupBy(F.col("promised_days").alias("v")).agg(count)
+
+    def cells(set_id: int, base: DataFrame, *keys: str) -> DataFrame:
+        # Grouped sets drop null keys (an equi-join never matches them either).
+        names = [F.col(k) for k in keys] + [F.lit(None).cast("string")] * (2 - len(keys))
+        rows = reduce(lambda d, k: d.filter(F.col(k).isNotNull()), keys, base)
+        return rows.groupBy(F.lit(set_id).alias("set"), names[0].alias("k1"), names[1].alias("k2"), "v").agg(
+            F.sum("_c").alias("_c"))
+
+    hist = reduce(DataFrame.unionByName, [
+        cells(SET_OUTLIER, costs, "service_level"),
+        cells(SET_LANE, times, "lane", "service_level"),
+        cells(SET_COST, costs, "carrier", "service_level"),
+        cells(SET_G_TRANSIT, times),
+        cells(SET_G_COST, costs),
+        cells(SET_G_PROMISED, promised),
+    ])
+    probs = [0.25, 0.5, 0.75]
+    hist = materialize(hist, "value-counts", stages=stages)
+    return quantiles_of_counts(hist, ["set", "k1", "k2"], "v", "_c", probs, ["q1", "q2", "q3"])
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], v: str, probs: list[float], names: list[str]) -> DataFrame:
-    """Exact linear-interpolation quantiles per group, without holding any
-    group in memory.
-
-    1. Count each distinct (group, value): a hash aggregate with map-side
-       combining, so a hot group costs one row per distinct value, not per row.
-    2. A window sorted by value gives each distinct value its cumulative count,
-       i.e. the 0-based rank range it covers. The window sort spills, so even
-       the global group (every distinct value of the column) streams through
-       one task instead of being a hash map in memory, as ``percentile`` keeps.
-    3. Only the values at ranks floor/ceil of p*(n-1) are kept (a few rows per
-       group) and interpolated as Spark's ``percentile`` does. Groups whose
-       values are all null keep n = 0 and null quantiles.
-    Output: keys, n (non-null values), one column per probability."""
-    hist = df.groupBy(*keys, v).agg(F.count(F.lit(1)).alias("_c"))
-    nonnull = F.when(F.col(v).isNotNull(), F.col("_c")).otherwise(F.lit(0))
-    g = Window.partitionBy(*keys)
-    run = g.orderBy(F.col(v).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = hist.withColumns({"_cum": F.sum(nonnull).over(run), "_n": F.sum(nonnull).over(g)})
-    first_rank, last_rank = F.col("_cum") - F.col("_c"), F.col("_cum")
+def _approximate_stats(kept: DataFrame, cost: Column, accuracy: int) -> DataFrame:
+    """The same table with ``percentile_approx``: one bounded sketch per group."""
+    def part(set_id: int, v: Column, *keys: str) -> DataFrame:
+        names = [F.col(k) for k in keys] + [F.lit(None).cast("string")] * (2 - len(keys))
+        rows = reduce(lambda d, k: d.filter(F.col(k).isNotNull()), keys, kept)
+        q = F.percentile_approx(v.cast("double"), [0.25, 0.5, 0.75], accuracy)
+        return rows.groupBy(F.lit(set_id).alias("set"), names[0].alias("k1"), names[1].alias("k2")).agg(
+            F.count(v).alias("n"), q.alias("_q")).select(
+            "set", "k1", "k2", "n", *[F.col("_q")[i].alias(f"q{i + 1}") for i in range(3)])
+
+    transit = F.col("transit_days")
+    return reduce(DataFrame.unionByName, [
+        part(SET_OUTLIER, cost, "service_level"), part(SET_LANE, transit, "lane", "service_level"),
+        part(SET_COST, cost, "carrier", "service_level"), part(SET_G_TRANSIT, transit), part(SET_G_COST, cost),
+        part(SET_G_PROMISED, F.col("promised_days"))])
 
-    def covers(rank: Column) -> Column:
-        return F.col(v).isNotNull() & (first_rank <= rank) & (rank < last_rank)
 
+def exact_quantiles(df: DataFrame, keys: list[str], v: str, probs: list[float], names: list[str]) -> DataFrame:
+    """Exact linear-interpolation quantiles per group (see
+    ``quantiles_of_counts``). Output: keys, n (non-null values), one column per
+    probability."""
+    return quantiles_of_counts(df.groupBy(*keys, v).agg(F.count(F.lit(1)).alias("_c")), keys, v, "_c", probs, names)
+
+
+def quantiles_of_counts(hist: DataFrame, keys: list[str], v: str, c: str, probs: list[float],
+                        names: list[str]) -> DataFrame:
+    """Exact quantiles from counts of distinct values, without any task that
+    holds, or even sorts, a whole group.
+
+    1. Values fall into buckets of about 0.4 % width (logarithmic, so an extreme
+       value does not flatten the others). Bucket totals per group are a small
+       table; running sums over it (some thousand rows a group at most) give
+       each bucket the ranks before it.
+    2. Only buckets that hold a wanted rank (floor and ceil of p*(n-1)) are
+       sorted by value, each for itself.
+    3. The values at the wanted ranks are interpolated as Spark's
+       ``percentile`` does. Groups whose values are all null keep n = 0 and
+       null quantiles."""
+    val = F.col(v).cast("double")
+    bucket = F.floor(F.signum(val) * F.log1p(F.abs(val)) * 256)
+    same = lambda a, b: reduce(lambda x, k: x & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")), keys, F.lit(True))
+    hist = hist.withColumn("_b", bucket)
+    g = Window.partitionBy(*keys)
+    totals = hist.groupBy(*keys, "_b").agg(F.sum(F.when(F.col(v).isNotNull(), F.col(c)).otherwise(0)).alias("_t"))
+    totals = totals.withColumns({
+        "_before": F.sum("_t").over(g.orderBy(F.col("_b").asc_nulls_first()).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)) - F.col("_t"),
+        "_n": F.sum("_t").over(g)})
     pos = {p: F.lit(p) * (F.col("_n") - 1) for p in probs}
-    lo = {p: F.floor(pos[p]) for p in probs}
-    hi = {p: F.ceil(pos[p]) for p in probs}
-    wanted = F.col(v).isNull()
-    for p in probs:
-        wanted = wanted | covers(lo[p]) | covers(hi[p])
-    picked = hist.filter(wanted).groupBy(*keys).agg(
-        F.max("_n").alias("n"),
-        *[F.max(F.when(covers(lo[p]), F.col(v))).alias(f"_lo{i}") for i, p in enumerate(probs)],
-        *[F.max(F.when(covers(hi[p]), F.col(v))).alias(f"_hi{i}") for i, p in enumerate(probs)],
-        *[F.max(pos[p]).alias(f"_pos{i}") for i, p in enumerate(probs)],
-    )
+    ranks = [r for p in probs for r in (F.floor(pos[p]), F.ceil(pos[p]))]
+    holds = reduce(lambda a, r: a | ((F.col("_before") <= r) & (r < F.col("_before") + F.col("_t"))), ranks, F.lit(False))
+    hit = totals.filter(holds & (F.col("_t") > 0))
+    rows = hist.alias("h").join(hit.alias("t"), same("h", "t") & (F.col("h._b") == F.col("t._b"))).select(
+        *[F.col(f"h.{k}") for k in keys], F.col("h._b"), F.col(f"h.{v}").alias("_v"), F.col(f"h.{c}").alias("_c"), "_before", "_n")
+    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_end", F.col("_before") + F.sum("_c").over(inside))
+    at = lambda r: F.max(F.when((F.col("_end") - F.col("_c") <= r) & (r < F.col("_end")), F.col("_v").cast("double")))
+    picked = rows.groupBy(*keys).agg(
+        *[at(F.floor(pos[p])).alias(f"_lo{i}") for i, p in enumerate(probs)],
+        *[at(F.ceil(pos[p])).alias(f"_hi{i}") for i, p in enumerate(probs)])
+    sizes = totals.groupBy(*keys).agg(F.max("_n").alias("n"))
     out = []
     for i, name in enumerate(names):
-        p, l_, h_ = F.col(f"_pos{i}"), F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        out.append(
-            F.when(F.floor(p) == F.ceil(p), l_)
-            .otherwise((F.ceil(p) - p) * l_ + (p - F.floor(p)) * h_)
-            .alias(name)
-        )
-    return picked.select(*keys, F.col("n").cast("long").alias("n"), *out)
+        at_, lo, hi = F.lit(probs[i]) * (F.col("n") - 1), F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        out.append(F.when(F.floor(at_) == F.ceil(at_), lo)
+                   .otherwise((F.ceil(at_) - at_) * lo + (at_ - F.floor(at_)) * hi).alias(name))
+    joined = sizes.alias("s").join(picked.alias("p"), same("s", "p"), "left")
+    return joined.select(*[F.col(f"s.{k}") for k in keys], F.col("n").cast("long").alias("n"), *out)
 
 
 def _money_median(c: Column) -> Column:
@@ -244,9 +279,19 @@ def _money_median(c: Column) -> Column:
 
 
 def finish(kept: DataFrame, stats: DataFrame, min_values: int = K.OUTLIER_MIN_VALUES,
-           iqr: float = K.OUTLIER_IQR_MULTIPLIER, penalty: float = K.LATE_PENALTY_EUR_PER_DAY) -> DataFrame:
-    """D2-D4 and C12-C21 over the kept rows; returns SHIPMENT_COLUMNS."""
-    small = bounded_broadcast(stats)
+           iqr: float = K.OUTLIER_IQR_MULTIPLIER, penalty: float = K.LATE_PENALTY_EUR_PER_DAY,
+           central_europe: list[str] | None = None) -> DataFrame:
+    """D2-D4 and C12-C21 over the kept rows. Returns SHIPMENT_COLUMNS, the extra
+    columns of the sources, and ``_transit_missing_cancelled`` for the log."""
+    extras = [c for c in kept.columns if not c.startswith("_") and c not in SHIPMENT_COLUMNS
+              and c not in ("carrier_raw", "ship_date_raw")]
+    # each lookup's own size decides its own join
+    size = {r["set"]: r["b"] for r in stats.groupBy("set").agg(F.sum(text_bytes(stats)).alias("b")).collect()}
+
+    def lookup_of(set_id: int, df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if size.get(set_id, 0) <= BROADCAST_MAX_BYTES else df
+
+    small = stats
     limits = small.filter((F.col("set") == SET_OUTLIER) & (F.col("n") >= min_values)).select(
         F.col("k1").alias("service_level"), (F.col("q3") + F.lit(iqr) * (F.col("q3") - F.col("q1"))).alias("_upper")
     )
@@ -262,9 +307,9 @@ def finish(kept: DataFrame, stats: DataFrame, min_values: int = K.OUTLIER_MIN_VA
         F.max(F.when(F.col("set") == SET_G_PROMISED, F.col("q2"))).alias("_g_promised"),
     )
     df = (
-        kept.join(limits, "service_level", "left")
-        .join(lane_med, ["lane", "service_level"], "left")
-        .join(cost_med, ["carrier", "service_level"], "left")
+        kept.join(lookup_of(SET_OUTLIER, limits), "service_level", "left")
+        .join(lookup_of(SET_LANE, lane_med), ["lane", "service_level"], "left")
+        .join(lookup_of(SET_COST, cost_med), ["carrier", "service_level"], "left")
         .crossJoin(F.broadcast(glob))  # exactly one row
     )
     cancelled = F.col("status") == "Cancelled"
@@ -296,7 +341,8 @@ def finish(kept: DataFrame, stats: DataFrame, min_values: int = K.OUTLIER_MIN_VA
             "ship_weekday": weekday_name("ship_date"),
             "ship_week": week_start("ship_date"),
             "ship_month": month_start("ship_date"),
-            "is_central_europe": F.coalesce(F.col("destination_country").isin(K.CENTRAL_EUROPE), F.lit(False)),
+            "is_central_europe": F.coalesce(F.col("destination_country").isin(
+                K.CENTRAL_EUROPE if central_europe is None else central_europe), F.lit(False)),
             "cost_per_kg": F.round(
                 (F.col("freight_cost_eur").cast("double") / F.when(F.col("weight_kg") != 0, F.col("weight_kg")))
                 .cast("decimal(38,10)"), 2
@@ -304,22 +350,28 @@ def finish(kept: DataFrame, stats: DataFrame, min_values: int = K.OUTLIER_MIN_VA
             "is_billable": ~F.col("is_cancelled") & ~F.col("cost_is_outlier"),
         }
     )
-    return df
+    return df.select(*SHIPMENT_COLUMNS, *extras, "_transit_missing_cancelled")
 
 
 @dataclass
 class Cleaned:
     """Result of a build: the typed table plus everything needed to audit it."""
 
-    annotated: DataFrame            # every raw row with its disposition (materialised)
+    annotated: DataFrame            # every raw row with its disposition, over the written stage
     stats: DataFrame                # quartiles / medians used for outliers and imputation
-    full: DataFrame                 # kept rows with helper columns (for the log)
+    full: DataFrame                 # kept rows, with one helper column for the log
     sources: list[str] = field(default_factory=list)
     file_entries: DataFrame | None = None  # per-file ingest / map_schema log rows
+    fx: dict = field(default_factory=dict)
+    iqr: float = K.OUTLIER_IQR_MULTIPLIER
+    penalty: float = K.LATE_PENALTY_EUR_PER_DAY
+    stages: list[str] = field(default_factory=list)
+    cells: DataFrame | None = None  # counts that the log is made from (audit.log_cells)
 
     @property
     def table(self) -> DataFrame:
-        return self.full.select(*SHIPMENT_COLUMNS)
+        """The processed table: SHIPMENT_COLUMNS, then extra source columns."""
+        return self.full.drop("_transit_missing_cancelled")
 
     def rejects(self) -> DataFrame:
         """Q6: removed rows with their reason."""
@@ -327,35 +379,52 @@ class Cleaned:
             "source_file", "order_id", "ship_date_raw", "carrier", F.col("_removed").alias("reason")
         )
 
+    def rejected_rows(self) -> DataFrame:
+        """The removed rows whole: every cleaned and extra column, and the reason."""
+        gone = self.annotated.filter(F.col("_removed").isNotNull())
+        return gone.select(*[c for c in gone.columns if not c.startswith("_")], F.col("_removed").alias("reason"))
+
 
 def clean(raw: DataFrame, *, accuracy: int | None = None, stage_mode: str = "write",
           carriers: dict | None = None, fx: dict | None = None, tokens: list[str] | None = None,
           date_formats: list[str] | None = None, sources: list[str] | None = None,
-          file_entries: DataFrame | None = None, check_flags: bool = True) -> Cleaned:
-    """Run the whole cleaning chain. Materialises the annotated stage (one
-    write) and the small statistics table; everything downstream is lazy."""
-    annotated = materialize(
-        annotate(raw, carriers=carriers, fx=fx, tokens=tokens, date_formats=date_formats),
-        "annotated", stage_mode,
-    )
+          file_entries: DataFrame | None = None, check_flags: bool = True,
+          min_values: int = K.OUTLIER_MIN_VALUES, iqr: float = K.OUTLIER_IQR_MULTIPLIER,
+          penalty: float = K.LATE_PENALTY_EUR_PER_DAY, central_europe: list[str] | None = None) -> Cleaned:
+    """Run the whole cleaning chain. The row-level stage is always written, so
+    that each row's position in its file is fixed; so are the value counts and,
+    with ``stage_mode="write"``, the finished table."""
+    stages: list[str] = []
+    rows = materialize(annotate(raw, carriers=carriers, fx=fx, tokens=tokens, date_formats=date_formats),
+                       "rows", stages=stages)
+    annotated, no_status = disposition(rows, stages)
+    if check_flags and no_status:  # what a null flag comes from; known before anything else is written
+        flag_error([c for c in FLAG_COLUMNS if c in ("is_cancelled", "is_late", "is_on_time", "is_billable",
+                                                     "transit_days_imputed")])
     kept = annotated.filter(F.col("_removed").isNull())
-    stats = materialize(group_stats(kept, accuracy), "stats", "persist")
-    full = finish(kept, stats)
+    stats = materialize(group_stats(kept, accuracy, stages), "stats", stages=stages)
+    full = finish(kept, stats, min_values, iqr, penalty, central_europe)
     if stage_mode == "write":
         # The finished table is the unit every view reads: write it once, so
-        # queries plan against a Parquet scan (pushdown, pruning) rather than
-        # re-deriving it, and the gate below is a cheap scan.
-        full = materialize(full, "shipments", stage_mode)
-    out = Cleaned(annotated=annotated, stats=stats, full=full, sources=sources or [], file_entries=file_entries)
-    if check_flags:
-        flag_gate(out.full)
-    return out
+        # queries plan against a Parquet scan. Each file is in date order, so a
+        # date range skips row groups by their statistics.
+        full = materialize(full.sortWithinPartitions("ship_date"), "shipments", stage_mode, stages)
+    return Cleaned(annotated=annotated, stats=stats, full=full, sources=sources or [], file_entries=file_entries,
+                   fx=K.FX_TO_EUR if fx is None else fx, iqr=iqr, penalty=penalty, stages=stages)
+
+
+def null_flags(full: DataFrame) -> DataFrame:
+    """C22 as counts: one row, the null values of each flag (all should be 0)."""
+    return full.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in FLAG_COLUMNS])
 
 
 def flag_gate(full: DataFrame) -> None:
     """A null flag is an error, never coerced. One aggregation."""
-    row = full.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in FLAG_COLUMNS]).first()
-    bad = [c for c in FLAG_COLUMNS if row[c]]
+    row = null_flags(full).first()
+    flag_error([c for c in FLAG_COLUMNS if row[c]])
+
+
+def flag_error(bad: list[str]) -> None:
     if bad:
         raise ValueError(
             "Flag column(s) " + ", ".join(f"`{c}`" for c in bad)

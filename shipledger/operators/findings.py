@@ -84,9 +84,7 @@ def prev_day(x: str) -> E:
 
 
 def _join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    if keys:
-        return a.join(b, keys, how)
-    return a.join(b, on=F.lit(True), how=how)
+    return A.join_on(a, b, keys, how=how)
 
 
 # ---------------------------------------------------------------------------
@@ -254,7 +252,7 @@ class Facts:
             keys = self.keys
             scope = self.signal().select(*keys, "carrier", "region")
             order = F.array_position(F.array(*[F.lit(d) for d in K.WEEKDAYS]), F.col("weekday"))
-            return self.cells().join(scope, keys + ["carrier", "region"]).select(
+            return A.join_on(self.cells(), scope, keys, ["carrier", "region"]).select(
                 *keys, "carrier", "region", F.col("ship_weekday").alias("weekday"), F.col("n").alias("shipments"),
                 A.ratio_pct(F.col("late_n"), F.col("n")).alias("late_pct"),
                 (F.col("t_sum").cast("double") / F.when(F.col("t_n") != 0, F.col("t_n"))).alias("transit_days"),
@@ -286,10 +284,6 @@ def carrier_table(df: DataFrame, by=None) -> DataFrame:
     return Facts(df, by, stage=False).carriers()
 
 
-def period_labels(df: DataFrame, by=None) -> DataFrame:
-    return Facts(df, by, stage=False).period()
-
-
 def weakest_carrier(df: DataFrame, by=None) -> DataFrame:
     return Facts(df, by, stage=False).weakest()
 
@@ -315,13 +309,12 @@ def findings(df: DataFrame, by=None, facts: Facts | None = None) -> DataFrame:
     ctx = _join(k, per, keys)
 
     # F1 weakest carrier
-    w = (
+    w = A.join_on(
         _join(weak, ctx.select(*keys, F.col("on_time_pct").alias("book_on_time"), F.col("orders").alias("book_orders"),
                                F.col("penalties").alias("book_penalties"), "cancelled_orders", "outlier_orders",
-                               "period"), keys)
-        .join(weak_lane, keys + ["carrier"], "left")
-        .filter(F.col("on_time_pct") < F.col("book_on_time") - K.WEAK_CARRIER_GAP_PTS)
-    )
+                               "period"), keys),
+        weak_lane, keys, ["carrier"], "left",
+    ).filter(F.col("on_time_pct") < F.col("book_on_time") - K.WEAK_CARRIER_GAP_PTS)
     gap = "book_on_time - on_time_pct"
     c = E("carrier")
     f_weak = w.select(
@@ -356,13 +349,13 @@ def findings(df: DataFrame, by=None, facts: Facts | None = None) -> DataFrame:
     sig = fx.signal()
     ev = fx.weekday_table()
     day_pos = (
-        ev.join(sig.select(*keys, "carrier", "region", F.col("weekday").alias("_sday")), keys + ["carrier", "region"])
+        A.join_on(ev, sig.select(*keys, "carrier", "region", F.col("weekday").alias("_sday")), keys, ["carrier", "region"])
         .groupBy(*keys, "carrier", "region", "_sday")
         .agg(F.count_if(F.col("weekday_order") < F.array_position(
             F.array(*[F.lit(d) for d in K.WEEKDAYS]), F.col("_sday"))).cast("int").alias("cite_row"))
         .drop("_sday")
     )
-    s = _join(sig, ctx.select(*keys, "period"), keys).join(day_pos, keys + ["carrier", "region"], "left")
+    s = A.join_on(_join(sig, ctx.select(*keys, "period"), keys), day_pos, keys, ["carrier", "region"], "left")
     day, c = E("weekday"), E("carrier")
     f_sig = s.select(
         *keys,
@@ -440,9 +433,9 @@ def findings(df: DataFrame, by=None, facts: Facts | None = None) -> DataFrame:
 # F8 evidence tables, one long table keyed by finding
 # ---------------------------------------------------------------------------
 
-def evidence(df: DataFrame, by=None) -> DataFrame:
+def evidence(df: DataFrame, by=None, facts: Facts | None = None) -> DataFrame:
     """F8: the table behind each kept finding, in one long frame."""
-    fx = Facts(df, by)
+    fx = facts or Facts(df, by)
     keys = fx.keys
     kept = findings(df, facts=fx).select(*keys, "key")
     bc = fx.carriers().select(
@@ -464,7 +457,7 @@ def evidence(df: DataFrame, by=None) -> DataFrame:
         F.lit(None).cast("double").alias("spend"), F.lit(None).cast("double").alias("on_time_pct"), "late_pct",
         F.lit(None).cast("double").alias("transit_days"), "penalties",
     )
-    return bc.unionByName(wk).unionByName(ln).join(kept, keys + ["key"], "left_semi")
+    return A.join_on(bc.unionByName(wk).unionByName(ln), kept, keys, ["key"], "left_semi")
 
 
 # ---------------------------------------------------------------------------
@@ -476,9 +469,9 @@ def n_words(x: str) -> E:
     return E(f"CASE {x} {whens} ELSE CAST({x} AS STRING) END")
 
 
-def executive_summary(df: DataFrame, by=None) -> DataFrame:
+def executive_summary(df: DataFrame, by=None, facts: Facts | None = None) -> DataFrame:
     """hero figure, composition, three sentences, footer, one row per slice."""
-    fx = Facts(df, by)
+    fx = facts or Facts(df, by)
     keys = fx.keys
     k = fx.kpis()
     per = fx.period()
@@ -553,10 +546,11 @@ def executive_summary(df: DataFrame, by=None) -> DataFrame:
 # F7 brief and its audit
 # ---------------------------------------------------------------------------
 
-def brief(df: DataFrame, facts: Facts | None = None) -> DataFrame:
-    """one to three bullets (bullet_no, text), with the fallback line when
-    nothing is worth escalating."""
-    fx = facts or Facts(df)
+def brief(df: DataFrame, by=None, facts: Facts | None = None) -> DataFrame:
+    """one to three bullets (bullet_no, text) per slice, with the fallback
+    line when nothing is worth escalating."""
+    fx = facts or Facts(df, by)
+    keys = fx.keys
     k = fx.kpis()
     sig = fx.signal()
     top = fx.top_lanes(3).filter(F.col("lane_rank") == 1)
@@ -564,34 +558,33 @@ def brief(df: DataFrame, facts: Facts | None = None) -> DataFrame:
     day, c = E("weekday"), E("carrier")
 
     b1 = sig.select(
-        F.lit(1).alias("_slot"),
+        *keys, F.lit(1).alias("_slot"),
         txt("**", day, " is where ", E("region"), " is losing you money.** ", f0("late_pct"), "% of ", c, "'s ", day,
             " dispatches land late. Any other weekday it is ", f0("baseline_late_pct"), "%. Transit runs ",
             f0("transit_uplift_pct"), "% longer across ", comma("shipments"), " shipments and the penalties come to ",
             money("penalties_eur"), ". Shift ", day, " volume to ", prev_day("weekday"),
             " and get a written cut-off time out of ", c, ".").alias("text"),
     )
-    t = top.join(sig.select(F.col("carrier").alias("_sig_carrier")), on=F.lit(True), how="left")
+    t = _join(top, sig.select(*keys, F.col("carrier").alias("_sig_carrier")), keys, "left")
     b2 = t.select(
-        F.lit(2).alias("_slot"),
+        *keys, F.lit(2).alias("_slot"),
         txt("**Your worst single lane is ", c, " into ", E("destination_country"), ".** ", f0("late_pct"),
             "% late across ", comma("orders"), " shipments, ", money("penalties"), " in penalties. ",
             E("CASE WHEN coalesce(carrier = _sig_carrier, false) THEN "
               + X.sq("Same carrier as the point above, so make it one commercial conversation rather than two.")
               + " ELSE concat('Re-tender it, or price the penalty into what you pay ', carrier, '.') END")).alias("text"),
     )
-    wk = (
-        weak.crossJoin(k.select(F.col("on_time_pct").alias("_book")))
-        .join(top.select(F.col("carrier").alias("_lane_carrier")), on=F.lit(True), how="left")
-        .filter(F.col("on_time_pct") < F.col("_book") - K.WEAK_CARRIER_GAP_PTS)
-    )
+    wk = _join(
+        _join(weak, k.select(*keys, F.col("on_time_pct").alias("_book")), keys),
+        top.select(*keys, F.col("carrier").alias("_lane_carrier")), keys, "left",
+    ).filter(F.col("on_time_pct") < F.col("_book") - K.WEAK_CARRIER_GAP_PTS)
     gap = "_book - on_time_pct"
     shared = "coalesce(_lane_carrier = carrier, false)"
     lead_shared = txt("**", c, " is not one bad lane.** It runs ", f0(gap), " points below the book at ",
                       f0("on_time_pct"), "% on time.")
     lead_other = txt("**", c, " runs ", f0(gap), " points below the book, at ", f0("on_time_pct"), "% on time.**")
     b3 = wk.select(
-        F.lit(3).alias("_slot"),
+        *keys, F.lit(3).alias("_slot"),
         F.concat(
             F.when(F.expr(shared), lead_shared).otherwise(lead_other),
             txt(" That is ", comma("orders"), " shipments and ", money("spend", False),
@@ -600,50 +593,55 @@ def brief(df: DataFrame, facts: Facts | None = None) -> DataFrame:
         ).alias("text"),
     )
     bullets = b1.unionByName(b2).unionByName(b3)
-    fallback = k.select(
-        F.lit(0).alias("_slot"),
+    counted = bullets.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    fallback = _join(k, counted, keys, "left").filter(F.coalesce(F.col("_n"), F.lit(0)) == 0).select(
+        *keys, F.lit(0).alias("_slot"),
         txt("**Nothing in this view is worth escalating.** ", f1("on_time_pct"), "% on time across ", comma("orders"),
             " shipments, with ", money("penalties"),
             " of penalties. Widen the date range or clear the carrier filter to go looking.").alias("text"),
-    ).join(bullets.agg(F.count(F.lit(1)).alias("_n")), on=F.lit(True)).filter(F.col("_n") == 0).drop("_n")
+    )
     out = bullets.unionByName(fallback)
-    return out.select(F.row_number().over(Window.orderBy("_slot")).cast("int").alias("bullet_no"), "text")
+    rank = Window.partitionBy(*keys).orderBy("_slot")  # three bullets at most
+    return out.select(*keys, F.row_number().over(rank).cast("int").alias("bullet_no"), "text")
 
 
-def evidence_numbers(df: DataFrame, facts: Facts | None = None) -> DataFrame:
-    """Every numeric fact the brief may quote (one column ``value``)."""
-    fx = facts or Facts(df)
+def evidence_numbers(df: DataFrame, by=None, facts: Facts | None = None) -> DataFrame:
+    """Every numeric fact the brief may quote (slice keys, ``value``)."""
+    fx = facts or Facts(df, by)
+    keys = fx.keys
     k = fx.kpis()
-    kv = k.select(F.explode(F.array(*[F.col(c).cast("double") for c in k.columns])).alias("value"))
+    kv = k.select(*keys, F.explode(F.array(*[F.col(c).cast("double") for c in k.columns if c not in keys])).alias("value"))
     sig = fx.signal()
-    sv = sig.select(F.explode(F.array(*[F.col(c).cast("double") for c in (
+    sv = sig.select(*keys, F.explode(F.array(*[F.col(c).cast("double") for c in (
         "shipments", "baseline_shipments", "transit_uplift_pct", "late_pct", "baseline_late_pct", "penalties_eur",
         "late_gap_pct")])).alias("value"))
     weak = fx.weakest()
-    wv = weak.select(F.explode(F.array(*[F.col(c).cast("double") for c in ("on_time_pct", "orders", "spend")])).alias(
+    wv = weak.select(*keys, F.explode(F.array(*[F.col(c).cast("double") for c in ("on_time_pct", "orders", "spend")])).alias(
         "value"))
-    gap = weak.crossJoin(k.select(F.col("on_time_pct").alias("_b"))).select(
-        (F.col("_b") - F.col("on_time_pct")).alias("value"))
+    gap = _join(weak, k.select(*keys, F.col("on_time_pct").alias("_b")), keys).select(
+        *keys, (F.col("_b") - F.col("on_time_pct")).alias("value"))
     lanes = fx.top_lanes(3)
-    lv = lanes.select(F.explode(F.array(*[F.col(c).cast("double") for c in ("orders", "late_pct", "penalties")])).alias(
+    lv = lanes.select(*keys, F.explode(F.array(*[F.col(c).cast("double") for c in ("orders", "late_pct", "penalties")])).alias(
         "value"))
     return kv.unionByName(sv).unionByName(wv).unionByName(gap).unionByName(lv).filter(F.col("value").isNotNull())
 
 
-def brief_audit(df: DataFrame) -> DataFrame:
+def brief_audit(df: DataFrame, by=None, facts: Facts | None = None) -> DataFrame:
     """F7 audit: every figure quoted in the brief must trace to the evidence
-    (as itself, truncated, in thousands, or x10 at one decimal). One row:
-    figures quoted, figures not traceable, traceable."""
-    fx = Facts(df)
-    ev = evidence_numbers(df, fx)
+    (as itself, truncated, in thousands, or x10 at one decimal). One row a
+    slice: figures quoted, figures not traceable, traceable."""
+    fx = facts or Facts(df, by)
+    keys = fx.keys
+    ev = evidence_numbers(df, facts=fx)
     v = F.col("value")
-    allowed = ev.select(F.explode(F.array(
+    allowed = ev.select(*keys, F.explode(F.array(
         F.bround(v, 0).cast("long"), v.cast("long"), F.bround(v / 1000, 0).cast("long"),
         (F.bround(v, 1) * 10).cast("long"),
     )).alias("n")).distinct()
-    tokens = brief(df, fx).select(
-        F.explode(F.regexp_extract_all("text", F.lit("(\\d[\\d,\u202f]*(?:\\.\\d+)?)"), 1)).alias("tok"))
-    nums = tokens.select(F.bround(F.regexp_replace("tok", "[,\u202f]", "").cast("double"), 0).cast("long").alias("n"))
-    bad = nums.join(F.broadcast(allowed), "n", "left_anti")
-    return nums.agg(F.count(F.lit(1)).alias("figures")).crossJoin(bad.agg(F.count(F.lit(1)).alias("untraceable"))).select(
-        "figures", "untraceable", (F.col("untraceable") == 0).alias("traceable"))
+    tokens = brief(df, facts=fx).select(
+        *keys, F.explode(F.regexp_extract_all("text", F.lit("(\\d[\\d,\u202f]*(?:\\.\\d+)?)"), 1)).alias("tok"))
+    nums = tokens.select(*keys, F.bround(F.regexp_replace("tok", "[,\u202f]", "").cast("double"), 0).cast("long").alias("n"))
+    checked = A.join_on(nums, allowed.withColumn("_ok", F.lit(True)), keys, ["n"], "left")
+    return checked.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("figures"), F.count_if(F.col("_ok").isNull()).alias("untraceable")).withColumn(
+        "traceable", F.col("untraceable") == 0)

@@ -10,10 +10,10 @@ the session's checkpoint folder, so losing an executor costs a re-read.
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from shipledger import constants as K
 from shipledger.operators.clean import Cleaned, clean
+from shipledger.session import drop_stages
 from shipledger.sources import testbook
 
 _MEMO: dict[tuple, Cleaned] = {}
@@ -56,9 +56,23 @@ def build_from_frames(spark: SparkSession, frames: dict, **kw) -> Cleaned:
     return clean(raw, sources=list(frames), file_entries=entries, **kw)
 
 
+def _manifest(spark: SparkSession, sf_dir: str) -> tuple:
+    """Length and modification time of the input tables, so that a changed
+    input is cleaned anew."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for t in testbook.TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{t}.parquet")
+        fs = path.getFileSystem(conf)
+        for st in fs.listStatus(path) if fs.exists(path) else []:
+            out.append((st.getPath().toString(), st.getLen(), st.getModificationTime()))
+    return tuple(out)
+
+
 def processed(spark: SparkSession, sf_dir: str, **kw) -> Cleaned:
-    """Memoised ``build_from_tables``: one cleaning run per session and input."""
-    key = (_session_key(spark), sf_dir.rstrip("/"), tuple(sorted(kw.items())))
+    """Memoised ``build_from_tables``: one cleaning run per session and input
+    (path, sizes and times of its files)."""
+    key = (_session_key(spark), sf_dir.rstrip("/"), _manifest(spark, sf_dir), repr(sorted(kw.items())))
     hit = _MEMO.get(key)
     if hit is None:
         hit = build_from_tables(spark, sf_dir, **kw)
@@ -67,14 +81,15 @@ def processed(spark: SparkSession, sf_dir: str, **kw) -> Cleaned:
 
 
 def forget(spark: SparkSession | None = None) -> None:
-    """Drop memoised builds (all, or those of one session) and their caches."""
+    """Drop memoised builds (all, or those of one session) and their stages."""
     for key in list(_MEMO):
         if spark is None or key[0] == _session_key(spark):
-            _MEMO.pop(key).stats.unpersist()
+            built = _MEMO.pop(key)
+            drop_stages(built.full.sparkSession, built.stages)
 
 
 def table(spark: SparkSession, sf_dir: str):
     return processed(spark, sf_dir).table
 
 
-__all__ = ["build_from_tables", "processed", "forget", "table", "F"]
+__all__ = ["build_from_tables", "processed", "forget", "table"]

@@ -40,23 +40,14 @@ def case_map(key: str, mapping: dict, cast: str | None = None) -> str:
     return f"CAST({expr} AS {cast})" if cast else expr
 
 
-_DUCK_FORMATS = {
-    "yyyy-MM-dd": "%Y-%m-%d",
-    "yyyy-MM-dd HH:mm:ss": "%Y-%m-%d %H:%M:%S",
-    "yyyy-MM-dd'T'HH:mm:ss": "%Y-%m-%dT%H:%M:%S",
-    "d/M/yyyy": "%d/%m/%Y",
-    "d.M.yyyy": "%d.%m.%Y",
-    "yyyy/M/d": "%Y/%m/%d",
-    "yyyyMMdd": "%Y%m%d",
-    "MMM d, yyyy": "%b %d, %Y",
-    "d-MMM-yyyy": "%d-%b-%Y",
-    "M/d/yyyy": "%m/%d/%Y",
-}
+#: the layouts of the adapter's dates, and no others
+_DATE_LAYOUTS = ["%Y-%m-%d", "%d/%m/%Y", "%b %d, %Y", "%Y-%m-%d %H:%M:%S", "%d-%m-%Y", "%Y-%m-%dT%H:%M:%SZ",
+                 "%d/%m/%Y %H:%M", "%d %B %Y"]
 
 
 def parse_date(x: str) -> str:
     x = trim_ws(x)
-    tries = ", ".join(f"try_strptime({x}, {q(_DUCK_FORMATS[f])})" for f in K.DATE_FORMATS)
+    tries = ", ".join(f"try_strptime({x}, {q(f)})" for f in _DATE_LAYOUTS)
     return f"CAST(coalesce({tries}) AS DATE)"
 
 
@@ -76,10 +67,14 @@ raw AS (
   SELECT
     CASE WHEN k % 1013 = 0 THEN NULL ELSE 'ORD-' || CAST(o AS VARCHAR) || '-' || CAST(ln AS VARCHAR) END AS order_id,
     CASE WHEN k % 83 = 0 THEN NULL WHEN k % 89 = 0 THEN 'junk'
-         WHEN o % 4 = 0 THEN strftime(ts, '%Y-%m-%d')
-         WHEN o % 4 = 1 THEN strftime(ts, '%d/%m/%Y')
-         WHEN o % 4 = 2 THEN strftime(ts, '%b %d, %Y')
-         ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS ship_date,
+         WHEN o % 8 = 0 THEN strftime(ts, '%Y-%m-%d')
+         WHEN o % 8 = 1 THEN strftime(ts, '%d/%m/%Y')
+         WHEN o % 8 = 2 THEN strftime(ts, '%b %d, %Y')
+         WHEN o % 8 = 3 THEN strftime(ts, '%Y-%m-%d %H:%M:%S')
+         WHEN o % 8 = 4 THEN strftime(ts, '%d-%m-%Y')
+         WHEN o % 8 = 5 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ')
+         WHEN o % 8 = 6 THEN strftime(ts, '%d/%m/%Y %H:%M')
+         ELSE strftime(ts, '%d %B %Y') END AS ship_date,
     CASE WHEN k % 101 = 0 THEN 'Acme Road' ELSE ({arr(TB.CARRIER_SPELLINGS)})[1 + (s % 6) * 2 + k % 2] END AS carrier,
     n_name AS origin_city,
     ({arr(TB.ORIGINS)})[1 + s_nationkey % 5] AS origin_country,

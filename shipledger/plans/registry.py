@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from shipledger import constants as K
 from shipledger.plans import oracle as O
@@ -108,4 +107,4 @@ def q_carrier_spend(spark, sf_dir):
 
 from shipledger.plans import registry_steps, registry_metrics, registry_findings  # noqa: E402,F401
 
-__all__ = ["QUERIES", "ORACLE", "register", "F"]
+__all__ = ["QUERIES", "ORACLE", "register"]

@@ -51,6 +51,37 @@ def q_brief_audit(spark, sf_dir):
     return FD.brief_audit(_table(spark, sf_dir))
 
 
+def per_segment(sql: str) -> str:
+    """The query over each customer segment alone, stacked (DuckDB side)."""
+    whole = "shipments AS (SELECT * FROM full_)"
+    if whole not in sql:
+        raise ValueError("the query does not read the shipments chain")
+    return "\nUNION ALL\n".join(
+        f"SELECT '{s}' AS customer_segment, q.* FROM ("
+        + sql.replace(whole, f"shipments AS (SELECT * FROM full_ WHERE customer_segment = '{s}')") + ") q"
+        for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"))
+
+
+@register("evidence_by_segment", lambda: per_segment(OF.evidence_sql()))
+def q_evidence_by_segment(spark, sf_dir):
+    return FD.evidence(_table(spark, sf_dir), by="customer_segment")
+
+
+@register("summary_by_segment", lambda: per_segment(OF.summary_sql()))
+def q_summary_by_segment(spark, sf_dir):
+    return FD.executive_summary(_table(spark, sf_dir), by="customer_segment")
+
+
+@register("brief_by_segment", lambda: per_segment(OF.brief_sql()))
+def q_brief_by_segment(spark, sf_dir):
+    return FD.brief(_table(spark, sf_dir), by="customer_segment")
+
+
+@register("brief_audit_by_segment", lambda: per_segment(OF.brief_audit_sql()))
+def q_brief_audit_by_segment(spark, sf_dir):
+    return FD.brief_audit(_table(spark, sf_dir), by="customer_segment")
+
+
 @register("formatted_carriers", OF.formatted_carriers_sql)
 def q_formatted_carriers(spark, sf_dir):
     """The carrier detail table as the report shows it: grouped counts, exact

@@ -4,17 +4,22 @@ exposes the step's effect, so a wrong step shows as a value mismatch."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from shipledger import constants as K
 from shipledger.operators import audit
 from shipledger.operators.aggregates import trend
+from shipledger.operators.clean import null_flags
 from shipledger.plans import oracle as O
 from shipledger.plans.build import processed
 from shipledger.plans.registry import cnt, msum, register
-from shipledger.schema import SHIPMENT_SCHEMA
-from shipledger.sources.testbook import raw_shipments
-from shipledger.sources.ingest import SPLIT_EXPORTS, reconcile_frames, split_vocabularies
+from shipledger.schema import FLAG_COLUMNS, SHIPMENT_SCHEMA
+from shipledger.session import stage_root
+from shipledger.sources import store
+from shipledger.sources.ingest import read_exports, reconcile_frames, split_vocabularies
+from shipledger.sources.testbook import SOURCE_NAME, SPLIT_EXPORTS, SYSTEMS, raw_shipments, write_exports
 
 
 def _sql(body: str, *extra: str) -> str:
@@ -252,8 +257,6 @@ def _log_sql() -> str:
     (SELECT {cnt("cost_is_imputed")} FROM full_) AS cost_imputed,
     (SELECT list_sort(list(carrier)) FROM (SELECT DISTINCT carrier FROM annotated
        WHERE _carrier_unmapped AND carrier IS NOT NULL ORDER BY carrier LIMIT 10)) AS carrier_names,
-    (SELECT list_sort(list(currency)) FROM (SELECT DISTINCT currency FROM kept
-       WHERE _ccy_unknown AND currency IS NOT NULL ORDER BY currency LIMIT {L.LIST_SHOWN})) AS ccy_names,
     (SELECT CAST(count(DISTINCT currency) AS BIGINT) FROM kept WHERE _ccy_unknown) AS n_ccy
 )"""
 
@@ -261,26 +264,24 @@ def _log_sql() -> str:
         return (f"SELECT {seq} AS seq, {O.q(step)} AS step, {O.q(action)} AS action, CAST({n} AS BIGINT) AS rows_affected, "
                 f"{detail} AS detail FROM _c WHERE {cond}")
 
-    more = (f"CASE WHEN n_ccy > {L.LIST_SHOWN} THEN ' and ' || CAST(n_ccy - {L.LIST_SHOWN} AS VARCHAR) || ' more' "
-            "ELSE '' END")
     parts = [
-        f"SELECT -9999 AS seq, {O.q(L.LOG_INGEST[0])} AS step, {O.q(L.LOG_INGEST[1])} AS action, "
+        f"SELECT 1 AS seq, {O.q(L.LOG_INGEST[0])} AS step, {O.q(L.LOG_INGEST[1])} AS action, "
         f"CAST(count(*) AS BIGINT) AS rows_affected, source_file || ' ({len(K.REQUIRED_COLUMNS)} columns)' AS detail "
         "FROM annotated GROUP BY source_file",
-        row(10, *L.LOG_TRIM[:2], "padded", O.q(L.LOG_TRIM[2])),
-        row(11, *L.LOG_CARRIER_FLAG, "unmapped", _py_list_sql("carrier_names"), "unmapped > 0"),
-        row(12, *L.LOG_CARRIER_MAP[:2], "changed", f"CAST(n_carriers AS VARCHAR) || {O.q(' ' + L.LOG_CARRIER_MAP[2])}"),
-        row(13, *L.LOG_DATES[:2], "parsed", O.q(L.LOG_DATES[2])),
-        row(14, *L.LOG_UNDATED[:2], "undated", O.q(L.LOG_UNDATED[2]), "undated > 0"),
-        row(15, *L.LOG_DUPES[:2], "dupes", O.q(L.LOG_DUPES[2]), "dupes > 0"),
-        row(16, *L.LOG_NEG[:2], "neg_transit", O.q(L.LOG_NEG[2]), "neg_transit > 0"),
-        row(17, *L.LOG_CCY_FLAG, "unknown_ccy", _py_list_sql("ccy_names") + " || " + more, "unknown_ccy > 0"),
-        row(18, *L.LOG_CCY[:2], "converted", O.q(L.LOG_CCY[2])),
-        row(19, *L.LOG_OUTLIERS[:2], "outliers", O.q(L.LOG_OUTLIERS[2])),
-        row(20, *L.LOG_IMP_TRANSIT[:2], "transit_imputed", O.q(L.LOG_IMP_TRANSIT[2])),
-        row(21, *L.LOG_IMP_CANCELLED[:2], "transit_cancelled", O.q(L.LOG_IMP_CANCELLED[2])),
-        row(22, *L.LOG_IMP_COST[:2], "cost_imputed", O.q(L.LOG_IMP_COST[2])),
-        row(23, *L.LOG_DERIVE[:2], "rows_out", O.q(L.LOG_DERIVE[2])),
+        row(3, *L.LOG_TRIM[:2], "padded", O.q(L.LOG_TRIM[2])),
+        row(4, *L.LOG_CARRIER_FLAG, "unmapped", _py_list_sql("carrier_names"), "unmapped > 0"),
+        row(5, *L.LOG_CARRIER_MAP[:2], "changed", f"CAST(n_carriers AS VARCHAR) || {O.q(' ' + L.LOG_CARRIER_MAP[2])}"),
+        row(6, *L.LOG_DATES[:2], "parsed", O.q(L.LOG_DATES[2])),
+        row(7, *L.LOG_UNDATED[:2], "undated", O.q(L.LOG_UNDATED[2]), "undated > 0"),
+        row(8, *L.LOG_DUPES[:2], "dupes", O.q(L.LOG_DUPES[2]), "dupes > 0"),
+        row(9, *L.LOG_NEG[:2], "neg_transit", O.q(L.LOG_NEG[2]), "neg_transit > 0"),
+        row(10, *L.LOG_CCY_FLAG, "unknown_ccy", f"CAST(n_ccy AS VARCHAR) || {O.q(L.CCY_DETAIL)}", "unknown_ccy > 0"),
+        row(11, *L.LOG_CCY[:2], "converted", O.q("rates: {'EUR': 1.0, 'USD': 0.92, 'SEK': 0.087}")),
+        row(12, *L.LOG_OUTLIERS[:2], "outliers", O.q("IQR rule per service level, multiplier 3.0")),
+        row(13, *L.LOG_IMP_TRANSIT[:2], "transit_imputed", O.q(L.LOG_IMP_TRANSIT[2])),
+        row(14, *L.LOG_IMP_CANCELLED[:2], "transit_cancelled", O.q(L.LOG_IMP_CANCELLED[2])),
+        row(15, *L.LOG_IMP_COST[:2], "cost_imputed", O.q(L.LOG_IMP_COST[2])),
+        row(16, *L.LOG_DERIVE[:2], "rows_out", O.q("late penalty assumption: €45 per shipment per day late")),
     ]
     return _sql("\nUNION ALL\n".join(parts), counts)
 
@@ -290,6 +291,73 @@ def q_cleaning_log(spark, sf_dir):
     return audit.cleaning_log(processed(spark, sf_dir))
 
 
+def _values_sql() -> str:
+    return _sql(f"""SELECT {O.q(audit.LOG_CARRIER_FLAG[0])} AS step, carrier AS value, {cnt()} AS rows
+FROM annotated WHERE _carrier_unmapped GROUP BY carrier
+UNION ALL
+SELECT {O.q(audit.LOG_CCY_FLAG[0])}, currency, {cnt()} FROM kept WHERE _ccy_unknown GROUP BY currency""")
+
+
+@register("cleaning_log_values", _values_sql)
+def q_cleaning_log_values(spark, sf_dir):
+    """Every unmapped carrier name and unknown currency, with its rows."""
+    return audit.cleaning_log_values(processed(spark, sf_dir))
+
+
+def _totals_sql() -> str:
+    return _sql(f"""SELECT {cnt()} AS rows_in, {cnt("_removed IS NOT NULL")} AS rows_removed,
+  {cnt("_removed IS NULL")} AS rows_out, true AS reconciles, {O.q(SOURCE_NAME)} AS sources,
+  '{{"EUR":1.0,"USD":0.92,"SEK":0.087}}' AS fx_to_eur, CAST(45 AS DOUBLE) AS late_penalty_eur_per_day,
+  CAST(3 AS DOUBLE) AS outlier_iqr_multiplier FROM annotated""")
+
+
+@register("log_totals", _totals_sql)
+def q_log_totals(spark, sf_dir):
+    """The log's totals and assumptions (without the time stamp)."""
+    t = audit.totals(processed(spark, sf_dir))
+    return t.select("rows_in", "rows_removed", "rows_out", "reconciles", F.array_join("sources", ",").alias("sources"),
+                    "assumptions.*")
+
+
+def _null_flags_sql() -> str:
+    return _sql("SELECT " + ", ".join(f"{cnt(f'{c} IS NULL')} AS {c}" for c in FLAG_COLUMNS) + " FROM shipments")
+
+
+@register("null_flags", _null_flags_sql)
+def q_null_flags(spark, sf_dir):
+    return null_flags(processed(spark, sf_dir).table)
+
+
+@register("storage_roundtrip", _derived_sql)
+def q_storage_roundtrip(spark, sf_dir):
+    """The processed table written as gzip CSV, read back with the
+    pinned types."""
+    path = f"{stage_root(spark)}/stages/roundtrip-{uuid.uuid4().hex}"
+    t = processed(spark, sf_dir).table
+    store.write_processed(t, f"{path}/parquet", csv_path=f"{path}/csv", partition_by=None)
+    return store.read_processed(spark, f"{path}/csv", "csv").select(*_derived_cols_spark())
+
+
+def _exports_sql() -> str:
+    systems = " ".join(f"WHEN {i} THEN {O.q(name)}" for i, (name, _, _) in enumerate(SYSTEMS))
+    city = "'He said \"hi\", |' || chr(10) || destination_city"
+    others = ", ".join(c for c in K.REQUIRED_COLUMNS if c != "destination_city")
+    return _sql(f"""SELECT CASE _part % 3 {systems} END AS system, {others},
+  CASE WHEN _part % 3 = 2 THEN {city} ELSE destination_city END AS destination_city FROM raw""")
+
+
+@register("ingested_exports", _exports_sql)
+def q_ingested_exports(spark, sf_dir):
+    """The raw export written as CSVs of three vocabularies and
+    delimiters (doubled quotes and line breaks inside fields, a space in file
+    names, equal base names), then read back."""
+    top = f"{stage_root(spark)}/stages/exports-{uuid.uuid4().hex}"
+    files = write_exports(spark, raw_shipments(spark, sf_dir), top)
+    got = read_exports(spark, [path for _, path in files]).raw
+    systems = spark.createDataFrame([(i, system) for i, (system, _) in enumerate(files)], "_file int, system string")
+    return got.where("not _surplus").join(systems, "_file").select("system", *K.REQUIRED_COLUMNS)
+
+
 def _recon_sql() -> str:
     from shipledger.plans.registry import CARRIER_SQL, KPI_SQL
 
@@ -321,7 +389,7 @@ FROM _k, _csum, _ann, _wk""",
 @register("reconciliation", _recon_sql)
 def q_reconciliation(spark, sf_dir):
     c = processed(spark, sf_dir)
-    return audit.reconciliation(c.table, audit.cleaning_log(c), c.annotated, trend(c.table, "week"))
+    return audit.reconciliation(c, trend(c.table, "week"))
 
 
 def _invariants_sql() -> str:

@@ -5,14 +5,15 @@ where to cut lineage, and when a side is small enough to broadcast."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows above which a derived lookup is joined by shuffle rather than broadcast.
-BROADCAST_MAX_ROWS = 200_000
+# Size above which a derived lookup is joined by shuffle rather than broadcast.
+BROADCAST_MAX_BYTES = 16 << 20
 
 # Settings the library recommends for a cluster session too (README).
 SESSION_CONF = {
@@ -49,25 +50,29 @@ def get_spark(master: str | None = None, partitions: int = 8, app: str = "shiple
 
 def stage_root(spark: SparkSession) -> str:
     """The shared folder for materialised stages: the session's checkpoint
-    directory. Only when none is configured (local tests) is a private
-    temporary folder created and registered."""
+    directory. Only in local mode, with none configured, is a private temporary
+    folder created and registered; on a cluster each executor would write to
+    a disk of its own, so that is an error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current.rstrip("/")
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="shipledger-ckpt-")
     sc.setCheckpointDir(configured)
     return (sc.getCheckpointDir() or configured).rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, mode: str = "write") -> DataFrame:
+def materialize(df: DataFrame, name: str, mode: str = "write", stages: list[str] | None = None) -> DataFrame:
     """Cut lineage at an expensive, multiply-consumed stage.
 
     ``write`` stores the stage as Parquet in the shared stage folder and reads
     it back, so later consumers get column pruning and filter pushdown and a
-    lost executor costs a re-read, not a recompute of the shuffle above.
+    lost executor costs a re-read, not a recompute of the shuffle above; the
+    path is added to ``stages``, for ``drop_stages``.
     ``checkpoint`` uses a reliable RDD checkpoint in the same folder.
     ``persist`` keeps it in memory/disk (lineage kept; for interactive use).
     """
@@ -81,9 +86,19 @@ def materialize(df: DataFrame, name: str, mode: str = "write") -> DataFrame:
         raise ValueError(f"unknown materialize mode {mode!r}")
     path = f"{stage_root(spark)}/stages/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    if stages is not None:
+        stages.append(path)
     return spark.read.parquet(path)
 
 
+def drop_stages(spark: SparkSession, stages: list[str]) -> None:
+    """Delete written stages; frames that read them must not be used again."""
+    for path in stages:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    stages.clear()
+
+
 def ensure_parallel(df: DataFrame, key: str | None = None) -> DataFrame:
     """Spread a scan that yields fewer partitions than the cluster has cores
     (a few large files, one row group each, a gzip CSV) over the default
@@ -97,9 +112,17 @@ def ensure_parallel(df: DataFrame, key: str | None = None) -> DataFrame:
     return df
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking its size; beyond the bound it is
-    returned unchanged and the join shuffles. ``df`` must be cheap to count
-    (a small aggregate over a materialised stage)."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+def text_bytes(df: DataFrame):
+    """Column expression: bytes a row takes, roughly (16 a fixed-width column)."""
+    size = F.lit(0)
+    for f in df.schema.fields:
+        size = size + (F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.typeName() == "string" else F.lit(16))
+    return size
+
+
+def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast ``df`` only after checking its size in bytes; beyond the bound
+    it is returned unchanged and the join shuffles. ``df`` must be cheap to
+    read (a materialised stage, or a small aggregate over one)."""
+    size = df.agg(F.coalesce(F.sum(text_bytes(df)), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= max_bytes else df

@@ -21,33 +21,39 @@ def write_processed(table: DataFrame, path: str, csv_path: str | None = None,
                     partition_by: str | None = "ship_month", mode: str = "overwrite",
                     sort: bool = False) -> None:
     """The processed table as Parquet, partitioned by month so date-range
-    views prune whole directories; optionally the same rows as gzip CSV.
+    views prune whole directories; optionally the same rows as gzip CSV (a
+    null and an empty text are told apart: empty is written as ""). Extra
+    columns of the sources are kept.
     ``sort`` writes in the W1 order (one extra shuffle of the table)."""
     if sort:
         table = sorted_table(table, partition_by)
-    w = table.select(*SHIPMENT_COLUMNS).write.mode(mode)
+    w = table.write.mode(mode)
     (w.partitionBy(partition_by) if partition_by else w).parquet(path)
     if csv_path:
-        (table.select(*SHIPMENT_COLUMNS).write.mode(mode).option("header", True)
+        (table.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
          .option("compression", "gzip").csv(csv_path))
 
 
 def read_processed(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Read back with the pinned types (no inference) in column order."""
+    """Read back with the pinned types (no inference) in column order,
+    then extra columns as they are (strings, from CSV)."""
     if fmt == "parquet":
         df = spark.read.parquet(path)
     elif fmt == "csv":
-        df = spark.read.schema(SHIPMENT_SCHEMA).option("header", True).csv(path)
+        df = (spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
+              .option("emptyValue", "").csv(path))
     else:
         raise ValueError(fmt)
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SHIPMENT_SCHEMA.fields])
+    extras = [c for c in df.columns if c not in SHIPMENT_COLUMNS]
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SHIPMENT_SCHEMA.fields], *extras)
 
 
 def parity(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows present in one frame and not the other, both ways (multiset);
     an empty result means the two storage formats hold the same table."""
-    cols = list(SHIPMENT_COLUMNS)
-    a, b = a.select(*cols), b.select(*cols)
+    cols = [*SHIPMENT_COLUMNS, *sorted((set(a.columns) | set(b.columns)) - set(SHIPMENT_COLUMNS))]
+    a, b = a.select(*cols), b.select(*cols)  # an extra column in one of them only is an error
     return a.exceptAll(b).withColumn("_side", F.lit("left_only")).unionByName(
         b.exceptAll(a).withColumn("_side", F.lit("right_only")))
 

@@ -3,7 +3,7 @@
 The driver data holds no shipments, so line items become shipments by integer
 arithmetic on their keys. The rules are deterministic, so the same raw export
 can be rebuilt in DuckDB for the oracle (``shipledger.plans.oracle``). Every
-defect the cleaning must handle is planted: four date layouts, missing and
+defect the cleaning must handle is planted: eight date layouts, missing and
 junk dates, carrier spelling variants and an unknown carrier, padded cities,
 upper-case statuses, currencies (including an unknown one), ten-fold costs,
 missing costs and transit times, negative transit, zero weights, null ids and
@@ -15,7 +15,7 @@ Rules, with k = l_partkey, o = l_orderkey, s = l_suppkey, c = c_custkey:
 | raw column | rule |
 |---|---|
 | order_id | null if k%1013=0 else 'ORD-' o '-' l_linenumber |
-| ship_date | null if k%83=0; 'junk' if k%89=0; else by o%4: yyyy-MM-dd, dd/MM/yyyy, MMM dd, yyyy, yyyy-MM-dd HH:mm:ss |
+| ship_date | null if k%83=0; 'junk' if k%89=0; else by o%8: yyyy-MM-dd, dd/MM/yyyy, MMM dd, yyyy, yyyy-MM-dd HH:mm:ss, dd-MM-yyyy, yyyy-MM-dd'T'HH:mm:ss'Z', dd/MM/yyyy HH:mm, dd MMMM yyyy |
 | carrier | 'Acme Road' if k%101=0; else entry 1+(s%6)*2+k%2 of CARRIER_SPELLINGS |
 | origin_country / city | ORIGINS[s_nationkey%5] / the supplier nation's name |
 | destination_country | DESTINATIONS[c%14]; destination_city c_name, space padded if k%17=0 |
@@ -33,6 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shipledger import constants as K
 from shipledger.session import ensure_parallel
 
 # ---------------------------------------------------------------------------
@@ -57,6 +58,48 @@ DESTINATIONS = ["DE", "AT", "CH", "PL", "CZ", "SE", "NO", "DK", "FI", "NL", "FR"
 SERVICES = [("Express", "2"), ("Standard", "4"), ("STANDARD", "4"), ("Economy", "7")]
 CURRENCIES = ["EUR", "EUR", "EUR", "USD", "SEK", "eur"]
 SOURCE_NAME = "driver_tables"
+TABLES = ["lineitem", "orders", "customer", "supplier", "nation"]
+
+# ---------------------------------------------------------------------------
+# The three source-system header vocabularies of the fixtures
+# (canonical column -> header as exported)
+# ---------------------------------------------------------------------------
+VOCAB_WMS = {c: c for c in K.REQUIRED_COLUMNS}
+VOCAB_TMS = {
+    "order_id": "Order ID",
+    "ship_date": "Ship Date",
+    "carrier": "Carrier",
+    "origin_city": "Origin City",
+    "origin_country": "Origin Country",
+    "destination_city": "Destination City",
+    "destination_country": "Destination Country",
+    "service_level": "Service Level",
+    "customer_segment": "Customer Segment",
+    "weight_kg": "Weight (kg)",
+    "freight_cost": "Freight Cost",
+    "currency": "Currency",
+    "transit_days": "Transit Days",
+    "promised_days": "Promised Days",
+    "status": "Status",
+}
+VOCAB_BROKER = {
+    "order_id": "CONSIGNMENT_NO",
+    "ship_date": "DESPATCH_DATE",
+    "carrier": "HAULIER",
+    "origin_city": "COLLECT_CITY",
+    "origin_country": "COLLECT_CC",
+    "destination_city": "DELIVER_CITY",
+    "destination_country": "DELIVER_CC",
+    "service_level": "SERVICE",
+    "customer_segment": "ACCOUNT_TYPE",
+    "weight_kg": "GROSS_WEIGHT_KG",
+    "freight_cost": "NET_CHARGE",
+    "currency": "CCY",
+    "transit_days": "DAYS_IN_TRANSIT",
+    "promised_days": "SLA_DAYS",
+    "status": "CONSIGNMENT_STATUS",
+}
+SPLIT_EXPORTS = [("wms_export.csv", VOCAB_WMS), ("tms_export.csv", VOCAB_TMS), ("parcel_broker_export.csv", VOCAB_BROKER)]
 
 
 def _pick(values: list[str], index: Column) -> Column:
@@ -102,10 +145,14 @@ def raw_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("order_id"),
         F.when(k % 83 == 0, F.lit(None).cast("string"))
         .when(k % 89 == 0, F.lit("junk"))
-        .when(o % 4 == 0, F.date_format(ts, "yyyy-MM-dd"))
-        .when(o % 4 == 1, F.date_format(ts, "dd/MM/yyyy"))
-        .when(o % 4 == 2, F.date_format(ts, "MMM dd, yyyy"))
-        .otherwise(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
+        .when(o % 8 == 0, F.date_format(ts, "yyyy-MM-dd"))
+        .when(o % 8 == 1, F.date_format(ts, "dd/MM/yyyy"))
+        .when(o % 8 == 2, F.date_format(ts, "MMM dd, yyyy"))
+        .when(o % 8 == 3, F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
+        .when(o % 8 == 4, F.date_format(ts, "dd-MM-yyyy"))
+        .when(o % 8 == 5, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        .when(o % 8 == 6, F.date_format(ts, "dd/MM/yyyy HH:mm"))
+        .otherwise(F.date_format(ts, "dd MMMM yyyy"))
         .alias("ship_date"),
         F.when(k % 101 == 0, F.lit("Acme Road")).otherwise(_pick(CARRIER_SPELLINGS, (s % 6) * 2 + k % 2)).alias("carrier"),
         F.col("n_name").alias("origin_city"),
@@ -140,3 +187,32 @@ def raw_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").alias("_ord5"),
         F.col("_scan_pos").alias("_ord6"),
     )
+
+
+#: (system, header vocabulary, delimiter) of the exports that ``write_exports`` makes
+SYSTEMS = [("wms", VOCAB_WMS, ","), ("tms", VOCAB_TMS, ";"), ("broker", VOCAB_BROKER, "|")]
+
+
+def write_exports(spark: SparkSession, raw: DataFrame, top: str) -> list[tuple[str, str]]:
+    """The raw export as CSV files of three systems (rows by ``_ord1 % 3``), one
+    folder each: (system, path) of every file. Files are called ``export k.csv``
+    in each folder, so names hold a space and repeat. The broker's cities hold
+    doubled quotes, its delimiter and a line break."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for i, (system, vocab, sep) in enumerate(SYSTEMS):
+        part = raw.filter(F.col("_ord1") % 3 == i)
+        if system == "broker":
+            part = part.withColumn("destination_city", F.concat(F.lit('He said "hi", |\n'),
+                                                                F.col("destination_city")))
+        (part.select(*[F.col(c).alias(vocab[c]) for c in K.REQUIRED_COLUMNS]).write
+         .option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{top}/{system}"))
+        folder = jvm.org.apache.hadoop.fs.Path(f"{top}/{system}")
+        fs = folder.getFileSystem(conf)
+        parts = sorted(st.getPath().toString() for st in fs.listStatus(folder) if st.getPath().getName().startswith("part-"))
+        for k, path in enumerate(parts):
+            to = jvm.org.apache.hadoop.fs.Path(folder, f"export {k}.csv")
+            fs.rename(jvm.org.apache.hadoop.fs.Path(path), to)
+            out.append((system, to.toString()))
+    return out

@@ -4,21 +4,13 @@ The original rebuilds when any input export is newer than the output. Here
 the inputs are described by a manifest (path, length, modification time)
 taken from the file source's metadata without reading file contents; the
 table is stale when the current manifest and the stored one differ in
-either direction (a file added, changed or removed). ``watch`` runs the same
-check as a Structured Streaming query over the export folder with an
-``availableNow`` trigger: each micro-batch of new files triggers one whole
-rebuild (outlier limits and medians need the whole table, so cleaning stays
-a batch job; the stream only decides *when*).
+either direction (a file added, changed or removed). Outlier limits and medians
+need the whole table, so a stale table is rebuilt as one batch job.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from shipledger.session import stage_root
 
 MANIFEST_COLS = ["path", "length", "modificationTime"]
 
@@ -34,10 +26,10 @@ def input_manifest(spark: SparkSession, source_dir: str, glob: str = "*.csv") ->
 def is_stale(spark: SparkSession, source_dir: str, manifest_path: str) -> bool:
     """True when no manifest is stored or the inputs differ from it."""
     current = input_manifest(spark, source_dir)
-    try:
-        stored = spark.read.parquet(manifest_path).select(*MANIFEST_COLS)
-    except Exception:  # noqa: BLE001 - nothing stored yet
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(manifest_path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         return True
+    stored = spark.read.parquet(manifest_path).select(*MANIFEST_COLS)
     changed = current.join(stored, MANIFEST_COLS, "left_anti").limit(1).count()
     removed = stored.join(current, MANIFEST_COLS, "left_anti").limit(1).count()
     return bool(changed or removed)
@@ -59,25 +51,3 @@ def ensure_processed(spark: SparkSession, source_dir: str, out_dir: str) -> list
     write_log(audit.cleaning_log(built), audit.totals(built), f"{out_dir}/cleaning_log")
     manifest.write.mode("overwrite").parquet(manifest_path)
     return ["rebuilt: processed dataset was missing or older than its inputs"]
-
-
-def watch(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str | None = None):
-    """Process every export that has arrived since the last run, then stop
-    (``availableNow``); a batch with new files rebuilds the table."""
-    checkpoint = checkpoint or f"{stage_root(spark)}/streams/exports-{uuid.uuid4().hex}"
-    arrivals = (
-        spark.readStream.format("binaryFile").option("pathGlobFilter", "*.csv")
-        .load(source_dir).select("path", "length", "modificationTime")
-    )
-
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        if batch.limit(1).count():
-            ensure_processed(spark, source_dir, out_dir)
-
-    q = (arrivals.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return q
-
-
-__all__ = ["input_manifest", "is_stale", "ensure_processed", "watch", "F"]

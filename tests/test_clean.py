@@ -93,7 +93,10 @@ def test_log_reconciles(fixture_build):
     removed = sum(r.rows_affected for (s, a), r in log.items() if a.startswith("REMOVED"))
     assert removed == tot.rows_removed
     assert log[("canonicalise_carrier", "FLAGGED unrecognised carrier name (kept as-is)")].detail == "['Acme Road']"
-    assert log[("convert_currency", "FLAGGED unknown currency (cost left null)")].detail == "['XYZ']"
+    assert log[("convert_currency", "FLAGGED unknown currency (cost left null)")].detail == \
+        "1 distinct; listed in cleaning_log_values"
+    values = {(r.step, r.value): r.rows for r in audit.cleaning_log_values(fixture_build).collect()}
+    assert values == {("canonicalise_carrier", "Acme Road"): 1, ("convert_currency", "XYZ"): 1}
     assert log[("validate_transit", "voided negative transit_days (data-entry error)")].rows_affected == 1
     assert log[("ingest", "read source file")].rows_affected == 14
 
@@ -125,7 +128,16 @@ def test_date_layouts(spark):
     cases = {"2025-03-14": dt.date(2025, 3, 14), "14/03/2025": dt.date(2025, 3, 14),
              "Mar 14, 2025": dt.date(2025, 3, 14), "2025-03-14 00:00:00": dt.date(2025, 3, 14),
              "04/03/2025": dt.date(2025, 3, 4), "03/14/2025": dt.date(2025, 3, 14), "14.03.2025": dt.date(2025, 3, 14),
-             "20250314": dt.date(2025, 3, 14), "14-Mar-2025": dt.date(2025, 3, 14), "junk": None, "": None}
+             "20250314": dt.date(2025, 3, 14), "14-Mar-2025": dt.date(2025, 3, 14), "junk": None, "": None,
+             "14-03-2025": dt.date(2025, 3, 14), "2025-03-14T10:00:00Z": dt.date(2025, 3, 14),
+             "14/03/2025 08:15": dt.date(2025, 3, 14), "14 March 2025": dt.date(2025, 3, 14),
+             "2025-03-14 08:15:00.000": dt.date(2025, 3, 14), "March 14, 2025": dt.date(2025, 3, 14),
+             "2025-3-14": dt.date(2025, 3, 14), "14/03/25": dt.date(2025, 3, 14), "2025/03/14": dt.date(2025, 3, 14),
+             "2025-03-14T23:30:00+02:00": dt.date(2025, 3, 14), "2025-03-14T08:15:00": dt.date(2025, 3, 14),
+             "14 Mar 2025": dt.date(2025, 3, 14), "14.03.2025 23:59": dt.date(2025, 3, 14),
+             "04/03/99": dt.date(1999, 3, 4), "  2025-03-14\t": dt.date(2025, 3, 14), None: None,
+             "31/02/2025": None, "2025-13-01": None, "14/14/2025": None, "2025-03-14 25:00:00": None, "14-Foo-2025": None,
+             "32/01/2025": None, "1/2/345": None, "99999999": None, "0": None}
     got = {r.v: r.d for r in spark.createDataFrame([(k,) for k in cases], "v string")
            .select("v", parse_ship_date("v").alias("d")).collect()}
     assert got == cases
@@ -163,3 +175,144 @@ def test_exact_quantiles_match_percentile_on_a_hot_group(spark):
     assert ours.keys() == ref.keys()
     for g in ref:
         assert ours[g] == pytest.approx(ref[g], abs=1e-9), g
+
+
+def test_custom_date_layouts(spark):
+    from shipledger.functions.dates import parse_ship_date
+
+    df = spark.createDataFrame([("2025|03|14",), ("14/03/2025",)], "v string")
+    got = [r.d for r in df.select(parse_ship_date("v", ["yyyy|MM|dd"]).alias("d")).collect()]
+    assert got == [dt.date(2025, 3, 14), None]
+
+
+def wide(spark, n, **cols):
+    """n shipments of distinct ids with the 15 required columns."""
+    base = {"order_id": F.concat(F.lit("U"), F.col("id").cast("string")), "ship_date": F.lit("2025-03-14"),
+            "carrier": F.lit("Nordfrakt"), "service_level": F.lit("Standard"), "currency": F.lit("EUR"),
+            "freight_cost": (F.col("id") % 500).cast("string"), "transit_days": F.lit("2"), "promised_days": F.lit("4"),
+            "status": F.lit("Delivered"), "weight_kg": F.lit("5"), **cols}
+    from conftest import COLS
+
+    return spark.range(n).select(*[base.get(c, F.lit("SE")).alias(c) for c in COLS],
+                                 *[v.alias(k) for k, v in cols.items() if k not in COLS])
+
+
+@pytest.mark.parametrize("conf", [{}, {"spark.sql.shuffle.partitions": "64",
+                                       "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m",
+                                       "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}])
+def test_unique_ids_after_a_shuffle_all_survive(spark, conf):
+    """Row positions are fixed by a write before anything refers to them."""
+    from shipledger.plans.build import build_from_frames
+
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        frame = wide(spark, 200_000).repartition("order_id")
+        built = build_from_frames(spark, {"shuffled.csv": frame.unionByName(frame.limit(10))})
+        assert built.table.count() == 200_000
+        assert built.rejects().count() == 10
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_rows_that_file_order_cannot_tell_apart_are_an_error(spark):
+    from shipledger.plans.build import build_from_frames
+
+    frame = wide(spark, 3, order_id=F.lit("same")).withColumn("_ord2", F.lit(1))
+    with pytest.raises(ValueError, match="does not tell rows apart"):
+        build_from_frames(spark, {"a.csv": frame})
+
+
+def test_every_unknown_currency_is_listed(spark):
+    from shipledger.operators import audit
+    from shipledger.plans.build import build_from_frames
+
+    built = build_from_frames(spark, {"a.csv": wide(spark, 90, currency=F.format_string("C%02d", F.col("id") % 30))})
+    got = {r.value: r.rows for r in audit.cleaning_log_values(built).collect()}
+    assert got == {f"C{i:02d}": 3 for i in range(30)}
+    detail = [r.detail for r in audit.cleaning_log(built).collect() if "unknown currency" in r.action]
+    assert detail == ["30 distinct; listed in cleaning_log_values"]
+
+
+def test_log_order_and_values_used(spark):
+    """6,000 files: their entries come first, in order; the texts state the rates used."""
+    from shipledger.operators import audit
+    from shipledger.operators.clean import clean
+
+    raw = wide(spark, 6_000).withColumns({"source_file": F.format_string("f%04d.csv", F.col("order_id").substr(2, 9).cast("int")),
+                                          "_file": F.col("order_id").substr(2, 9).cast("int"), "_ord1": F.col("order_id")})
+    names = [f"f{i:04d}.csv" for i in range(6_000)]
+    entries = spark.createDataFrame([(n, i, 15) for i, n in enumerate(names)], "source_file string, file_index int, n_columns int")
+    built = clean(raw, sources=names, file_entries=entries, fx={"EUR": 1.0, "CHF": 1.05}, iqr=2.5, penalty=30)
+    log = audit.cleaning_log(built).orderBy("seq").collect()
+    assert [r.detail for r in log[:6_000]] == [f"{n} (15 columns)" for n in names]
+    assert all(r.rows_affected == 1 for r in log[:6_000]) and len({r.seq for r in log}) == len(log)
+    text = " | ".join(r.detail for r in log[6_000:])
+    assert "rates: {'EUR': 1.0, 'CHF': 1.05}" in text and "multiplier 2.5" in text and "€30 per shipment" in text
+    t = audit.totals(built).first()
+    assert t.assumptions.fx_to_eur == '{"EUR":1.0,"CHF":1.05}' and t.assumptions.late_penalty_eur_per_day == 30.0
+
+
+def test_log_without_file_entries(spark):
+    from shipledger.operators import audit
+    from shipledger.operators.clean import clean
+
+    raw = wide(spark, 4).withColumns({"source_file": F.lit("x.csv"), "_ord1": F.col("order_id")})
+    log = audit.cleaning_log(clean(raw)).collect()
+    assert [(r.detail, r.rows_affected) for r in log if r.step == "ingest"] == [("x.csv", 4)]
+
+
+def test_overrides_reach_the_table(spark):
+    from shipledger.operators.clean import clean
+
+    raw = wide(spark, 4, transit_days=F.lit("6")).withColumns({"source_file": F.lit("x.csv"), "_ord1": F.col("order_id")})
+    row = clean(raw, penalty=10, central_europe=["SE"]).table.first()
+    assert row.late_penalty_eur == Decimal("20.00") and row.is_central_europe
+
+
+def test_plan_of_the_quantiles_holds_no_whole_group(spark, fixture_build):
+    """Windows run over bucket totals and inside one bucket only."""
+    from shipledger.operators.clean import group_stats
+
+    kept = fixture_build.annotated.filter(F.col("_removed").isNull())
+    plan = group_stats(kept)._jdf.queryExecution().optimizedPlan().toString()
+    for line in plan.split("\n"):
+        if "Window [" in line and "_c" in line.split("windowspec")[0]:
+            assert "_b#" in line.split("], [")[1], line
+
+
+def test_stage_folder_is_required_on_a_cluster(spark, monkeypatch):
+    from shipledger import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.stage_root(Session())
+
+
+def test_forget_deletes_stages(spark):
+    import os
+
+    from conftest import SMOKE
+    from shipledger.plans import build
+
+    c = build.processed(spark, SMOKE)
+    paths = [p.replace("file:", "") for p in c.stages]
+    assert paths and all(os.path.isdir(p) for p in paths)
+    assert build.processed(spark, SMOKE) is c
+    build.forget(spark)
+    assert not any(os.path.isdir(p) for p in paths)
+    assert build.processed(spark, SMOKE) is not c

@@ -126,3 +126,82 @@ def test_sorted_write_keeps_the_stable_order(spark, fixture_build, tmp_path):
         per_file.setdefault(r.f, []).append((r.ship_date, r.order_id or ""))
     for f, keys in per_file.items():
         assert keys == sorted(keys), f
+
+
+ROW = "{id},2025-03-14,Nordfrakt,Malmo,SE,{city},DE,Standard,retail,10,{cost},EUR,3,4,Delivered"
+HEAD = WMS.split("\n")[0]
+
+
+def test_quotes_line_breaks_and_surplus_fields(spark, tmp_path):
+    """Doubled quotes and line breaks inside fields keep their columns; a short
+    line is filled with nulls; a surplus line is removed with a reason."""
+    from shipledger.operators import audit
+    from shipledger.plans.build import build_from_files
+
+    lines = [HEAD, ROW.format(id="Q1", city='"He said ""hi"", x"', cost=1), ROW.format(id="Q2", city='"two\nlines"', cost=2),
+             ROW.format(id="Q3", city="Berlin", cost=3) + ",surplus", ROW.format(id="Q4", city='"a,b"', cost=4) + ',"x,y"',
+             ROW.format(id="Q5", city="Berlin", cost=5)]
+    (tmp_path / "q.csv").write_text("\n".join(lines) + "\n")
+    built = build_from_files(spark, str(tmp_path))
+    t = {r.order_id: r for r in built.table.collect()}
+    assert set(t) == {"Q1", "Q2", "Q5"}
+    assert t["Q1"].destination_city == 'He said "hi", x' and t["Q1"].status == "Delivered"
+    assert t["Q2"].destination_city == "two\nlines" and float(t["Q2"].freight_cost) == 2
+    gone = {r.order_id: r.reason for r in built.rejected_rows().collect()}
+    assert gone == dict.fromkeys(("Q3", "Q4"), "line has more fields than its header")
+    log = audit.cleaning_log(built).collect()
+    assert [r.rows_affected for r in log if "more fields" in r.action] == [2]
+    tot = audit.totals(built).first()
+    assert (tot.rows_in, tot.rows_removed, tot.rows_out, tot.reconciles) == (5, 2, 3, True)
+
+
+def test_short_lines_are_filled_with_nulls(spark, tmp_path):
+    from shipledger.sources.ingest import read_exports
+
+    (tmp_path / "s.csv").write_text("\ufeff" + HEAD + "\nS1,2025-03-14,Nordfrakt\n", encoding="utf-8")
+    (tmp_path / "t.csv").write_text(HEAD + "\n" + ROW.format(id="T1", city="B", cost=1) + "\n")
+    rows = {r.order_id: r for r in read_exports(spark, str(tmp_path)).raw.collect()}
+    assert rows["S1"].carrier == "Nordfrakt" and rows["S1"].status is None and not rows["S1"]._surplus
+
+
+def test_names_with_spaces_and_equal_names(spark, tmp_path):
+    from shipledger.operators import audit
+    from shipledger.plans.build import build_from_files
+
+    one, two = tmp_path / "one+1", tmp_path / "two 2%"
+    one.mkdir()
+    two.mkdir()
+    (one / "b two.csv").write_text(HEAD + "\n" + ROW.format(id="D1", city="A", cost=111) + "\n")
+    (two / "b two.csv").write_text(HEAD + "\n" + ROW.format(id="D1", city="A", cost=222) + "\n"
+                                   + ROW.format(id="D2", city="A", cost=5) + "\n")
+    paths = [str(one / "b two.csv"), str(two / "b two.csv")]
+    for order, cost, counts in ((paths, 111, [1, 2]), (paths[::-1], 222, [2, 1])):
+        built = build_from_files(spark, order)
+        t = {r.order_id: r for r in built.table.collect()}
+        assert float(t["D1"].freight_cost) == cost and t["D1"].source_file == "b two.csv"
+        log = audit.cleaning_log(built).orderBy("seq").collect()
+        assert [r.rows_affected for r in log if r.step == "ingest"] == counts
+
+
+def test_extra_columns_survive_storage(spark, tmp_path):
+    from shipledger.plans.build import build_from_files
+    from shipledger.sources import store
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.csv").write_text(HEAD + ",Cost Centre\n" + ROW.format(id="X1", city="A", cost=1) + ",CC 7\n")
+    t = build_from_files(spark, str(tmp_path / "in")).table
+    assert t.first().cost_centre == "CC 7"
+    store.write_processed(t, str(tmp_path / "pq"), csv_path=str(tmp_path / "csv"))
+    a = store.read_processed(spark, str(tmp_path / "pq"))
+    b = store.read_processed(spark, str(tmp_path / "csv"), fmt="csv")
+    assert a.first().cost_centre == b.first().cost_centre == "CC 7"
+    assert store.parity(a, b).count() == 0
+
+
+def test_header_scan_is_one_job(spark, exports):
+    from shipledger.sources.ingest import scan_lines
+
+    got = scan_lines(spark, [f"file:{exports}/a_wms.csv", f"file:{exports}/c_broker.csv"])
+    assert {k.rsplit("/", 1)[-1]: v.header.split(";")[0].split(",")[0] for k, v in got.items()} == {
+        "a_wms.csv": "order_id", "c_broker.csv": "CONSIGNMENT_NO"}
+    assert not any(v.open_quotes for v in got.values())
