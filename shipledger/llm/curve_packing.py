@@ -35,7 +35,8 @@ from shipledger.session import stage_root
 
 LENGTH, END = 1024, 0
 BUCKETS, AXES, BITS = 64, 3, 16
-REMEMBERED = 400_000
+REMEMBERED = 800_000
+MARKS = ".,;:!?%$&#*|)(]["  # no apostrophe: it may begin a contraction
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -90,7 +91,9 @@ class Projector:
 
 class Tokens:
     """A tokenizers file whose pre-tokens never span a cut of ``chunks``. Cut
-    pieces are encoded once per worker and remembered, up to a bound."""
+    pieces are encoded once per worker and remembered, up to a bound; beyond
+    it the long pieces, which recur least, are forgotten. Unknown pieces are
+    encoded many to a text and told apart by their lengths in bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -98,25 +101,59 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, k in vocabulary.items():
+            self.size[k] = len(token)  # a byte-level vocabulary writes each byte as one character
         self.memory: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in got]
 
+    def _learn(self, parts: list[str], together: int = 512) -> None:
+        """Remember the ids of pieces (their leading space is left out)."""
+        edged, plain, made = [], [], []
+        for p in parts:
+            word = p.rstrip(MARKS)
+            if word.isalpha() and len(word) < len(p):
+                made.append((p, word, p[len(word):]))  # letters, then marks: two pre-tokens
+            elif p and not p[0].isspace() and not p[-1].isspace():
+                plain.append(p)
+            else:
+                edged.append(p)
+        plain += {word for _, word, _ in made}.difference(self.memory, plain)
+        marks = list({m for _, _, m in made}.difference(self.marks))
+        self.marks.update(zip(marks, self._raw(marks), strict=True))
+        self.memory.update(zip(edged, self._raw([" " + p for p in edged]), strict=True))
+        groups = [plain[lo: lo + together] for lo in range(0, len(plain), together)]
+        texts = [" " + " ".join(g) for g in groups]  # a cut before each space, as in chunks
+        width = self.dtype.itemsize
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            ends = np.cumsum(self.size[ids])
+            wanted = np.cumsum([1 + (len(p) if p.isascii() else len(p.encode())) for p in group])
+            at = np.searchsorted(ends, wanted)
+            if not np.array_equal(ends[at], wanted):
+                raise ValueError("the tokenizers file does not split texts before single spaces")
+            raw, cuts = ids.tobytes(), [0, *((at + 1) * width).tolist()]
+            self.memory.update(zip(group, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=False))
+        self.memory.update((p, self.memory[word] + self.marks[m]) for p, word, m in made)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of ``dtype``."""
-        memory = self.memory
-        if len(memory) > REMEMBERED:
-            memory.clear()
+        if len(self.memory) > REMEMBERED:
+            self.memory = {k: v for k, v in self.memory.items() if len(k) <= 8}
+            if len(self.memory) > REMEMBERED // 2:
+                self.memory = {}
+            self.marks = {}
         cut = [chunks(t) for t in texts]
         whole = iter(self._raw([t for t, c in zip(texts, cut, strict=True) if c is None]))
         firsts = iter(self._raw([c[0] for c in cut if c is not None]))
-        new = sorted(set().union(*(c[1:] for c in cut if c is not None)).difference(memory))
-        for lo in range(0, len(new), 4096):
-            part = new[lo: lo + 4096]
-            memory.update(zip(part, self._raw([" " + p for p in part]), strict=True))
-        return [next(whole) if c is None else next(firsts) + b"".join(map(memory.__getitem__, c[1:])) for c in cut]
+        self._learn(list(set().union(*(c[1:] for c in cut if c is not None)).difference(self.memory)))
+        known = self.memory.__getitem__
+        return [next(whole) if c is None else next(firsts) + b"".join(map(known, c[1:])) for c in cut]
 
 
 _TOKENS: dict[str, Tokens] = {}
@@ -135,7 +172,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
             _TOKENS[path] = Tokens(path)
         if not _PROJECTOR:
             _PROJECTOR.append(Projector())
-        tokens, end = _TOKENS[path], None
+        tokens = _TOKENS[path]
         end = np.array([END], tokens.dtype).tobytes()
         for b in batches:
             texts, ids = strings(b.column("text")).to_pylist(), b.column("doc_id")
