@@ -110,11 +110,22 @@ def _anchor_rows(rows: DataFrame, size: int, gram: int) -> DataFrame:
     return map_arrow(rows, kernel, "h long, did long, th long, start int, n int")
 
 
-def _spans(marks) -> tuple[np.ndarray, ...]:
-    """Marks of one document as arrays (start, n, shard, salts), by start."""
-    m = np.array([(x["start"], x["n"], x["shard"], x["salts"]) for x in marks], np.int64).reshape(-1, 4)
-    m = m[np.lexsort((m[:, 1], m[:, 0]))]
-    return m[:, 0], m[:, 1], m[:, 2], m[:, 3]
+class _Marks:
+    """A column of marks as flat arrays, document by document."""
+
+    def __init__(self, column: pa.ListArray):
+        self.offsets, values = column.offsets.to_numpy(), column.values
+        self.fields = [values.field(c).to_numpy(zero_copy_only=False).astype(np.int64)
+                       for c in ("start", "n", "shard", "salts")]
+
+    def windows(self, k: int) -> tuple[np.ndarray, ...]:
+        """Marked window starts of document k, rising, with shard and salts."""
+        at = slice(self.offsets[k], self.offsets[k + 1])
+        start, n, shard, salts = (f[at] for f in self.fields)
+        every, mark = _expand(start, n)
+        every, keep = np.unique(every, return_index=True)
+        mark = mark[keep]
+        return every, shard[mark], salts[mark]
 
 
 def _expand(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,6 +219,10 @@ class SuffixAutomaton:
         return out
 
 
+_ITEM = [("shard", pa.int32()), ("salt", pa.int32()), ("side", pa.int32()), ("did", pa.int64()), ("th", pa.int64()),
+         ("start", pa.int32()), ("words", pa.string())]
+
+
 def removed_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """Removed spans of the documents that lose words: did, th, spans (array of
     start, length; they may overlap); and the marked documents (did, th, text,
@@ -227,19 +242,13 @@ def removed_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> tuple[
 
     def window_kernel(batches):
         for b in batches:
-            texts = strings(b.column("text"))
-            did, marks_of = b.column("did").to_numpy(), b.column("marks").to_pylist()
+            texts, did, marks = strings(b.column("text")), b.column("did").to_numpy(), _Marks(b.column("marks"))
             for lo, hi in slices(texts):
                 words = Words(texts.slice(lo, hi - lo))
-                hashes = _word_hashes(words)
-                places, ids = [], []
-                for k in range(lo, hi):
-                    start, n, _, _ = _spans(marks_of[k])
-                    at = np.unique(_expand(start, n)[0])
-                    places.append(at + words.start[k - lo])
-                    ids.append(np.full(len(at), did[k]))
-                w, v = _window_hashes(hashes, np.concatenate(places), size)
-                yield pa.record_batch({"w": pa.array(w), "v": pa.array(v), "did": pa.array(np.concatenate(ids))})
+                at = [marks.windows(k)[0] + words.start[k - lo] for k in range(lo, hi)]
+                w, v = _window_hashes(_word_hashes(words), np.concatenate(at), size)
+                yield pa.record_batch({"w": pa.array(w), "v": pa.array(v),
+                                       "did": pa.array(np.repeat(did[lo:hi], [len(x) for x in at]))})
 
     firsts = (map_arrow(marked.select("did", "text", "marks"), window_kernel, "w long, v int, did long")
               .groupBy("w", "v").agg(F.min("did").alias("did"), F.count("*").alias("c")).where("c > 1"))
@@ -247,35 +256,28 @@ def removed_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> tuple[
 
     def item_kernel(batches):
         for b in batches:
-            out = {k: [] for k in ("shard", "salt", "side", "did", "th", "start", "words")}
-
-            def put(shard, salt, side, did, th, start, text, out=out):
-                for k, x in zip(out, (shard, salt, side, did, th, start, text), strict=True):
-                    out[k].append(x)
-
-            texts = strings(b.column("text"))
-            did, th = b.column("did").to_pylist(), b.column("th").to_pylist()
-            marks_of, refs_of = b.column("marks").to_pylist(), b.column("refs").to_pylist()
-            for k in range(b.num_rows):
-                words = Words(texts.slice(k, 1))
-                flat = words.flat.to_pylist()
-                start, n, shard, salts = _spans(marks_of[k])
-                at, mark = _expand(start, n)
-                at, keep = np.unique(at, return_index=True)
-                shard, salts = shard[mark[keep]], salts[mark[keep]]
-                for a, z in _stretches(at, shard):
-                    salt = (did[k] * 0x9E3779B1 >> 7) % int(salts[a])
-                    put(int(shard[a]), salt, 1, did[k], th[k], int(at[a]), " ".join(flat[at[a]: at[z - 1] + size]))
-                if refs_of[k]:
-                    w, _ = _window_hashes(_word_hashes(words), at, size)
-                    mine = np.isin(w, np.array(refs_of[k], np.int64))
-                    ra, rs, rn = at[mine], shard[mine], salts[mine]
-                    for a, z in _stretches(ra, rs):
-                        for salt in range(int(rn[a])):
-                            put(int(rs[a]), salt, 0, did[k], th[k], int(ra[a]), " ".join(flat[ra[a]: ra[z - 1] + size]))
-            yield pa.record_batch([pa.array(out[c], t) for c, t in (
-                ("shard", pa.int32()), ("salt", pa.int32()), ("side", pa.int32()), ("did", pa.int64()),
-                ("th", pa.int64()), ("start", pa.int32()), ("words", pa.string()))], names=list(out))
+            texts, did, th = strings(b.column("text")), b.column("did").to_pylist(), b.column("th").to_pylist()
+            marks, refs = _Marks(b.column("marks")), b.column("refs")
+            ref_at, ref = refs.offsets.to_numpy(), refs.values.to_numpy(zero_copy_only=False)
+            for lo, hi in slices(texts):
+                words = Words(texts.slice(lo, hi - lo))
+                hashes, flat, out = _word_hashes(words), words.flat.to_pylist(), []
+                for k in range(lo, hi):
+                    first = int(words.start[k - lo])
+                    at, shard, salts = marks.windows(k)
+                    mine = (did[k] * 0x9E3779B1 >> 7)
+                    for a, z in _stretches(at, shard):
+                        out.append((int(shard[a]), mine % int(salts[a]), 1, did[k], th[k], int(at[a]),
+                                    " ".join(flat[first + at[a]: first + at[z - 1] + size])))
+                    if ref_at[k] < ref_at[k + 1]:
+                        w, _ = _window_hashes(hashes, at + first, size)
+                        kept = np.isin(w, ref[ref_at[k]: ref_at[k + 1]])
+                        ra, rs, rn = at[kept], shard[kept], salts[kept]
+                        for a, z in _stretches(ra, rs):
+                            text = " ".join(flat[first + ra[a]: first + ra[z - 1] + size])
+                            out += [(int(rs[a]), salt, 0, did[k], th[k], int(ra[a]), text) for salt in range(int(rn[a]))]
+                yield pa.record_batch([pa.array([r[j] for r in out], t) for j, (_, t) in enumerate(_ITEM)],
+                                      names=[c for c, _ in _ITEM])
 
     items = map_arrow(marked.join(refs, "did", "left"), item_kernel,
                       "shard int, salt int, side int, did long, th long, start int, words string")
