@@ -38,8 +38,8 @@ def duck():
     import duckdb
 
     con = duckdb.connect()
-    for t in ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA / (t + '.parquet')}')")
+    for path in sorted(DATA.glob("*.parquet")):
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{path}')")
     return con
 
 
@@ -83,6 +83,28 @@ def test_plans_stay_in_the_jvm_and_prune(spark):
     assert "freight_cost_eur" not in read_schema and "order_id" in read_schema   # only needed columns read
 
 
+def test_build_scans_each_table_once(spark):
+    """One scan of the raw side: the row-level stage joins each driver table
+    once, and dedup, quantiles and the finished table read written stages."""
+    from shipledger.operators.clean import annotate
+    from shipledger.sources import testbook
+
+    plan = annotate(testbook.raw_shipments(spark, SMOKE))._jdf.queryExecution().optimizedPlan().toString()
+    for t in testbook.TABLES:
+        column = {"lineitem": "l_orderkey", "orders": "o_orderkey", "customer": "c_custkey", "supplier": "s_suppkey",
+                  "nation": "n_nationkey"}[t]
+        assert sum("Relation [" in line and column in line for line in plan.split("\n")) == 1, t
+
+
+def test_dedup_shuffles_no_wide_row(spark):
+    """Ids that occur once are never shuffled with their row: the join that marks
+    duplicates broadcasts the repeated ids."""
+    from shipledger.plans.build import processed
+
+    plan = processed(spark, SMOKE).annotated._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+
+
 def test_rebuild_is_deterministic_across_partitioning(spark):
     from shipledger.plans.build import build_from_tables
 
