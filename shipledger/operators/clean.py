@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shipledger import constants as K
-from shipledger.functions.dates import month_start, parse_ship_date, week_start, weekday_name
+from shipledger.functions.dates import date_parts, month_start, parse_ship_date, week_start, weekday_name
 from shipledger.functions.text import carrier_key, lookup, null_tokens, strip_ws, title_case
 from shipledger.schema import FLAG_COLUMNS, SHIPMENT_COLUMNS, ORDER_PREFIX
 from shipledger.session import BROADCAST_MAX_BYTES, bounded_broadcast, materialize, text_bytes
@@ -96,17 +96,18 @@ def annotate(
         }
     ).drop("_canon")
 
-    # C6 dates, C8 numerics, C9 void negative transit.
+    # C6 dates (split once), C8 numerics, C9 void negative transit.
+    df = df.withColumn("_parts", date_parts("ship_date"))
     df = df.withColumns(
         {
             "ship_date_raw": F.col("ship_date"),
-            "ship_date": parse_ship_date("ship_date", date_formats),
+            "ship_date": parse_ship_date("ship_date", date_formats, F.col("_parts")),
             "weight_kg": _num(F.col("weight_kg"), "double"),
             "freight_cost": F.col("freight_cost").try_cast(RAW_MONEY),
             "transit_days": _num(F.col("transit_days"), "double"),
             "promised_days": _num(F.col("promised_days"), "double"),
         }
-    )
+    ).drop("_parts")
     df = df.withColumns(
         {
             "_transit_voided": F.coalesce(F.col("transit_days") < 0, F.lit(False)),
