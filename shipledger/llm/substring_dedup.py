@@ -259,7 +259,7 @@ def removed_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> tuple[
             texts, did, th = strings(b.column("text")), b.column("did").to_pylist(), b.column("th").to_pylist()
             marks, refs = _Marks(b.column("marks")), b.column("refs")
             ref_at, ref = refs.offsets.to_numpy(), refs.values.to_numpy(zero_copy_only=False)
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, 1 << 20):  # each slice's words are Python objects
                 words = Words(texts.slice(lo, hi - lo))
                 hashes, flat, out = _word_hashes(words), words.flat.to_pylist(), []
                 for k in range(lo, hi):
