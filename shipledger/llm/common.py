@@ -59,6 +59,19 @@ def map_arrow(df: DataFrame, kernel: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(kernel, schema)
 
 
+def keep_rows(df: DataFrame, mask: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """Rows of ``df``, with all their columns, whose texts ``mask`` keeps.
+    Columns travel by number: Arrow functions take no name with a dot in it."""
+    numbered = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    text = f"c{df.columns.index('text')}"
+
+    def kernel(batches):
+        for b in batches:
+            yield b.filter(mask(strings(b.column(text))))
+
+    return map_arrow(numbered, kernel, numbered.schema).toDF(*df.columns)
+
+
 def strings(column: pa.Array) -> pa.Array:
     """A text column without nulls (null counts as the empty text)."""
     if pa.types.is_null(column.type):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shipledger.llm import gbt
-from shipledger.llm.common import join_small, labelled_ids, map_arrow, slices, strings
+from shipledger.llm.common import join_small, keep_rows, labelled_ids, map_arrow, slices, strings
 from shipledger.llm.textstats import COUNTS, FEATURES, statistics
 
 FALLING = ["symbol_rate", "bar_rate", "exclamation_rate", "upper_rate", "dup_line_rate", "repeat_rate", "twin_rate"]
@@ -83,11 +83,8 @@ def judge(docs: DataFrame, model: gbt.Trees, threshold: float = 0.5) -> DataFram
 def keep_good(docs: DataFrame, model: gbt.Trees, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are kept."""
 
-    def kernel(batches):
-        for b in batches:
-            texts = strings(b.column("text"))
-            mask = [_verdicts(texts.slice(lo, hi - lo), model, threshold)[3] for lo, hi in slices(texts)]
-            if mask:
-                yield b.filter(pa.array(np.concatenate(mask)))
+    def mask(texts):
+        kept = [_verdicts(texts.slice(lo, hi - lo), model, threshold)[3] for lo, hi in slices(texts)]
+        return pa.array(np.concatenate([np.zeros(0, bool), *kept]))
 
-    return map_arrow(docs, kernel, docs.schema)
+    return keep_rows(docs, mask)

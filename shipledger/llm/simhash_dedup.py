@@ -189,4 +189,4 @@ def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4, match: int =
     (all rows of a group without ids, and each repeated row of a kept id, stay)."""
     kept = (groups(docs, shingle, distance, match).where("component_id is null or doc_id = component_id")
             .select(F.col("doc_id").alias("_kept")).distinct())
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi")

@@ -41,7 +41,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shipledger.llm.common import Words, map_arrow, mix, multipliers, polynomial, slices, strings, written
@@ -85,13 +85,13 @@ def anchors(words: Words, hashes: np.ndarray, size: int, gram: int) -> tuple[np.
     return value[first], at[first], np.diff(np.append(first, len(at)))
 
 
-def _order() -> F.Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+def _order(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(LAST))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(_order().alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return docs.select(_order(F.col("doc_id")).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
 def _anchor_rows(rows: DataFrame, size: int, gram: int) -> DataFrame:
@@ -362,7 +362,7 @@ def digests(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
                       "substring-changed")
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     plain = _digest_rows(whole.select("doc_id", F.xxhash64("text").alias("th"), "text"), ["doc_id", "th"])
-    plain = plain.withColumn("did", _order())
+    plain = plain.withColumn("did", _order(F.col("doc_id")))
     return plain.join(changed, ["did", "th"], "left").select(
         "doc_id", "n_words", F.coalesce("r", "n_removed").alias("n_removed"),
         F.coalesce("k", "kept_sha256").alias("kept_sha256"))
@@ -382,6 +382,9 @@ def remove(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     changed = written(map_arrow(marked.select("did", "th", "text").join(spans, ["did", "th"]).select(
         "did", "th", "text", "spans"), kernel, "_did long, _th long, _text string").dropDuplicates(["_did", "_th"]),
         "substring-texts")
-    keyed = docs.withColumns({"_d": _order(), "_h": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    out = keyed.join(changed, (F.col("_d") == F.col("_did")) & (F.col("_h") == F.col("_th")), "left")
-    return out.select(*[F.coalesce("_text", docs[c]).alias(c) if c == "text" else docs[c] for c in docs.columns])
+    # both sides by reference: the input may hold columns of any name
+    mine = {c: docs[f"`{c}`"] for c in docs.columns}
+    same = (_order(mine["doc_id"]) == changed["_did"]) & (
+        F.xxhash64(F.coalesce(mine["text"], F.lit(""))) == changed["_th"])
+    return docs.join(changed, same, "left").select(
+        *[F.coalesce(changed["_text"], x).alias(c) if c == "text" else x for c, x in mine.items()])

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shipledger.llm.common import join_small, labelled_ids, map_arrow, strings
+from shipledger.llm.common import join_small, keep_rows, labelled_ids, map_arrow, strings
 
 SAMPLE = 6_000
 VOCABULARY = 4_096
@@ -217,9 +217,7 @@ def offending(docs: DataFrame, model: Bags, sentence_at: float = 0.5) -> DataFra
 def keep_clean(docs: DataFrame, model: Bags, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs``, with all their columns, scored below the threshold."""
 
-    def kernel(batches):
-        for b in batches:
-            keep = [model.judge(t)[0] < threshold for t in strings(b.column("text")).to_pylist()]
-            yield b.filter(pa.array(keep, pa.bool_()))
+    def mask(texts):
+        return pa.array([model.judge(t)[0] < threshold for t in texts.to_pylist()], pa.bool_())
 
-    return map_arrow(docs, kernel, docs.schema)
+    return keep_rows(docs, mask)

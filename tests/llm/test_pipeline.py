@@ -4,6 +4,7 @@ import re
 
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -79,3 +80,20 @@ def test_odd_rows_pass_through(spark, odd_docs, no_docs):
         stage(spark, docs, D).collect()
         stage(spark, no_docs, D).collect()
     assert corpus_pipeline.substrings(spark, docs, D).count() == 9
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Extra columns named like the columns that the operators join on, and one with a dot in its name."""
+    names = ["_d", "_h", "_did", "_th", "_text", "_kept", "did", "th", "spans", "marks", "fp", "component_id", "n_words",
+             "score", "kept", "a.b"]
+    docs = spark.read.parquet(f"{D}/documents.parquet").where("doc_id < 60")
+    wide = docs.select("*", *[F.concat(F.lit(n + "-"), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES:
+        got = stage(spark, wide, D)
+        if "text" not in got.columns:
+            assert sorted({r.doc_id for r in got.collect()}) == sorted(r.doc_id for r in docs.collect())
+            continue
+        assert got.dtypes == wide.dtypes
+        found = got.collect()
+        assert found and all(r[n] == f"{n}-{r.doc_id}" for r in found for n in names)
+        assert sorted(rows(got)) == sorted(rows(stage(spark, docs, D)))
