@@ -17,16 +17,20 @@
    task holds an unbounded group; no pair is lost.
 5. Connected components by star contraction; the component's id is the
    smallest doc_id.
+6. ``keep_one`` decides row by row: the survivor of a component is its smallest
+   (doc_id, fingerprint as a long, hash of the text, hash of the row), a null
+   doc_id after all others, and only that row stays.
 
 For far more distinct fingerprints raise ``match``: 3 gives 35 cells a
 fingerprint but about thirty times fewer pairs to test.
 
 Defined cases: a null or empty text, or one of white space, has no word and
 fingerprint zero, linked like any other; fewer words than a shingle: one
-shingle of all words; repeated rows each keep their row; a null doc_id keeps its row and
-gets its component's smallest id (null if there is none); an empty table gives
-an empty result; only the id and the text are read, and ``keep_one`` returns
-all columns untouched.
+shingle of all words; in ``groups`` repeated rows each keep their row, and a null
+doc_id keeps its row and gets its component's smallest id (null if there is
+none); an empty table gives an empty result; only the id and the text are read.
+``keep_one`` reads all columns and returns them untouched: of repeated rows, of
+rows that share an id, and of rows without an id, one of each component stays.
 """
 
 from __future__ import annotations
@@ -68,14 +72,17 @@ def fingerprint(text: str, shingle: int = 4) -> int:
     return int(np.packbits(total * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id and fingerprint (its 64 bits as a long) of each document."""
+def fingerprints(docs: DataFrame, shingle: int = 4, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and fingerprint (its 64 bits as a long) of each document, and the
+    long columns ``also``."""
     def kernel(batches):
         for b in batches:
             fps = np.array([fingerprint(t, shingle) for t in strings(b.column("text")).to_pylist()], np.uint64)
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "fp": pa.array(fps.view(np.int64))})
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "fp": pa.array(fps.view(np.int64)),
+                                   **{c: b.column(c) for c in also}})
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), kernel, "doc_id long, fp long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *also), kernel,
+                     ", ".join(f"{c} long" for c in ("doc_id", "fp", *also)))
 
 
 def embedding(fp):
@@ -171,12 +178,18 @@ def links(classes: DataFrame, distance: int = 4, match: int = 2) -> DataFrame:
     return map_arrow(ordered, kernel, "a long, b long")
 
 
-def groups(docs: DataFrame, shingle: int = 4, distance: int = 4, match: int = 2) -> DataFrame:
-    """One row per document: doc_id, fp, component_id."""
-    fps = written(fingerprints(docs, shingle), "simhash-fp")
+def _linked(fps: DataFrame, distance: int, match: int) -> tuple[DataFrame, DataFrame]:
+    """The classes (fp, first_id), and fp, root, first_id of those that are linked."""
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
     roots = components(links(classes, distance, match), "a", "b", "simhash")
     linked = written(classes.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "first_id"), "simhash-linked")
+    return classes, linked
+
+
+def groups(docs: DataFrame, shingle: int = 4, distance: int = 4, match: int = 2) -> DataFrame:
+    """One row per document: doc_id, fp, component_id."""
+    fps = written(fingerprints(docs, shingle), "simhash-fp")
+    classes, linked = _linked(fps, distance, match)
     smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = linked.join(smallest, "root").select("fp", "component_id")
     ids = written(classes.join(named, "fp", "left").select(
@@ -184,9 +197,32 @@ def groups(docs: DataFrame, shingle: int = 4, distance: int = 4, match: int = 2)
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with numbered columns (their names may be any), then doc_id,
+    text, the text's hash and the row's: 128 bits tell different texts apart."""
+    rows = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    at = dict(zip(docs.columns, rows.columns, strict=True))
+    text = F.coalesce(F.col(at["text"]), F.lit(""))
+    hashed = [c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]  # Spark hashes no others
+    return rows.select("*", F.col(at["doc_id"]).cast("long").alias("doc_id"), text.alias("text"),
+                       F.xxhash64(text).alias("text_hash"),
+                       F.xxhash64(*[x for c in hashed for x in (F.col(c), F.col(c).isNull())]).alias("row_hash"))
+
+
 def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4, match: int = 2) -> DataFrame:
-    """``docs`` with one document of each group: that with the smallest doc_id
-    (all rows of a group without ids, and each repeated row of a kept id, stay)."""
-    kept = (groups(docs, shingle, distance, match).where("component_id is null or doc_id = component_id")
-            .select(F.col("doc_id").alias("_kept")).distinct())
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
+    """``docs`` with one row of each group: that with the smallest doc_id (null:
+    after all others), then fingerprint, text hash and row hash. Of rows equal
+    in all of these any one stays; they are dropped before rows meet, so many
+    copies of a row are never one group."""
+    rows, hashes = _keyed(docs), ("text_hash", "row_hash")
+    fps = written(fingerprints(rows, shingle, hashes), "simhash-fp")
+    _, linked = _linked(fps, distance, match)
+    first = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", *hashes)).alias("r"))
+    kept = written(first.join(linked.select("fp", "root"), "fp", "left")
+                   .groupBy(F.coalesce("root", "fp").alias("root"))
+                   .agg(F.min(F.struct("r.lost", "r.doc_id", "fp", "r.text_hash", "r.row_hash")).alias("r"))
+                   .select(F.coalesce("r.doc_id", F.lit(0)).alias("id"), *[f"r.{h}" for h in hashes]), "simhash-kept")
+    key = ["id", *hashes]  # no id counts as 0 here: the row's hash knows which it is
+    numbered = [c for c in rows.columns if c not in ("doc_id", "text", *hashes)]
+    single = rows.select(*numbered, F.coalesce("doc_id", F.lit(0)).alias("id"), *hashes).dropDuplicates(key)
+    return single.join(kept, key, "left_semi").select(*numbered).toDF(*docs.columns)

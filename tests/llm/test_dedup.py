@@ -133,6 +133,34 @@ def test_simhash_odd_rows(odd_docs, no_docs):
     assert S.keep_one(no_docs).count() == 0
 
 
+def test_keep_one_leaves_one_row_of_each_group(spark, odd_docs):
+    """Rows without an id, repeated ids and repeated rows are judged row by row."""
+    def kept(df):
+        return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+    long_text = next(r.text for r in odd_docs.collect() if r.doc_id == 4)
+    assert kept(S.keep_one(odd_docs)) == sorted(
+        [(1, "alpha beta gamma"), (2, None), (None, "lost id text here"), (4, long_text)], key=str)
+    rows = [(None, "one two three"), (None, "one two three"), (None, "ONE two three"), (None, "four five six"),
+            (3, "four five six"), (3, "seven eight nine"), (1, "seven eight nine"), (7, "ten eleven"), (7, "ten eleven"),
+            (None, None), (None, ""), (0, "zero zero"), (None, "zero zero")]
+    docs = spark.createDataFrame([(*r, k % 2) for k, r in enumerate(rows)], "doc_id long, text string, extra int")
+    for parts in (1, 5):  # the same rows, however they arrive
+        got = S.keep_one(docs.repartition(parts))
+        found = sorted(map(tuple, got.collect()), key=str)
+        if parts == 1:
+            before = found
+        assert found == before and got.columns == docs.columns
+    by_fp = {}
+    for d, t, _ in found:
+        assert (d, t) in rows
+        by_fp.setdefault(brute_fp(t), []).append(d)
+    low = {}
+    for d, t in rows:
+        low.setdefault(brute_fp(t), []).append(d)
+    assert by_fp == {f: [min((d for d in ds if d is not None), default=None)] for f, ds in low.items()}
+
+
 # Embeddings ------------------------------------------------------------------
 
 def brute_embeddings(rows, threshold=0.9):
