@@ -7,8 +7,11 @@ with their features as bin numbers. Each level of each tree is one grouped sum
 of gradients over that sample: the driver reads (nodes x features x bins)
 numbers and writes the tree as a SQL expression, so scoring all pages is one
 narrow projection. Suffix statistics are smoothed block rates of the host's
-last label, of its last two labels and of the path's file ending, from the
-sample; these tables have at most ``most`` rows, hence the broadcast.
+last label, of its last two labels and of the path's file ending, over all URLs
+that a rule decides (one grouped count with map-side combining, written). They
+may have as many rows as there are domains, so they are broadcast only after
+their size was checked, else the join shuffles. The share of blocked URLs, which
+stands in for a suffix that no decided URL has, is over all of them too.
 
 A rule ``host/path`` fits its host and all subdomains if the URL's path starts
 with the rule's; the longest rule that fits wins (of equal length: the first
@@ -30,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shipledger.llm.common import written
+from shipledger.session import bounded_broadcast
 
 #: (verdict, host, path)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"),
@@ -37,6 +41,7 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 SAMPLE, TREES, DEPTH, BINS, RATE, L2 = 20_000, 8, 3, 16, 0.5, 1.0
 FEATURES = ["length", "host_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "parameters",
             "query_length", "secure", "tld_rate", "domain_rate", "ending_rate"]
+SUFFIXES = ["tld", "domain", "ending"]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -68,28 +73,41 @@ def _entropy(text: Column) -> Column:
         (n - F.size(F.array_remove(chars, c))) / n) * F.log2((n - F.size(F.array_remove(chars, c))) / n))
 
 
+def _suffixes(pages: DataFrame) -> DataFrame:
+    host, path = F.col("host"), F.col("path")
+    return pages.withColumns({
+        "tld": F.element_at(F.split(host, r"\."), -1), "domain": F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1),
+        "ending": F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1)})
+
+
 def _lexical(pages: DataFrame) -> DataFrame:
     url, host, path = F.col("url"), F.col("host"), F.col("path")
     n = F.length(url).cast("double")
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
     count = lambda text, what: (F.length(text) - F.length(F.replace(text, F.lit(what), F.lit("")))).cast("double")
-    return pages.withColumns({
+    return _suffixes(pages).withColumns({
         "length": n, "host_length": F.length(host).cast("double"), "depth": count(path, "/"),
         "labels": count(host, "."),
         "digit_ratio": (n - F.length(F.translate(url, "0123456789", ""))) / F.greatest(n, F.lit(1.0)),
         "hyphens": count(url, "-"), "entropy": _entropy(url), "parameters": count(query, "="),
-        "query_length": F.length(query).cast("double"), "secure": url.startswith("https:").cast("double"),
-        "tld": F.element_at(F.split(host, r"\."), -1), "domain": F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1),
-        "ending": F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1)})
+        "query_length": F.length(query).cast("double"), "secure": url.startswith("https:").cast("double")})
+
+
+def _suffix_counts(decided: DataFrame) -> DataFrame:
+    """kind (tld, domain, ending), suffix, y (blocked) and n of all URLs with a ``y``."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("suffix")) for k in SUFFIXES])
+    return (_suffixes(decided).select("y", F.explode(kinds).alias("s")).groupBy("s.kind", "s.suffix")
+            .agg(F.sum("y").alias("y"), F.count("*").alias("n")))
 
 
-def _rates(sample: DataFrame, key: str) -> DataFrame:
-    return sample.groupBy(key).agg(((F.sum("y") + 1) / (F.count("*") + 2)).alias(f"{key}_rate"))
+def _rates(counts: DataFrame, key: str) -> DataFrame:
+    return counts.where(F.col("kind") == key).select(
+        F.col("suffix").alias(key), ((F.col("y") + 1) / (F.col("n") + 2)).alias(f"{key}_rate"))
 
 
 def _with_rates(pages: DataFrame, rates: dict[str, DataFrame], prior: float) -> DataFrame:
     for key, table in rates.items():
-        pages = pages.join(F.broadcast(table), key, "left")
+        pages = pages.join(bounded_broadcast(table), key, "left")
     return pages.withColumns({f"{k}_rate": F.coalesce(F.col(f"{k}_rate"), F.lit(prior)) for k in rates})
 
 
@@ -116,15 +134,17 @@ class UrlModel:
 
 
 def fit(pages: DataFrame, rules=RULES, most: int = SAMPLE, trees: int = TREES) -> UrlModel:
-    """Boosted trees on at most ``most`` URLs that a rule decides."""
-    decided = with_rule(split_url(pages), rules).where("rule is not null")
-    sample = written(_lexical(decided.orderBy(F.xxhash64("url"), "url", "page_id").limit(most)).withColumn(
-        "y", (F.col("ruling") == "block").cast("double")), "url-sample")
-    n, blocked = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
+    """Rates over all URLs that a rule decides, boosted trees on at most ``most`` of them."""
+    decided = with_rule(split_url(pages), rules).where("rule is not null").withColumn(
+        "y", (F.col("ruling") == "block").cast("double"))
+    counts = written(_suffix_counts(decided), "url-rates")
+    n, blocked = counts.where(F.col("kind") == "tld").agg(  # each URL has one
+        F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     if blocked in (0, n):
         return UrlModel({}, 0.5, [[] for _ in FEATURES], [], 6.0 if blocked else -6.0)
     prior = blocked / n
-    rates = {k: written(_rates(sample, k), "url-rates") for k in ("tld", "domain", "ending")}
+    rates = {k: _rates(counts, k) for k in SUFFIXES}
+    sample = written(_lexical(decided.orderBy(F.xxhash64("url"), "url", "page_id").limit(most)), "url-sample")
     full = _with_rates(sample, rates, prior)
     shares = F.lit([k / BINS for k in range(1, BINS)])
     edges = [sorted(set(q)) for q in full.agg(*[F.percentile_approx(f, shares, 1000) for f in FEATURES]).first()]

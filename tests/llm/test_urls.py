@@ -68,3 +68,25 @@ def test_main_path_has_no_python(spark, capsys):
 def test_empty(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     assert U.judge(empty, U.fit(empty)).count() == 0
+
+
+def test_rates_are_of_all_decided_urls(spark, monkeypatch):
+    """Not of the URLs that the trees are grown on; with a broadcast and with a shuffle."""
+    urls = [f"http://d{i % 40}.{'net' if i % 3 else 'org'}/fr/{i}.{'html' if i % 5 else 'pdf'}" for i in range(400)]
+    urls += [f"http://d{i}.com/{i}.html" for i in range(40)]  # no rule fits
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    model = U.fit(pages, most=25)
+    ruled = [(*brute(u)[:2], float(brute(u)[3] == "block")) for u in urls if brute(u)[2]]
+    assert len(ruled) == 400 and abs(model.prior - sum(y for *_, y in ruled) / 400) < 1e-12
+    suffix = {"tld": lambda h, p: h.split(".")[-1], "domain": lambda h, p: h, "ending": lambda h, p: p.split(".")[-1]}
+    for key, cut in suffix.items():
+        want = {}
+        for host, path, y in ruled:
+            want.setdefault(cut(host, path), []).append(y)
+        got = {r[key]: r[f"{key}_rate"] for r in model.rates[key].collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[k] - (sum(v) + 1) / (len(v) + 2)) < 1e-12 for k, v in want.items())
+    judged = sorted(map(tuple, U.judge(pages, model).collect()))
+    assert len(judged) == 440
+    monkeypatch.setattr(U, "bounded_broadcast", lambda df: df)
+    assert sorted(map(tuple, U.judge(pages, model).collect())) == judged
