@@ -102,7 +102,7 @@ def test_log_reconciles(fixture_build):
 
 
 def test_null_status_is_an_error(spark):
-    from conftest import COLS, row
+    from shipment_rows import COLS, row
     from shipledger.plans.build import build_from_frames
 
     df = spark.createDataFrame([row("X1", "2025-01-02", "Nordfrakt", "SE", "DE", "Standard", "10", "EUR", "2", "4",
@@ -191,7 +191,7 @@ def wide(spark, n, **cols):
             "carrier": F.lit("Nordfrakt"), "service_level": F.lit("Standard"), "currency": F.lit("EUR"),
             "freight_cost": (F.col("id") % 500).cast("string"), "transit_days": F.lit("2"), "promised_days": F.lit("4"),
             "status": F.lit("Delivered"), "weight_kg": F.lit("5"), **cols}
-    from conftest import COLS
+    from shipment_rows import COLS
 
     return spark.range(n).select(*[base.get(c, F.lit("SE")).alias(c) for c in COLS],
                                  *[v.alias(k) for k, v in cols.items() if k not in COLS])
@@ -306,7 +306,7 @@ def test_stage_folder_is_required_on_a_cluster(spark, monkeypatch):
 def test_forget_deletes_stages(spark):
     import os
 
-    from conftest import SMOKE
+    from shipment_rows import SMOKE
     from shipledger.plans import build
 
     c = build.processed(spark, SMOKE)

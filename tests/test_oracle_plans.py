@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from conftest import SMOKE
+from shipment_rows import SMOKE
 
 DATA = Path(SMOKE)
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="driver tables not present")
