@@ -7,7 +7,8 @@ whose distances hold q that stretch covers a whole aligned block:
 
 1. Words are numbered and mapped to small integers. At scale B = 2, 4, 8, ...
    blocks start at multiples of B and are B words long (``BLOCK`` at most); the
-   windows that follow hold the distances 2B - 1 to 4B - 2 (1 to 6 at B = 2).
+   windows that follow hold the distances 2B - 1 to 4B - 2 (1 to 6 at B = 2;
+   where runs may be shorter than five words, B = 1 goes before it).
 2. The squared differences of a block and every place of its window sum to
    |block|^2 + |window place|^2 - 2 * correlation, and the correlations are a
    number-theoretic transform modulo ``PRIME``: transforms of up to 128 points
@@ -135,10 +136,11 @@ class Runs:
         reach[order] = np.repeat(order[ends], np.diff(np.concatenate([[-1], ends])))
         reach -= np.arange(total)
         hashed = (mix(self.codes) % np.uint64(SMALL)).astype(np.float64)
-        scale = 2
+        # periods 1 and 2 of runs of five words or more cover a block of two words
+        smallest = scale = 2 if self.shortest >= 5 else 1
         while True:
             block = min(scale, BLOCK)
-            low, high = (1, 6) if scale == 2 else (2 * scale - 1, 4 * scale - 2)
+            low, high = 1 if scale == smallest else 2 * scale - 1, 4 * scale - 2
             if max(self.shortest, 2 * low) > longest:
                 return
             starts = np.arange(0, total - block + 1, scale)
