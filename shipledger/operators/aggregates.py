@@ -4,7 +4,8 @@ Populations: *all* = every row in view, *active* = not cancelled, *billable*
 = active and not a cost outlier. Every function states which one it uses and
 computes all populations in ONE conditional aggregation instead of one
 group-by per population plus joins. Windows only ever run over these small
-aggregates, never over shipment rows.
+aggregates, never over shipment rows. ``df`` is a table of shipments or a cube
+of them (``cube.build_cube``): the measures are the same expressions.
 """
 
 from __future__ import annotations
@@ -15,10 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shipledger import constants as K
-
-
-def _active() -> Column:
-    return ~F.col("is_cancelled")
+from shipledger.operators.cube import active_rows, measures
 
 
 def ratio_pct(k: Column, n: Column) -> Column:
@@ -26,8 +24,18 @@ def ratio_pct(k: Column, n: Column) -> Column:
     return F.lit(100.0) * (k.cast("double") / F.when(n != 0, n.cast("double")))
 
 
+def money(total: Column) -> Column:
+    """A sum of money, 0 over nothing."""
+    return F.coalesce(total, F.lit(0).cast("decimal(18,2)"))
+
+
 def money_sum(c: Column) -> Column:
-    return F.coalesce(F.sum(c), F.lit(0).cast("decimal(18,2)"))
+    return money(F.sum(c))
+
+
+def mean(total: Column, n: Column) -> Column:
+    """A mean from a sum and a count, null over nothing."""
+    return total.cast("double") / F.when(n != 0, n)
 
 
 def carrier_rank(order: list[str] | None = None) -> Column:
@@ -61,21 +69,20 @@ def join_on(a: DataFrame, b: DataFrame, slices: list[str], also: list[str] | Non
 # A1 KPIs
 # ---------------------------------------------------------------------------
 
-def kpi_columns() -> list[Column]:
-    active_n = F.count_if(_active())
-    late_n = F.count_if(F.col("is_late") & _active())
+def kpi_columns(df: DataFrame) -> list[Column]:
+    m = measures(df)
     return [
-        money_sum(F.when(F.col("is_billable"), F.col("freight_cost_eur"))).cast("double").alias("total_spend"),
-        F.count(F.lit(1)).alias("orders"),
-        F.count_if(F.col("is_billable")).alias("billable_orders"),
-        active_n.alias("active_orders"),
-        F.count_if(F.col("is_cancelled")).alias("cancelled_orders"),
-        F.count_if(F.col("cost_is_outlier")).alias("outlier_orders"),
-        F.count_if(F.col("is_cancelled") | F.col("cost_is_outlier")).alias("excluded_from_spend"),
-        F.coalesce(ratio_pct(F.count_if(F.col("is_on_time") & _active()), active_n), F.lit(0.0)).alias("on_time_pct"),
-        F.coalesce(F.avg(F.when(F.col("is_late") & _active(), F.col("delay_days"))), F.lit(0.0)).alias("avg_delay"),
-        late_n.alias("late_orders"),
-        money_sum(F.when(_active(), F.col("late_penalty_eur"))).cast("double").alias("penalties"),
+        money(m["spend"]).cast("double").alias("total_spend"),
+        m["n_all"].alias("orders"),
+        m["n_billable"].alias("billable_orders"),
+        m["n_active"].alias("active_orders"),
+        m["n_cancelled"].alias("cancelled_orders"),
+        m["n_outlier"].alias("outlier_orders"),
+        m["n_excluded"].alias("excluded_from_spend"),
+        F.coalesce(ratio_pct(m["n_on_time"], m["n_active"]), F.lit(0.0)).alias("on_time_pct"),
+        F.coalesce(mean(m["delay_sum"], m["n_late"]), F.lit(0.0)).alias("avg_delay"),
+        m["n_late"].alias("late_orders"),
+        money(m["penalties"]).cast("double").alias("penalties"),
     ]
 
 
@@ -83,8 +90,8 @@ def kpis(df: DataFrame, by=None) -> DataFrame:
     """A1: the 11 headline measures; one row, or one row per slice of ``by``."""
     keys = _keys(by)
     if keys:
-        return df.groupBy(*keys).agg(*kpi_columns())
-    return df.agg(*kpi_columns())
+        return df.groupBy(*keys).agg(*kpi_columns(df))
+    return df.agg(*kpi_columns(df))
 
 
 # ---------------------------------------------------------------------------
@@ -97,57 +104,51 @@ def spend_by_carrier(df: DataFrame, by=None) -> DataFrame:
     the active ones (null when none). Carriers with no billable row stay, at
     zero spend. Rows with no carrier are not a carrier and are left out."""
     keys = _keys(by)
-    active_n = F.count_if(_active())
-    spend = money_sum(F.when(F.col("is_billable"), F.col("freight_cost_eur")))
-    billable = F.count_if(F.col("is_billable"))
+    m = measures(df)
+    spend = money(m["spend"])
     out = (
         df.filter(F.col("carrier").isNotNull())
         .groupBy(*keys, "carrier")
         .agg(
             spend.cast("double").alias("spend"),
-            F.count(F.lit(1)).alias("orders"),
-            billable.alias("billable_orders"),
-            ratio_pct(F.count_if(F.col("is_on_time") & _active()), active_n).alias("on_time_pct"),
-            money_sum(F.when(_active(), F.col("late_penalty_eur"))).cast("double").alias("penalties"),
-            (spend.cast("double") / F.when(billable != 0, billable)).alias("cost_per_shipment"),
+            m["n_all"].alias("orders"),
+            m["n_billable"].alias("billable_orders"),
+            ratio_pct(m["n_on_time"], m["n_active"]).alias("on_time_pct"),
+            money(m["penalties"]).cast("double").alias("penalties"),
+            mean(spend, m["n_billable"]).alias("cost_per_shipment"),
         )
         .withColumn("carrier_rank", carrier_rank())
     )
     return out
 
 
-def book_cost_per_shipment(df: DataFrame) -> DataFrame:
+def book_cost_per_shipment(df: DataFrame, by=None) -> DataFrame:
     """A3 reference line: billable spend over max(billable orders, 1)."""
-    return df.agg(
-        (
-            money_sum(F.when(F.col("is_billable"), F.col("freight_cost_eur"))).cast("double")
-            / F.greatest(F.count_if(F.col("is_billable")), F.lit(1))
-        ).alias("book_cost_per_shipment")
-    )
+    m = measures(df)
+    cost = money(m["spend"]).cast("double") / F.greatest(m["n_billable"], F.lit(1))
+    return df.groupBy(*_keys(by)).agg(cost.alias("book_cost_per_shipment"))
 
 
-def carrier_totals(df: DataFrame) -> DataFrame:
+def carrier_totals(df: DataFrame, by=None) -> DataFrame:
     """The carrier table with a totals row (``rollup`` over the small
-    per-carrier aggregate, not over shipments)."""
-    by_carrier = spend_by_carrier(df)
-    return (
-        by_carrier.rollup("carrier")
-        .agg(
-            F.sum("orders").alias("orders"),
-            F.sum("billable_orders").alias("billable_orders"),
-            F.sum("spend").alias("spend"),
-            F.sum("penalties").alias("penalties"),
-            F.max("on_time_pct").alias("_ot"),
-            F.grouping("carrier").alias("_g"),
-        )
-        .select(
-            F.when(F.col("_g") == 1, F.lit("Total")).otherwise(F.col("carrier")).alias("carrier"),
-            (F.col("_g") == 1).alias("is_total"),
-            "orders", "billable_orders",
-            F.round("spend", 2).alias("spend"),
-            F.round("penalties", 2).alias("penalties"),
-            F.when(F.col("_g") == 0, F.col("_ot")).alias("on_time_pct"),
-        )
+    per-carrier aggregate, not over shipments), per slice of ``by``."""
+    keys = _keys(by)
+    total = (F.grouping("carrier") == 1).alias("is_total")
+    out = spend_by_carrier(df, by).rollup(*keys, "carrier").agg(
+        F.sum("orders").alias("orders"),
+        F.sum("billable_orders").alias("billable_orders"),
+        F.sum("spend").alias("spend"),
+        F.sum("penalties").alias("penalties"),
+        F.max("on_time_pct").alias("_ot"),
+        total,
+        F.grouping(keys[-1]).alias("_whole") if keys else F.lit(0).alias("_whole"),
+    )
+    return out.filter(F.col("_whole") == 0).select(  # with slices, a total over them all is no slice's
+        *keys, F.when(F.col("is_total"), F.lit("Total")).otherwise(F.col("carrier")).alias("carrier"), "is_total",
+        "orders", "billable_orders",
+        F.round("spend", 2).alias("spend"),
+        F.round("penalties", 2).alias("penalties"),
+        F.when(~F.col("is_total"), F.col("_ot")).alias("on_time_pct"),
     )
 
 
@@ -158,30 +159,29 @@ def carrier_totals(df: DataFrame) -> DataFrame:
 _GRAIN = {"day": "ship_date", "week": "ship_week", "month": "ship_month"}
 
 
-def trend(df: DataFrame, grain: str = "week", trim: bool = True) -> DataFrame:
+def trend(df: DataFrame, grain: str = "week", trim: bool = True, by=None) -> DataFrame:
     """A4 + A5: one row per period with an active shipment; clipped edge
-    periods dropped (not for days, only with >= 4 periods).
+    periods dropped (not for days, only with >= 4 periods), per slice of ``by``.
 
     One pass over the shipments: each period also carries the first and last
     ship date of all its rows, so the view's bounds, the period count and the
     edge periods come from windows over the (small, one row per period)
     aggregate instead of further scans of the table."""
-    col = _GRAIN[grain]
-    active_n = F.count_if(_active())
-    measures = ["spend", "on_time_pct", "orders", "late_orders", "penalties", "avg_delay"]
-    all_periods = df.groupBy(F.col(col).alias("period")).agg(
-        money_sum(F.when(F.col("is_billable"), F.col("freight_cost_eur"))).cast("double").alias("spend"),
-        ratio_pct(F.count_if(F.col("is_on_time") & _active()), active_n).alias("on_time_pct"),
-        active_n.alias("orders"),
-        F.count_if(F.col("is_late") & _active()).alias("late_orders"),
-        money_sum(F.when(_active(), F.col("late_penalty_eur"))).cast("double").alias("penalties"),
-        F.avg(F.when(F.col("is_late") & _active(), F.col("delay_days"))).alias("avg_delay"),
-        F.min("ship_date").alias("_dmin"),
-        F.max("ship_date").alias("_dmax"),
+    col, keys, m = _GRAIN[grain], _keys(by), measures(df)
+    names = ["spend", "on_time_pct", "orders", "late_orders", "penalties", "avg_delay"]
+    all_periods = df.groupBy(*keys, F.col(col).alias("period")).agg(
+        money(m["spend"]).cast("double").alias("spend"),
+        ratio_pct(m["n_on_time"], m["n_active"]).alias("on_time_pct"),
+        m["n_active"].alias("orders"),
+        m["n_late"].alias("late_orders"),
+        money(m["penalties"]).cast("double").alias("penalties"),
+        mean(m["delay_sum"], m["n_late"]).alias("avg_delay"),
+        m["first_date"].alias("_dmin"),
+        m["last_date"].alias("_dmax"),
     )
     if grain == "day" or not trim:
-        return all_periods.filter(F.col("orders") > 0).select("period", *measures)
-    every = Window.partitionBy()  # over the period aggregate only (bounded by the number of periods)
+        return all_periods.filter(F.col("orders") > 0).select(*keys, "period", *names)
+    every = Window.partitionBy(*keys)  # over the period aggregate only (bounded by the number of periods)
     per = (
         all_periods.withColumns({"_lo": F.min("_dmin").over(every), "_hi": F.max("_dmax").over(every)})
         .filter(F.col("orders") > 0)
@@ -193,32 +193,30 @@ def trend(df: DataFrame, grain: str = "week", trim: bool = True) -> DataFrame:
     remaining = F.col("_n") - drop_first.cast("int")
     drop_last = (F.col("_n") >= 4) & (last_end > F.col("_hi")) & (remaining > 2)
     keep = ~((F.col("period") == F.col("_first")) & drop_first) & ~((F.col("period") == F.col("_last")) & drop_last)
-    return per.filter(keep).select("period", *measures)
+    return per.filter(keep).select(*keys, "period", *names)
 
 
 # ---------------------------------------------------------------------------
 # A6, A7, A8 carrier x destination matrix
 # ---------------------------------------------------------------------------
 
-def lane_matrix(df: DataFrame, min_shipments: int = K.MIN_LANE_SHIPMENTS) -> DataFrame:
+def lane_matrix(df: DataFrame, min_shipments: int = K.MIN_LANE_SHIPMENTS, by=None) -> DataFrame:
     """A6-A8 in long form: one row per (carrier, destination) cell of active
     shipments, on-time % masked below ``min_shipments``, late % = 100 - it,
-    carrier rank (fixed order) and destination rank (worst mean first)."""
-    active = df.filter(_active() & F.col("carrier").isNotNull() & F.col("destination_country").isNotNull())
-    cells = active.groupBy("carrier", "destination_country").agg(
-        F.count(F.lit(1)).alias("shipments"),
-        ratio_pct(F.count_if(F.col("is_on_time")), F.count(F.lit(1))).alias("_rate"),
-    )
+    carrier rank (fixed order) and destination rank (worst mean first), per
+    slice of ``by``."""
+    keys, m = _keys(by), measures(df)
+    active = active_rows(df).filter(F.col("carrier").isNotNull() & F.col("destination_country").isNotNull())
+    cells = active.groupBy(*keys, "carrier", "destination_country").agg(
+        m["n_active"].alias("shipments"), ratio_pct(m["n_on_time"], m["n_active"]).alias("_rate"))
     cells = cells.withColumn(
         "on_time_pct", F.when(F.col("shipments") >= min_shipments, F.col("_rate"))
     ).drop("_rate")
-    dest = cells.groupBy("destination_country").agg(F.avg("on_time_pct").alias("_mean"))
-    dest = dest.withColumn(
-        "destination_rank",
-        F.row_number().over(Window.orderBy(F.col("_mean").asc_nulls_last(), F.col("destination_country"))),
-    ).drop("_mean")
+    dest = cells.groupBy(*keys, "destination_country").agg(F.avg("on_time_pct").alias("_mean"))
+    worst = Window.partitionBy(*keys).orderBy(F.col("_mean").asc_nulls_last(), F.col("destination_country"))
+    dest = dest.withColumn("destination_rank", F.row_number().over(worst)).drop("_mean")
     return (
-        cells.join(dest, "destination_country")  # destinations are free text: the optimiser sizes this
+        join_on(cells, dest, keys, ["destination_country"])  # destinations are free text: the optimiser sizes this
         .withColumn("late_pct", F.lit(100.0) - F.col("on_time_pct"))
         .withColumn("carrier_rank", carrier_rank())
     )
@@ -255,15 +253,15 @@ def weekday_cells(df: DataFrame, regions: dict | None = None, by=None) -> DataFr
     """Active shipments per (slice, carrier, region, weekday): n, transit sum
     and count, late count, penalties. Rows are exploded onto every region
     that lists their destination (a broadcast of the listed countries)."""
-    keys = _keys(by)
+    keys, m = _keys(by), measures(df)
     reg = F.broadcast(regions_frame(df.sparkSession, regions))  # size = listed countries
-    active = df.filter(_active() & F.col("carrier").isNotNull()).join(reg, "destination_country")
+    active = active_rows(df).filter(F.col("carrier").isNotNull()).join(reg, "destination_country")
     return active.groupBy(*keys, "carrier", "region", "region_order", "destinations", "ship_weekday").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("transit_days").alias("t_sum"),
-        F.count("transit_days").alias("t_n"),
-        F.count_if(F.col("is_late")).alias("late_n"),
-        money_sum(F.col("late_penalty_eur")).cast("double").alias("penalties"),
+        m["n_active"].alias("n"),
+        m["t_sum"].alias("t_sum"),
+        m["t_n"].alias("t_n"),
+        m["n_late"].alias("late_n"),
+        money(m["penalties"]).cast("double").alias("penalties"),
     )
 
 
@@ -360,28 +358,19 @@ def worst_lanes(df: DataFrame, limit: int = 3, min_shipments: int = K.MIN_LANE_S
     """A10 (+A17): lanes of >= 8 active shipments ranked by penalties (top
     ``limit``, per slice of ``by``), with the excess over the book late rate.
 
-    Active rows are aggregated per carrier x destination with null keys kept, so
-    the book rate of a slice is a sum over its cells. Ungrouped, the lanes are
-    taken by ``orderBy(...).limit`` (a top-k in each task); per slice, a window
-    runs over the lane aggregate."""
-    keys = _keys(by)
-    cells = df.filter(_active()).groupBy(*keys, "carrier", "destination_country").agg(
-        F.count(F.lit(1)).alias("orders"),
-        F.count_if(F.col("is_late")).alias("_late"),
-        money_sum(F.col("late_penalty_eur")).cast("double").alias("penalties"),
-    )
-    book = cells.groupBy(*keys).agg(ratio_pct(F.sum("_late"), F.sum("orders")).alias("book_late_pct"))
-    lanes = cells.filter(
-        F.col("carrier").isNotNull() & F.col("destination_country").isNotNull() & (F.col("orders") >= min_shipments)
-    ).withColumn("late_pct", ratio_pct(F.col("_late"), F.col("orders")))
-    order = [F.col("penalties").desc(), F.col("carrier"), F.col("destination_country")]
-    if not keys:
-        lanes = lanes.orderBy(*order).limit(limit)
-    ranked = lanes.withColumn("lane_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(
-        F.col("lane_rank") <= limit)
-    return join_on(ranked, book, keys).select(
-        *keys, "carrier", "destination_country", "orders", "late_pct", "penalties", "lane_rank", "book_late_pct",
-        (F.col("late_pct") - F.col("book_late_pct")).alias("late_pct_above_book"),
+    Active rows are aggregated per carrier x destination with null keys kept;
+    the book rate is a window over those cells, so the table is read once."""
+    keys, m = _keys(by), measures(df)
+    cells = active_rows(df).groupBy(*keys, "carrier", "destination_country").agg(
+        m["n_active"].alias("orders"), m["n_late"].alias("_late"), money(m["penalties"]).cast("double").alias("penalties"))
+    book = Window.partitionBy(*keys)  # over cells: carriers x destinations of a slice
+    lanes = cells.withColumn("book_late_pct", ratio_pct(F.sum("_late").over(book), F.sum("orders").over(book))).filter(
+        F.col("carrier").isNotNull() & F.col("destination_country").isNotNull() & (F.col("orders") >= min_shipments))
+    order = book.orderBy(F.col("penalties").desc(), F.col("carrier"), F.col("destination_country"))
+    return lanes.withColumn("lane_rank", F.row_number().over(order)).filter(F.col("lane_rank") <= limit).select(
+        *keys, "carrier", "destination_country", "orders", ratio_pct(F.col("_late"), F.col("orders")).alias("late_pct"),
+        "penalties", "lane_rank", "book_late_pct",
+        (ratio_pct(F.col("_late"), F.col("orders")) - F.col("book_late_pct")).alias("late_pct_above_book"),
     )
 
 
@@ -389,9 +378,8 @@ def composition(df: DataFrame, top: int = 3, by=None) -> DataFrame:
     """Penalties of the top three carriers (when > 0) and the rest as
     ``Other`` (when > 0), per slice of ``by``."""
     keys = _keys(by)
-    pen = df.filter(_active() & F.col("carrier").isNotNull()).groupBy(*keys, "carrier").agg(
-        money_sum(F.col("late_penalty_eur")).alias("penalties")
-    )
+    pen = active_rows(df).filter(F.col("carrier").isNotNull()).groupBy(*keys, "carrier").agg(
+        money(measures(df)["penalties"]).alias("penalties"))
     w = Window.partitionBy(*keys).orderBy(F.col("penalties").desc(), F.col("carrier"))
     ranked = pen.withColumn("_rn", F.row_number().over(w))
     named = ranked.filter((F.col("_rn") <= top) & (F.col("penalties") > 0)).select(
@@ -412,16 +400,21 @@ def composition(df: DataFrame, top: int = 3, by=None) -> DataFrame:
 # A14 KPI change, A15 sparkline values
 # ---------------------------------------------------------------------------
 
-def kpi_change(labelled: DataFrame, min_prior: int = K.MIN_PRIOR_SHIPMENTS, band: float = K.KPI_DEAD_BAND) -> DataFrame:
+def kpi_change(labelled: DataFrame, min_prior: int = K.MIN_PRIOR_SHIPMENTS, band: float = K.KPI_DEAD_BAND,
+               by=None) -> DataFrame:
     """Current window against the prior one (``views.with_prior``), one
     row per KPI: relative % for spend and orders, points for on-time, days
     for delay; direction up / down / flat. No comparison when the prior
-    window holds fewer than ``min_prior`` shipments or the base is 0."""
-    per = labelled.groupBy("window").agg(*kpi_columns(), F.max("prior_days").alias("prior_days"))
-    cur = per.filter(F.col("window") == "current").select(*[F.col(c).alias("c_" + c) for c in per.columns])
-    pri = per.filter(F.col("window") == "prior").select(*[F.col(c).alias("p_" + c) for c in per.columns])
-    both = cur.join(pri, on=F.lit(True), how="left")  # at most one row each
+    window holds fewer than ``min_prior`` shipments or the base is 0. Per
+    slice of ``by`` that has shipments in the current window."""
+    keys = _keys(by)
+    per = labelled.groupBy(*keys, "window").agg(*kpi_columns(labelled), F.max("prior_days").alias("prior_days"))
+    names = [c for c in per.columns if c not in keys]
+    cur = per.filter(F.col("window") == "current").select(*keys, *[F.col(c).alias("c_" + c) for c in names])
+    pri = per.filter(F.col("window") == "prior").select(*keys, *[F.col(c).alias("p_" + c) for c in names])
+    both = join_on(cur, pri, keys, how="left")  # at most one row each a slice
     stacked = both.select(
+        *keys,
         F.col("c_prior_days").alias("prior_days"),
         (F.coalesce(F.col("p_orders"), F.lit(0)) >= min_prior).alias("has_prior"),
         F.inline(
@@ -453,20 +446,21 @@ def kpi_change(labelled: DataFrame, min_prior: int = K.MIN_PRIOR_SHIPMENTS, band
         .when(diff > band, "up").when(diff < -band, "down").otherwise("flat")
     )
     return stacked.select(
-        "kpi", "current", prior.alias("prior"), delta.alias("delta"), direction.alias("direction"),
+        *keys, "kpi", "current", prior.alias("prior"), delta.alias("delta"), direction.alias("direction"),
         "prior_days", "kind",
     )
 
 
-def kpi_last_weeks(df: DataFrame, weeks: int = K.SPARKLINE_WEEKS, min_points: int = K.SPARKLINE_MIN_POINTS) -> DataFrame:
+def kpi_last_weeks(df: DataFrame, weeks: int = K.SPARKLINE_WEEKS, min_points: int = K.SPARKLINE_MIN_POINTS,
+                   by=None) -> DataFrame:
     """The last ``weeks`` weekly values of spend, on-time, delay and
-    orders, per KPI, omitted when fewer than ``min_points`` are present."""
-    tr = trend(df, "week")
-    last = tr.withColumn("_rn", F.row_number().over(Window.orderBy(F.col("period").desc()))).filter(
-        F.col("_rn") <= weeks
-    )
+    orders, per KPI (and slice of ``by``), omitted when fewer than ``min_points`` are
+    present."""
+    keys = _keys(by)
+    newest = Window.partitionBy(*keys).orderBy(F.col("period").desc())
+    last = trend(df, "week", by=by).withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= weeks)
     long = last.select(
-        "period",
+        *keys, "period",
         F.inline(
             F.array(
                 F.struct(F.lit("spend").alias("kpi"), F.col("spend").cast("double").alias("value")),
@@ -476,5 +470,5 @@ def kpi_last_weeks(df: DataFrame, weeks: int = K.SPARKLINE_WEEKS, min_points: in
             )
         ),
     ).filter(F.col("value").isNotNull())
-    n = Window.partitionBy("kpi")
+    n = Window.partitionBy(*keys, "kpi")
     return long.withColumn("points", F.count(F.lit(1)).over(n)).filter(F.col("points") >= min_points)

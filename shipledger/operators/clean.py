@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from shipledger import constants as K
 from shipledger.functions.dates import date_parts, month_start, parse_ship_date, week_start, weekday_name
 from shipledger.functions.text import carrier_key, lookup, null_tokens, strip_ws, title_case
+from shipledger.operators.cube import build_cube
 from shipledger.schema import FLAG_COLUMNS, SHIPMENT_COLUMNS, ORDER_PREFIX
 from shipledger.session import BROADCAST_MAX_BYTES, bounded_broadcast, materialize, text_bytes
 
@@ -368,6 +369,16 @@ class Cleaned:
     penalty: float = K.LATE_PENALTY_EUR_PER_DAY
     stages: list[str] = field(default_factory=list)
     cells: DataFrame | None = None  # counts that the log is made from (audit.log_cells)
+    cube_stage: DataFrame | None = None
+
+    @property
+    def cube(self) -> DataFrame:
+        """The additive cube of the table (``cube.build_cube``), written once
+        in date order; every view reads it instead of the shipments."""
+        if self.cube_stage is None:
+            cells = build_cube(self.table).repartitionByRange("ship_date").sortWithinPartitions("ship_date")
+            self.cube_stage = materialize(cells, "cube", stages=self.stages)
+        return self.cube_stage
 
     @property
     def table(self) -> DataFrame:

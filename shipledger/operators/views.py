@@ -32,9 +32,23 @@ def filter_view(df: DataFrame, start, end, carriers: tuple[str, ...] | list[str]
     return df.filter(cond)
 
 
-def bounds(df: DataFrame) -> DataFrame:
-    """One row with the first and last ship date of a view."""
-    return df.agg(F.min("ship_date").alias("first_date"), F.max("ship_date").alias("last_date"))
+def bounds(df: DataFrame, by=None) -> DataFrame:
+    """One row with the first and last ship date of a view, or one row
+    per slice of ``by``."""
+    keys = [] if by is None else [by] if isinstance(by, str) else list(by)
+    return df.groupBy(*keys).agg(F.min("ship_date").alias("first_date"), F.max("ship_date").alias("last_date"))
+
+
+def window_dates(start, end) -> tuple[dt.date, dt.date]:
+    """The two ends as dates (dates, timestamps or ISO texts)."""
+    return tuple(dt.date.fromisoformat(v[:10]) if isinstance(v, str) else v.date() if isinstance(v, dt.datetime) else v
+                 for v in (start, end))
+
+
+def window_days(start, end) -> int:
+    """Days of a window, both ends included."""
+    first, last = window_dates(start, end)
+    return (last - first).days + 1
 
 
 def preset_window(df: DataFrame, preset: str = "13w") -> DataFrame:

@@ -92,4 +92,9 @@ def table(spark: SparkSession, sf_dir: str):
     return processed(spark, sf_dir).table
 
 
-__all__ = ["build_from_tables", "processed", "forget", "table"]
+def cube(spark: SparkSession, sf_dir: str):
+    """The stored cube of the memoised build."""
+    return processed(spark, sf_dir).cube
+
+
+__all__ = ["build_from_tables", "processed", "forget", "table", "cube"]

@@ -267,6 +267,35 @@ def evidence_sql() -> str:
     return O.with_ctes(*ctes) + "\n" + body
 
 
+def cites_sql() -> str:
+    """Each cite of a finding against the evidence cell that it names."""
+    first = "CASE WHEN f.key = 'weakest_carrier' THEN 'on_time_pct' ELSE 'late_pct' END"
+    value = "CASE WHEN f.key = 'weakest_carrier' THEN e.on_time_pct ELSE e.late_pct END"
+    both = f"""SELECT f.*, {first} AS column_, {value} AS value, {d_pct(f'({value})')} AS shown
+  FROM f LEFT JOIN e ON e.key = f.key AND e.row_no = f.cite_row
+  UNION ALL
+  SELECT f.*, 'penalties', e.penalties, {d_money('e.penalties')} FROM f LEFT JOIN e ON e.key = f.key AND e.row_no = f.cite_row"""
+    return f"""WITH f AS ({findings_sql()}), e AS ({evidence_sql()}), c AS ({both})
+SELECT key, position, cite_row AS row_no, column_ AS "column", value, shown,
+  CASE WHEN contains(claim, shown) THEN 'claim'
+       WHEN contains(support_1 || ' ' || support_2 || ' ' || support_3, shown) THEN 'support' END AS quoted_in
+FROM c"""
+
+
+def records_sql() -> str:
+    """The nested record with its arrays as text."""
+    columns = " ".join(
+        f"WHEN {Q(k)} THEN " + Q("; ".join(f"{n}|{label}|{kind}|{fmt or '-'}" for n, label, kind, fmt in cols))
+        for k, cols in FD.EVIDENCE_COLUMNS.items())
+    return f"""WITH f AS ({findings_sql()})
+SELECT key, position, severity, share_pct, leak_eur, claim, support_1 || ' / ' || support_2 || ' / ' || support_3 AS support,
+  CAST(3 AS INTEGER) AS n_support, action, figure_eur, figure_label, figure_basis, method, exclusions,
+  CASE WHEN key = 'weakest_carrier' THEN cite_row || ':on_time_pct; ' ELSE cite_row || ':late_pct; ' END
+    || cite_row || ':penalties' AS cite,
+  CASE key {columns} END AS columns
+FROM f"""
+
+
 def formatted_carriers_sql() -> str:
     ctes = findings_ctes([])[:3] + ["_fb AS (SELECT min(ship_date) AS _a, max(ship_date) AS _b FROM shipments)"]
 

@@ -36,6 +36,25 @@ def q_evidence(spark, sf_dir):
     return FD.evidence(_table(spark, sf_dir))
 
 
+@register("finding_cites", OF.cites_sql)
+def q_finding_cites(spark, sf_dir):
+    return FD.finding_cites(_table(spark, sf_dir))
+
+
+@register("finding_records", OF.records_sql)
+def q_finding_records(spark, sf_dir):
+    """The nested records, with their arrays written out as text."""
+    def text(name, sep, part):
+        return F.array_join(F.transform(name, part), sep).alias(name)
+
+    return FD.records(_table(spark, sf_dir)).select(
+        "key", "position", "severity", "share_pct", "leak_eur", "claim", F.array_join("support", " / ").alias("support"),
+        F.size("support").alias("n_support"), "action", F.col("figure.eur").alias("figure_eur"),
+        F.col("figure.label").alias("figure_label"), F.col("figure.basis").alias("figure_basis"), "method", "exclusions",
+        text("cite", "; ", lambda c: F.concat_ws(":", c["row_no"].cast("string"), c["column"])),
+        text("columns", "; ", lambda c: F.concat_ws("|", c["name"], c["label"], c["kind"], F.coalesce(c["format"], F.lit("-")))))
+
+
 @register("executive_summary", OF.summary_sql)
 def q_executive_summary(spark, sf_dir):
     return FD.executive_summary(_table(spark, sf_dir))

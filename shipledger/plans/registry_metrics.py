@@ -243,10 +243,11 @@ def q_composition(spark, sf_dir):
 
 # --- C26/A14 KPI change, A15 last 13 weeks, A18 bounds ---------------------------------
 
-def _change_sql() -> str:
+def _change_sql(window: str | None = None) -> str:
+    """``window``: SQL of the two bounds _st and _en; else the last 13 weeks."""
+    last13 = "SELECT greatest(min(ship_date), max(ship_date) - 91) AS _st, max(ship_date) AS _en FROM shipments"
     w = ("_w AS (SELECT _st AS st, _en AS en, _st - CAST(_en - _st + 1 AS INTEGER) AS pst, _st - 1 AS pen, "
-         "CAST(_en - _st + 1 AS INTEGER) AS prior_days FROM (SELECT greatest(min(ship_date), max(ship_date) - 91) AS _st, "
-         "max(ship_date) AS _en FROM shipments))")
+         f"CAST(_en - _st + 1 AS INTEGER) AS prior_days FROM ({window or last13}))")
     lab = ("_lab AS (SELECT s.*, CASE WHEN ship_date BETWEEN st AND en THEN 'current' "
            "WHEN ship_date BETWEEN pst AND pen THEN 'prior' END AS win, prior_days FROM shipments s, _w)")
     per = f"_per AS (SELECT win, max(prior_days) AS prior_days, {KPI_SQL} FROM _lab WHERE win IS NOT NULL GROUP BY win)"
