@@ -5,20 +5,20 @@ merge can join a character to a marker that follows it. A text is therefore cut
 into chunks, each a run of markers and what follows up to the next marker, and
 a chunk is segmented the same wherever it stands.
 
-1. Texts are cut in slices of bounded size. A slice gives its distinct chunks,
-   numbered, and for each document the numbers of its chunks in order; both are
-   written once to the shared folder.
-2. The distinct chunks of all slices are grouped (map-side first) into one
-   table, and each is segmented once: merges by highest score, leftmost first,
-   then bytes for characters without a piece.
-3. The table is joined to the slices' chunks by an equi-join (a frequent chunk
-   occurs once a slice, not once a place; skewed keys can be split, and Spark
-   broadcasts the table only while its size allows), and the ids come back to
-   their documents by position: a slice's rows meet in one partition, its
-   segmented chunks first, and ids are gathered by number.
-
-Memory: a task holds one slice (``common.SLICE_BYTES`` of text, or one longer
-text). Nothing but a model path is broadcast or sent to the driver.
+1. A slice of texts (``SLICE`` bytes, or one longer text) is cut into chunks
+   and gives a table of its distinct ones; a text becomes the numbers of its
+   chunks, in order.
+2. Each distinct chunk of the table is segmented once: merges by highest score,
+   leftmost first, then bytes for characters without a piece. Chunks of
+   like length are segmented together: a matrix of symbols, in which every
+   chunk takes its best merge in each round. Longer chunks use a heap.
+3. The ids are joined back by position: numbers index the table, and the ids of
+   all documents of the slice are gathered at once.
+
+One narrow pass: no shuffle, nothing broadcast but a model path. Memory is that
+of one slice, and of at most ``REMEMBERED`` chunks that a worker keeps. (One table for the whole corpus,
+joined by shuffles, would write over three times the input: a quarter of all
+words are new to their slice where words are as varied as in the test corpora.)
 
 Needs a BPE model with identity normalisation, a dummy prefix, byte fallback
 and no user-defined or unused pieces; the loader holds a few probes against
@@ -41,15 +41,21 @@ import heapq
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shipledger.llm.common import map_arrow, slices, strings, written
+from shipledger.llm.common import map_arrow, slices, strings
+from shipledger.llm.encoded import Memory, gather
 
 MARK = "▁"
+SLICE = 8 << 20
+REMEMBERED = 500_000  # chunks a worker remembers
+WIDTHS = (8, 12, 16, 24, 48)  # characters of chunks that are segmented together
+TOGETHER = 1 << 13  # chunks in a matrix
 PROBES = ["", " ", "a  b ", " ▁x", "ﬁ Ａ\t\n", "<s>x</s><0x0A>", "漢字\U0001F600\x00", "   "]
 
+NONE = 1 << 30
+
 codecs.register_error("each-byte", lambda e: ("�" * (e.end - e.start), e.end))
 
 
@@ -84,11 +90,123 @@ class Model:
         self.bytes_of = pa.array(written_as, pa.binary())
         self.silent = np.array([sp.is_control(k) for k in ids])
         self.marked = np.array([sp.id_to_piece(k).startswith(MARK) for k in ids])
+        self.memory = Memory(REMEMBERED)
+        self._pairs()
         for text in PROBES:
-            mine = [k for c in cut(pa.array([text]))[1].to_pylist() for k in self.segment(c)]
+            mine = self.table(cut(pa.array([text]))[1])[0].tolist()
             if mine != sp.encode(text) or self.decode([mine]) != [sp.decode(mine)]:
                 raise ValueError("the model normalises, or has pieces of a kind that this method does not cover")
 
+    def _pairs(self) -> None:
+        """Symbols are piece ids, and further numbers for characters that only
+        occur inside pieces; which two symbols make which piece."""
+        size = len(self.bytes_of)
+        inside = sorted({c for p in self.piece for c in p}.difference(self.piece))
+        symbol = {**self.piece, **{c: size + k for k, c in enumerate(inside)}}
+        self.extra = size + len(inside)  # from here on: characters seen in a batch only
+        points = sorted((ord(c), k) for c, k in symbol.items() if len(c) == 1)
+        self.points, self.point_symbol = (np.array(x, np.int64) for x in zip(*points, strict=True))
+        left, right, made = [], [], []
+        for p, k in self.piece.items():
+            for i in range(1, len(p)):
+                a, b = symbol.get(p[:i]), symbol.get(p[i:])
+                if a is not None and b is not None:
+                    left.append(a)
+                    right.append(b)
+                    made.append(k)
+        keys = np.array(left, np.int64) << 32 | np.array(right, np.int64)
+        order = np.argsort(keys)
+        self.keys, self.made = keys[order], np.array(made, np.int32)[order]
+        score = np.zeros(size)
+        score[list(self.piece.values())] = [self.score[p] for p in self.piece]
+        # ranks: the least is merged first; equal scores share one
+        self.rank = np.unique(-score[self.made], return_inverse=True)[1].astype(np.int32)
+
+    def _look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, piece) that two symbols make; the rank is high where none."""
+        key = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[at] == key
+        return np.where(hit, self.rank[at], np.int32(NONE)), self.made[at]
+
+    def _merge(self, symbols: np.ndarray, n: np.ndarray) -> None:
+        """Segment the rows of ``symbols`` (the first n[i] of row i) in place."""
+        rows = np.flatnonzero(n > 1)
+        x, m = symbols[rows], n[rows]
+        rank, made = self._look(x[:, :-1], x[:, 1:])
+        place = np.arange(x.shape[1])
+        rank[place[None, 1:] >= m[:, None]] = NONE
+        while len(rows):
+            best = rank.argmin(1)
+            every = np.arange(len(rows))
+            go = rank[every, best] < NONE
+            if not go.all():
+                done = rows[~go]
+                symbols[done], n[done] = x[~go], m[~go]
+                rows, x, m, rank, made, best = rows[go], x[go], m[go], rank[go], made[go], best[go]
+                every = every[: len(rows)]
+                if not len(rows):
+                    return
+            x[every, best] = made[every, best]
+            # close the gap behind the merged symbol, then look at its two sides
+            later = place[None, :-2] >= best[:, None]
+            np.copyto(x[:, 1:-1], x[:, 2:].copy(), where=later)
+            np.copyto(rank[:, :-1], rank[:, 1:].copy(), where=later)
+            np.copyto(made[:, :-1], made[:, 1:].copy(), where=later)
+            m -= 1
+            rank[:, -1] = NONE
+            for side in (best - 1, best):
+                ok = (side >= 0) & (side + 1 < m)
+                at, side = every[ok], side[ok]
+                rank[at, side], made[at, side] = self._look(x[at, side], x[at, side + 1])
+            end = best + 1 >= m
+            rank[every[end], np.minimum(best[end], rank.shape[1] - 1)] = NONE
+
+    def table(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks, one after another, and how many each has."""
+        length = pc.utf8_length(chunks).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes, parts = np.zeros(len(chunks), np.int64), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        low = 0
+        for width in WIDTHS:
+            rows = np.flatnonzero((length > low) & (length <= width))
+            low = width
+            for at in range(0, len(rows), TOGETHER):
+                some = rows[at: at + TOGETHER]
+                flat, sizes[some] = self._matrix(chunks.take(pa.array(some)).to_pylist(), length[some], width)
+                parts.append((np.repeat(some, sizes[some]), flat))
+        for k in np.flatnonzero(length > low).tolist():
+            ids = np.array(self.segment(chunks[k].as_py()), np.int64)
+            sizes[k] = len(ids)
+            parts.append((np.full(len(ids), k), ids))
+        owner, flat = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        return flat[np.argsort(owner, kind="stable")], sizes
+
+    def _matrix(self, chunks: list[str], n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        points = np.array(chunks, f"<U{width}").view(np.uint32).reshape(len(chunks), width).astype(np.int64)
+        points[points == ord(" ")] = ord(MARK)
+        at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
+        known = self.points[at] == points
+        x = np.where(known, self.point_symbol[at], self.extra + points).astype(np.int32)
+        m = n.copy()
+        self._merge(x, m)
+        flat = x[np.arange(width)[None] < m[:, None]].astype(np.int64)
+        # symbols that are no piece become the bytes of their character
+        odd = flat >= len(self.bytes_of)
+        if not odd.any():
+            return flat, m
+        each, back = np.unique(flat[odd], return_inverse=True)
+        of = {int(s): int(p) for s, p in zip(self.point_symbol, self.points, strict=True)}
+        spelt = [[self.byte[b] for b in chr(of.get(int(s), int(s) - self.extra)).encode()] for s in each]
+        wide = np.ones(len(flat), np.int64)
+        wide[odd] = np.array([len(v) for v in spelt])[back]
+        out = np.repeat(flat, wide)
+        first = (np.cumsum(wide) - wide)[odd]
+        for j in range(4):
+            has = np.array([j < len(v) for v in spelt])[back]
+            out[first[has] + j] = np.array([v[j] if j < len(v) else 0 for v in spelt])[back][has]
+        owner = np.repeat(np.arange(len(m)), m)
+        return out, np.bincount(owner, weights=wide, minlength=len(m)).astype(np.int64)
+
     def segment(self, chunk: str) -> list[int]:
         """Ids of one chunk (its spaces stand for markers)."""
         part = list(chunk.replace(" ", MARK))
@@ -176,89 +294,30 @@ def model(path: str) -> Model:
     return _MODELS[path]
 
 
-def sliced(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds for each slice: its distinct chunks (at, chunk), and
-    its documents (doc_id, numbers: four bytes a chunk)."""
-    def kernel(batches):
-        slice_id = TaskContext.get().partitionId() << 33
-        for b in batches:
-            texts, ids = strings(b.column("text")), b.column("doc_id")
-            for lo, hi in slices(texts):
-                doc, chunks = cut(texts.slice(lo, hi - lo))
-                coded = chunks.dictionary_encode()
-                numbers = coded.indices.to_numpy(zero_copy_only=False).astype("<i4")
-                raw = memoryview(numbers).cast("B")
-                bounds = (np.searchsorted(doc, np.arange(hi - lo + 1)) * 4).tolist()
-                m, n = len(coded.dictionary), hi - lo
-                yield pa.record_batch({
-                    "slice": pa.array(np.full(m, slice_id)), "at": pa.array(np.arange(m)), "chunk": coded.dictionary,
-                    "doc_id": pa.nulls(m, pa.int64()), "numbers": pa.nulls(m, pa.binary())})
-                yield pa.record_batch({
-                    "slice": pa.array(np.full(n, slice_id)), "at": pa.nulls(n, pa.int64()),
-                    "chunk": pa.nulls(n, pa.string()), "doc_id": ids.slice(lo, n),
-                    "numbers": pa.array([bytes(raw[x:y]) for x, y in zip(bounds, bounds[1:], strict=False)], pa.binary())})
-                slice_id += 1
-
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), kernel,
-                     "slice long, at long, chunk string, doc_id long, numbers binary")
-
-
-def segmented(chunks: DataFrame, path: str) -> DataFrame:
-    """(chunk, ids: four bytes each) of distinct chunks."""
-    def kernel(batches):
-        m = model(path)
-        for b in batches:
-            ids = [np.array(m.segment(c), "<u4").tobytes() for c in b.column("chunk").to_pylist()]
-            yield pa.record_batch({"chunk": b.column("chunk"), "ids": pa.array(ids, pa.binary())})
-
-    return map_arrow(chunks.select("chunk"), kernel, "chunk string, ids binary")
-
-
-def _joined(docs: DataFrame, path: str, rows, schema: str) -> DataFrame:
+def _encoded(docs: DataFrame, path: str, rows, schema: str) -> DataFrame:
     """``rows(model, doc_ids, flat ids, bounds)`` makes the batch of some
     documents, whose ids (begin and end included) lie one after another."""
-    parts = written(sliced(docs), "chunk-slices")
-    chunks = parts.where(F.col("at").isNotNull()).select("slice", "at", "chunk")
-    known = written(segmented(chunks.select("chunk").distinct(), path), "chunk-table")
-    found = chunks.join(known, "chunk").select("slice", "at", "ids", F.lit(None).cast("long").alias("doc_id"))
-    texts = parts.where(F.col("at").isNull()).select("slice", F.lit(1 << 62).alias("at"), F.col("numbers").alias("ids"),
-                                                     "doc_id")
-    together = found.unionByName(texts).repartition("slice").sortWithinPartitions("slice", "at")
-
     def kernel(batches):
         m = model(path)
-        now, got, table = None, [], None
-        edge = np.array([m.begin], np.int64), np.array([m.end], np.int64)
         for b in batches:
-            slice_ids, at = b.column("slice").to_numpy(), b.column("at").to_numpy()
-            turns = np.flatnonzero((slice_ids[1:] != slice_ids[:-1]) | ((at[1:] == 1 << 62) != (at[:-1] == 1 << 62))) + 1
-            for lo, hi in zip([0, *turns], [*turns, b.num_rows], strict=True):
-                if hi == lo:
-                    continue
-                if slice_ids[lo] != now:
-                    now, got, table = slice_ids[lo], [], None
-                part = b.slice(lo, hi - lo)
-                if at[lo] != 1 << 62:
-                    got.append(part.column("ids"))
-                    continue
-                if table is None:
-                    table = pa.concat_arrays(got) if got else pa.array([], pa.binary())
-                    size = pc.binary_length(table).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-                    ids = np.frombuffer(b"".join(table.to_pylist()), "<u4").astype(np.int64)
-                    first = np.cumsum(size) - size
-                # at most a slice of text, or one longer text, at a time
-                for x, y in slices(part.column("ids")):
-                    flat, sizes = [], [0]
-                    for numbers in part.column("ids").slice(x, y - x).to_pylist():
-                        k = np.frombuffer(numbers, "<i4")
-                        n = size[k]
-                        total = int(n.sum())
-                        shift = first[k] - (np.cumsum(n) - n)
-                        flat += [edge[0], ids[np.arange(total) + np.repeat(shift, n)], edge[1]]
-                        sizes.append(total + 2)
-                    yield rows(m, part.column("doc_id").slice(x, y - x), np.concatenate(flat), np.cumsum(sizes))
-
-    return map_arrow(together, kernel, schema)
+            texts, doc_ids = strings(b.column("text")), b.column("doc_id")
+            for lo, hi in slices(texts, SLICE):
+                n = hi - lo
+                doc, chunks = cut(texts.slice(lo, n))
+                coded = chunks.dictionary_encode()
+                ids, size = m.memory.encode(coded.dictionary, m.table)
+                number = coded.indices.to_numpy(zero_copy_only=False)
+                many = size[number]
+                total = np.bincount(doc, weights=many, minlength=n).astype(np.int64) + 2
+                bounds = np.concatenate([[0], np.cumsum(total)])
+                flat = np.empty(bounds[-1], np.int64)
+                inner = np.ones(len(flat), bool)
+                inner[bounds[:-1]] = inner[bounds[1:] - 1] = False
+                flat[bounds[:-1]], flat[bounds[1:] - 1] = m.begin, m.end
+                flat[inner] = gather(ids, size, number)
+                yield rows(m, doc_ids.slice(lo, n), flat, bounds)
+
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), kernel, schema)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -267,7 +326,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         return pa.record_batch({"doc_id": doc_ids, "ids": pa.ListArray.from_arrays(
             pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))})
 
-    return _joined(docs, path, rows, "doc_id long, ids array<int>")
+    return _encoded(docs, path, rows, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -299,4 +358,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             "ids_sha256": pa.array([hashlib.sha256(raw[x:y]).hexdigest() for x, y in zip(at, at[1:], strict=False)]),
             "decoded_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts])})
 
-    return _joined(docs, path, rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _encoded(docs, path, rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
