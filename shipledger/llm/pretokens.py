@@ -46,10 +46,15 @@ def pieces(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
     run = np.zeros(len(doc), bool)
     run[1:] = ~first[1:] & before[:-1] & (empty | begins)[1:]
     if not run.any():
-        # the usual case: prefix the distinct parts once, and number them apart from first ones
-        m = len(coded.dictionary)
-        both = pa.concat_arrays([pc.binary_join_element_wise(pa.scalar(""), coded.dictionary, " "), coded.dictionary])
-        return doc, pa.DictionaryArray.from_arrays(pa.array(np.where(first, number + m, number), pa.int32()), both)
+        # the usual case: prefix the distinct parts behind a space, and put those that begin a text after them
+        opening, at = np.unique(number[first], return_inverse=True)
+        inner = np.unique(number[~first])
+        place = np.empty(len(number), np.int64)
+        place[~first] = np.searchsorted(inner, number[~first])
+        place[first] = len(inner) + at
+        both = pa.concat_arrays([pc.binary_join_element_wise(pa.scalar(""), coded.dictionary.take(pa.array(inner)), " "),
+                                 coded.dictionary.take(pa.array(opening))])
+        return doc, pa.DictionaryArray.from_arrays(pa.array(place, pa.int32()), both)
     heads = np.flatnonzero(~run)
     tails = np.append(heads[1:], len(doc))
     parts = coded.dictionary.take(pa.array(number[heads]))

@@ -2,14 +2,17 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from shipledger.llm import byte_bpe as B
-from shipledger.llm.pretokens import chunks
+from shipledger.llm.encoded import Memory
+from shipledger.llm.pretokens import pieces
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -22,9 +25,14 @@ def reference():
 
 def same(reference, text):
     e = B.encoder(PATH, P.PATTERN)
-    ids, decoded = e.written(text)
     expected = reference.encode_ordinary(text)
-    return e.ids(text) == expected and ids == ",".join(map(str, expected)).encode() and decoded == text.encode()
+    for _ in range(2):  # pieces new, then remembered
+        ids, bounds = e.encode(pa.array([text, "", text]))
+        (joined, nothing, again), decoded = e.written(ids, bounds)
+        if not (ids[: bounds[1]].tolist() == expected and bytes(joined) == bytes(again) == ",".join(map(str, expected)).encode()
+                and bytes(nothing) == b"" and bytes(decoded[0]) == text.encode()):
+            return False
+    return e.ids(text) == expected
 
 
 def test_random_texts(reference):
@@ -74,8 +82,37 @@ def test_small_vocabularies_equal_merging():
             assert bpe.encode(data) == [ranks[p] for p in merged(data, ranks)], (ranks, data)
 
 
-def test_chunks_refuse_runs():
-    assert chunks("a b") == ["a", "b"] and chunks("a   b") is None and chunks("a\n ") is None and chunks("a  b") == ["a", "", "b"]
+def test_pieces_are_not_cut_in_runs():
+    def cut(*texts):
+        doc, coded = pieces(pa.array(texts, pa.string()))
+        return list(zip(doc.tolist(), coded.to_pylist(), strict=True))
+
+    assert cut("a b", "", "b") == [(0, "a"), (0, " b"), (1, ""), (2, "b")]
+    assert cut("a   b") == [(0, "a"), (0, "  "), (0, " b")] and cut("a\n ") == [(0, "a\n ")]
+    assert cut("x\n  y") == [(0, "x\n "), (0, " y")] and cut("a\u00a0 \u00a0b") == [(0, "a\u00a0 \u00a0b")]
+    assert cut() == []
+
+
+def test_memory_forgets_what_is_not_used():
+    m = Memory(4)
+    made = []
+
+    def make(new):
+        made.append(new.to_pylist())
+        return np.array([len(x) for x in new.to_pylist()], np.int32), np.ones(len(new), np.int64)
+
+    for words in (["a", "bb", "ccc"], ["a", "dddd"], ["a", "eeeee", "f" * 60], ["a", "eeeee"]):
+        flat, sizes = m.encode(pa.array(words), make)
+        assert flat.tolist() == [len(w) for w in words] and sizes.tolist() == [1] * len(words)
+    assert made == [["a", "bb", "ccc"], ["dddd"], ["eeeee", "f" * 60], []] and len(m.keys) <= 4
+
+
+def test_batches_equal_single_walks():
+    rnd = random.Random(4)
+    bpe = B.encoder(PATH, P.PATTERN).bpe
+    words = ["".join(rnd.choice("abcdefghiéß日") for _ in range(rnd.randint(0, 70))) for _ in range(3000)]
+    flat, sizes = bpe.encode_all(words)
+    assert flat.tolist() == [t for w in words for t in bpe.encode(w.encode())] and sizes.sum() == len(flat)
 
 
 def test_query_rows(spark, reference, odd_docs, no_docs):
