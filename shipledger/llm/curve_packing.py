@@ -5,7 +5,9 @@
    and the id are written to the shared folder.
 2. Documents are range-partitioned and sorted by (Hilbert key, doc_id), so
    neighbours along the curve, documents of similar tokens, come together. Equal keys
-   (copies) are spread by their ids; no document need fit a partition's end.
+   (copies) are spread by their ids, equal rows by their place in the written
+   table; no document need fit a partition's end. The number of partitions
+   follows the bytes written.
 3. Each partition is one stretch of the curve. Its ids are cut every
    ``length`` tokens; what is left at the end is cut into sequences of powers
    of two, which need no padding. So nothing is padded at all.
@@ -25,18 +27,21 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shipledger.llm.common import map_arrow, strings
-from shipledger.llm.pretokens import chunks
+from shipledger.llm.common import map_arrow, slices, strings
+from shipledger.llm.encoded import Memory, gather
+from shipledger.llm.pretokens import pieces
 from shipledger.session import stage_root
 
 LENGTH, END = 1024, 0
 BUCKETS, AXES, BITS = 64, 3, 16
-REMEMBERED = 800_000
-MARKS = ".,;:!?%$&#*|)(]["  # no apostrophe: it may begin a contraction
+REMEMBERED = 1_000_000  # pieces a worker remembers
+STRETCH = 64 << 20  # written (compressed) bytes that one stretch of the curve holds, about
+INK = "[!-~\u00c0-\u024f]"  # characters that are no white space
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -80,80 +85,73 @@ class Projector:
         self.sign = rng.choice([-1.0, 1.0], 1 << 16)
         self.axes = rng.normal(size=(BUCKETS, AXES))
 
-    def keys(self, documents: list[np.ndarray]) -> np.ndarray:
-        if not documents:
-            return np.zeros(0, np.int64)
-        v = np.stack([np.bincount(self.bucket[d & 0xFFFF], self.sign[d & 0xFFFF], BUCKETS) for d in documents])
+    def keys(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Keys of the documents that lie between the bounds."""
+        n, low = len(bounds) - 1, ids & 0xFFFF
+        cell = np.repeat(np.arange(n) * BUCKETS, np.diff(bounds)) + self.bucket[low]
+        v = np.bincount(cell, self.sign[low], n * BUCKETS).reshape(n, BUCKETS)
         v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
         grid = np.floor((np.tanh(v @ self.axes) + 1) / 2 * ((1 << BITS) - 1)).astype(np.int64)
         return hilbert(grid, BITS)
 
 
 class Tokens:
-    """A tokenizers file whose pre-tokens never span a cut of ``chunks``. Cut
-    pieces are encoded once per worker and remembered, up to a bound; beyond
-    it the long pieces, which recur least, are forgotten. Unknown pieces are
-    encoded many to a text and told apart by their lengths in bytes."""
+    """A tokenizers file whose pre-tokens never span a cut of ``pretokens``.
+    Each distinct piece of a slice of texts is encoded once, many to a text
+    and told apart by their lengths in bytes; a worker remembers at most
+    ``REMEMBERED`` of them."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, k in vocabulary.items():
             self.size[k] = len(token)  # a byte-level vocabulary writes each byte as one character
-        self.memory: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in got]
-
-    def _learn(self, parts: list[str], together: int = 512) -> None:
-        """Remember the ids of pieces (their leading space is left out)."""
-        edged, plain, made = [], [], []
-        for p in parts:
-            word = p.rstrip(MARKS)
-            if word.isalpha() and len(word) < len(p):
-                made.append((p, word, p[len(word):]))  # letters, then marks: two pre-tokens
-            elif p and not p[0].isspace() and not p[-1].isspace():
-                plain.append(p)
-            else:
-                edged.append(p)
-        plain += {word for _, word, _ in made}.difference(self.memory, plain)
-        marks = list({m for _, _, m in made}.difference(self.marks))
-        self.marks.update(zip(marks, self._raw(marks), strict=True))
-        self.memory.update(zip(edged, self._raw([" " + p for p in edged]), strict=True))
-        groups = [plain[lo: lo + together] for lo in range(0, len(plain), together)]
-        texts = [" " + " ".join(g) for g in groups]  # a cut before each space, as in chunks
-        width = self.dtype.itemsize
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, self.dtype)
+        self.memory = Memory(REMEMBERED)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, pieces: pa.Array, together: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, one after another, and how many each has. Those that
+        begin with one space and hold no other white space at their ends stand
+        one behind another in a text, cut before each as in ``pieces``."""
+        plain = pc.match_substring_regex(pieces, f"(?s)^ {INK}(.*{INK})?$").to_numpy(zero_copy_only=False)
+        parts, owner = [], []
+        sizes = np.zeros(len(pieces), np.int64)
+        odd = np.flatnonzero(~plain)
+        for k, ids in zip(odd.tolist(), self._ids(pieces.take(pa.array(odd)).to_pylist()), strict=True):
+            parts.append(np.array(ids, np.int32))
+            owner.append(np.full(len(ids), k))
+            sizes[k] = len(ids)
+        rows = np.flatnonzero(plain)
+        some = pieces.take(pa.array(rows))
+        width, names = pc.binary_length(some).to_numpy(zero_copy_only=False).astype(np.int64), some.to_pylist()
+        texts = ["".join(names[lo: lo + together]) for lo in range(0, len(names), together)]
+        for lo, ids in zip(range(0, len(rows), together), self._ids(texts), strict=True):
+            ids = np.array(ids, np.int32)
             ends = np.cumsum(self.size[ids])
-            wanted = np.cumsum([1 + (len(p) if p.isascii() else len(p.encode())) for p in group])
+            wanted = np.cumsum(width[lo: lo + together])
             at = np.searchsorted(ends, wanted)
             if not np.array_equal(ends[at], wanted):
                 raise ValueError("the tokenizers file does not split texts before single spaces")
-            raw, cuts = ids.tobytes(), [0, *((at + 1) * width).tolist()]
-            self.memory.update(zip(group, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=False))
-        self.memory.update((p, self.memory[word] + self.marks[m]) for p, word, m in made)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes of ``dtype``."""
-        if len(self.memory) > REMEMBERED:
-            self.memory = {k: v for k, v in self.memory.items() if len(k) <= 8}
-            if len(self.memory) > REMEMBERED // 2:
-                self.memory = {}
-            self.marks = {}
-        cut = [chunks(t) for t in texts]
-        whole = iter(self._raw([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        firsts = iter(self._raw([c[0] for c in cut if c is not None]))
-        self._learn(list(set().union(*(c[1:] for c in cut if c is not None)).difference(self.memory)))
-        known = self.memory.__getitem__
-        return [next(whole) if c is None else next(firsts) + b"".join(map(known, c[1:])) for c in cut]
+            sizes[rows[lo: lo + together]] = np.diff(at, prepend=-1)
+            parts.append(ids)
+            owner.append(np.repeat(rows[lo: lo + together], sizes[rows[lo: lo + together]]))
+        if not parts:
+            return np.zeros(0, np.int32), sizes
+        return np.concatenate(parts)[np.argsort(np.concatenate(owner), kind="stable")], sizes
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and the bounds of each."""
+        doc, cut = pieces(texts)
+        flat, sizes = self.memory.encode(cut.dictionary, self._new)
+        place = cut.indices.to_numpy(zero_copy_only=False)
+        total = np.bincount(doc, weights=sizes[place], minlength=len(texts)).astype(np.int64)
+        return gather(flat, sizes, place), np.concatenate([[0], np.cumsum(total)])
 
 
 _TOKENS: dict[str, Tokens] = {}
@@ -173,15 +171,20 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
         if not _PROJECTOR:
             _PROJECTOR.append(Projector())
         tokens = _TOKENS[path]
-        end = np.array([END], tokens.dtype).tobytes()
         for b in batches:
-            texts, ids = strings(b.column("text")).to_pylist(), b.column("doc_id")
-            for lo in range(0, len(texts), 256):
-                raw = [x + end for x in tokens.encode(texts[lo: lo + 256])]
-                keys = _PROJECTOR[0].keys([np.frombuffer(x, tokens.dtype).astype(np.int64) for x in raw])
-                yield pa.record_batch([ids.slice(lo, 256), pa.array(keys, pa.int64()), pa.array(raw, pa.binary()),
-                                       pa.array([tokens.dtype.itemsize] * len(raw), pa.int32())],
-                                      names=["doc_id", "key", "ids", "width"])
+            texts, doc_ids = strings(b.column("text")), b.column("doc_id")
+            for lo, hi in slices(texts):
+                flat, bounds = tokens.encode(texts.slice(lo, hi - lo))
+                # the end id behind each document
+                ids = np.full(len(flat) + hi - lo, END, tokens.dtype)
+                ids[np.arange(len(flat)) + np.repeat(np.arange(hi - lo), np.diff(bounds))] = flat
+                bounds = bounds + np.arange(hi - lo + 1)
+                width = tokens.dtype.itemsize
+                yield pa.record_batch({
+                    "doc_id": doc_ids.slice(lo, hi - lo), "key": pa.array(_PROJECTOR[0].keys(ids, bounds)),
+                    "ids": pa.Array.from_buffers(pa.binary(), hi - lo, [
+                        None, pa.py_buffer((bounds * width).astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())]),
+                    "width": pa.array(np.full(hi - lo, width, np.int32))})
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), kernel,
                      "doc_id long, key long, ids binary, width int")
@@ -236,6 +239,13 @@ _COLUMNS = [("doc_id", "long", pa.int64()), ("start", "long", pa.int64()), ("len
             ("offset", "long", pa.int64()), ("padded_to", "long", pa.int64())]
 
 
+def stretches(spark: SparkSession, folder: str) -> int:
+    """Stretches of the curve: by the bytes written, and one a core at least."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    size = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return max(spark.sparkContext.defaultParallelism, -(-size // STRETCH))
+
+
 def pack(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, padded_to (the sequence's size)."""
@@ -245,7 +255,11 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     # ids are dense data: zstd keeps the written stage near its entropy
     folder = f"{stage_root(spark)}/stages/packing-{uuid.uuid4().hex}"
     tokenised(docs, path).write.option("compression", "zstd").parquet(folder)
-    ordered = spark.read.parquet(folder).repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
+    # rows are told apart by their place, so that any number of equal ones can be split
+    placed = spark.read.parquet(folder).withColumn(
+        "place", F.xxhash64(F.col("_metadata.file_name"), F.col("_metadata.row_index")))
+    order = ["key", "doc_id", "place"]
+    ordered = placed.repartitionByRange(stretches(spark, folder), *order).sortWithinPartitions(*order)
 
     def kernel(batches):
         packer = _Packer(TaskContext.get().partitionId() << 40, length)

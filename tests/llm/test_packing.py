@@ -1,8 +1,10 @@
 import collections
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -13,9 +15,7 @@ PATH = P.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def check(rows, texts, tokenizer, length=1024):
@@ -71,14 +71,31 @@ def test_odd_rows(odd_docs, no_docs, tokenizer):
 def test_remembered_pieces_equal_whole_texts(tokenizer):
     texts = ["", " ", "a", " a", "a ", "a  b", "a \n b", "x\n\n y", "it's 'll ok", "é日本 😀 b", "<|endoftext|> x", "a\u00a0 b",
              "a \u2003b", "tab\t x", "1 2 33", "end \n ", "\x1c x", "a \x1c b"]
-    got = C.Tokens(PATH).encode(texts)
-    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    texts += ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|> y", "x  <|endoftext|>  y", "<|endoftext|><|endoftext|> z.",
+              "x\n<|endoftext|>\n y", "<|endoftext|", "a <|endoftext|>."]
+    rnd = random.Random(1)
+    parts = ["a", "the", " ", "  ", "\n", "é", "日本", "12", "'s", "!", "\t", "\u00a0", "<|endoftext|>", "x.", " \n"]
+    texts += ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 30))) for _ in range(2000)]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    tokens = C.Tokens(PATH)
+    for _ in range(2):  # pieces new, then remembered
+        flat, bounds = tokens.encode(pa.array(texts))
+        assert [flat[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == want
+    assert 50256 in want[texts.index("a<|endoftext|>b")]
+
+
+def test_many_equal_rows_are_split(spark, tokenizer):
+    docs = spark.createDataFrame([(None, "some words that are the same")] * 4000, "doc_id long, text string")
+    rows = C.pack(docs, PATH).collect()
+    check(rows, [(None, "some words that are the same")] * 4000, tokenizer)
+    assert len({r.sequence_id >> 40 for r in rows}) >= 3
 
 
 def test_neighbours_on_the_curve_are_alike():
     rng = np.random.default_rng(0)
     topics = [rng.integers(0, 50_000, 40) for _ in range(6)]
     docs = [(k, rng.choice(t, 200)) for k, t in enumerate(topics) for _ in range(40)]
-    key = C.Projector().keys([d for _, d in docs])
+    sizes = [len(d) for _, d in docs]
+    key = C.Projector().keys(np.concatenate([d for _, d in docs]), np.concatenate([[0], np.cumsum(sizes)]))
     topic = np.array([k for k, _ in docs])[np.argsort(key, kind="stable")]
     assert (topic[1:] == topic[:-1]).mean() > 0.5  # one in six by chance

@@ -63,9 +63,7 @@ def test_substrings(stages):
 
 def test_packing(stages):
     _, before, after = stages[4]
-    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    check(after.collect(), rows(before), t)
+    check(after.collect(), rows(before), Tokenizer.from_file(P.path("byte_bpe_50k.json")))
 
 
 def test_run(spark, stages):
