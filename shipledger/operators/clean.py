@@ -9,8 +9,8 @@ Structure (see README, "Cleaning plan"):
    one aggregation and reconciles by construction. Only the ids that occur
    twice are joined back, so clean rows shuffle no wide row.
 3. ``group_stats`` — every median / quartile the imputation needs, rolled up
-   from two counts of distinct values (map-side combining; a hot group costs
-   one row per distinct value); exact quantiles are then read off cumulative
+   from one count of distinct values over grouping sets (map-side combining; a
+   hot group costs one row per distinct value); exact quantiles are then read off cumulative
    counts, bucket by bucket (``exact_quantiles``).
 4. ``finish`` — size-checked broadcast joins of those small tables, then the
    derived business columns, typed to ``SHIPMENT_SCHEMA``; extra columns of the
@@ -22,7 +22,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from shipledger import constants as K
@@ -30,7 +30,7 @@ from shipledger.functions.dates import date_parts, month_start, parse_ship_date,
 from shipledger.functions.text import carrier_key, lookup, null_tokens, strip_ws, title_case
 from shipledger.operators.cube import build_cube
 from shipledger.schema import FLAG_COLUMNS, SHIPMENT_COLUMNS, ORDER_PREFIX
-from shipledger.session import BROADCAST_MAX_BYTES, bounded_broadcast, materialize, text_bytes
+from shipledger.session import BROADCAST_MAX_BYTES, bounded_broadcast, drop_stages, materialize, text_bytes
 
 MONEY = "decimal(18,2)"
 RATE = "decimal(6,3)"
@@ -138,16 +138,21 @@ def annotate(
     return df.drop(*ord_cols)
 
 
+def _dated() -> Column:
+    return F.col("ship_date").isNotNull() & ~F.col("_surplus")
+
+
 def disposition(rows: DataFrame, stages: list[str] | None = None) -> tuple[DataFrame, int]:
     """C7 + D1 over the written row-level stage: ``_removed`` holds the reason,
-    or null; and the number of kept rows without a status. The first dated row of each order_id in file order survives; null
-    ids count as one id.
+    or null; and the number of dated rows that repeat an earlier id. The first
+    dated row of each order_id in file order survives; null ids count as one id.
 
     One partial aggregate (``min`` of the file-order struct; a hot id cannot
     skew it) finds the ids with more than one dated row. Only those are joined
-    back: broadcast if small, else a shuffle join that AQE may split. Raises
-    if the survivors are not exactly one a distinct dated id."""
-    dated = F.col("ship_date").isNotNull() & ~F.col("_surplus")
+    back: broadcast if small, else a shuffle join that AQE may split. That the
+    survivors are exactly one a distinct dated id is checked on counts that the
+    writes bring along (``check_survivors``), without a pass of its own."""
+    dated = _dated()
     ids = materialize(
         rows.filter(dated).groupBy("order_id").agg(F.min("_ord").alias("_first"), F.count(F.lit(1)).alias("_copies"))
         .filter(F.col("_copies") > 1).select(F.col("order_id").alias("_id"), "_first", "_copies"), "repeated-ids", stages=stages)
@@ -159,12 +164,14 @@ def disposition(rows: DataFrame, stages: list[str] | None = None) -> tuple[DataF
     )
     out = out.withColumn("_removed", removed).drop("_id", "_first", "_copies")
     spare = ids.agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("n")).first()["n"]
-    seen = out.agg(F.count_if(dated).alias("dated"), F.count_if(F.col("_removed").isNull()).alias("kept"),
-                   F.count_if(F.col("_removed").isNull() & F.col("status").isNull()).alias("no_status")).first()
-    if seen["kept"] != seen["dated"] - spare:
-        raise ValueError(f"file order does not tell rows apart: {seen['kept']} survivors for "
-                         f"{seen['dated'] - spare} distinct ids; give frames unique _ord* columns")
-    return out, seen["no_status"]
+    return out, spare
+
+
+def check_survivors(dated: int, spare: int, kept: int) -> None:
+    """One survivor a distinct dated id."""
+    if kept != dated - spare:
+        raise ValueError(f"file order does not tell rows apart: {kept} survivors for {dated - spare} distinct ids; "
+                         "give frames unique _ord* columns")
 
 
 def group_stats(kept: DataFrame, accuracy: int | None = None, stages: list[str] | None = None) -> DataFrame:
@@ -174,16 +181,22 @@ def group_stats(kept: DataFrame, accuracy: int | None = None, stages: list[str]
     Exact by default; ``accuracy`` switches to ``percentile_approx`` over the
     counted values (a bounded sketch per group).
 
-    The rows are counted once by (service, carrier, cost) and once by (lane,
-    service, transit); all five cost and transit sets are sums over those."""
+    The rows are read once: one aggregation over grouping sets counts them by
+    (service, carrier, cost), (lane, service, transit) and (promised days); all
+    six sets are sums over those counts."""
     cost = F.col("freight_cost_eur").cast("double")
     if accuracy:
         return _approximate_stats(kept, cost, accuracy)
-    count = F.count(F.lit(1)).alias("_c")
-    costs = materialize(kept.groupBy("service_level", "carrier", cost.alias("v")).agg(count), "cost-counts", stages=stages)
-    times = materialize(kept.groupBy("lane", "service_level", F.col("transit_days").alias("v")).agg(count),
-                        "transit-counts", stages=stages)
-    promised = kept.groupBy(F.col("promised_days").alias("v")).agg(count)
+    values = kept.select("service_level", "carrier", "lane", cost.alias("_cost"), "transit_days", "promised_days")
+    by_cost, by_transit, by_promised = ["service_level", "carrier", "_cost"], ["lane", "service_level", "transit_days"], ["promised_days"]
+    columns = [F.col(c) for c in values.columns]
+    counted = materialize(
+        values.groupingSets([[F.col(c) for c in g] for g in (by_cost, by_transit, by_promised)], *columns).agg(
+            F.count(F.lit(1)).alias("_c"), F.grouping("_cost").alias("_no_cost"), F.grouping("transit_days").alias("_no_transit")),
+        "counted", stages=stages)
+    costs = counted.filter("_no_cost = 0").withColumnRenamed("_cost", "v")
+    times = counted.filter("_no_transit = 0").withColumnRenamed("transit_days", "v")
+    promised = counted.filter("_no_cost = 1 AND _no_transit = 1").withColumnRenamed("promised_days", "v")
 
     def cells(set_id: int, base: DataFrame, *keys: str) -> DataFrame:
         # Grouped sets drop null keys (an equi-join never matches them either).
@@ -369,6 +382,7 @@ class Cleaned:
     penalty: float = K.LATE_PENALTY_EUR_PER_DAY
     stages: list[str] = field(default_factory=list)
     cells: DataFrame | None = None  # counts that the log is made from (audit.log_cells)
+    counts: dict | None = None      # of the finished rows, observed while they were written
     cube_stage: DataFrame | None = None
 
     @property
@@ -407,12 +421,12 @@ def clean(raw: DataFrame, *, accuracy: int | None = None, stage_mode: str = "wri
     that each row's position in its file is fixed; so are the value counts and,
     with ``stage_mode="write"``, the finished table."""
     stages: list[str] = []
-    rows = materialize(annotate(raw, carriers=carriers, fx=fx, tokens=tokens, date_formats=date_formats),
-                       "rows", stages=stages)
-    annotated, no_status = disposition(rows, stages)
-    if check_flags and no_status:  # what a null flag comes from; known before anything else is written
-        flag_error([c for c in FLAG_COLUMNS if c in ("is_cancelled", "is_late", "is_on_time", "is_billable",
-                                                     "transit_days_imputed")])
+    # Counts come along with the writes (observed where the writing tasks are, so a
+    # repeated task counts once) instead of further passes over the rows.
+    read = Observation()
+    rows = materialize(annotate(raw, carriers=carriers, fx=fx, tokens=tokens, date_formats=date_formats).observe(
+        read, F.count_if(_dated()).alias("dated")), "rows", stages=stages)
+    annotated, spare = disposition(rows, stages)
     kept = annotated.filter(F.col("_removed").isNull())
     stats = materialize(group_stats(kept, accuracy, stages), "stats", stages=stages)
     full = finish(kept, stats, min_values, iqr, penalty, central_europe)
@@ -420,9 +434,33 @@ def clean(raw: DataFrame, *, accuracy: int | None = None, stage_mode: str = "wri
         # The finished table is the unit every view reads: write it once, so
         # queries plan against a Parquet scan. Each file is in date order, so a
         # date range skips row groups by their statistics.
-        full = materialize(full.sortWithinPartitions("ship_date"), "shipments", stage_mode, stages)
+        done = Observation()
+        full = materialize(full.sortWithinPartitions("ship_date").observe(done, *finished_counts()), "shipments",
+                           stage_mode, stages)
+        counts = dict(done.get)
+    else:
+        counts = full.agg(*finished_counts()).first().asDict()
+    try:
+        check_survivors(read.get["dated"], spare, counts["rows_out"])
+        if check_flags:
+            flag_error([c for c in FLAG_COLUMNS if counts[f"null_{c}"]])
+    except ValueError:
+        drop_stages(raw.sparkSession, stages)  # nothing of a refused build stays
+        raise
     return Cleaned(annotated=annotated, stats=stats, full=full, sources=sources or [], file_entries=file_entries,
-                   fx=K.FX_TO_EUR if fx is None else fx, iqr=iqr, penalty=penalty, stages=stages)
+                   fx=K.FX_TO_EUR if fx is None else fx, iqr=iqr, penalty=penalty, stages=stages, counts=counts)
+
+
+def finished_counts() -> list[Column]:
+    """What the log and the gates count of the finished rows."""
+    return [
+        F.count(F.lit(1)).alias("rows_out"),
+        F.count_if(F.col("cost_is_outlier")).alias("outliers"),
+        F.count_if(F.col("transit_days_imputed")).alias("transit_imputed"),
+        F.count_if(F.col("_transit_missing_cancelled")).alias("transit_cancelled"),
+        F.count_if(F.col("cost_is_imputed")).alias("cost_imputed"),
+        *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in FLAG_COLUMNS],
+    ]
 
 
 def null_flags(full: DataFrame) -> DataFrame:

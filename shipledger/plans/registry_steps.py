@@ -389,7 +389,7 @@ FROM _k, _csum, _ann, _wk""",
 @register("reconciliation", _recon_sql)
 def q_reconciliation(spark, sf_dir):
     c = processed(spark, sf_dir)
-    return audit.reconciliation(c, trend(c.table, "week"))
+    return audit.reconciliation(c)
 
 
 def _invariants_sql() -> str:
@@ -413,7 +413,7 @@ FROM shipments""")
 
 @register("invariants", _invariants_sql)
 def q_invariants(spark, sf_dir):
-    return audit.invariants(processed(spark, sf_dir).table)
+    return audit.invariants(processed(spark, sf_dir).table, proven_unique=True)
 
 
 # --- trend SQL shared with the metrics registry --------------------------------------------
