@@ -184,28 +184,42 @@ def group_stats(kept: DataFrame, accuracy: int | None = None, stages: list[str]
     The rows are read once: one aggregation over grouping sets counts them by
     (service, carrier, cost), (lane, service, transit) and (promised days); all
     six sets are sums over those counts."""
-    cost = F.col("freight_cost_eur").cast("double")
     if accuracy:
-        return _approximate_stats(kept, cost, accuracy)
-    values = kept.select("service_level", "carrier", "lane", cost.alias("_cost"), "transit_days", "promised_days")
-    by_cost, by_transit, by_promised = ["service_level", "carrier", "_cost"], ["lane", "service_level", "transit_days"], ["promised_days"]
-    columns = [F.col(c) for c in values.columns]
-    counted = materialize(
-        values.groupingSets([[F.col(c) for c in g] for g in (by_cost, by_transit, by_promised)], *columns).agg(
-            F.count(F.lit(1)).alias("_c"), F.grouping("_cost").alias("_no_cost"), F.grouping("transit_days").alias("_no_transit")),
-        "counted", stages=stages)
-    costs = counted.filter("_no_cost = 0").withColumnRenamed("_cost", "v")
-    times = counted.filter("_no_transit = 0").withColumnRenamed("transit_days", "v")
-    promised = counted.filter("_no_cost = 1 AND _no_transit = 1").withColumnRenamed("promised_days", "v")
+        return _approximate_stats(kept, F.col("freight_cost_eur").cast("double"), accuracy)
+    counted = materialize(count_values(kept), "counted", stages=stages)
+    return stats_of_values(materialize(value_sets(counted), "value-counts", stages=stages))
+
+
+def count_values(rows: DataFrame, by=()) -> DataFrame:
+    """Rows by (service, carrier, cost), by (lane, service, transit) and by
+    promised days, in one aggregation over grouping sets; per ``by`` too. The
+    counts are additive: those of two sets of rows may be summed, and those of a
+    part taken off."""
+    by = list(by)
+    values = rows.select(*by, "service_level", "carrier", "lane", F.col("freight_cost_eur").cast("double").alias("_cost"),
+                         "transit_days", "promised_days")
+    sets = [["service_level", "carrier", "_cost"], ["lane", "service_level", "transit_days"], ["promised_days"]]
+    counted = values.groupingSets([[F.col(c) for c in (*by, *g)] for g in sets], *[F.col(c) for c in values.columns]).agg(
+        F.count(F.lit(1)).alias("_c"),
+        F.when(F.grouping("_cost") == 0, 0).when(F.grouping("transit_days") == 0, 1).otherwise(2).alias("_kind"))
+    return counted.select(*by, "_kind", "service_level", "carrier", "lane", "_cost", "transit_days", "promised_days", "_c")
+
+
+def value_sets(counted: DataFrame) -> DataFrame:
+    """The six sets of counted values (set, k1, k2, v, _c), as sums over
+    ``count_values``."""
+    costs = counted.filter("_kind = 0").withColumnRenamed("_cost", "v")
+    times = counted.filter("_kind = 1").withColumnRenamed("transit_days", "v")
+    promised = counted.filter("_kind = 2").withColumnRenamed("promised_days", "v")
 
     def cells(set_id: int, base: DataFrame, *keys: str) -> DataFrame:
         # Grouped sets drop null keys (an equi-join never matches them either).
         names = [F.col(k) for k in keys] + [F.lit(None).cast("string")] * (2 - len(keys))
         rows = reduce(lambda d, k: d.filter(F.col(k).isNotNull()), keys, base)
-        return rows.groupBy(F.lit(set_id).alias("set"), names[0].alias("k1"), names[1].alias("k2"), "v").agg(
-            F.sum("_c").alias("_c"))
+        return rows.groupBy(F.lit(set_id).alias("set"), names[0].alias("k1"), names[1].alias("k2"), F.col("v").cast(
+            "double").alias("v")).agg(F.sum("_c").alias("_c"))
 
-    hist = reduce(DataFrame.unionByName, [
+    return reduce(DataFrame.unionByName, [
         cells(SET_OUTLIER, costs, "service_level"),
         cells(SET_LANE, times, "lane", "service_level"),
         cells(SET_COST, costs, "carrier", "service_level"),
@@ -213,9 +227,11 @@ def group_stats(kept: DataFrame, accuracy: int | None = None, stages: list[str]
         cells(SET_G_COST, costs),
         cells(SET_G_PROMISED, promised),
     ])
-    probs = [0.25, 0.5, 0.75]
-    hist = materialize(hist, "value-counts", stages=stages)
-    return quantiles_of_counts(hist, ["set", "k1", "k2"], "v", "_c", probs, ["q1", "q2", "q3"])
+
+
+def stats_of_values(sets: DataFrame) -> DataFrame:
+    """Quartiles and medians of each group of ``value_sets``."""
+    return quantiles_of_counts(sets, ["set", "k1", "k2"], "v", "_c", [0.25, 0.5, 0.75], ["q1", "q2", "q3"])
 
 
 def _approximate_stats(kept: DataFrame, cost: Column, accuracy: int) -> DataFrame:
@@ -431,13 +447,7 @@ def clean(raw: DataFrame, *, accuracy: int | None = None, stage_mode: str = "wri
     stats = materialize(group_stats(kept, accuracy, stages), "stats", stages=stages)
     full = finish(kept, stats, min_values, iqr, penalty, central_europe)
     if stage_mode == "write":
-        # The finished table is the unit every view reads: write it once, so
-        # queries plan against a Parquet scan. Each file is in date order, so a
-        # date range skips row groups by their statistics.
-        done = Observation()
-        full = materialize(full.sortWithinPartitions("ship_date").observe(done, *finished_counts()), "shipments",
-                           stage_mode, stages)
-        counts = dict(done.get)
+        full, counts = write_finished(full, stages)
     else:
         counts = full.agg(*finished_counts()).first().asDict()
     try:
@@ -463,6 +473,16 @@ def finished_counts() -> list[Column]:
     ]
 
 
+def write_finished(full: DataFrame, stages: list[str]) -> tuple[DataFrame, dict]:
+    """The finished table is the unit every view reads: write it once, so
+    queries plan against a Parquet scan. Each file is in date order, so a
+    date range skips row groups by their statistics. Returns the table and the
+    counts observed on the way."""
+    done = Observation()
+    out = materialize(full.sortWithinPartitions("ship_date").observe(done, *finished_counts()), "shipments", stages=stages)
+    return out, dict(done.get)
+
+
 def null_flags(full: DataFrame) -> DataFrame:
     """C22 as counts: one row, the null values of each flag (all should be 0)."""
     return full.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in FLAG_COLUMNS])

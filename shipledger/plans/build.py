@@ -32,12 +32,13 @@ def build_from_tables(spark: SparkSession, sf_dir: str, **kw) -> Cleaned:
     return clean(raw, sources=[testbook.SOURCE_NAME], file_entries=entries, **kw)
 
 
-def build_from_files(spark: SparkSession, source, **kw) -> Cleaned:
+def build_from_files(spark: SparkSession, source, aliases: dict | None = None, **kw) -> Cleaned:
     """E1 from CSV exports: a directory (every ``*.csv`` in name order) or an
-    explicit list of paths, any header vocabulary or delimiter."""
+    explicit list of paths, any header vocabulary or delimiter. ``aliases``
+    replaces the built-in column vocabulary (S3)."""
     from shipledger.sources.ingest import read_exports
 
-    ing = read_exports(spark, source)
+    ing = read_exports(spark, source, aliases=aliases)
     return clean(ing.raw, sources=ing.sources, file_entries=ing.file_entries, **kw)
 
 

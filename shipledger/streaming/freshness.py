@@ -1,17 +1,20 @@
 """Keeping the processed table fresh.
 
 The original rebuilds when any input export is newer than the output. Here
-the inputs are described by a manifest (path, length, modification time)
-taken from the file source's metadata without reading file contents; the
-table is stale when the current manifest and the stored one differ in
-either direction (a file added, changed or removed). Outlier limits and medians
-need the whole table, so a stale table is rebuilt as one batch job.
+the inputs are described by path, length and modification time, taken without
+reading their contents; the dataset is stale when they differ in either
+direction from those of the published version (a file added, changed or
+removed). A stale dataset is rebuilt incrementally and published whole: until
+then, and if the rebuild fails, readers keep the version before.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shipledger.plans.incremental import is_current, rebuild
+from shipledger.sources.versions import current, drop_old
+
 MANIFEST_COLS = ["path", "length", "modificationTime"]
 
 
@@ -23,31 +26,27 @@ def input_manifest(spark: SparkSession, source_dir: str, glob: str = "*.csv") ->
     )
 
 
-def is_stale(spark: SparkSession, source_dir: str, manifest_path: str) -> bool:
-    """True when no manifest is stored or the inputs differ from it."""
-    current = input_manifest(spark, source_dir)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(manifest_path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        return True
-    stored = spark.read.parquet(manifest_path).select(*MANIFEST_COLS)
-    changed = current.join(stored, MANIFEST_COLS, "left_anti").limit(1).count()
-    removed = stored.join(current, MANIFEST_COLS, "left_anti").limit(1).count()
-    return bool(changed or removed)
-
+def is_stale(spark: SparkSession, source_dir: str, out_dir: str) -> bool:
+    """True when nothing is published or the inputs differ from it."""
+    return not is_current(spark, source_dir, out_dir)
 
-def ensure_processed(spark: SparkSession, source_dir: str, out_dir: str) -> list[str]:
-    """Rebuild ``out_dir`` (table, log, manifest) from ``source_dir`` when it
-    is missing or stale. Returns the steps taken."""
-    from shipledger.operators import audit
-    from shipledger.plans.build import build_from_files
-    from shipledger.sources.store import write_log, write_processed
 
-    manifest_path = f"{out_dir}/_manifest"
-    if not is_stale(spark, source_dir, manifest_path):
+def ensure_processed(spark: SparkSession, source_dir: str, out_dir: str, keep: int = 2) -> list[str]:
+    """Rebuild the dataset under ``out_dir`` (table, cube, log) from
+    ``source_dir`` when it is missing or stale, and drop versions older than the
+    last ``keep``. Returns the steps taken."""
+    if not is_stale(spark, source_dir, out_dir):
+        return []
+    made = rebuild(spark, source_dir, out_dir)
+    if made is None:
         return []
-    manifest = input_manifest(spark, source_dir)
-    built = build_from_files(spark, source_dir)
-    write_processed(built.table, f"{out_dir}/shipments")
-    write_log(audit.cleaning_log(built), audit.totals(built), f"{out_dir}/cleaning_log")
-    manifest.write.mode("overwrite").parquet(manifest_path)
+    drop_old(spark, out_dir, keep)
     return ["rebuilt: processed dataset was missing or older than its inputs"]
+
+
+def open_processed(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The published table."""
+    found = current(spark, out_dir)
+    if found is None:
+        raise FileNotFoundError(f"nothing has been published under {out_dir}")
+    return found.table(spark)

@@ -101,12 +101,12 @@ def test_staleness(spark, exports, tmp_path):
     assert freshness.ensure_processed(spark, str(src), out) == []    # fresh
     time.sleep(1.1)
     (src / "b.csv").write_text(TMS)                                   # a new export arrives
-    assert freshness.is_stale(spark, str(src), out + "/_manifest")
+    assert freshness.is_stale(spark, str(src), out)
     assert freshness.ensure_processed(spark, str(src), out)
-    t = spark.read.parquet(out + "/shipments")
+    t = freshness.open_processed(spark, out)
     assert set(r.source_file for r in t.select("source_file").distinct().collect()) == {"a.csv", "b.csv"}
     os.remove(src / "b.csv")
-    assert freshness.is_stale(spark, str(src), out + "/_manifest")   # a removed export counts too
+    assert freshness.is_stale(spark, str(src), out)   # a removed export counts too
 
 
 def test_sorted_write_keeps_the_stable_order(spark, fixture_build, tmp_path):
