@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from shipledger.llm.common import map_arrow, slices, strings
 from shipledger.llm.encoded import Memory, gather
-from shipledger.llm.pretokens import pieces
+from shipledger.llm.pretokens import LETTERS, MARKS, pieces
 
 REMEMBERED = 1_000_000  # pieces a worker remembers
 PLACES = 21  # bits: places for remembered pairs
@@ -239,13 +239,6 @@ class Bpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-# Pieces whose matches are plain to see: letters, and letters with marks behind
-# them (no apostrophe, which may begin a contraction). Of letters, only those
-# that every version of the character tables calls letters.
-LETTERS = " ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
-MARKS = r"[!-&(-/:-@\[-`{-~]+"
-
-
 class Encoder:
     """Pattern and BPE. ``plain``: the pattern takes a space and letters, and
     marks, as one match each (GPT-style patterns do)."""

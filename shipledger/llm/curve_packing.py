@@ -34,13 +34,14 @@ from pyspark.sql import functions as F
 
 from shipledger.llm.common import map_arrow, slices, strings
 from shipledger.llm.encoded import Memory, gather
-from shipledger.llm.pretokens import pieces
+from shipledger.llm.pretokens import pieces, plain_parts
 from shipledger.session import stage_root
 
 LENGTH, END = 1024, 0
 BUCKETS, AXES, BITS = 64, 3, 16
 REMEMBERED = 1_000_000  # pieces a worker remembers
-STRETCH = 64 << 20  # written (compressed) bytes that one stretch of the curve holds, about
+SLICE = 12 << 20  # bytes of text encoded at once, or one longer text
+STRETCH = 16 << 20  # written (compressed) bytes that one stretch of the curve holds, about
 INK = "[!-~\u00c0-\u024f]"  # characters that are no white space
 
 
@@ -97,9 +98,9 @@ class Projector:
 
 class Tokens:
     """A tokenizers file whose pre-tokens never span a cut of ``pretokens``.
-    Each distinct piece of a slice of texts is encoded once, many to a text
-    and told apart by their lengths in bytes; a worker remembers at most
-    ``REMEMBERED`` of them."""
+    Each distinct piece of a slice of texts (without the marks behind it, which
+    are a piece of their own) is encoded once, many to a text and told apart by
+    their lengths in bytes; a worker remembers at most ``REMEMBERED`` of them."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -111,6 +112,8 @@ class Tokens:
         for token, k in vocabulary.items():
             self.size[k] = len(token)  # a byte-level vocabulary writes each byte as one character
         self.memory = Memory(REMEMBERED)
+        if any(self._ids([a + b])[0] != sum(self._ids([a, b]), []) for a in ("a", " Aé", "ɏÀ") for b in ("!", "&(", "/:@[`{~")):
+            raise ValueError("the tokenizers file does not part letters from marks")
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -148,7 +151,13 @@ class Tokens:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and the bounds of each."""
         doc, cut = pieces(texts)
-        flat, sizes = self.memory.encode(cut.dictionary, self._new)
+        owner, parts = plain_parts(cut.dictionary)
+        coded = parts.dictionary_encode()
+        flat, sizes = self.memory.encode(coded.dictionary, self._new)
+        number = coded.indices.to_numpy(zero_copy_only=False)
+        # ids of each distinct piece, then of each place
+        flat = gather(flat, sizes, number)
+        sizes = np.bincount(owner, weights=sizes[number], minlength=len(cut.dictionary)).astype(np.int64)
         place = cut.indices.to_numpy(zero_copy_only=False)
         total = np.bincount(doc, weights=sizes[place], minlength=len(texts)).astype(np.int64)
         return gather(flat, sizes, place), np.concatenate([[0], np.cumsum(total)])
@@ -173,7 +182,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
         tokens = _TOKENS[path]
         for b in batches:
             texts, doc_ids = strings(b.column("text")), b.column("doc_id")
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, SLICE):
                 flat, bounds = tokens.encode(texts.slice(lo, hi - lo))
                 # the end id behind each document
                 ids = np.full(len(flat) + hi - lo, END, tokens.dtype)

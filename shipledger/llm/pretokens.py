@@ -15,6 +15,28 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+# Pieces whose matches are plain to see: letters, and letters with marks behind
+# them (no apostrophe, which may begin a contraction). Of letters, only those
+# that every version of the character tables calls letters.
+LETTERS = " ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
+MARKS = r"[!-&(-/:-@\[-`{-~]+"
+
+
+def plain_parts(distinct: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Pieces with marks behind their letters cut before the marks, where the
+    pattern must cut; others whole. The piece of each part, and the parts."""
+    two = pc.extract_regex(distinct, f"^(?P<a>{LETTERS})(?P<b>{MARKS})$")
+    marked = np.flatnonzero(pc.is_valid(two).to_numpy(zero_copy_only=False))
+    whole = np.ones(len(distinct), bool)
+    whole[marked] = False
+    whole = np.flatnonzero(whole)
+    some = two.take(pa.array(marked))
+    owner = np.concatenate([whole, marked, marked])
+    order = np.argsort(owner, kind="stable")
+    parts = pa.concat_arrays([distinct.take(pa.array(whole)), some.field("a"), some.field("b")])
+    return owner[order], parts.take(pa.array(order))
+
+
 def _edges(parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Whether each part is empty, begins, or ends with white space."""
     parts = pc.cast(parts, pa.large_string())
