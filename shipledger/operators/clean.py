@@ -432,16 +432,15 @@ def clean(raw: DataFrame, *, accuracy: int | None = None, stage_mode: str = "wri
           date_formats: list[str] | None = None, sources: list[str] | None = None,
           file_entries: DataFrame | None = None, check_flags: bool = True,
           min_values: int = K.OUTLIER_MIN_VALUES, iqr: float = K.OUTLIER_IQR_MULTIPLIER,
-          penalty: float = K.LATE_PENALTY_EUR_PER_DAY, central_europe: list[str] | None = None) -> Cleaned:
+          penalty: float = K.LATE_PENALTY_EUR_PER_DAY, central_europe: list[str] | None = None, again=None) -> Cleaned:
     """Run the whole cleaning chain. The row-level stage is always written, so
     that each row's position in its file is fixed; so are the value counts and,
     with ``stage_mode="write"``, the finished table."""
     stages: list[str] = []
     # Counts come along with the writes (observed where the writing tasks are, so a
     # repeated task counts once) instead of further passes over the rows.
-    read = Observation()
-    rows = materialize(annotate(raw, carriers=carriers, fx=fx, tokens=tokens, date_formats=date_formats).observe(
-        read, F.count_if(_dated()).alias("dated")), "rows", stages=stages)
+    row_settings = {"carriers": carriers, "fx": fx, "tokens": tokens, "date_formats": date_formats}
+    rows, dated = write_rows(raw, stages, again, **row_settings)
     annotated, spare = disposition(rows, stages)
     kept = annotated.filter(F.col("_removed").isNull())
     stats = materialize(group_stats(kept, accuracy, stages), "stats", stages=stages)
@@ -451,7 +450,7 @@ def clean(raw: DataFrame, *, accuracy: int | None = None, stage_mode: str = "wri
     else:
         counts = full.agg(*finished_counts()).first().asDict()
     try:
-        check_survivors(read.get["dated"], spare, counts["rows_out"])
+        check_survivors(dated, spare, counts["rows_out"])
         if check_flags:
             flag_error([c for c in FLAG_COLUMNS if counts[f"null_{c}"]])
     except ValueError:
@@ -461,6 +460,29 @@ def clean(raw: DataFrame, *, accuracy: int | None = None, stage_mode: str = "wri
                    fx=K.FX_TO_EUR if fx is None else fx, iqr=iqr, penalty=penalty, stages=stages, counts=counts)
 
 
+def write_rows(raw: DataFrame, stages: list[str], again=None, **settings) -> tuple[DataFrame, int]:
+    """The row-level stage, and its number of dated rows, observed on the way.
+
+    ``again``: where ``raw`` was read as one line a record (``_open_quote`` marks
+    records whose quote is open at the line's end), reads the exports with such a
+    record as multi-line records. The others are read once."""
+    seen = Observation()
+    metrics = [F.count_if(_dated()).alias("dated")]
+    if "_open_quote" in raw.columns:
+        metrics.append(F.collect_set(F.when(F.col("_open_quote"), F.col("_file"))).alias("files"))
+    rows = annotate(raw, **settings).observe(seen, *metrics).drop("_open_quote")
+    rows = materialize(rows, "rows", stages=stages)
+    files = sorted(seen.get.get("files") or [])
+    if not files or again is None:
+        return rows, seen.get["dated"]
+    more = Observation()
+    second = annotate(again(files), **settings).observe(more, F.count_if(_dated()).alias("dated"))
+    second = materialize(second, "rows-multi-line", stages=stages)
+    first = rows.filter(~F.col("_file").isin(files))
+    kept = first.agg(F.count_if(_dated()).alias("n")).first()["n"]
+    return first.unionByName(second, allowMissingColumns=True), kept + more.get["dated"]
+
+
 def finished_counts() -> list[Column]:
     """What the log and the gates count of the finished rows."""
     return [

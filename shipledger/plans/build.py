@@ -38,8 +38,8 @@ def build_from_files(spark: SparkSession, source, aliases: dict | None = None, *
     replaces the built-in column vocabulary (S3)."""
     from shipledger.sources.ingest import read_exports
 
-    ing = read_exports(spark, source, aliases=aliases)
-    return clean(ing.raw, sources=ing.sources, file_entries=ing.file_entries, **kw)
+    ing = read_exports(spark, source, aliases=aliases, defer=True)
+    return clean(ing.raw, sources=ing.sources, file_entries=ing.file_entries, again=ing.again, **kw)
 
 
 def build_from_frames(spark: SparkSession, frames: dict, **kw) -> Cleaned:

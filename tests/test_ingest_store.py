@@ -198,10 +198,44 @@ def test_extra_columns_survive_storage(spark, tmp_path):
     assert store.parity(a, b).count() == 0
 
 
-def test_header_scan_is_one_job(spark, exports):
-    from shipledger.sources.ingest import scan_lines
+def test_headers_come_from_the_first_bytes(spark, exports, tmp_path):
+    from shipledger.sources.ingest import read_headers
 
-    got = scan_lines(spark, [f"file:{exports}/a_wms.csv", f"file:{exports}/c_broker.csv"])
-    assert {k.rsplit("/", 1)[-1]: v.header.split(";")[0].split(",")[0] for k, v in got.items()} == {
+    got = read_headers(spark, [f"file:{exports}/a_wms.csv", f"file:{exports}/c_broker.csv"])
+    assert {k.rsplit("/", 1)[-1]: v.split(";")[0].split(",")[0] for k, v in got.items()} == {
         "a_wms.csv": "order_id", "c_broker.csv": "CONSIGNMENT_NO"}
-    assert not any(v.open_quotes for v in got.values())
+    wide = ",".join(f"column_{i}" for i in range(3000))
+    (tmp_path / "wide.csv").write_text("\ufeff" + wide + "\r\n1,2\n", encoding="utf-8")
+    (tmp_path / "bare.csv").write_text("one,two")
+    (tmp_path / "none.csv").write_text("")
+    got = read_headers(spark, [f"file:{tmp_path}/{n}.csv" for n in ("wide", "bare", "none")], first_bytes=64)
+    assert sorted(got.values()) == sorted([wide, "one,two", ""])
+
+
+def test_only_exports_with_open_quotes_are_read_again(spark, tmp_path):
+    from shipledger.plans.build import build_from_files
+    from shipledger.sources import ingest
+
+    (tmp_path / "a.csv").write_text(HEAD + "\n" + ROW.format(id="P1", city='"plain, quoted"', cost=1) + "\n")
+    (tmp_path / "b.csv").write_text(HEAD + "\n" + ROW.format(id="P2", city='"a,b\nc ""d"""', cost=2) + "\n"
+                                    + ROW.format(id="P3", city="Kiel", cost=3) + "\n")
+    (tmp_path / "c.csv").write_text(HEAD + "\n" + ROW.format(id="P4", city='"""doubled"""', cost=4) + "\n")
+    asked = []
+    read = ingest.read_exports
+
+    def watched(*args, **kw):
+        ing = read(*args, **kw)
+        again = ing.again
+        ing.again = lambda files: asked.append(files) or again(files)
+        return ing
+
+    ingest.read_exports = watched
+    try:
+        t = {r.order_id: r for r in build_from_files(spark, str(tmp_path)).table.collect()}
+    finally:
+        ingest.read_exports = read
+    assert asked == [[1, 2]]  # c holds a value that begins with a quote: read again with the same result
+    assert {k: r.destination_city for k, r in t.items()} == {
+        "P1": "plain, quoted", "P2": 'a,b\nc "d"', "P3": "Kiel", "P4": '"doubled"'}
+    raw = {r.order_id: r for r in read(spark, str(tmp_path)).raw.collect()}
+    assert {k: raw[k].destination_city for k in t} == {k: r.destination_city for k, r in t.items()}

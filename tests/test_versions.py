@@ -167,11 +167,14 @@ def many(spark, n, hot):
 
 
 def test_rebalanced_write_bounds_files_and_splits_a_hot_month(spark, tmp_path):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "600k")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")  # many more than months, as on a cluster
     try:
         store.write_processed(many(spark, 200, 40_000), str(tmp_path / "t"))
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     files = {d: [f for f in os.listdir(tmp_path / "t" / d) if f.endswith(".parquet")] for d in os.listdir(tmp_path / "t")
              if d.startswith("ship_month=")}
     assert len(files) == 12
