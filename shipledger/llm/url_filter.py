@@ -6,12 +6,18 @@ those that a rule decides; at most ``most`` of them (hash order) are written
 with their features as bin numbers. Each level of each tree is one grouped sum
 of gradients over that sample: the driver reads (nodes x features x bins)
 numbers and writes the tree as a SQL expression, so scoring all pages is one
-narrow projection. Suffix statistics are smoothed block rates of the host's
-last label, of its last two labels and of the path's file ending, over all URLs
-that a rule decides (one grouped count with map-side combining, written). They
-may have as many rows as there are domains, so they are broadcast only after
-their size was checked, else the join shuffles. The share of blocked URLs, which
-stands in for a suffix that no decided URL has, is over all of them too.
+narrow projection.
+
+Suffix statistics are block rates of the host's last label and of the path's
+file ending, counted over all URLs (one grouped count with map-side combining,
+written). A label is a function of host and path, so a rate must not give it
+away: domains are dealt to ``FOLDS`` folds, and a URL's rate is counted over
+the other folds only, in training and in judging alike, so no URL of its own
+domain has a part in it. URLs that no rule decides count as blocked to the share
+of all decided ones, as do ``SMOOTH`` more, so a suffix of which little is
+decided stays near that share. The rates may have as many rows as there are
+suffixes, so they are broadcast only after their size was checked, else the join
+shuffles.
 
 A rule ``host/path`` fits its host and all subdomains if the URL's path starts
 with the rule's; the longest rule that fits wins (of equal length: the first
@@ -40,8 +46,9 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
          ("allow", "org", "/fr/")]
 SAMPLE, TREES, DEPTH, BINS, RATE, L2 = 20_000, 8, 3, 16, 0.5, 1.0
 FEATURES = ["length", "host_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "parameters",
-            "query_length", "secure", "tld_rate", "domain_rate", "ending_rate"]
-SUFFIXES = ["tld", "domain", "ending"]
+            "query_length", "secure", "tld_rate", "ending_rate"]
+SUFFIXES = ["tld", "ending"]
+FOLDS, SMOOTH = 5, 20.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -76,8 +83,8 @@ def _entropy(text: Column) -> Column:
 def _suffixes(pages: DataFrame) -> DataFrame:
     host, path = F.col("host"), F.col("path")
     return pages.withColumns({
-        "tld": F.element_at(F.split(host, r"\."), -1), "domain": F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1),
-        "ending": F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1)})
+        "tld": F.element_at(F.split(host, r"\."), -1), "ending": F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1),
+        "fold": F.pmod(F.xxhash64(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)), F.lit(FOLDS)).cast("int")})
 
 
 def _lexical(pages: DataFrame) -> DataFrame:
@@ -93,22 +100,27 @@ def _lexical(pages: DataFrame) -> DataFrame:
         "query_length": F.length(query).cast("double"), "secure": url.startswith("https:").cast("double")})
 
 
-def _suffix_counts(decided: DataFrame) -> DataFrame:
-    """kind (tld, domain, ending), suffix, y (blocked) and n of all URLs with a ``y``."""
+def _suffix_counts(ruled: DataFrame) -> DataFrame:
+    """kind (tld, ending), suffix, fold, and of all its URLs: n, blocked, undecided."""
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("suffix")) for k in SUFFIXES])
-    return (_suffixes(decided).select("y", F.explode(kinds).alias("s")).groupBy("s.kind", "s.suffix")
-            .agg(F.sum("y").alias("y"), F.count("*").alias("n")))
+    return (_suffixes(ruled).select("ruling", "fold", F.explode(kinds).alias("s")).groupBy("s.kind", "s.suffix", "fold")
+            .agg(F.count("*").alias("n"), F.count_if(F.col("ruling") == "block").alias("blocked"),
+                 F.count_if(F.col("ruling").isNull()).alias("undecided")))
 
 
-def _rates(counts: DataFrame, key: str) -> DataFrame:
-    return counts.where(F.col("kind") == key).select(
-        F.col("suffix").alias(key), ((F.col("y") + 1) / (F.col("n") + 2)).alias(f"{key}_rate"))
+def _rates(counts: DataFrame, key: str, prior: float) -> DataFrame:
+    """Suffix and its rates: for each fold the one over the other folds."""
+    credit = F.col("blocked") + prior * F.col("undecided")
+    others = [F.col("fold") != f for f in range(FOLDS)]
+    return counts.where(F.col("kind") == key).groupBy(F.col("suffix").alias(key)).agg(F.array(*[
+        (F.coalesce(F.sum(F.when(o, credit)), F.lit(0.0)) + SMOOTH * prior)
+        / (F.coalesce(F.sum(F.when(o, F.col("n"))), F.lit(0)) + SMOOTH) for o in others]).alias(f"{key}_rates"))
 
 
 def _with_rates(pages: DataFrame, rates: dict[str, DataFrame], prior: float) -> DataFrame:
     for key, table in rates.items():
         pages = pages.join(bounded_broadcast(table), key, "left")
-    return pages.withColumns({f"{k}_rate": F.coalesce(F.col(f"{k}_rate"), F.lit(prior)) for k in rates})
+    return pages.withColumns({f"{k}_rate": F.coalesce(F.get(f"{k}_rates", F.col("fold")), F.lit(prior)) for k in rates})
 
 
 def _tree(tree: dict, value, i: int = 0) -> Column:
@@ -134,16 +146,16 @@ class UrlModel:
 
 
 def fit(pages: DataFrame, rules=RULES, most: int = SAMPLE, trees: int = TREES) -> UrlModel:
-    """Rates over all URLs that a rule decides, boosted trees on at most ``most`` of them."""
-    decided = with_rule(split_url(pages), rules).where("rule is not null").withColumn(
-        "y", (F.col("ruling") == "block").cast("double"))
-    counts = written(_suffix_counts(decided), "url-rates")
+    """Rates over all URLs, boosted trees on at most ``most`` of those that a rule decides."""
+    ruled = with_rule(split_url(pages), rules)
+    counts = written(_suffix_counts(ruled), "url-rates")
     n, blocked = counts.where(F.col("kind") == "tld").agg(  # each URL has one
-        F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
+        F.coalesce(F.sum(F.col("n") - F.col("undecided")), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0))).first()
     if blocked in (0, n):
         return UrlModel({}, 0.5, [[] for _ in FEATURES], [], 6.0 if blocked else -6.0)
     prior = blocked / n
-    rates = {k: _rates(counts, k) for k in SUFFIXES}
+    rates = {k: _rates(counts, k, prior) for k in SUFFIXES}
+    decided = ruled.where("rule is not null").withColumn("y", (F.col("ruling") == "block").cast("double"))
     sample = written(_lexical(decided.orderBy(F.xxhash64("url"), "url", "page_id").limit(most)), "url-sample")
     full = _with_rates(sample, rates, prior)
     shares = F.lit([k / BINS for k in range(1, BINS)])

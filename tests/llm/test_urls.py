@@ -1,4 +1,5 @@
 import math
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -41,22 +42,92 @@ def test_features(spark):
     url = "https://a-b.example.com/x/y1.html?p=1&q=2#z"
     r = U._lexical(U.split_url(spark.createDataFrame([(1, url)], "page_id long, url string"))).first()
     assert (r.length, r.depth, r.labels, r.hyphens, r.parameters, r.query_length, r.secure) == (len(url), 2, 2, 1, 2, 7, 1)
-    assert (r.tld, r.domain, r.ending) == ("com", "example.com", "html")
+    assert (r.tld, r.ending) == ("com", "html") and 0 <= r.fold < U.FOLDS
     assert abs(r.digit_ratio - 3 / len(url)) < 1e-12
     counts = [url.count(c) / len(url) for c in set(url)]
     assert abs(r.entropy + sum(p * math.log2(p) for p in counts)) < 1e-9
 
 
-def test_held_out_accuracy(spark):
+def site(rnd, k, spam):
+    """URLs of one domain; spam has longer, deeper URLs full of digits and parameters."""
+    name = f"shop{k}.{rnd.choice(['com', 'org', 'info'])}"
+    for _ in range(12):
+        if spam:
+            yield f"http://www-{rnd.randint(1, 99)}.{name}/{rnd.randint(10**6, 10**9)}/x{rnd.randint(1, 10**5)}.php?a={rnd.randint(1, 10**6)}&b={rnd.randint(1, 99)}"
+        else:
+            yield f"https://www.{name}/{'news' if rnd.random() < .5 else 'about/us'}/{rnd.choice(['tea', 'garden', 'river'])}.html"
+
+
+def test_domains_without_a_rule_beat_the_base_rate(spark):
+    rnd = random.Random(7)
+    spam = {k: rnd.random() < 0.45 for k in range(80)}
+    urls = [(k, u) for k, s in spam.items() for u in site(rnd, k, s)]
+    rules = [("block" if spam[k] else "allow", re.search(r"shop\d+\.\w+", u).group(), "/") for k, u in urls if k < 40]
+    rules = sorted(set(rules))
+    pages = spark.createDataFrame([(i, u) for i, (_, u) in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: r for r in U.judge(pages, U.fit(pages, rules), rules).collect()}
+    open_ = [(got[i], spam[k]) for i, (k, _) in enumerate(urls) if k >= 40]
+    assert all(r.rule is None for r, _ in open_)
+    right = sum((r.verdict == "block") == s for r, s in open_) / len(open_)
+    base = max(sum(s for _, s in open_), sum(not s for _, s in open_)) / len(open_)
+    assert right > base + 0.2
+
+
+def test_urls_of_one_domain_are_judged_each(spark):
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
-    half = F.pmod(F.crc32(F.col("page_id").cast("string").cast("binary")), F.lit(2))
-    model = U.fit(pages.where(half == 0))
-    got = U.judge(pages.where(half == 1), model).where("rule is not null").select(
-        (F.col("verdict") == "block").cast("int").alias("y"), "score").toPandas()
-    base = max(got.y.mean(), 1 - got.y.mean())
-    pos, neg = got.score[got.y == 1].to_numpy(), got.score[got.y == 0].to_numpy()
-    assert ((got.score > 0.5) == (got.y == 1)).mean() > base + 0.05
-    assert (pos[:, None] > neg[None]).mean() > 0.75
+    got = U.judge(pages, U.fit(pages)).where("rule is null").withColumn(
+        "domain", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)).groupBy("domain").agg(
+        F.count("*").alias("n"), F.count_distinct("score").alias("scores")).where("n > 100").collect()
+    assert got and all(r.scores > 10 for r in got)
+
+
+def test_trees_equal_a_plain_reference(spark):
+    """Growing and scoring again in plain Python, from the same bins."""
+    rnd = random.Random(2)
+    urls = [u for k in range(30) for u in site(rnd, k, k % 2)]
+    rules = [("block" if k % 2 else "allow", re.search(r"shop\d+\.\w+", u).group(), "/")
+             for k in range(24) for u in urls[12 * k: 12 * k + 1]]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    model = U.fit(pages, rules, trees=3)
+    rows = U._with_rates(U._lexical(U.with_rule(U.split_url(pages), rules)), model.rates, model.prior).collect()
+    x = [[sum(r[f] > e for e in es) for f, es in zip(U.FEATURES, model.edges, strict=True)] for r in rows]
+    y = [None if r.ruling is None else float(r.ruling == "block") for r in rows]
+    margin = [model.bias] * len(rows)
+    for _ in range(3):
+        members, leaf = {0: list(range(len(rows)))}, {}
+        for _ in range(U.DEPTH):
+            for node in [n for n in list(members) if n not in leaf]:
+                own = [i for i in members[node] if y[i] is not None]
+                g = {i: 1 / (1 + math.exp(-margin[i])) - y[i] for i in own}
+                h = {i: (lambda p: p * (1 - p))(1 / (1 + math.exp(-margin[i]))) for i in own}
+                gain = lambda side: sum(g[i] for i in side)**2 / (sum(h[i] for i in side) + U.L2)
+                best = (1e-6, None)
+                for f in range(len(U.FEATURES)):
+                    for cut in sorted({x[i][f] for i in own})[:-1]:
+                        left = [i for i in own if x[i][f] <= cut]
+                        right = [i for i in own if x[i][f] > cut]
+                        found = gain(left) + gain(right) - gain(own)
+                        if found > best[0] + 1e-9:
+                            best = (found, (f, cut))
+                if best[1] is None or not own:
+                    leaf[node] = True
+                    continue
+                f, cut = best[1]
+                rest = members.pop(node)
+                members[2 * node + 1] = [i for i in rest if x[i][f] <= cut]
+                members[2 * node + 2] = [i for i in rest if x[i][f] > cut]
+        new = margin[:]
+        for node, group in members.items():
+            own = [i for i in group if y[i] is not None]
+            if node == 0:
+                continue
+            p = [1 / (1 + math.exp(-margin[i])) for i in own]
+            value = -sum(q - y[i] for q, i in zip(p, own, strict=True)) / (sum(q * (1 - q) for q in p) + U.L2) * U.RATE
+            for i in group:
+                new[i] += value
+        margin = new
+    got = {r.page_id: r.score for r in U.judge(pages, model, rules).collect()}
+    assert all(abs(got[r.page_id] - 1 / (1 + math.exp(-m))) < 1e-6 for r, m in zip(rows, margin, strict=True))
 
 
 def test_main_path_has_no_python(spark, capsys):
@@ -70,23 +141,38 @@ def test_empty(spark):
     assert U.judge(empty, U.fit(empty)).count() == 0
 
 
-def test_rates_are_of_all_decided_urls(spark, monkeypatch):
-    """Not of the URLs that the trees are grown on; with a broadcast and with a shuffle."""
+def test_rates_are_of_all_urls_of_other_domains(spark, monkeypatch):
+    """Not of the URLs that the trees are grown on, nor of a URL's own domain; with a broadcast and with a shuffle."""
     urls = [f"http://d{i % 40}.{'net' if i % 3 else 'org'}/fr/{i}.{'html' if i % 5 else 'pdf'}" for i in range(400)]
     urls += [f"http://d{i}.com/{i}.html" for i in range(40)]  # no rule fits
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     model = U.fit(pages, most=25)
-    ruled = [(*brute(u)[:2], float(brute(u)[3] == "block")) for u in urls if brute(u)[2]]
-    assert len(ruled) == 400 and abs(model.prior - sum(y for *_, y in ruled) / 400) < 1e-12
-    suffix = {"tld": lambda h, p: h.split(".")[-1], "domain": lambda h, p: h, "ending": lambda h, p: p.split(".")[-1]}
-    for key, cut in suffix.items():
-        want = {}
-        for host, path, y in ruled:
-            want.setdefault(cut(host, path), []).append(y)
-        got = {r[key]: r[f"{key}_rate"] for r in model.rates[key].collect()}
-        assert got.keys() == want.keys()
-        assert all(abs(got[k] - (sum(v) + 1) / (len(v) + 2)) < 1e-12 for k, v in want.items())
+    rows = U._suffixes(U.with_rule(U.split_url(pages))).collect()
+    decided = [r for r in rows if r.ruling]
+    prior = sum(r.ruling == "block" for r in decided) / len(decided)
+    assert len(decided) == 400 and abs(model.prior - prior) < 1e-12
+    for key in U.SUFFIXES:
+        got = {r[key]: r[f"{key}_rates"] for r in model.rates[key].collect()}
+        assert got.keys() == {r[key] for r in rows}
+        for suffix, rates in got.items():
+            for f in range(U.FOLDS):
+                mine = [r for r in rows if r[key] == suffix and r.fold != f]
+                credit = sum(prior if r.ruling is None else float(r.ruling == "block") for r in mine)
+                assert abs(rates[f] - (credit + U.SMOOTH * prior) / (len(mine) + U.SMOOTH)) < 1e-9
+    folds = {}
+    for r in rows:
+        folds.setdefault(".".join(r.host.split(".")[-2:]), set()).add(r.fold)
+    assert all(len(f) == 1 for f in folds.values())
     judged = sorted(map(tuple, U.judge(pages, model).collect()))
     assert len(judged) == 440
     monkeypatch.setattr(U, "bounded_broadcast", lambda df: df)
     assert sorted(map(tuple, U.judge(pages, model).collect())) == judged
+
+
+def test_clashing_columns(spark):
+    pages = spark.createDataFrame([(i, f"http://a{i % 7}.net/{i}.html" if i % 2 else f"http://b.org/fr/{i}", "h", "p", 9.0, "z", 7)
+                                   for i in range(60)],
+                                  "page_id long, url string, host string, path string, y double, ruling string, fold int")
+    rows = U.judge(pages, U.fit(pages)).collect()
+    assert len(rows) == 60 and all((r.host, r.path, r.rule) == brute(f"http://a{r.page_id % 7}.net/{r.page_id}.html" if r.page_id % 2
+                                                                     else f"http://b.org/fr/{r.page_id}")[:3] for r in rows)
