@@ -154,18 +154,21 @@ def fold(column: str, buckets: int) -> F.Column:
 
 def labelled_ids(labels: DataFrame, label: str, fold_n: int, held: int, most: int) -> DataFrame:
     """At most ``most`` training ids of each class, by hash order, outside the
-    held-out fold: (doc_id, y). Ids labelled both ways are left out."""
+    held-out fold: (doc_id, y), each id once. Ids labelled both ways are left
+    out before anything is counted."""
     rows = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
             .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)))
     if fold_n:
         rows = rows.where(fold("doc_id", fold_n) != held)
     key = F.xxhash64("doc_id")
-    parts = [rows.where(F.col("y") == y).orderBy(key, "doc_id").limit(most) for y in (0, 1)]
-    both = parts[0].unionByName(parts[1])
-    return both.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("_m")).where("y = _m").drop("_m")
+    each = rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("_m")).where("y = _m").drop("_m")
+    parts = [each.where(F.col("y") == y).orderBy(key, "doc_id").limit(most) for y in (0, 1)]
+    return parts[0].unionByName(parts[1])
 
 
 def join_small(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose doc_id is in ``ids``, a frame bounded by a sample
-    size parameter (hence the broadcast)."""
-    return df.join(F.broadcast(ids), "doc_id")
+    """doc_id, y and text of the documents in ``ids``, a frame bounded by a sample
+    size parameter (hence the broadcast). An id that repeats gives one row, with
+    its smallest text, so the bound holds for rows too."""
+    rows = df.join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))

@@ -9,8 +9,11 @@ over binned document statistics minimises the non-negative unbiased risk
     prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)])
 
 with the logistic loss, whose minimiser is the log-odds of being good, so the
-score is a probability. Both samples are bounded (``most`` documents each, by
-hash order); scoring is one narrow pass over all whole texts.
+score is a probability. The model is fitted on bounded samples (``most``
+documents of each set, by hash order). The class prior is a figure of all web
+text: it is read off a histogram of the scores of every unlabelled document
+outside the held-out fold (``CELLS`` counts reach the driver). Scoring is one
+narrow pass over all whole texts.
 
 Defined cases: a null text counts as empty and gets the score of an empty
 text; rows are scored one by one, so repeated rows, null ids and ties keep
@@ -35,6 +38,7 @@ from shipledger.llm.textstats import FEATURES, statistics
 SAMPLE = 10_000  # documents of each set
 FOLDS, HELD = 4, 2
 BINS = 16
+CELLS = 1000  # of the histogram of scores
 
 
 @dataclass(frozen=True)
@@ -87,14 +91,19 @@ def _descend(bp: np.ndarray, bu: np.ndarray, width: int, prior: float | None, st
     return w[:-1].reshape(d, width), float(w[-1])
 
 
+def cell(scores: np.ndarray) -> np.ndarray:
+    """Histogram cell of each score."""
+    return np.minimum((np.asarray(scores) * CELLS).astype(np.int64), CELLS - 1)
+
+
 def best_bin_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
-    """Upper estimate of the share of positives among the unlabelled scores."""
-    cuts = np.unique(np.quantile(np.concatenate([positive, unlabelled]), np.linspace(0, 1, 201)))
-    qp = 1 - np.searchsorted(np.sort(positive), cuts, side="left") / len(positive)
-    qu = 1 - np.searchsorted(np.sort(unlabelled), cuts, side="left") / len(unlabelled)
+    """Upper estimate of the share of positives among the unlabelled, both as
+    counts of scores per histogram cell."""
+    np_, nu = positive.sum(), unlabelled.sum()
+    qp, qu = (np.cumsum(c[::-1])[::-1] / c.sum() for c in (positive, unlabelled))  # at or above each cell
     wide = lambda n: np.sqrt(np.log(4 / delta) / (2 * n))
-    fine = qp > 2 * wide(len(positive))
-    bound = np.where(fine, (qu + wide(len(unlabelled)) + wide(len(positive))) / np.maximum(qp, 1e-9), np.inf)
+    fine = qp > 2 * wide(np_)
+    bound = np.where(fine, (qu + wide(nu) + wide(np_)) / np.maximum(qp, 1e-9), np.inf)
     if not fine.any():
         return 0.5
     k = int(bound.argmin())
@@ -104,9 +113,10 @@ def best_bin_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float =
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, steps: int = 400) -> Additive:
     """Fit outside the held-out fold."""
     good = labelled_ids(labels, "quality", FOLDS, HELD, most).where("y = 1")
-    web = (docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(fold("doc_id", FOLDS) != HELD)
-           .join(labels.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_anti")
-           .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).distinct().withColumn("y", F.lit(0)))
+    labelled = labels.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    training = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(fold("doc_id", FOLDS) != HELD)
+    web = (training.select("doc_id").distinct().join(labelled, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+           .withColumn("y", F.lit(0)))
     x, y = sample_features(docs, good.unionByName(web))
     p, u = x[y == 1], x[y == 0]
     if not len(p) or not len(u):
@@ -115,19 +125,45 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, steps: int = 400
     blank = Additive(edges, np.zeros((len(edges), BINS)), 0.0, 0.5)
     bp, bu = blank.bins(p), blank.bins(u)
     half = np.arange(len(bp)) % 2 == 0, np.arange(len(bu)) % 2 == 0
-    priors = []
-    for side in (0, 1):  # cross-fitted, so that the prior is read off unseen rows
+    sides, held = [], []
+    for side in (0, 1):  # cross-fitted, so that positives are ones that the model has not seen
         hp, hu = half[0] == bool(side), half[1] == bool(side)
         if min(hp.sum(), hu.sum(), (~hp).sum(), (~hu).sum()) == 0:
             continue
         w, b = _descend(bp[hp], bu[hu], BINS, None, 150, l2=1e-3)
-        m = Additive(edges, w, b, 0.5)
-        priors.append(best_bin_prior(m.score(p[~hp]), m.score(u[~hu])))
+        sides.append(Additive(edges, w, b, 0.5))
+        held.append(np.bincount(cell(sides[-1].score(p[~hp])), minlength=CELLS))
+    counts = histograms(training, labelled, sides)
+    priors = [best_bin_prior(a, c) for a, c in zip(held, counts, strict=True) if c.sum()]
     prior = float(np.mean(priors)) if priors else 0.5
     w, b = _descend(bp, bu, BINS, prior, steps)
     return Additive(edges, w, b, prior)
 
 
+def histograms(docs: DataFrame, without: DataFrame, models: list[Additive]) -> list[np.ndarray]:
+    """Documents per cell of each model's score, of those whose doc_id is not
+    in ``without``: one pass over whole texts; only ids and cells are joined
+    and counted."""
+
+    def kernel(batches):
+        for b in batches:
+            texts = strings(b.column("text"))
+            for lo, hi in slices(texts):
+                _, x = statistics(texts.slice(lo, hi - lo))
+                cells = np.stack([cell(m.score(x)) for m in models], axis=1)
+                yield pa.record_batch({"doc_id": b.column("doc_id").slice(lo, hi - lo), "cells": pa.ListArray.from_arrays(
+                    pa.array(np.arange(hi - lo + 1) * len(models), pa.int32()), pa.array(cells.ravel(), pa.int32()))})
+
+    out = [np.zeros(CELLS, np.int64) for _ in models]
+    if models:
+        found = map_arrow(docs.select("doc_id", "text"), kernel, "doc_id long, cells array<int>")
+        counts = (found.join(without, "doc_id", "left_anti").select(F.posexplode("cells").alias("model", "cell"))
+                  .groupBy("model", "cell").agg(F.count("*").alias("n")).collect())
+        for r in counts:
+            out[r["model"]][r["cell"]] = r["n"]
+    return out
+
+
 def score(docs: DataFrame, model: Additive) -> DataFrame:
     """One row per document: doc_id, score (probability of being good)."""
 
