@@ -7,10 +7,11 @@ likelihood; the sentences that offend are then those whose own score passes a
 threshold.
 
 Training: at most ``most`` labelled documents of each class (hash order).
-Words are counted per class with Spark over that sample; at most ``vocabulary``
-words, those whose class rates differ most in standard errors, enter the
-model, so what the driver receives is bounded by sample and vocabulary.
-Scoring is one narrow pass over all whole texts.
+Words are counted per class with Spark over that sample; every word of three
+documents or more whose class rates differ by more than ``LEAST_Z`` standard
+errors enters the model, and every weight fitted is served. What the driver
+receives is bounded by the sample. Scoring is one narrow pass over all whole
+texts.
 
 Words: runs of ASCII letters, digits and non-ASCII characters, lower-cased.
 Sentences: pieces between ``. ! ?`` or line breaks that hold a word.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from shipledger.llm.common import join_small, keep_rows, labelled_ids, map_arrow, strings
 
 SAMPLE = 6_000
-VOCABULARY = 4_096
+LEAST_Z = 3
 FOLDS, HELD = 3, 1
 
 _SENTENCE = re.compile(rb"[.!?\n]+")
@@ -117,7 +118,7 @@ def fit_weights(bag: np.ndarray, word: np.ndarray, doc_of_bag: np.ndarray, plain
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, vocabulary: int = VOCABULARY) -> Bags:
+def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Bags:
     """Fit outside the held-out fold."""
     ids = labelled_ids(labels, "toxic", FOLDS, HELD, most)
     rows = join_small(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids).select("text", "y")
@@ -137,8 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, vocabulary: int
         F.sum("y").alias("a"), F.sum(F.lit(1) - F.col("y")).alias("b"))
     p1, p0 = (F.col("a") + 0.5) / (n1 + 1.0), (F.col("b") + 0.5) / (n0 + 1.0)
     z = F.abs(F.log(p1 / p0)) / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    known = [bytes(r["word"]) for r in counts.where("a + b >= 3").withColumn("z", z).where("z > 3")
-             .orderBy(F.desc("z"), "word").limit(vocabulary).select("word").collect()]
+    known = [bytes(r["word"]) for r in counts.where("a + b >= 3").where(z > LEAST_Z).select("word").collect()]
     if not known:
         return NONE
     index = {w: k for k, w in enumerate(sorted(known))}
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, vocabulary: int
     w, bias = fit_weights(np.array(bag, np.int64), np.array(word, np.int64), np.array(doc_of_bag, np.int64),
                           np.array([r["plain"] for r in got], float), np.array([r["y"] for r in got], float),
                           len(index))
-    return Bags({word: float(w[k]) for word, k in index.items() if abs(w[k]) > 1e-3}, bias)
+    return Bags({word: float(w[k]) for word, k in index.items()}, bias)
 
 
 def score(docs: DataFrame, model: Bags, sentence_at: float = 0.5) -> DataFrame:
