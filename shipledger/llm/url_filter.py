@@ -8,16 +8,15 @@ of gradients over that sample: the driver reads (nodes x features x bins)
 numbers and writes the tree as a SQL expression, so scoring all pages is one
 narrow projection.
 
-Suffix statistics are block rates of the host's last label and of the path's
-file ending, counted over all URLs (one grouped count with map-side combining,
-written). A label is a function of host and path, so a rate must not give it
-away: domains are dealt to ``FOLDS`` folds, and a URL's rate is counted over
-the other folds only, in training and in judging alike, so no URL of its own
-domain has a part in it. URLs that no rule decides count as blocked to the share
-of all decided ones, as do ``SMOOTH`` more, so a suffix of which little is
-decided stays near that share. The rates may have as many rows as there are
-suffixes, so they are broadcast only after their size was checked, else the join
-shuffles.
+Suffix statistics are the lengths of the host's last label and of the path's
+file ending, and the ending's share of all URLs (one grouped count with map-side
+combining over the whole table, written; on a logarithmic scale). No block rate
+of a suffix is an input: a label is a function of host and path, so such a rate,
+also one counted over other domains only, tells the trees which rule a URL came
+under, and URLs without a rule would be judged by their domain alone. For the
+same reason no statistic names the host. The shares may have as many rows as
+there are endings, so they are broadcast only after their size was checked, else
+the join shuffles.
 
 A rule ``host/path`` fits its host and all subdomains if the URL's path starts
 with the rule's; the longest rule that fits wins (of equal length: the first
@@ -46,9 +45,7 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
          ("allow", "org", "/fr/")]
 SAMPLE, TREES, DEPTH, BINS, RATE, L2 = 20_000, 8, 3, 16, 0.5, 1.0
 FEATURES = ["length", "host_length", "depth", "labels", "digit_ratio", "hyphens", "entropy", "parameters",
-            "query_length", "secure", "tld_rate", "ending_rate"]
-SUFFIXES = ["tld", "ending"]
-FOLDS, SMOOTH = 5, 20.0
+            "query_length", "secure", "tld_length", "ending_length", "ending_share"]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -81,10 +78,8 @@ def _entropy(text: Column) -> Column:
 
 
 def _suffixes(pages: DataFrame) -> DataFrame:
-    host, path = F.col("host"), F.col("path")
-    return pages.withColumns({
-        "tld": F.element_at(F.split(host, r"\."), -1), "ending": F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1),
-        "fold": F.pmod(F.xxhash64(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)), F.lit(FOLDS)).cast("int")})
+    return pages.withColumns({"tld": F.element_at(F.split("host", r"\."), -1),
+                              "ending": F.regexp_extract("path", r"\.([A-Za-z0-9]{1,8})$", 1)})
 
 
 def _lexical(pages: DataFrame) -> DataFrame:
@@ -97,30 +92,20 @@ def _lexical(pages: DataFrame) -> DataFrame:
         "labels": count(host, "."),
         "digit_ratio": (n - F.length(F.translate(url, "0123456789", ""))) / F.greatest(n, F.lit(1.0)),
         "hyphens": count(url, "-"), "entropy": _entropy(url), "parameters": count(query, "="),
+        "tld_length": F.length("tld").cast("double"), "ending_length": F.length("ending").cast("double"),
         "query_length": F.length(query).cast("double"), "secure": url.startswith("https:").cast("double")})
 
 
-def _suffix_counts(ruled: DataFrame) -> DataFrame:
-    """kind (tld, ending), suffix, fold, and of all its URLs: n, blocked, undecided."""
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("suffix")) for k in SUFFIXES])
-    return (_suffixes(ruled).select("ruling", "fold", F.explode(kinds).alias("s")).groupBy("s.kind", "s.suffix", "fold")
-            .agg(F.count("*").alias("n"), F.count_if(F.col("ruling") == "block").alias("blocked"),
-                 F.count_if(F.col("ruling").isNull()).alias("undecided")))
+def _endings(pages: DataFrame) -> DataFrame:
+    """ending and n of all URLs."""
+    return _suffixes(pages).groupBy("ending").agg(F.count("*").alias("n"))
 
 
-def _rates(counts: DataFrame, key: str, prior: float) -> DataFrame:
-    """Suffix and its rates: for each fold the one over the other folds."""
-    credit = F.col("blocked") + prior * F.col("undecided")
-    others = [F.col("fold") != f for f in range(FOLDS)]
-    return counts.where(F.col("kind") == key).groupBy(F.col("suffix").alias(key)).agg(F.array(*[
-        (F.coalesce(F.sum(F.when(o, credit)), F.lit(0.0)) + SMOOTH * prior)
-        / (F.coalesce(F.sum(F.when(o, F.col("n"))), F.lit(0)) + SMOOTH) for o in others]).alias(f"{key}_rates"))
-
-
-def _with_rates(pages: DataFrame, rates: dict[str, DataFrame], prior: float) -> DataFrame:
-    for key, table in rates.items():
-        pages = pages.join(bounded_broadcast(table), key, "left")
-    return pages.withColumns({f"{k}_rate": F.coalesce(F.get(f"{k}_rates", F.col("fold")), F.lit(prior)) for k in rates})
+def _with_shares(pages: DataFrame, endings: DataFrame | None, total: int) -> DataFrame:
+    if endings is None:
+        return pages.withColumn("ending_share", F.lit(0.0))
+    pages = pages.join(bounded_broadcast(endings), "ending", "left")
+    return pages.withColumn("ending_share", F.log2((F.coalesce("n", F.lit(0)) + 1.0) / (total + 1.0)))
 
 
 def _tree(tree: dict, value, i: int = 0) -> Column:
@@ -137,8 +122,8 @@ def _node(tree: dict, value, i: int = 0) -> Column:
 
 
 class UrlModel:
-    def __init__(self, rates, prior, edges, trees, bias):
-        self.rates, self.prior, self.edges, self.trees, self.bias = rates, prior, edges, trees, bias
+    def __init__(self, endings, total, edges, trees, bias):
+        self.endings, self.total, self.edges, self.trees, self.bias = endings, total, edges, trees, bias
 
     def margin(self) -> Column:
         value = lambda j, cut: F.col(FEATURES[j]) > F.lit(self.edges[j][cut])
@@ -146,20 +131,20 @@ class UrlModel:
 
 
 def fit(pages: DataFrame, rules=RULES, most: int = SAMPLE, trees: int = TREES) -> UrlModel:
-    """Rates over all URLs, boosted trees on at most ``most`` of those that a rule decides."""
+    """Shares of endings over all URLs, boosted trees on at most ``most`` of
+    those that a rule decides."""
     ruled = with_rule(split_url(pages), rules)
-    counts = written(_suffix_counts(ruled), "url-rates")
-    n, blocked = counts.where(F.col("kind") == "tld").agg(  # each URL has one
-        F.coalesce(F.sum(F.col("n") - F.col("undecided")), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0))).first()
+    decided = ruled.where("rule is not null").withColumn("y", (F.col("ruling") == "block").cast("double"))
+    n, blocked = decided.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     if blocked in (0, n):
-        return UrlModel({}, 0.5, [[] for _ in FEATURES], [], 6.0 if blocked else -6.0)
+        return UrlModel(None, 0, [[] for _ in FEATURES], [], 6.0 if blocked else -6.0)
     prior = blocked / n
-    rates = {k: _rates(counts, k, prior) for k in SUFFIXES}
-    decided = ruled.where("rule is not null").withColumn("y", (F.col("ruling") == "block").cast("double"))
+    endings = written(_endings(ruled), "url-endings")
+    total = endings.agg(F.sum("n")).first()[0]
     sample = written(_lexical(decided.orderBy(F.xxhash64("url"), "url", "page_id").limit(most)), "url-sample")
-    full = _with_rates(sample, rates, prior)
-    shares = F.lit([k / BINS for k in range(1, BINS)])
-    edges = [sorted(set(q)) for q in full.agg(*[F.percentile_approx(f, shares, 1000) for f in FEATURES]).first()]
+    full = _with_shares(sample, endings, total)
+    cuts = F.lit([k / BINS for k in range(1, BINS)])
+    edges = [sorted(set(q)) for q in full.agg(*[F.percentile_approx(f, cuts, 1000) for f in FEATURES]).first()]
     binned = F.array(*[reduce(lambda a, e, f=f: a + (F.col(f) > F.lit(e)).cast("int"), es, F.lit(0))
                        for f, es in zip(FEATURES, edges, strict=True)])
     rows = written(full.select("y", binned.alias("b")), "url-bins")
@@ -178,7 +163,7 @@ def fit(pages: DataFrame, rules=RULES, most: int = SAMPLE, trees: int = TREES) -
         for i in tree["leaf"]:
             tree["leaf"][i] *= RATE
         grown.append(tree)
-    return UrlModel(rates, prior, edges, grown, bias)
+    return UrlModel(endings, total, edges, grown, bias)
 
 
 def _grow(tree: dict, sums: list) -> None:
@@ -207,7 +192,7 @@ def _grow(tree: dict, sums: list) -> None:
 def judge(pages: DataFrame, model: UrlModel, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, score (probability of block by the trees)."""
     rows = _lexical(with_rule(split_url(pages), rules))
-    rows = _with_rates(rows, model.rates, model.prior).withColumn("_margin", model.margin())
+    rows = _with_shares(rows, model.endings, model.total).withColumn("_margin", model.margin())
     return rows.select(
         "page_id", "host", "path", "rule",
         F.coalesce("ruling", F.when(F.col("_margin") > 0, "block").otherwise("allow")).alias("verdict"),
