@@ -105,6 +105,8 @@ def q_carrier_spend(spark, sf_dir):
     return spend_by_carrier(shipments(spark, sf_dir))
 
 
-from shipledger.plans import registry_steps, registry_metrics, registry_findings, registry_views  # noqa: E402,F401
+from shipledger.plans import (  # noqa: E402,F401
+    registry_steps, registry_metrics, registry_findings, registry_views, registry_storage,
+)
 
 __all__ = ["QUERIES", "ORACLE", "register"]
