@@ -28,7 +28,8 @@ def write_processed(table: DataFrame, path: str, csv_path: str | None = None,
     Rows are first dealt by month (``REBALANCE``), so a month has a few files
     and not one a task. The number of tasks follows the size: adaptive execution
     joins small months and splits a month that is larger than
-    ``spark.sql.adaptive.advisoryPartitionSizeInBytes``; no file has more than
+    ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` (with one whose hash falls
+    into the same partition, if any); no file has more than
     ``file_rows`` rows. Each file is in date order, so the days of a file are a
     narrow range in its statistics. ``sort`` writes in the W1 order instead."""
     if sort:
