@@ -29,9 +29,11 @@ Nothing is capped: a passage in a third of all documents costs one reference
 copy and salted streams. Each stage is written to the shared folder.
 
 Defined cases: a null or empty text has no words (kept_sha256 of the empty
-text); null doc_ids count as one id after all others; rows that share a doc_id
-count as one document number whose texts are each read from word 0, so a
-repeated row is not earlier than itself and every row keeps its result; an
+text); rows without a doc_id come after all others (ids below 2**62), equal texts as
+one document, others in the order of their texts' hashes; rows that share a
+doc_id count as one document number whose texts are each read from word 0, so
+a repeated row is not earlier than itself and every row keeps its result.
+Equal rows (copies without an id, repeated rows) are matched once; an
 empty table gives an empty result; other columns are not read.
 """
 
@@ -50,7 +52,7 @@ SIZE, GRAM = 20, 8
 SHARD_WORDS = 60_000     # marked windows a shard aims at
 UNIT_WORDS = 240_000     # marked windows streamed past one copy of an automaton
 MOST_SHARDS = 1 << 16
-LAST = (1 << 63) - 1     # the order of a null doc_id
+NO_ID = 1 << 62          # from here on: documents without an id, by the hash of their text
 
 
 def _word_hashes(words: Words) -> np.ndarray:
@@ -85,13 +87,16 @@ def anchors(words: Words, hashes: np.ndarray, size: int, gram: int) -> tuple[np.
     return value[first], at[first], np.diff(np.append(first, len(at)))
 
 
-def _order(doc_id: Column) -> Column:
-    return F.coalesce(doc_id.cast("long"), F.lit(LAST))
+def _order(doc_id: Column, th: Column) -> Column:
+    """The order of a document: its id, or a number of its text's hash behind
+    all ids, so that documents without an id are no common group."""
+    return F.coalesce(doc_id.cast("long"), F.lit(NO_ID) + th.bitwiseAND(F.lit(NO_ID // 2 - 1)))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(_order(F.col("doc_id")).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
+    th = F.xxhash64(text)
+    return docs.select(_order(F.col("doc_id"), th).alias("did"), th.alias("th"), text.alias("text"))
 
 
 def _anchor_rows(rows: DataFrame, size: int, gram: int) -> DataFrame:
@@ -226,7 +231,7 @@ _ITEM = [("shard", pa.int32()), ("salt", pa.int32()), ("side", pa.int32()), ("di
 def removed_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """Removed spans of the documents that lose words: did, th, spans (array of
     start, length; they may overlap); and the marked documents (did, th, text,
-    marks). did is the doc_id (null: ``LAST``), th the hash of the text."""
+    marks), one row each. did is the document's order, th the hash of the text."""
     rows = _rows(docs)
     repeated = written(_anchor_rows(rows, size, gram).groupBy("h").agg(
         F.count("*").alias("c"), F.min("did").alias("home")).where("c > 1").select("h", "home"), "substring-anchors")
@@ -237,8 +242,9 @@ def removed_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> tuple[
     hits = hits.withColumn("shard", F.pmod(F.xxhash64("home"), F.lit(shards)).cast("int"))
     load = hits.groupBy("shard").agg(F.ceil(F.sum("n") / F.lit(UNIT_WORDS)).cast("int").alias("salts"))
     marks = hits.join(F.broadcast(load), "shard").groupBy("did", "th").agg(  # load: a row a shard, at most MOST_SHARDS
-        F.collect_list(F.struct("start", "n", "shard", "salts")).alias("marks"))
-    marked = written(rows.join(marks, ["did", "th"]), "substring-marked")
+        F.collect_set(F.struct("start", "n", "shard", "salts")).alias("marks"))
+    # one row of equal ones, by the partitioning that the join has
+    marked = written(rows.join(marks, ["did", "th"]).dropDuplicates(["did", "th"]), "substring-marked")
 
     def window_kernel(batches):
         for b in batches:
@@ -362,7 +368,7 @@ def digests(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
                       "substring-changed")
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     plain = _digest_rows(whole.select("doc_id", F.xxhash64("text").alias("th"), "text"), ["doc_id", "th"])
-    plain = plain.withColumn("did", _order(F.col("doc_id")))
+    plain = plain.withColumn("did", _order(F.col("doc_id"), F.col("th")))
     return plain.join(changed, ["did", "th"], "left").select(
         "doc_id", "n_words", F.coalesce("r", "n_removed").alias("n_removed"),
         F.coalesce("k", "kept_sha256").alias("kept_sha256"))
@@ -384,7 +390,7 @@ def remove(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
         "substring-texts")
     # both sides by reference: the input may hold columns of any name
     mine = {c: docs[f"`{c}`"] for c in docs.columns}
-    same = (_order(mine["doc_id"]) == changed["_did"]) & (
-        F.xxhash64(F.coalesce(mine["text"], F.lit(""))) == changed["_th"])
+    th = F.xxhash64(F.coalesce(mine["text"], F.lit("")))
+    same = (_order(mine["doc_id"], th) == changed["_did"]) & (th == changed["_th"])
     return docs.join(changed, same, "left").select(
         *[F.coalesce(changed["_text"], x).alias(c) if c == "text" else x for c, x in mine.items()])

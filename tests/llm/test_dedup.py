@@ -254,7 +254,8 @@ def test_no_vectors(spark):
 
 def brute_removed(rows, size):
     words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
-    ids = [U.LAST if d is None else d for d, _ in rows]
+    # rows without an id: after all others, by the hash of their texts
+    ids = [U.NO_ID + (xxhash.xxh64_intdigest((t or "").encode(), 42) & (U.NO_ID // 2 - 1)) if d is None else d for d, t in rows]
     first = {}
     for d, ws in zip(ids, words, strict=True):
         for i in range(len(ws) - size + 1):
@@ -268,6 +269,26 @@ def brute_removed(rows, size):
     return sorted(out, key=str)
 
 
+def test_many_copies_without_an_id(spark):
+    """Equal rows cost one match, and texts without an id are no common group."""
+    import time
+
+    words = [f"w{i % 211}x{i % 13}" for i in range(300)]
+    text = " ".join(words)
+    others = [" ".join(words[i: i + 60] + [f"u{i}{k}" for k in range(30)]) for i in range(0, 200, 5)]
+
+    def run(copies):
+        rows = [(None, text)] * copies + [(None, t) for t in others] + [(7, " ".join(words[100:160])), (9, text), (9, text)]
+        t0 = time.time()
+        got = sorted((tuple(r) for r in U.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+        assert got == brute_removed(rows, 20)
+        return time.time() - t0
+
+    run(20)  # warm
+    small, large = run(100), run(3000)
+    assert large < 4 * small + 10
+
+
 def passages(seed):
     rnd = random.Random(seed)
     shared = [[rnd.choice("abcdefgh") + rnd.choice("xyz") for _ in range(60)] for _ in range(4)]
