@@ -2,7 +2,10 @@
 dedup, packing. Each stage reads what the stage before it wrote.
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and
-returns a DataFrame. All but the last return the columns of ``docs``.
+returns a DataFrame. All but the last return the columns of ``docs``, whatever
+their names. Rows are judged as rows, never looked up by id alone: repeated rows
+and rows without an id go through every stage, and an empty table gives an empty
+one. A null text counts as the empty text and stays null where it is kept.
 """
 
 from __future__ import annotations
@@ -18,23 +21,31 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the hard counts and the trees keep."""
+    """Documents that the hard counts and the trees keep. Empty and null texts go
+    (under 20 words); equal texts are kept or go together; without labels only
+    the hard counts decide."""
     return quality_rules.keep_good(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose noisy-or score stays below 0.7."""
+    """Documents whose noisy-or score stays below 0.7. Empty and null texts score
+    0 and stay; equal texts stay or go together; without labels of both classes
+    all stay."""
     return toxicity_mil.keep_clean(docs, toxicity_mil.fit(docs, table(spark, sf_dir, "labels")), 0.7)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id."""
+    """One row of each group of linked fingerprints: the one with the smallest
+    doc_id, decided row by row (rows without an id come after all others). Empty
+    and null texts are one group; of equal rows any one stays."""
     return simhash_dedup.keep_one(docs, shingle=4, distance=4)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without words of 20-word windows that occur earlier.
-    n_chars, where there is one, follows the text."""
+    """All documents, without words of 20-word windows that occur earlier; rows
+    without an id come after all others. n_chars, where there is one, follows the
+    text; null texts stay null, texts that lose nothing stay as they are, and
+    equal rows are the same document, none earlier than the other."""
     out = substring_dedup.remove(docs)
     if "n_chars" not in out.columns:
         return out
@@ -44,7 +55,8 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 1024 tokens along the Hilbert curve."""
+    """Pieces of sequences of 1024 tokens along the Hilbert curve. An empty or
+    null text is its end id alone; equal rows are packed each."""
     import public_tokenizers
 
     return curve_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
