@@ -58,3 +58,12 @@ def test_written_stages_run_compiled_and_leave_the_session_as_it_was(spark):
         assert spark.conf.get(key) == "65535"
     finally:
         spark.conf.set(key, before)
+
+
+def test_table_written_once_with_its_counts(spark, tmp_path):
+    from shipledger.sources.store import write_processed
+
+    df = spark.sql("SELECT DATE '2025-01-01' AS ship_month, DATE '2025-01-05' AS ship_date, id, id % 2 = 0 AS _even FROM range(10)")
+    seen = write_processed(df, str(tmp_path / "t"), counts=[F.count(F.lit(1)).alias("rows"), F.count_if("_even").alias("even")])
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert seen == {"rows": 10, "even": 5} and back.count() == 10 and "_even" not in back.columns
