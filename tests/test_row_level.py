@@ -67,3 +67,55 @@ def test_table_written_once_with_its_counts(spark, tmp_path):
     seen = write_processed(df, str(tmp_path / "t"), counts=[F.count(F.lit(1)).alias("rows"), F.count_if("_even").alias("even")])
     back = spark.read.parquet(str(tmp_path / "t"))
     assert seen == {"rows": 10, "even": 5} and back.count() == 10 and "_even" not in back.columns
+
+
+def test_short_looks_at_ends_and_tokens_equal_the_long_ones(spark):
+    from shipledger.constants import NULL_TOKENS
+    from shipledger.functions.text import WHITESPACE, null_tokens, strip_ws
+
+    values = [*ODD, *NULL_TOKENS, *[f" {t}" for t in NULL_TOKENS], "é", "!é", "é!", "\x80", "a\x7f", "\x7fa", "aé", "ab" * 40]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    rows = df.select("v", strip_ws("v").alias("s"), F.trim("v", F.lit(WHITESPACE)).alias("s_long"), null_tokens("v").alias("n"),
+                     null_tokens("v", []).alias("all"), null_tokens("v", ["é", "\x80"]).alias("own")).collect()
+    assert all(r.s == r.s_long for r in rows)
+    assert all(r.n == (None if r.v in NULL_TOKENS else r.v) for r in rows)
+    assert all(r.all == r.v and r.own == (None if r.v in ("é", "\x80") else r.v) for r in rows)
+
+
+def test_many_repeated_ids_are_joined_back_without_a_sort_of_the_rows(spark, monkeypatch):
+    from shipledger import session
+    from shipledger.operators import clean as C
+
+    df = spark.sql("""SELECT CASE WHEN id % 7 = 0 THEN NULL ELSE concat('ORD-', id % 40) END AS order_id,
+                      IF(id % 11 = 0, NULL, DATE '2025-01-01') AS ship_date, id % 13 = 0 AS _surplus,
+                      struct(id % 3 AS _ord1, id AS _ord2) AS _ord FROM range(200)""")
+    want, spare = C.disposition(df)
+    assert "Broadcast" in want._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(session, "BROADCAST_MAX_BYTES", -1)
+    got, again = C.disposition(df)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan  # a sort-merge join before
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and spare == again
+    monkeypatch.setattr(session, "HASHED_MAX_BYTES", -1)  # too many ids for hash tables: the join that spills
+    spilling, _ = C.disposition(df)
+    assert "ShuffledHashJoin" not in spilling._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, spilling.collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_stage_has_its_own_task_size(spark, monkeypatch):
+    from shipledger import session
+    from shipledger.operators import clean as C
+
+    key, seen = "spark.sql.adaptive.advisoryPartitionSizeInBytes", []
+    before = spark.conf.get(key)
+    real = session.jit_sized
+
+    def looked(s, more=None):
+        seen.append(dict(more or {}))
+        return real(s, more)
+
+    monkeypatch.setattr(session, "jit_sized", looked)
+    df = spark.createDataFrame(FIXTURE, ", ".join(f"{c} string" for c in COLS)).withColumn("_ord1", F.monotonically_increasing_id())
+    C.clean(df.withColumn("source_file", F.lit("a")))
+    assert sum(key in m for m in seen) == 4  # rows, repeated ids, counts, shipments
+    assert spark.conf.get(key) == before
