@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shipledger.schema import SHIPMENT_COLUMNS, SHIPMENT_SCHEMA
+from shipledger.session import jit_sized
+
+# Tasks of a write that reads stored files: a CSV part is compressed by one task.
+READ_CONF = {"spark.sql.files.maxPartitionBytes": "32m"}
+# Types whose values a partition folder's name gives back as they were (an empty text is stored as null).
+FOLDER_TYPES = ("date", "byte", "short", "integer", "long")
 
 
 def sorted_table(table: DataFrame, partition_by: str | None = "ship_month") -> DataFrame:
@@ -33,6 +39,9 @@ def write_processed(table: DataFrame, path: str, csv_path: str | None = None,
     ``file_rows`` rows. Each file is in date order, so the days of a file are a
     narrow range in its statistics. ``sort`` writes in the W1 order instead.
 
+    The CSV is written from the stored Parquet, where that holds these rows and no others: the
+    rows are dealt and sorted once, not for each format.
+
     ``counts``: aggregates observed by the tasks that write the Parquet, and
     returned; they may use helper columns (``_``), which are not written."""
     if sort:
@@ -46,9 +55,13 @@ def write_processed(table: DataFrame, path: str, csv_path: str | None = None,
     w = out.write.mode(mode).option("maxRecordsPerFile", file_rows)
     (w.partitionBy(partition_by) if partition_by else w).parquet(path)
     if csv_path:
-        (table.drop(*helpers).write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
-         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-         .option("compression", "gzip").csv(csv_path))
+        rows = table.drop(*helpers)
+        if mode == "overwrite" and partition_by and not sort and rows.schema[partition_by].dataType.typeName() in FOLDER_TYPES:
+            rows = table.sparkSession.read.schema(rows.schema).parquet(path).select(*[F.col(f"`{c}`") for c in rows.columns])
+        with jit_sized(table.sparkSession, READ_CONF):
+            (rows.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
+             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+             .option("compression", "gzip").csv(csv_path))
     return dict(seen.get) if counts else {}
 
 

@@ -239,3 +239,45 @@ def test_only_exports_with_open_quotes_are_read_again(spark, tmp_path):
         "P1": "plain, quoted", "P2": 'a,b\nc "d"', "P3": "Kiel", "P4": '"doubled"'}
     raw = {r.order_id: r for r in read(spark, str(tmp_path)).raw.collect()}
     assert {k: raw[k].destination_city for k in t} == {k: r.destination_city for k, r in t.items()}
+
+
+def _csv_rows(spark, path):
+    df = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "(empty)").csv(path)
+    return df.columns, sorted((tuple("" if v == "(empty)" else v for v in r) for r in df.collect()), key=str)
+
+
+def test_csv_is_written_from_the_stored_parquet(spark, tmp_path):
+    """The frame is made, dealt and sorted once for both formats; both hold the same rows,
+    also those without a month and repeated ones."""
+    from shipledger.sources import store
+
+    feb, mar = dt.date(2025, 2, 1), dt.date(2025, 3, 1)
+    rows = [("A", mar, "", "007", mar), ("A", mar, "", "007", mar), ("B", feb, None, 'x "y", z', feb), (None, None, "t", None, None)]
+    made = spark.sparkContext.accumulator(0)
+    table = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(lambda r: (made.add(1), r)[1]),
+                                  "order_id string, ship_month date, lane string, cost_centre string, ship_date date")
+    store.write_processed(table, str(tmp_path / "pq"), csv_path=str(tmp_path / "csv"))
+    assert made.value == len(rows)
+    columns, got = _csv_rows(spark, str(tmp_path / "csv"))
+    assert columns == table.columns
+    want = sorted((tuple(v.isoformat() if isinstance(v, dt.date) else v for v in r) for r in rows), key=str)
+    assert got == want
+    stored = spark.read.schema(table.schema).parquet(str(tmp_path / "pq")).select(*table.columns)
+    assert sorted(map(tuple, stored.collect()), key=str) == sorted(rows, key=str)
+
+
+def test_csv_of_rows_that_the_parquet_does_not_hold_alone(spark, tmp_path):
+    """Appended rows, an empty table, and a text as folder name (an empty one is stored as
+    null there) come to the CSV as they are."""
+    from shipledger.sources import store
+
+    pq, csv = str(tmp_path / "pq"), str(tmp_path / "csv")
+    table = spark.sql("select 'A' as order_id, date'2025-03-01' as ship_month")
+    store.write_processed(table, pq, csv_path=csv, mode="append")
+    store.write_processed(table, pq, csv_path=csv, mode="append")
+    assert _csv_rows(spark, csv)[1] == [("A", "2025-03-01")] * 2
+    store.write_processed(table.limit(0), pq, csv_path=csv)
+    assert _csv_rows(spark, csv) == (table.columns, [])
+    texts = spark.createDataFrame([("A", ""), ("B", None), ("C", "01")], "order_id string, carrier string")
+    store.write_processed(texts, pq, csv_path=csv, partition_by="carrier")
+    assert _csv_rows(spark, csv)[1] == [("A", ""), ("B", None), ("C", "01")]
