@@ -43,6 +43,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,15 +53,32 @@ SIZE, GRAM = 20, 8
 SHARD_WORDS = 60_000     # marked windows a shard aims at
 UNIT_WORDS = 240_000     # marked windows streamed past one copy of an automaton
 MOST_SHARDS = 1 << 16
+LONG_WORD = 64           # bytes; longer words are hashed one by one
 NO_ID = 1 << 62          # from here on: documents without an id, by the hash of their text
 
 
 def _word_hashes(words: Words) -> np.ndarray:
+    """64 bits for each word. The distinct words of a slice are hashed together,
+    eight bytes at a time; the few long ones (``LONG_WORD``) one by one."""
+    if not len(words.vocabulary):
+        return np.zeros(0, np.uint64)
     import xxhash
 
-    uniq = words.vocabulary.cast(pa.binary()).to_pylist()
-    h = np.fromiter(map(xxhash.xxh64_intdigest, uniq), np.uint64, len(uniq))
-    return h[words.codes] if len(uniq) else np.zeros(0, np.uint64)
+    uniq = words.vocabulary.cast(pa.large_binary())
+    ends = np.frombuffer(uniq.buffers()[1], np.int64)[uniq.offset: uniq.offset + len(uniq) + 1]
+    start, size = ends[:-1], np.diff(ends)
+    octets = np.append(np.frombuffer(uniq.buffers()[2], np.uint8)[:ends[-1]], np.zeros(8, np.uint8))
+    h = mix(size)
+    for at in range(0, LONG_WORD, 8):
+        live = np.flatnonzero((size > at) & (size <= LONG_WORD))
+        if not len(live):
+            break
+        eight = octets[(start[live] + at)[:, None] + np.arange(8)]
+        eight[np.arange(8) >= (size[live] - at)[:, None]] = 0
+        h[live] = mix(h[live] ^ eight.view("<u8").ravel())
+    for k in np.flatnonzero(size > LONG_WORD):
+        h[k] = xxhash.xxh64_intdigest(uniq[int(k)].as_buffer())
+    return h[words.codes]
 
 
 def anchors(words: Words, hashes: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -224,8 +242,7 @@ class SuffixAutomaton:
         return out
 
 
-_ITEM = [("shard", pa.int32()), ("salt", pa.int32()), ("side", pa.int32()), ("did", pa.int64()), ("th", pa.int64()),
-         ("start", pa.int32()), ("words", pa.string())]
+_ITEM = ["shard", "salt", "side", "did", "th", "start", "words"]
 
 
 def removed_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
@@ -262,28 +279,37 @@ def removed_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> tuple[
 
     def item_kernel(batches):
         for b in batches:
-            texts, did, th = strings(b.column("text")), b.column("did").to_pylist(), b.column("th").to_pylist()
+            texts, did_at, th_at = strings(b.column("text")), b.column("did"), b.column("th")
+            did = did_at.to_pylist()
             marks, refs = _Marks(b.column("marks")), b.column("refs")
             ref_at, ref = refs.offsets.to_numpy(), refs.values.to_numpy(zero_copy_only=False)
-            for lo, hi in slices(texts, 1 << 20):  # each slice's words are Python objects
+            for lo, hi in slices(texts, 1 << 20):  # spans of references are repeated for each salt
                 words = Words(texts.slice(lo, hi - lo))
-                hashes, flat, out = _word_hashes(words), words.flat.to_pylist(), []
+                windows = [marks.windows(k) for k in range(lo, hi)]
+                held = [k for k in range(lo, hi) if ref_at[k] < ref_at[k + 1]]
+                at = [windows[k - lo][0] + words.start[k - lo] for k in held]
+                found, _ = _window_hashes(_word_hashes(words), np.concatenate([*at, np.zeros(0, np.int64)]), size)
+                found = dict(zip(held, np.split(found, np.cumsum([len(x) for x in at])[:-1]), strict=True)) if held else {}
+                spans, out = [], []  # (document, first word, number of words); (shard, salt, side, span)
                 for k in range(lo, hi):
-                    first = int(words.start[k - lo])
-                    at, shard, salts = marks.windows(k)
+                    at, shard, salts = windows[k - lo]
                     mine = (did[k] * 0x9E3779B1 >> 7)
                     for a, z in _stretches(at, shard):
-                        out.append((int(shard[a]), mine % int(salts[a]), 1, did[k], th[k], int(at[a]),
-                                    " ".join(flat[first + at[a]: first + at[z - 1] + size])))
-                    if ref_at[k] < ref_at[k + 1]:
-                        w, _ = _window_hashes(hashes, at + first, size)
-                        kept = np.isin(w, ref[ref_at[k]: ref_at[k + 1]])
+                        out.append((int(shard[a]), mine % int(salts[a]), 1, len(spans)))
+                        spans.append((k, int(at[a]), int(at[z - 1]) + size - int(at[a])))
+                    if k in found:
+                        kept = np.isin(found[k], ref[ref_at[k]: ref_at[k + 1]])
                         ra, rs, rn = at[kept], shard[kept], salts[kept]
                         for a, z in _stretches(ra, rs):
-                            text = " ".join(flat[first + ra[a]: first + ra[z - 1] + size])
-                            out += [(int(rs[a]), salt, 0, did[k], th[k], int(ra[a]), text) for salt in range(int(rn[a]))]
-                yield pa.record_batch([pa.array([r[j] for r in out], t) for j, (_, t) in enumerate(_ITEM)],
-                                      names=[c for c, _ in _ITEM])
+                            out += [(int(rs[a]), salt, 0, len(spans)) for salt in range(int(rn[a]))]
+                            spans.append((k, int(ra[a]), int(ra[z - 1]) + size - int(ra[a])))
+                doc, start, n = np.array(spans, np.int64).reshape(-1, 3).T
+                shard, salt, side, span = np.array(out, np.int64).reshape(-1, 4).T
+                text = _phrases(words.flat, words.start[doc - lo] + start, n)
+                yield pa.record_batch([pa.array(shard.astype(np.int32)), pa.array(salt.astype(np.int32)),
+                                       pa.array(side.astype(np.int32)), did_at.take(pa.array(doc[span])),
+                                       th_at.take(pa.array(doc[span])), pa.array(start[span].astype(np.int32)),
+                                       text.take(pa.array(span))], names=_ITEM)
 
     items = map_arrow(marked.join(refs, "did", "left"), item_kernel,
                       "shard int, salt int, side int, did long, th long, start int, words string")
@@ -314,6 +340,13 @@ def removed_spans(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> tuple[
     return spans, marked
 
 
+def _phrases(flat: pa.Array, start: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Runs of n words from each start on, joined by a space."""
+    every, _ = _expand(start, n)
+    ends = np.append(0, np.cumsum(n)).astype(np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), flat.take(pa.array(every))), " ")
+
+
 def _stretches(at: np.ndarray, shard: np.ndarray) -> list[tuple[int, int]]:
     """Ranges of consecutive windows of one shard."""
     if not len(at):

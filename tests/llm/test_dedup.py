@@ -1,8 +1,10 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -338,6 +340,37 @@ def test_removed_text(spark, odd_docs, no_docs):
     assert U.digests(no_docs).count() == 0 and U.remove(no_docs).count() == 0
 
 
+def test_word_hashes_tell_words_apart():
+    words = [f"{k:x}" for k in range(50_000)] + ["a" * k for k in range(1, 200)] + ["b" + "\0" * k for k in range(80)]
+    words += ["x" * 62 + e for e in ("yz", "zy", "é", "yzz", "zyz")] + [f"{k} ".strip() + "é" * 40 for k in range(50)]
+    there = U._word_hashes(Words(pa.array([" ".join(words), ""])))
+    assert len(set(there.tolist())) == len(set(words))
+    back = U._word_hashes(Words(pa.array(["other", " ".join(words[::-1])])))[1:]
+    assert (back[::-1] == there).all()
+    assert len(U._word_hashes(Words(pa.array(["", " "])))) == 0
+
+
+def test_words_are_not_hashed_one_by_one():
+    words = Words(pa.array([" ".join(f"{k:x}word" for k in range(200_000))]))
+
+    def seconds(f):
+        best = []
+        for _ in range(3):
+            t = time.process_time()
+            f()
+            best.append(time.process_time() - t)
+        return min(best)
+
+    singly = seconds(lambda: [*map(xxhash.xxh64_intdigest, words.vocabulary.cast(pa.binary()).to_pylist())])
+    assert seconds(lambda: U._word_hashes(words)) < 0.7 * singly
+
+
+def test_phrases():
+    flat = pa.array(["a", "é", "c", "d"])
+    assert U._phrases(flat, np.array([1, 0, 3]), np.array([2, 4, 1])).to_pylist() == ["é c", "a é c d", "d"]
+    assert U._phrases(flat, np.zeros(0, np.int64), np.zeros(0, np.int64)).to_pylist() == []
+
+
 def test_equal_windows_have_equal_anchors():
     import pyarrow as pa
 
