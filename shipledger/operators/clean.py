@@ -41,6 +41,9 @@ RAW_MONEY = "decimal(24,6)"
 SHUFFLE_CONF = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m"}
 STAGE_CONF = {**SHUFFLE_CONF, "spark.sql.files.maxPartitionBytes": "32m"}
 
+# Columns of the written stages whose values hardly repeat: keys, file positions, money.
+PLAIN_COLUMNS = ("order_id", "_id", "_ord", "_first", "freight_cost", "freight_cost_eur", "cost_per_kg")
+
 # Stat sets computed by group_stats.
 SET_OUTLIER = 0      # (service_level)            cost quartiles
 SET_LANE = 1         # (lane, service_level)      transit median
@@ -150,7 +153,7 @@ def disposition(rows: DataFrame, stages: list[str] | None = None) -> tuple[DataF
         rows.filter(dated).groupBy(F.xxhash64("order_id").alias("_hash"), "order_id").agg(
             F.min("_ord").alias("_first"), F.count(F.lit(1)).alias("_copies"))
         .filter(F.col("_copies") > 1).select(F.col("order_id").alias("_id"), "_first", "_copies"), "repeated-ids",
-        stages=stages, conf=STAGE_CONF)
+        stages=stages, conf=STAGE_CONF, plain=PLAIN_COLUMNS)
     # the file order counts with the width of its columns
     order = rows.schema["_ord"].dataType
     known = ids.agg(F.coalesce(F.sum(text_bytes(ids)), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n"),
@@ -464,13 +467,13 @@ def write_rows(raw: DataFrame, stages: list[str], again=None, **settings) -> tup
     if "_open_quote" in raw.columns:
         metrics.append(F.collect_set(F.when(F.col("_open_quote"), F.col("_file"))).alias("files"))
     rows = annotate(raw, **settings).observe(seen, *metrics).drop("_open_quote")
-    rows = materialize(rows, "rows", stages=stages, conf=SHUFFLE_CONF)
+    rows = materialize(rows, "rows", stages=stages, conf=SHUFFLE_CONF, plain=PLAIN_COLUMNS)
     files = sorted(seen.get.get("files") or [])
     if not files or again is None:
         return rows, seen.get["dated"]
     more = Observation()
     second = annotate(again(files), **settings).observe(more, F.count_if(_dated()).alias("dated"))
-    second = materialize(second, "rows-multi-line", stages=stages, conf=SHUFFLE_CONF)
+    second = materialize(second, "rows-multi-line", stages=stages, conf=SHUFFLE_CONF, plain=PLAIN_COLUMNS)
     first = rows.filter(~F.col("_file").isin(files))
     kept = first.agg(F.count_if(_dated()).alias("n")).first()["n"]
     return first.unionByName(second, allowMissingColumns=True), kept + more.get["dated"]
@@ -495,7 +498,7 @@ def write_finished(full: DataFrame, stages: list[str]) -> tuple[DataFrame, dict]
     counts observed on the way."""
     done = Observation()
     out = materialize(full.sortWithinPartitions("ship_date").observe(done, *finished_counts()), "shipments", stages=stages,
-                      conf=STAGE_CONF)
+                      conf=STAGE_CONF, plain=PLAIN_COLUMNS)
     return out, dict(done.get)
 
 

@@ -85,14 +85,26 @@ def jit_sized(spark: SparkSession, more: dict[str, str] | None = None):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def plain_options(df: DataFrame, columns) -> dict[str, str]:
+    """Parquet options that store ``columns`` (where ``df`` has them; of a struct, its
+    fields) without a dictionary: one of values that hardly repeat takes time to
+    make and is given up or large."""
+    leaves = []
+    for f in df.schema.fields:
+        if f.name in columns:
+            leaves += [f"{f.name}.{x.name}" for x in f.dataType.fields] if f.dataType.typeName() == "struct" else [f.name]
+    return {f"parquet.enable.dictionary#{leaf}": "false" for leaf in leaves}
+
+
 def materialize(df: DataFrame, name: str, mode: str = "write", stages: list[str] | None = None,
-                conf: dict[str, str] | None = None) -> DataFrame:
+                conf: dict[str, str] | None = None, plain=()) -> DataFrame:
     """Cut lineage at an expensive, multiply-consumed stage.
 
     ``write`` stores the stage as Parquet in the shared stage folder and reads
     it back, so later consumers get column pruning and filter pushdown and a
     lost executor costs a re-read, not a recompute of the shuffle above; the
-    path is added to ``stages``, for ``drop_stages``. ``conf`` holds for the write.
+    path is added to ``stages``, for ``drop_stages``. ``conf`` holds for the write;
+    columns in ``plain`` get no dictionary (``plain_options``).
     ``checkpoint`` uses a reliable RDD checkpoint in the same folder.
     ``persist`` keeps it in memory/disk (lineage kept; for interactive use).
     """
@@ -106,7 +118,7 @@ def materialize(df: DataFrame, name: str, mode: str = "write", stages: list[str]
         raise ValueError(f"unknown materialize mode {mode!r}")
     path = f"{stage_root(spark)}/stages/{name}-{uuid.uuid4().hex}"
     with jit_sized(spark, conf):
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").options(**plain_options(df, plain)).parquet(path)
     if stages is not None:
         stages.append(path)
     return spark.read.parquet(path)

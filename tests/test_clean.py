@@ -316,3 +316,21 @@ def test_forget_deletes_stages(spark):
     build.forget(spark)
     assert not any(os.path.isdir(p) for p in paths)
     assert build.processed(spark, SMOKE) is not c
+
+
+def test_stages_hold_keys_and_money_without_a_dictionary(spark, fixture_build):
+    """A dictionary of values that hardly repeat takes time to make and is given up or large."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    seen = {}
+    for path in fixture_build.stages:
+        for file in glob.glob(f"{path.replace('file:', '')}/*.parquet"):
+            group = pq.ParquetFile(file).metadata.row_group(0)
+            for c in (group.column(k) for k in range(group.num_columns)):
+                seen.setdefault(c.path_in_schema, set()).add(c.has_dictionary_page)
+    plain = ("order_id", "freight_cost", "freight_cost_eur", "cost_per_kg", "_ord._ord1")
+    assert all(seen[c] == {False} for c in plain if c in seen) and {"order_id", "freight_cost", "freight_cost_eur"} <= set(seen)
+    assert [c for c in seen if c.startswith("_ord.")] and all(v == {False} for c, v in seen.items() if c.startswith("_ord."))
+    assert True in seen["carrier"] and True in seen["customer_segment"]
