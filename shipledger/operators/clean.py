@@ -7,7 +7,7 @@ Structure (see README, "Cleaning plan"):
    that a row's file position is fixed before anything refers to it.
 2. ``disposition`` — rows are *marked* as removed, never dropped, so the log is
    one aggregation and reconciles by construction. Only the ids that occur
-   twice are joined back, so clean rows shuffle no wide row.
+   twice are joined back, and no wide row is shuffled for it.
 3. ``group_stats`` — every median / quartile the imputation needs, rolled up
    from one count of distinct values over grouping sets (map-side combining; a
    hot group costs one row per distinct value); exact quantiles are then read off cumulative
@@ -30,7 +30,7 @@ from shipledger.functions.dates import date_parts, month_start, parse_ship_date,
 from shipledger.functions.text import carrier_key, lookup, null_tokens, strip_ws, title_case
 from shipledger.operators.cube import build_cube
 from shipledger.schema import FLAG_COLUMNS, SHIPMENT_COLUMNS, ORDER_PREFIX
-from shipledger.session import BROADCAST_MAX_BYTES, drop_stages, materialize, sized_side, text_bytes
+from shipledger.session import BROADCAST_MAX_BYTES, broadcasts, drop_stages, materialize, sized_side, text_bytes
 
 MONEY = "decimal(18,2)"
 RATE = "decimal(6,3)"
@@ -44,6 +44,10 @@ STAGE_CONF = {**SHUFFLE_CONF, "spark.sql.files.maxPartitionBytes": "32m"}
 # Columns of the written stages whose values hardly repeat: keys, file positions, money.
 PLAIN_COLUMNS = ("order_id", "_id", "_ord", "_first", "freight_cost", "freight_cost_eur", "cost_per_kg")
 
+# The later copies of repeated ids as one bit a row: up to this size (a billion rows, about) they are broadcast.
+MARKS_MAX_BYTES = 160 << 20
+MARKS_BLOCK = 4096  # rows of one block of marks: 64 words of 64 bits
+
 # Stat sets computed by group_stats.
 SET_OUTLIER = 0      # (service_level)            cost quartiles
 SET_LANE = 1         # (lane, service_level)      transit median
@@ -136,6 +140,24 @@ def _dated() -> Column:
     return F.col("ship_date").isNotNull() & ~F.col("_surplus")
 
 
+def placed(stored: DataFrame) -> DataFrame:
+    """Rows of a written stage with their place in it (its file, hashed, and the row in that file)."""
+    return stored.select("*", F.xxhash64("_metadata.file_path").alias("_spot_file"), F.col("_metadata.row_index").alias("_spot_row"))
+
+
+def _copy_marks(rows: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """The dated rows that repeat an earlier id, as bits by place: for each block of
+    ``MARKS_BLOCK`` rows of a file with such a row, 64 words of 64 bits."""
+    copies = rows.filter(_dated()).select("order_id", "_ord", "_spot_file", "_spot_row").join(
+        sized_side(ids, size), F.col("order_id").eqNullSafe(F.col("_id"))).filter(F.col("_ord") != F.col("_first"))
+    words = copies.groupBy("_spot_file", F.expr(f"_spot_row div {MARKS_BLOCK}").alias("_block"),
+                           F.expr("_spot_row div 64 % 64").alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(_spot_row % 64 as int))")).alias("_bits"))
+    blocks = words.groupBy("_spot_file", "_block").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("_words"))
+    return blocks.select("_spot_file", "_block", F.expr(
+        "transform(sequence(0L, 63L), i -> coalesce(element_at(_words, i), 0L))").alias("_marks"))
+
+
 def disposition(rows: DataFrame, stages: list[str] | None = None) -> tuple[DataFrame, int]:
     """C7 + D1 over the written row-level stage: ``_removed`` holds the reason,
     or null; and the number of dated rows that repeat an earlier id. The first
@@ -145,27 +167,46 @@ def disposition(rows: DataFrame, stages: list[str] | None = None) -> tuple[DataF
     skew it) finds the ids with more than one dated row; it groups by the hash of an
     id first, as ids that begin alike are slow to sort. Only those are joined
     back: broadcast if small, else a shuffle join that AQE may split, hashed on the
-    ids as long as they fit (``sized_side``). That the
+    ids as long as they fit (``sized_side``). Of ``placed`` rows only ids, order and place are
+    shuffled then, once: the copies are kept as a bit a row (``_copy_marks``), broadcast to
+    the rows wherever they are read, so no wide row is shuffled. That the
     survivors are exactly one a distinct dated id is checked on counts that the
     writes bring along (``check_survivors``), without a pass of its own."""
     dated = _dated()
+    spark, own = rows.sparkSession, []
     ids = materialize(
         rows.filter(dated).groupBy(F.xxhash64("order_id").alias("_hash"), "order_id").agg(
             F.min("_ord").alias("_first"), F.count(F.lit(1)).alias("_copies"))
         .filter(F.col("_copies") > 1).select(F.col("order_id").alias("_id"), "_first", "_copies"), "repeated-ids",
-        stages=stages, conf=STAGE_CONF, plain=PLAIN_COLUMNS)
+        stages=own, conf=STAGE_CONF, plain=PLAIN_COLUMNS)
     # the file order counts with the width of its columns
     order = rows.schema["_ord"].dataType
     known = ids.agg(F.coalesce(F.sum(text_bytes(ids)), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n"),
                     F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("spare")).first()
     size = known["b"] + known["n"] * 8 * len(order.fields)
-    out = rows.join(sized_side(ids, size), F.col("order_id").eqNullSafe(F.col("_id")), "left")
+    out = None
+    if "_spot_row" in rows.columns and not broadcasts(size):
+        marks = materialize(_copy_marks(rows, ids, size), "removed-copies", stages=own)
+        if marks.count() * (MARKS_BLOCK // 8 + 64) <= MARKS_MAX_BYTES:
+            drop_stages(spark, own[:1])  # the ids are not needed any more
+            del own[0]
+            out = rows.withColumn("_block", F.expr(f"_spot_row div {MARKS_BLOCK}")).join(
+                F.broadcast(marks), ["_spot_file", "_block"], "left")
+            copy = F.expr("getbit(_marks[cast(_spot_row div 64 % 64 as int)], cast(_spot_row % 64 as int)) = 1")
+        else:
+            drop_stages(spark, own[1:])
+            del own[1:]
+    if out is None:
+        out = rows.join(sized_side(ids, size), F.col("order_id").eqNullSafe(F.col("_id")), "left")
+        copy = F.col("_copies").isNotNull() & (F.col("_ord") != F.col("_first"))
+    if stages is not None:
+        stages += own
     removed = (
         F.when(F.col("_surplus"), F.lit(K.REMOVED_SURPLUS))
         .when(F.col("ship_date").isNull(), F.lit(K.REMOVED_UNDATED))
-        .when(F.col("_copies").isNotNull() & (F.col("_ord") != F.col("_first")), F.lit(K.REMOVED_DUPLICATE))
+        .when(copy, F.lit(K.REMOVED_DUPLICATE))
     )
-    out = out.withColumn("_removed", removed).drop("_id", "_first", "_copies")
+    out = out.withColumn("_removed", removed).drop("_id", "_first", "_copies", "_spot_file", "_spot_row", "_block", "_marks")
     return out, known["spare"]
 
 
@@ -467,13 +508,13 @@ def write_rows(raw: DataFrame, stages: list[str], again=None, **settings) -> tup
     if "_open_quote" in raw.columns:
         metrics.append(F.collect_set(F.when(F.col("_open_quote"), F.col("_file"))).alias("files"))
     rows = annotate(raw, **settings).observe(seen, *metrics).drop("_open_quote")
-    rows = materialize(rows, "rows", stages=stages, conf=SHUFFLE_CONF, plain=PLAIN_COLUMNS)
+    rows = placed(materialize(rows, "rows", stages=stages, conf=SHUFFLE_CONF, plain=PLAIN_COLUMNS))
     files = sorted(seen.get.get("files") or [])
     if not files or again is None:
         return rows, seen.get["dated"]
     more = Observation()
     second = annotate(again(files), **settings).observe(more, F.count_if(_dated()).alias("dated"))
-    second = materialize(second, "rows-multi-line", stages=stages, conf=SHUFFLE_CONF, plain=PLAIN_COLUMNS)
+    second = placed(materialize(second, "rows-multi-line", stages=stages, conf=SHUFFLE_CONF, plain=PLAIN_COLUMNS))
     first = rows.filter(~F.col("_file").isin(files))
     kept = first.agg(F.count_if(_dated()).alias("n")).first()["n"]
     return first.unionByName(second, allowMissingColumns=True), kept + more.get["dated"]

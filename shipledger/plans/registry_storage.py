@@ -83,7 +83,8 @@ def q_parity(spark, sf_dir):
     the smallest order id of each month, which must differ."""
     path = _folder(spark, "parity")
     t = processed(spark, sf_dir).table
-    store.write_processed(t, f"{path}/parquet", csv_path=f"{path}/csv")
+    sizes = {r["ship_month"]: r["count"] for r in t.groupBy("ship_month").count().collect()}  # as many as months
+    store.write_processed(t, f"{path}/parquet", csv_path=f"{path}/csv", sizes=sizes)
     b = store.read_processed(spark, f"{path}/csv", "csv")
     one = t.groupBy("ship_month").agg(F.min("order_id").alias("order_id"))
     less = t.join(F.broadcast(one), ["ship_month", "order_id"], "left_anti")  # one row a month

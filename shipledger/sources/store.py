@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shipledger.schema import SHIPMENT_COLUMNS, SHIPMENT_SCHEMA
-from shipledger.session import jit_sized
+from shipledger.session import STORED, drop_stages, jit_sized
 
 # Tasks of a write that reads stored files: a CSV part is compressed by one task.
 READ_CONF = {"spark.sql.files.maxPartitionBytes": "32m"}
+# Rows of a part of a table that is written in parts: what is shuffled at once is bounded by it.
+PART_ROWS = 30_000_000
 # Types whose values a partition folder's name gives back as they were (an empty text is stored as null).
 FOLDER_TYPES = ("date", "byte", "short", "integer", "long")
 
@@ -23,9 +25,29 @@ def sorted_table(table: DataFrame, partition_by: str | None = "ship_month") -> D
     return table.orderBy(*lead, "ship_date", "order_id")
 
 
+def partition_parts(sizes: dict, part_rows: int) -> list:
+    """Where parts of ``part_rows`` rows at most begin, from the rows of each partition value in
+    order (a value of more rows is a part of its own). The first begins before every value."""
+    starts, held = [None], 0
+    for value in sorted(v for v in sizes if v is not None):
+        if held and held + sizes[value] > part_rows:
+            starts.append(value)
+            held = 0
+        held += sizes[value]
+    return starts
+
+
+def _part(name: str, start, end) -> Column:
+    """Rows of the part from ``start`` up to ``end``; a null value is in the first. The parts
+    hold every row once, whatever their bounds."""
+    inside = F.lit(True) if end is None else F.col(name) < end
+    return F.coalesce(inside, F.lit(True)) if start is None else inside & (F.col(name) >= start)
+
+
 def write_processed(table: DataFrame, path: str, csv_path: str | None = None,
                     partition_by: str | None = "ship_month", mode: str = "overwrite",
-                    sort: bool = False, file_rows: int = 10_000_000, counts: list[Column] | None = None) -> dict:
+                    sort: bool = False, file_rows: int = 10_000_000, counts: list[Column] | None = None,
+                    sizes: dict | None = None, part_rows: int = PART_ROWS) -> dict:
     """The processed table as Parquet, partitioned by month so date-range
     views prune whole directories; optionally the same rows as gzip CSV (a
     null and an empty text are told apart: empty is written as ""). Extra
@@ -43,26 +65,48 @@ def write_processed(table: DataFrame, path: str, csv_path: str | None = None,
     rows are dealt and sorted once, not for each format.
 
     ``counts``: aggregates observed by the tasks that write the Parquet, and
-    returned; they may use helper columns (``_``), which are not written."""
-    if sort:
-        table = sorted_table(table, partition_by)
-    elif partition_by:
-        days = ["ship_date"] if "ship_date" in table.columns else []
-        table = table.hint("rebalance", F.col(partition_by)).sortWithinPartitions(partition_by, *days)
-    seen = Observation()
+    returned; they may use helper columns (``_``), which are not written.
+
+    ``sizes``: the rows of each month, if the caller has them. A table of more than
+    ``part_rows`` rows that is overwritten is then written in parts of whole months, and
+    what one part shuffles is deleted before the next, so the disk that the deal takes
+    does not grow with the table. ``counts`` are added up over the parts. A failure
+    between two parts leaves no part behind."""
+    spark = table.sparkSession
+    starts = [None]
+    if sizes and mode == "overwrite" and partition_by and not sort and spark.conf.get(
+            "spark.sql.sources.partitionOverwriteMode", "static").lower() == "static":
+        starts = partition_parts(sizes, part_rows)
     helpers = [c for c in table.columns if c.startswith("_")] if counts else []
-    out = table.observe(seen, *counts).drop(*helpers) if counts else table
-    w = out.write.mode(mode).option("maxRecordsPerFile", file_rows)
-    (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+    source, found = table, {}
+    try:
+        for k, (start, end) in enumerate(zip(starts, [*starts[1:], None], strict=True)):
+            table = source.filter(_part(partition_by, start, end)) if len(starts) > 1 else source
+            if sort:
+                table = sorted_table(table, partition_by)
+            elif partition_by:
+                days = ["ship_date"] if "ship_date" in table.columns else []
+                table = table.hint("rebalance", F.col(partition_by)).sortWithinPartitions(partition_by, *days)
+            seen = Observation()
+            out = table.observe(seen, *counts).drop(*helpers) if counts else table
+            w = out.write.mode("append" if k else mode).options(**STORED).option("maxRecordsPerFile", file_rows)
+            with jit_sized(spark):
+                (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+            for name, n in seen.get.items() if counts else ():
+                found[name] = found.get(name, 0) + n
+    except BaseException:
+        if len(starts) > 1:
+            drop_stages(spark, [path])
+        raise
     if csv_path:
-        rows = table.drop(*helpers)
+        rows = (source if len(starts) > 1 else table).drop(*helpers)
         if mode == "overwrite" and partition_by and not sort and rows.schema[partition_by].dataType.typeName() in FOLDER_TYPES:
-            rows = table.sparkSession.read.schema(rows.schema).parquet(path).select(*[F.col(f"`{c}`") for c in rows.columns])
-        with jit_sized(table.sparkSession, READ_CONF):
+            rows = spark.read.schema(rows.schema).parquet(path).select(*[F.col(f"`{c}`") for c in rows.columns])
+        with jit_sized(spark, READ_CONF):
             (rows.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
              .option("compression", "gzip").csv(csv_path))
-    return dict(seen.get) if counts else {}
+    return found
 
 
 def read_processed(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

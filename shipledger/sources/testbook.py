@@ -112,8 +112,19 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def raw_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw export (all strings) built from lineitem x orders x customer x
-    supplier x nation. Joins are left to the optimiser: the two large inputs
-    shuffle on the order key, the small dimensions broadcast by size."""
+    supplier x nation."""
+    return export_columns(shipment_lines(spark, sf_dir))
+
+
+#: the columns of ``shipment_lines`` that give the file order
+FILE_ORDER = ["l_partkey", "l_suppkey", "l_extendedprice", "l_orderkey", "l_linenumber", "_scan_pos"]
+
+
+def shipment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a row of the raw export is made from, typed: narrow rows to be dealt or
+    sorted. Joins are left to the optimiser: the two large inputs shuffle on the order
+    key, the small dimensions broadcast by size. Customers come to the orders first, so
+    that a large customer table does not shuffle the line items again."""
     li = load(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate",
         F.monotonically_increasing_id().alias("_scan_pos"),
@@ -125,11 +136,15 @@ def raw_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = load(spark, sf_dir, "nation").select("n_nationkey", "n_name")
 
     j = (
-        li.join(orders, li.l_orderkey == orders.o_orderkey)
-        .join(cust, F.col("o_custkey") == cust.c_custkey)
+        li.join(orders.join(cust, F.col("o_custkey") == cust.c_custkey), li.l_orderkey == orders.o_orderkey)
         .join(supp, F.col("l_suppkey") == supp.s_suppkey)
         .join(nation, F.col("s_nationkey") == nation.n_nationkey, "left")
     )
+    return j.select(*li.columns, "c_custkey", "c_name", "c_mktsegment", "s_nationkey", "n_name")
+
+
+def export_columns(j: DataFrame) -> DataFrame:
+    """The columns of the raw export from ``shipment_lines`` (rules: see above), row by row."""
     k, o, s, c = F.col("l_partkey"), F.col("l_orderkey"), F.col("l_suppkey"), F.col("c_custkey")
     ts = F.col("l_shipdate")
     friday = F.weekday(ts) == 4
