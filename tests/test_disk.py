@@ -3,14 +3,16 @@ table is dealt in parts, later copies of an id are marked without a shuffle of w
 and compressed exports are read."""
 
 import datetime as dt
+import gzip
 import time
 
 import pytest
 from pyspark.sql import functions as F
+from shipment_rows import COLS
 
 from shipledger import session
 from shipledger.operators import clean as C
-from shipledger.sources import store
+from shipledger.sources import ingest, store
 
 MAR, APR, MAY = dt.date(2025, 3, 1), dt.date(2025, 4, 1), dt.date(2025, 5, 1)
 
@@ -94,3 +96,14 @@ def test_later_copies_are_marked_without_a_shuffle_of_rows(spark, tmp_path, monk
     assert "Exchange hashpartitioning" in joined._jdf.queryExecution().executedPlan().toString()
     assert _rows(joined) == _rows(want)
 
+
+def test_compressed_exports_are_read(spark, tmp_path):
+    lines = [",".join([*COLS, "x" * 300]), ",".join(["A1", "2025-03-14", *["a"] * 13, "p"]), ",".join(["A2", "2025-03-15", *["b"] * 13, ""])]
+    plain, packed = tmp_path / "a.csv", tmp_path / "b.csv.gz"
+    plain.write_text("\n".join(lines) + "\n")
+    packed.write_bytes(gzip.compress(plain.read_bytes()))
+    heads = ingest.read_headers(spark, [f"file:{plain}", f"file:{packed}"], first_bytes=64)
+    assert set(heads.values()) == {lines[0]}
+    raw = ingest.read_exports(spark, [str(plain), str(packed)]).raw
+    assert sorted((r.source_file, r.order_id) for r in raw.collect()) == [
+        (n, o) for n in ("a.csv", "b.csv.gz") for o in ("A1", "A2")]
