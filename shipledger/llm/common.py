@@ -42,7 +42,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write a stage to the shared folder and read it back. Once nothing
     refers to the plan that made it, Spark's context cleaner may drop that
     plan's shuffle files; the collection here lets it do so now."""
-    out = materialize(df, name)
+    out = materialize(df, name, stored={})
     spark = df.sparkSession
     del df
     gc.collect()
